@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, media, warc
+from cityloom.llm import chat, jaccard, media, warc
 from cityloom.llm.store import table
 
 QUERIES = {
     "op2_chat_format": lambda spark, d: chat.formatted_conversations(table(spark, d, "conversations")),
     "op5_warc": lambda spark, d: warc.page_archives(table(spark, d, "pages")),
+    "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
 }
 
