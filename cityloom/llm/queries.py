@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, jaccard, media, warc
+from cityloom.llm import chat, jaccard, media, toxicity, warc
 from cityloom.llm.store import table
 
 QUERIES = {
+    "op1_toxicity": lambda spark, d: toxicity.scored_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_chat_format": lambda spark, d: chat.formatted_conversations(table(spark, d, "conversations")),
     "op5_warc": lambda spark, d: warc.page_archives(table(spark, d, "pages")),
     "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
