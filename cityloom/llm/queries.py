@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, jaccard, media, toxicity, warc
+from cityloom.llm import chat, decontam, jaccard, media, mixing, toxicity, warc
 from cityloom.llm.store import table
 
 QUERIES = {
@@ -10,6 +10,8 @@ QUERIES = {
     "op2_chat_format": lambda spark, d: chat.formatted_conversations(table(spark, d, "conversations")),
     "op5_warc": lambda spark, d: warc.page_archives(table(spark, d, "pages")),
     "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
+    "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
+    "op7_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
 }
 
