@@ -13,8 +13,9 @@ large benchmark takes more passes and not more memory.  Rows are handled one by
 no shuffle of texts, no grouping.
 
 Null, empty and blank texts match nothing, nor do items without words.  An item
-shorter than n words is one seed.  Repeated documents each report their matches;
-repeated items are items of their own.  Case and ASCII white space don't matter.
+shorter than n words has all of them as its seed.  Repeated documents each report their matches;
+repeated items are items of their own.  Case, ASCII white space and ASCII punctuation
+don't matter.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Items:
     def __init__(self, rows: list, n: int):
         self.ids = [r.item_id for r in rows]
         self.words, grams, owner, place = [], [], [], []
-        for first, hashes, offsets, _, _ in words(pa.array([r.text for r in rows], pa.string())):
+        for first, hashes, offsets, _, _ in words(pa.array([r.text for r in rows], pa.string()), punctuation=True):
             found, cuts = shingles(hashes, offsets, n)
             for r in range(len(offsets) - 1):
                 self.words.append(hashes[offsets[r] : offsets[r + 1]])
@@ -97,7 +98,7 @@ def _counts(documents: DataFrame, items: Items, n: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(len(distinct), dtype=np.int64)
         for batch in batches:
-            for _, hashes, offsets, _, _ in words(batch.column(0)):
+            for _, hashes, offsets, _, _ in words(batch.column(0), punctuation=True):
                 grams, cuts = shingles(hashes, offsets, n)
                 at = np.searchsorted(distinct, grams)
                 at[at == len(distinct)] = 0
@@ -109,7 +110,7 @@ def _counts(documents: DataFrame, items: Items, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "c"])
 
     counts = np.zeros(len(distinct), dtype=np.int64)
-    for row in documents.select("text").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+    for row in documents.select(F.lower("text")).mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
         counts[row["at"]] = row["c"]
     return counts[np.searchsorted(distinct, items.grams)]
 
@@ -128,7 +129,7 @@ def _matches(documents: DataFrame, items: Items, n: int, least_score: float) ->
         for batch in batches:
             out = []
             ids = batch.column(0).to_pylist()
-            for first, hashes, offsets, _, _ in words(batch.column(1)):
+            for first, hashes, offsets, _, _ in words(batch.column(1), punctuation=True):
                 grams, cuts = shingles(hashes, offsets, n)
                 spot, seed = items.hits(grams)
                 row = np.searchsorted(cuts, spot, side="right") - 1
@@ -153,7 +154,7 @@ def _matches(documents: DataFrame, items: Items, n: int, least_score: float) ->
             )
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score double, word_start long, word_end long")
+    return documents.select("doc_id", F.lower("text")).mapInArrow(run, f"doc_id {kind}, item_id long, score double, word_start long, word_end long")
 
 
 def contaminated(
@@ -172,15 +173,20 @@ def contaminated(
     out = None
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        items = Items(part.select("item_id", "text").orderBy("item_id", "text").collect(), n)
-        counts = _counts(documents, items, n)
-        seeds = counts <= max(1, common_share * total)
-        for o in range(len(items.ids)):
-            mine = np.flatnonzero(items.owner == o)
-            seeds[mine[np.argsort(counts[mine], kind="stable")][: -(-int(len(mine) * least_seeds * 1000) // 1000)]] = True
-        items.keep(seeds & (counts > 0))
-        found = _matches(documents, items, n, least_score)
-        out = found if out is None else out.union(found)
+        rows = part.select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").collect()
+        by_length: dict[int, list] = {}
+        for row, held in zip(rows, Items(rows, n).words):
+            by_length.setdefault(min(n, len(held)), []).append(row)
+        for length in sorted(by_length) or [n]:
+            items = Items(by_length.get(length, []) if length else [], length or n)
+            counts = _counts(documents, items, length or n)
+            seeds = counts <= max(1, common_share * total)
+            for o in range(len(items.ids)):
+                mine = np.flatnonzero(items.owner == o)
+                seeds[mine[np.argsort(counts[mine], kind="stable")][: int(np.ceil(len(mine) * least_seeds))]] = True
+            items.keep(seeds & (counts > 0))
+            found = _matches(documents, items, length or n, least_score)
+            out = found if out is None else out.union(found)
     return out
 
 

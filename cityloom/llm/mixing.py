@@ -4,8 +4,8 @@ A classifier fitted on labelled rows gives every document posterior chances of t
 domains.  With a[d] = tokens of d times its posteriors, the expected tokens of the
 domains are sum(rate[d] a[d]); nonnegative rates are fitted to the target totals by
 projected-gradient least squares.  The residual is weighted by the inverse of the
-Gram matrix sum(a a'), so that the problem has curvature of at most 1 and a step of
-one is safe.  A step is one distributed sum of as many numbers as there are domains;
+Gram matrix sum(a a') over documents whose rate is above its bound, which gives the
+problem a curvature of about 1 whatever the scales of the domains.  A step is one distributed sum of as many numbers as there are domains;
 rates stay in the table, as an expression of the steps so far.
 
 Null and blank texts have no tokens: they keep the prior as posteriors and the rate 1.
@@ -110,10 +110,12 @@ def fit_classifier(texts: list[str], labels: list, rounds: int = 300) -> Classif
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, domain: str, most_docs: int = 1500, most_chars: int = 6_000_000) -> tuple[list[str], list]:
     """At most most_docs labelled documents and about most_chars characters, by a hash
-    of doc_id; domain is an SQL expression over the labels' columns."""
-    usable = labels.where("doc_id IS NOT NULL").selectExpr("doc_id", f"{domain} AS _domain").where("_domain IS NOT NULL")
-    picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "_domain").limit(most_docs)
-    sample = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    of doc_id; domain is an SQL expression over the columns of both tables."""
+    own = [c for c in labels.columns if c != "doc_id"]
+    picked = labels.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", *own).limit(most_docs)
+    rest = [c for c in documents.columns if c not in own]
+    sample = documents.select(*rest).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    sample = sample.selectExpr("doc_id", "text", f"{domain} AS _domain").where("_domain IS NOT NULL")
     chars = sample.agg(F.sum(F.length("text"))).first()[0] or 1
     keep = min(1.0, most_chars / chars)
     rows = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).collect()
@@ -143,30 +145,39 @@ def fit_rates(posteriors: DataFrame, targets: list[float] | None, weights: list[
     """
     k = len(weights)
     a = [f"(CAST(_tokens AS DOUBLE) * _posteriors[{i}])" for i in range(k)]
-    sums = [F.expr(f"sum({a[i]})").alias(f"s{i}") for i in range(k)]
-    grams = [F.expr(f"sum({a[i]} * {a[j]})").alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = posteriors.agg(*sums, *grams).first()
-    held = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(rate: str) -> tuple[np.ndarray, np.ndarray]:
+        """Totals, and the Gram matrix over documents whose rate can still go down."""
+        free = f"if(({rate}) > {least!r}, 1.0D, 0.0D)"
+        found = posteriors.select(F.expr(rate).alias("r"), F.expr(free).alias("f"), *[F.expr(x).alias(f"a{i}") for i, x in enumerate(a)]).agg(
+            *[F.expr(f"sum(r * a{i})") for i in range(k)], *[F.expr(f"sum(f * a{i} * a{j})") for i, j in pairs]
+        )
+        row = [x or 0.0 for x in found.first()]
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:]):
+            gram[i, j] = gram[j, i] = x
+        return np.array(row[:k]), gram
+
+    rate = "1.0D"
+    held, gram = sums(rate)
     share = np.array(weights, dtype=float) / sum(weights)
     if targets is None:
         targets = share * max((h / s for h, s in zip(held, share) if s > 0), default=0.0)
     target = np.array(targets, dtype=float)
-    gram = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) if k and gram.any() else np.zeros((k, k))
-    rate, now = "CAST(1.0 AS DOUBLE)", held
+    now = held
     for _ in range(rounds):
         residual = now - target
-        if np.abs(residual).max(initial=0.0) <= tolerance * max(1.0, target.sum()):
+        if np.abs(residual).max(initial=0.0) <= tolerance * max(1.0, target.sum()) or not gram.any():
             break
-        step = inverse @ residual
-        rate = f"greatest(CAST({least!r} AS DOUBLE), {rate} - ({' + '.join(f'CAST({float(step[i])!r} AS DOUBLE) * {a[i]}' for i in range(k))}))"
-        row = posteriors.agg(*[F.expr(f"sum(({rate}) * {a[i]})").alias(f"s{i}") for i in range(k)]).first()
-        now = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+        step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual
+        rate = f"greatest({float(least)!r}D, {rate} - ({' + '.join(f'{float(x)!r}D * {y}' for x, y in zip(step, a))}))"
+        now, gram = sums(rate)
     return rate, target, now
 
 
-DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' END"
-WEIGHTS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
+DOMAIN = "CASE WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN lang END"
+WEIGHTS = {"en": 0.45, "de": 0.18, "fr": 0.18, "es": 0.14, "low": 0.05}
 
 
 def rated(
@@ -177,6 +188,7 @@ def rated(
     total: float | None = None,
     least: float = 0.0,
     keep_text: bool = True,
+    columns: list[str] | None = None,
     **sample,
 ) -> tuple[DataFrame, list, dict]:
     """documents with _tokens, _posteriors and _rate; the domains; a report of totals.
@@ -187,6 +199,7 @@ def rated(
     """
     weights = weights or WEIGHTS
     model = fit_classifier(*labelled_sample(documents, labels, domain, **sample))
+    documents = documents.select(*columns) if columns else documents
     share = [float(weights.get(d, 0.0)) for d in model.domains] or [1.0]
     if not model.domains:
         model = Classifier(["all"], np.zeros((1, 2, 1 << _BITS)), np.zeros((5, 1)), np.ones(1))
@@ -210,6 +223,6 @@ def copies(rate: str = "_rate", key: str = "doc_id", seed: int = 17) -> F.Column
 
 def mixture(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, a posterior for each domain (p_*), rate and whole copies of every document."""
-    out, domains, _ = rated(documents.select("doc_id", "text"), labels, keep_text=False)
-    chances = [F.col("_posteriors")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
+    out, domains, _ = rated(documents, labels, keep_text=False, columns=["doc_id", "text"])
+    chances = [F.col("_posteriors")[domains.index(d)].alias(f"p_{d}") if d in domains else F.lit(0.0).alias(f"p_{d}") for d in WEIGHTS]
     return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *chances, F.col("_rate").alias("rate"), copies().alias("copies"))

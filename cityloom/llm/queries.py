@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, decontam, jaccard, media, mixing, toxicity, warc
+from cityloom.llm import chat, decontam, jaccard, media, mixing, tokens, toxicity, warc
 from cityloom.llm.store import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op8_token_output": lambda spark, d: tokens.materialised(table(spark, d, "documents")),
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
 }
 

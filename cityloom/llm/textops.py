@@ -37,6 +37,8 @@ def _table(lower: bool) -> np.ndarray:
 _TABLES = {True: _table(True), False: _table(False)}
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+_PUNCTUATION = _SPACE.copy()
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -77,9 +79,9 @@ def _segments(offsets: np.ndarray):
         i = j
 
 
-def _runs(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs(data: np.ndarray, cuts: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of data; none crosses a cut (row start)."""
-    word = ~_SPACE[data]
+    word = ~between[data]
     before = np.empty(len(data), dtype=bool)
     before[0] = False
     before[1:] = word[:-1]
@@ -94,9 +96,10 @@ def _runs(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def words(column: pa.Array, lower: bool = True):
+def words(column: pa.Array, lower: bool = True, punctuation: bool = False):
     """Yields (first row, hashes, row offsets into hashes, starts, ends) by segment.
 
+    With punctuation, ASCII punctuation separates words as white space does.
     starts and ends are byte positions relative to the segment's first row's text;
     a single text longer than a segment is one segment.
     """
@@ -110,7 +113,7 @@ def words(column: pa.Array, lower: bool = True):
             zero = np.zeros(0, dtype=np.int64)
             yield i, np.zeros(0, dtype=np.uint64), np.zeros(j - i + 1, dtype=np.int64), zero, zero
             continue
-        starts, ends = _runs(part, cuts[:-1])
+        starts, ends = _runs(part, cuts[:-1], _PUNCTUATION if punctuation else _SPACE)
         up, down = _powers(len(part))
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(table[part] * up[: len(part)], out=sums[1:])
