@@ -161,7 +161,8 @@ def fit_rates(posteriors: DataFrame, targets: list[float] | None, weights: list[
 
     rate = "1.0D"
     held, gram = sums(rate)
-    share = np.array(weights, dtype=float) / sum(weights)
+    share = np.where(held > 0, np.array(weights, dtype=float), 0.0)  # nothing to draw from else
+    share = share / max(1e-300, share.sum())
     if targets is None:
         targets = share * max((h / s for h, s in zip(held, share) if s > 0), default=0.0)
     target = np.array(targets, dtype=float)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, decontam, jaccard, media, mixing, tokens, toxicity, warc
+from cityloom.llm import chat, decontam, jaccard, lines, media, mixing, resampling, tokens, toxicity, warc
 from cityloom.llm.store import table
 
 QUERIES = {
     "op1_toxicity": lambda spark, d: toxicity.scored_documents(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_chat_format": lambda spark, d: chat.formatted_conversations(table(spark, d, "conversations")),
+    "op3_importance_resampling": lambda spark, d: resampling.resampled(table(spark, d, "documents"), table(spark, d, "labels")),
+    "op4_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
     "op5_warc": lambda spark, d: warc.page_archives(table(spark, d, "pages")),
     "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
