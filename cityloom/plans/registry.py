@@ -1,6 +1,628 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents.
+
+Each query takes (session, directory of tables); the oracle computes the same result
+with other means on the same tables.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cityloom.functions import geo, text
+from cityloom.operators import demand, flow, forecast, graph, raster, regions, roads
+from cityloom.plans.fixtures import SPARSE, sql, view
+from cityloom.streaming import ticks as streaming
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a function as the query of its name, with the oracle's SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+def _sparse(spark, d):
+    return view(spark, d, "edges_raw").where(f"edge_key % {SPARSE} = 0")
+
+
+def _edges(spark, d):
+    return roads.cheapest_edges(roads.routing_edges(view(spark, d, "edges_raw")))
+
+
+# ------------------------------------------------------------------ SQL parts
+
+_STATS = "SELECT count(value) AS valid_count, count(*) FILTER (value = 0) AS zero_count, min(value) AS min_value, max(value) AS max_value, sum(value) AS sum_value FROM grid_a"
+
+
+def _norm(grid: str, n: str) -> str:
+    """Common table expressions that end in n (row_i, col_i, value) normalised."""
+    return f"""
+ {n}_r AS (SELECT min(ln(1 + value)) AS lo, max(ln(1 + value)) AS hi, count(*) AS n FROM {grid}),
+ {n}_h AS (SELECT CASE WHEN hi <= lo THEN 0 ELSE CAST(least(greatest(floor((ln(1 + value) - lo) * 65535 / (hi - lo)), 0), 65535) AS BIGINT) END AS bin, count(*) AS c
+          FROM {grid}, {n}_r GROUP BY 1),
+ {n}_c AS (SELECT bin, sum(c) OVER (ORDER BY bin) AS upto FROM {n}_h),
+ {n}_p AS (SELECT p.pct, CASE WHEN r.n = 0 THEN 0 ELSE r.lo + (SELECT min(bin) FROM {n}_c WHERE upto >= ceil(p.pct / 100 * r.n)) * (r.hi - r.lo) / 65536 END AS value
+          FROM (VALUES (CAST(1.0 AS DOUBLE)), (CAST(99.5 AS DOUBLE))) AS p(pct), {n}_r r),
+ {n}_b AS (SELECT max(value) FILTER (pct = 1.0) AS lo, max(value) FILTER (pct = 99.5) AS hi FROM {n}_p),
+ {n} AS (SELECT row_i, col_i, CASE WHEN hi <= lo THEN 0.0 ELSE least(greatest((ln(1 + value) - lo) / nullif(hi - lo, 0), 0.0), 1.0) END AS value FROM {grid}, {n}_b)"""
+
+
+_FUSED = f"""{_norm("grid_a", "na")}, {_norm("grid_b", "nb")},
+ fused AS (SELECT coalesce(na.row_i, nb.row_i) AS row_i, coalesce(na.col_i, nb.col_i) AS col_i,
+   CASE WHEN na.value IS NULL THEN nb.value WHEN nb.value IS NULL THEN na.value ELSE 0.5 * na.value + 0.5 * nb.value END AS value
+   FROM na FULL JOIN nb ON na.row_i = nb.row_i AND na.col_i = nb.col_i),
+ scored AS (SELECT row_i, col_i, -log10(greatest(1 - value, 1e-6)) AS score FROM fused),
+ smooth AS (SELECT c.row_i, c.col_i, any_value(c.score) AS score, avg(o.score) AS local_score
+   FROM scored c JOIN scored o ON o.row_i BETWEEN c.row_i - 1 AND c.row_i + 1 AND o.col_i BETWEEN c.col_i - 1 AND c.col_i + 1 GROUP BY c.row_i, c.col_i)"""
+_R = "CAST(row_i AS BIGINT) AS row_i, CAST(col_i AS BIGINT) AS col_i"
+
+
+def _smooth(spark, d):
+    fused = raster.fuse(raster.normalise(view(spark, d, "grid_a")), raster.normalise(view(spark, d, "grid_b")))
+    return raster.local_mean(fused.select("row_i", "col_i", raster.saturation(F.col("value")).alias("score")), "score", 3, "local_score")
+
+
+def _rounded(df, *names, digits: int = 6):
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# ------------------------------------------------------------------ rasters
+
+
+@query(_STATS)
+def raster_stats(spark, d):
+    return raster.stats(view(spark, d, "grid_a"))
+
+
+@query("SELECT round(min(ln(1 + value)), 6) AS lo, round(max(ln(1 + value)), 6) AS hi, count(*) AS n FROM grid_a")
+def log_bounds(spark, d):
+    return _rounded(raster.log_range(view(spark, d, "grid_a")), "lo", "hi")
+
+
+@query(f"WITH {_norm('grid_a', 'na')} SELECT pct, round(value, 6) AS value FROM na_p")
+def log_hist_percentiles(spark, d):
+    return _rounded(raster.histogram_percentiles(raster.log_histogram(view(spark, d, "grid_a")), [1.0, 99.5]), "value")
+
+
+@query(f"WITH {_norm('grid_a', 'na')} SELECT {_R}, round(value, 6) AS value FROM na")
+def normalize_grid(spark, d):
+    return _rounded(raster.normalise(view(spark, d, "grid_a")), "value")
+
+
+@query("""SELECT coalesce(a.row_i, b.row_i) AS row_i, coalesce(a.col_i, b.col_i) AS col_i,
+  round(CASE WHEN a.value IS NULL THEN b.value WHEN b.value IS NULL THEN a.value ELSE 0.25 * a.value + 0.75 * b.value END, 6) AS value
+  FROM grid_a a FULL JOIN grid_b b ON a.row_i = b.row_i AND a.col_i = b.col_i""")
+def fuse_grids(spark, d):
+    return _rounded(raster.fuse(view(spark, d, "grid_a"), view(spark, d, "grid_b"), 1, 3), "value")
+
+
+@query(f"WITH {_FUSED} SELECT {_R}, round(score, 6) AS score FROM scored")
+def saturation_score(spark, d):
+    return _rounded(_smooth(spark, d).select("row_i", "col_i", "score"), "score")
+
+
+@query("""SELECT row_i, col_i, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0) / count(*) OVER (), 6) AS pct_rank FROM grid_a""")
+def pct_rank(spark, d):
+    return _rounded(raster.percentile_rank(view(spark, d, "grid_a"), "value", "pct_rank").select("row_i", "col_i", "pct_rank"), "pct_rank")
+
+
+@query(f"""SELECT c.row_i AS row_i, c.col_i AS col_i, round(avg(o.value), 6) AS local_mean FROM grid_b c JOIN grid_b o
+  ON o.row_i BETWEEN c.row_i - 2 AND c.row_i + 2 AND o.col_i BETWEEN c.col_i - 2 AND c.col_i + 2 GROUP BY c.row_i, c.col_i""")
+def local_mean(spark, d):
+    return _rounded(raster.local_mean(view(spark, d, "grid_b"), "value", 5).select("row_i", "col_i", "local_mean"), "local_mean")
+
+
+@query(f"""WITH {_FUSED}, t AS (SELECT quantile_cont(local_score, 0.9) AS threshold FROM smooth)
+  SELECT {_R}, round(score, 6) AS score, round(local_score, 6) AS local_score, round(threshold, 6) AS threshold FROM smooth, t WHERE local_score >= threshold""")
+def hotspot_candidates(spark, d):
+    return _rounded(raster.hotspots(view(spark, d, "grid_a"), view(spark, d, "grid_b")), "score", "local_score", "threshold")
+
+
+@query("SELECT CAST(floor(row_i / 4) AS BIGINT) AS row_i, CAST(floor(col_i / 4) AS BIGINT) AS col_i, arg_min(value, row_i * 1000 + col_i) AS value FROM grid_a GROUP BY 1, 2")
+def decimate(spark, d):
+    return raster.decimate(view(spark, d, "grid_a"), 4)
+
+
+@query("""SELECT CAST(floor((row_i + 0.5) * 0.3) AS BIGINT) AS row_i, CAST(floor((col_i + 0.5) * 0.3) AS BIGINT) AS col_i, sum(value) AS value FROM grid_a
+  WHERE floor((row_i + 0.5) * 0.3) < 18 AND floor((col_i + 0.5) * 0.3) < 18 GROUP BY 1, 2""")
+def warp_sum(spark, d):
+    place = lambda c: F.floor((F.col(c) + 0.5) * 0.3)
+    return raster.warp_sum(view(spark, d, "grid_a"), place("row_i"), place("col_i"), 18, 18)
+
+
+@query("""WITH steps AS (SELECT i.range AS i, j.range AS j FROM range(4) i, range(4) j),
+  cut AS (SELECT row_i + (i + 0.5) / 4 - 0.5 AS r, col_i + (j + 0.5) / 4 - 0.5 AS c, value / 16 AS value FROM grid_a, steps)
+  SELECT CAST(floor((r + 0.5) * 0.3) AS BIGINT) AS row_i, CAST(floor((c + 0.5) * 0.3) AS BIGINT) AS col_i, round(sum(value), 6) AS value FROM cut
+  WHERE floor((r + 0.5) * 0.3) < 20 AND floor((c + 0.5) * 0.3) < 20 GROUP BY 1, 2""")
+def warp_sum_area(spark, d):
+    place = lambda c: F.floor((F.col(c) + 0.5) * 0.3)
+    return _rounded(raster.warp_sum_by_area(view(spark, d, "grid_a"), place("row_i"), place("col_i"), 20, 20), "value")
+
+
+@query("""WITH t AS (SELECT r.range AS out_row, c.range AS out_col, r.range * 1.37 + 0.21 AS sr, c.range * 1.21 + 0.4 AS sc FROM range(40) r, range(40) c),
+  k AS (SELECT i.range AS i, j.range AS j FROM range(2) i, range(2) j),
+  asked AS (SELECT out_row, out_col, floor(sr) + i AS row_i, floor(sc) + j AS col_i,
+    (CASE WHEN i = 1 THEN sr - floor(sr) ELSE 1 - (sr - floor(sr)) END) * (CASE WHEN j = 1 THEN sc - floor(sc) ELSE 1 - (sc - floor(sc)) END) AS w FROM t, k)
+  SELECT out_row AS row_i, out_col AS col_i, round(sum(w * coalesce(value, 0)), 6) AS value FROM asked LEFT JOIN grid_a g ON g.row_i = asked.row_i AND g.col_i = asked.col_i GROUP BY out_row, out_col""")
+def bilinear_warp(spark, d):
+    t = spark.range(1600).select(F.floor(F.col("id") / 40).alias("out_row"), (F.col("id") % 40).alias("out_col"))
+    t = t.withColumn("src_row", F.col("out_row") * 1.37 + 0.21).withColumn("src_col", F.col("out_col") * 1.21 + 0.4)
+    return _rounded(raster.bilinear(view(spark, d, "grid_a"), t), "value")
+
+
+@query("""WITH q AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi, min(value) AS a, max(value) AS b FROM grid_a)
+  SELECT round(CASE WHEN abs(hi - lo) < 1e-9 THEN a ELSE lo END, 6) AS low, round(CASE WHEN abs(hi - lo) < 1e-9 THEN b ELSE hi END, 6) AS high FROM q""")
+def robust_limits(spark, d):
+    v = F.col("value")
+    q = view(spark, d, "grid_a").agg(F.percentile(v, 0.02).alias("lo"), F.percentile(v, 0.98).alias("hi"), F.min(v).alias("a"), F.max(v).alias("b"))
+    flat = F.abs(F.col("hi") - F.col("lo")) < 1e-9
+    return q.select(F.round(F.when(flat, F.col("a")).otherwise(F.col("lo")), 6).alias("low"), F.round(F.when(flat, F.col("b")).otherwise(F.col("hi")), 6).alias("high"))
+
+
+@query("""SELECT row_i * 64 + col_i AS cell_id, 500.0 + (col_i + 0.5) * 10.0 AS center_x, 900.0 - (row_i + 0.5) * 10.0 AS center_y,
+  CASE WHEN value >= 1 THEN value END AS baseline_value FROM grid_a""")
+def cell_grid(spark, d):
+    x, y = geo.cell_centre(F.col("row_i"), F.col("col_i"), (10.0, 0.0, 500.0, 0.0, -10.0, 900.0))
+    return view(spark, d, "grid_a").select((F.col("row_i") * 64 + F.col("col_i")).alias("cell_id"), x.alias("center_x"), y.alias("center_y"), F.when(F.col("value") >= 1, F.col("value")).alias("baseline_value"))
+
+
+# ------------------------------------------------------------------ regions
+
+
+@query("SELECT city_id, row_i, col_i, value FROM grid_a, roi WHERE row_i BETWEEN row_min AND row_max AND col_i BETWEEN col_min AND col_max")
+def roi_clip(spark, d):
+    return regions.clip_boxes(view(spark, d, "grid_a"), view(spark, d, "roi")).select("city_id", "row_i", "col_i", "value")
+
+
+@query("""WITH m AS (SELECT city_id, row_i, col_i, sqrt(CAST(pow(greatest(row_min - row_i, row_i - row_max, 0), 2) + pow(greatest(col_min - col_i, col_i - col_max, 0), 2) AS DOUBLE)) AS d FROM grid_a, roi)
+  SELECT city_id, row_i, col_i, round(d, 6) AS distance FROM m WHERE d <= 2.5""")
+def roi_buffer(spark, d):
+    return _rounded(regions.clip_buffered(view(spark, d, "grid_a"), view(spark, d, "roi"), 2.5).select("city_id", "row_i", "col_i", "distance"), "distance")
+
+
+@query("""SELECT city_id, city_name, CAST(max((row_max - row_min + 1) * (col_max - col_min + 1)) AS BIGINT) AS mask_cells, count(value) AS valid_cells, sum(value) AS value_sum
+  FROM grid_a, roi WHERE row_i BETWEEN row_min AND row_max AND col_i BETWEEN col_min AND col_max GROUP BY city_id, city_name""")
+def roi_summary(spark, d):
+    clipped = regions.clip_boxes(view(spark, d, "grid_a"), view(spark, d, "roi"))
+    return regions.region_summary(clipped, (F.col("row_max") - F.col("row_min") + 1) * (F.col("col_max") - F.col("col_min") + 1))
+
+
+@query("""WITH asked AS (SELECT DISTINCT CASE WHEN c_custkey % 11 = 0 THEN 'NOWHERE ' || CAST(c_custkey % 5 AS VARCHAR) ELSE n_name END AS requested_name
+    FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  p AS (SELECT city_name, city_id FROM roi UNION ALL SELECT city_name, city_id + 100 FROM roi WHERE city_id % 6 = 0)
+  SELECT requested_name, count(city_id) AS matches, min(city_id) AS city_id,
+    CASE count(city_id) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status
+  FROM asked LEFT JOIN p ON city_name = requested_name GROUP BY requested_name""")
+def city_match(spark, d):
+    c, n, p = view(spark, d, "customer"), view(spark, d, "nation"), view(spark, d, "roi").select("city_id", "city_name")
+    name = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("NOWHERE "), (F.col("c_custkey") % 5).cast("string"))).otherwise(F.col("n_name"))
+    asked = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select(name.alias("requested_name")).distinct()
+    return regions.match_cities(asked, p.union(p.where("city_id % 6 = 0").select(F.col("city_id") + 100, "city_name")))
+
+
+# ------------------------------------------------------------------ clusters and demand
+
+
+@query(f"""WITH {_FUSED} SELECT (row_i // 8) * 8 + col_i // 8 AS cluster_id, count(*) AS pixel_count, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score, round(avg(local_score), 6) AS mean_local_score,
+  round(sum(local_score), 6) AS weight_sum, round(avg(row_i), 6) AS center_row, round(avg(col_i), 6) AS center_col,
+  round(sum(local_score * row_i) / nullif(sum(local_score), 0), 6) AS weighted_center_row, round(sum(local_score * col_i) / nullif(sum(local_score), 0), 6) AS weighted_center_col
+  FROM smooth GROUP BY 1""")
+def cluster_summary(spark, d):
+    cells = _smooth(spark, d).withColumn("cluster_id", F.floor(F.col("row_i") / 8) * 8 + F.floor(F.col("col_i") / 8))
+    return _rounded(demand.cluster_summary(cells), "mean_score", "max_score", "mean_local_score", "weight_sum", "center_row", "center_col", "weighted_center_row", "weighted_center_col")
+
+
+@query()
+def kmeans_clusters(spark, d):
+    cells = raster.candidates(_smooth(spark, d), "local_score", 0.5).withColumn("w", F.greatest("local_score", F.lit(1.0)))
+    return demand.cluster_summary(demand.kmeans(cells, ["col_i", "row_i", "score", "local_score"], 20, "w"))
+
+
+_SNAPPED = """ranked AS (SELECT c.cluster_id, c.pixel_count, c.weight, n.node_id, sqrt(pow(c.x - n.x, 2) + pow(c.y - n.y, 2)) AS d,
+    row_number() OVER (PARTITION BY c.cluster_id ORDER BY sqrt(pow(c.x - n.x, 2) + pow(c.y - n.y, 2)), n.node_id) AS r FROM centres c, nodes n),
+  snapped AS (SELECT * FROM ranked WHERE r = 1)"""
+_DEMAND = _SNAPPED + ", dem AS (SELECT node_id, count(*) AS hotspot_count, CAST(sum(pixel_count) AS BIGINT) AS sum_pixel_count, sum(weight) AS sum_weight FROM snapped GROUP BY node_id)"
+
+
+def _snapped(spark, d):
+    return demand.snap_nearest(view(spark, d, "centres"), view(spark, d, "nodes"), 800.0)
+
+
+def _demand(spark, d):
+    return demand.node_demand(_snapped(spark, d))
+
+
+@query(f"WITH {_SNAPPED} SELECT cluster_id, node_id, round(d, 6) AS snap_distance_m FROM snapped")
+def snap_nearest(spark, d):
+    return _rounded(_snapped(spark, d).select("cluster_id", "node_id", "snap_distance_m"), "snap_distance_m")
+
+
+@query(f"WITH {_DEMAND} SELECT * FROM dem")
+def node_demand(spark, d):
+    return _demand(spark, d)
+
+
+@query(f"WITH {_SNAPPED} SELECT round(min(d), 6) AS min_m, round(max(d), 6) AS max_m, round(avg(d), 6) AS mean_m, round(quantile_cont(d, 0.5), 6) AS median_m, round(quantile_cont(d, 0.95), 6) AS p95_m FROM snapped")
+def snap_stats(spark, d):
+    return _rounded(demand.snap_statistics(_snapped(spark, d)), "min_m", "max_m", "mean_m", "median_m", "p95_m")
+
+
+@query(f"WITH {_DEMAND} SELECT node_id, sum_weight, round(sum_weight / (SELECT sum(sum_weight) FROM dem), 9) AS weight_share FROM dem ORDER BY sum_weight DESC, node_id LIMIT 20")
+def demand_weights(spark, d):
+    return _rounded(demand.attractors(_demand(spark, d), 20), "weight_share", digits=9)
+
+
+@query(f"""WITH {_DEMAND}, top AS (SELECT * FROM dem ORDER BY sum_weight DESC, node_id LIMIT 20)
+  SELECT (SELECT count(*) FROM dem) AS demand_nodes, (SELECT count(*) FROM top) AS attractor_nodes, (SELECT sum(sum_weight) FROM dem) AS total_weight,
+    round((SELECT sum(sum_weight) FROM top) / (SELECT sum(sum_weight) FROM dem), 6) AS coverage""")
+def demand_summary(spark, d):
+    whole = _demand(spark, d)
+    top = demand.attractors(whole, 20).agg(F.count("*").alias("attractor_nodes"), F.sum("sum_weight").alias("t"))
+    out = whole.agg(F.count("*").alias("demand_nodes"), F.sum("sum_weight").alias("total_weight")).crossJoin(F.broadcast(top))
+    return out.select("demand_nodes", "attractor_nodes", "total_weight", F.round(F.col("t") / F.col("total_weight"), 6).alias("coverage"))
+
+
+@query(f"""WITH {_DEMAND}, top AS (SELECT * FROM dem ORDER BY sum_weight DESC, node_id LIMIT 20),
+  w AS (SELECT node_id, CASE WHEN node_id = (SELECT min(node_id) FROM top) THEN 0 ELSE pow(sum_weight * CASE WHEN node_id % 2 = 0 THEN 3.0 ELSE 1.0 END, 1.05) END AS w FROM top)
+  SELECT node_id, round(w / (SELECT sum(w) FROM w), 9) AS p FROM w""")
+def destination_weights(spark, d):
+    top = demand.attractors(_demand(spark, d), 20)
+    least = top.agg(F.min("node_id").alias("_least"))
+    marked = top.crossJoin(F.broadcast(least))
+    surge = F.when(F.col("node_id") % 2 == 0, 3.0).otherwise(1.0)
+    return _rounded(demand.destination_weights(marked, F.lit(1.05), surge, F.col("node_id") == F.col("_least")), "p", digits=9)
+
+
+@query(f"""WITH {_DEMAND}, top AS (SELECT * FROM dem ORDER BY sum_weight DESC, node_id LIMIT 20),
+  p AS (SELECT node_id, sum_weight / (SELECT sum(sum_weight) FROM top) AS p FROM top),
+  ends AS (SELECT node_id, sum(p) OVER (ORDER BY node_id ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+  draws AS (SELECT event_id AS draw_id, {demand.hash_uniform_sql(42, "event_id", "event_id % 7")} AS u FROM events)
+  SELECT draw_id, coalesce((SELECT min(node_id) FROM ends WHERE upto > u), (SELECT max(node_id) FROM ends)) AS node_id FROM draws""")
+def weighted_choice(spark, d):
+    top = demand.attractors(_demand(spark, d), 20)
+    chances = demand.destination_weights(top, F.lit(1.0))
+    draws = view(spark, d, "events").select(F.col("event_id").cast("long").alias("draw_id"), demand.hash_uniform(42, F.col("event_id"), F.col("event_id") % 7).alias("u"))
+    return demand.weighted_choice(draws, chances)
+
+
+# ------------------------------------------------------------------ roads and graphs
+
+_KNOWN = ", ".join(f"'{c}'" for c, p, _, _ in roads.CLASSES if p is not None)
+_MAJORS = ", ".join(f"'{c}'" for c in roads.MAJOR)
+_CLASSED = f"""toks AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(highway, ''), '^\\s*\\[|\\]\\s*$', '', 'g'), '[,;]'),
+     lambda x: regexp_replace(trim(x), '^[''"]+|[''"]+$', '', 'g')), lambda x: x <> '' AND lower(x) <> 'nan') AS tokens,
+   list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(lanes, ''), '^\\s*\\[|\\]\\s*$', '', 'g'), '[,;]'),
+     lambda x: TRY_CAST(regexp_replace(trim(x), '^[''"]+|[''"]+$', '', 'g') AS DOUBLE)), lambda x: x IS NOT NULL) AS nums FROM edges_raw),
+ classed AS (SELECT u, v, edge_key, length_m, coalesce(list_filter([{_KNOWN}], lambda c: list_contains(tokens, c))[1], tokens[1], 'other') AS road_class,
+   greatest(coalesce(list_avg(nums), 1.0), 1.0) AS lane_count FROM toks),
+ dims AS (SELECT * FROM (VALUES {", ".join(f"('{c}', CAST({cap} AS DOUBLE), CAST({pen} AS DOUBLE))" for c, _, cap, pen in roads.CLASSES)}) AS d(name, capacity, penalty)),
+ routed AS (SELECT u, v, edge_key, greatest(length_m, 1.0) AS length_m, road_class, lane_count, coalesce(capacity, 28.0) * lane_count AS base_capacity,
+   coalesce(penalty, 1.7) AS road_penalty, greatest(length_m, 1.0) * coalesce(penalty, 1.7) AS base_cost FROM classed LEFT JOIN dims ON name = road_class),
+ edges AS (SELECT u, v, arg_min(road_class, (base_cost, edge_key)) AS road_class, arg_min(base_capacity, (base_cost, edge_key)) AS base_capacity,
+   min(base_cost) AS base_cost, arg_min(edge_key, (base_cost, edge_key)) AS edge_key FROM routed GROUP BY u, v)"""
+
+
+@query(f"WITH {_CLASSED} SELECT edge_key, len(tokens) AS n_tokens, array_to_string(tokens, '|') AS tokens FROM toks")
+def highway_tokens(spark, d):
+    tokens = text.list_tokens(F.col("highway"))
+    return view(spark, d, "edges_raw").select("edge_key", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, "|").alias("tokens"))
+
+
+@query(f"WITH {_CLASSED} SELECT edge_key, road_class FROM classed")
+def road_class(spark, d):
+    return view(spark, d, "edges_raw").select("edge_key", roads.road_class(F.col("highway")).alias("road_class"))
+
+
+@query(f"WITH {_CLASSED} SELECT edge_key, lane_count FROM classed")
+def lane_mean(spark, d):
+    return view(spark, d, "edges_raw").select("edge_key", roads.lane_count(F.col("lanes")).alias("lane_count"))
+
+
+@query(f"WITH {_CLASSED} SELECT edge_key, base_capacity, road_penalty, round(base_cost, 6) AS base_cost FROM routed")
+def road_capacity(spark, d):
+    return _rounded(roads.routing_edges(view(spark, d, "edges_raw")).select("edge_key", "base_capacity", "road_penalty", "base_cost"), "base_cost")
+
+
+@query(f"WITH {_CLASSED} SELECT u, v, edge_key, road_class, base_capacity, round(base_cost, 6) AS base_cost FROM edges")
+def cheapest_edge(spark, d):
+    return _rounded(_edges(spark, d).select("u", "v", "edge_key", "road_class", "base_capacity", "base_cost"), "base_cost")
+
+
+@query(f"""WITH {_CLASSED}, tiered AS (SELECT *, CASE WHEN base_capacity < 40 THEN NULL WHEN road_class IN ('trunk', 'trunk_link') THEN 0 WHEN road_class IN ('primary', 'primary_link') THEN 1
+    WHEN road_class IN ('secondary', 'secondary_link') THEN 2 WHEN road_class IN ('motorway', 'motorway_link') THEN 3 END AS tier FROM edges),
+  best AS (SELECT min(tier) AS best FROM (SELECT tier FROM tiered WHERE tier IS NOT NULL GROUP BY tier HAVING count(*) >= 4))
+  SELECT u, v, road_class, base_capacity FROM tiered, best WHERE CASE WHEN best IS NOT NULL THEN tier = best ELSE road_class IN ({_MAJORS}) END ORDER BY base_capacity, u, v LIMIT 8""")
+def scenario_edges(spark, d):
+    return roads.scenario_edges(_edges(spark, d))
+
+
+@query("""WITH t AS (SELECT CAST(range AS BIGINT) AS tick FROM range(240))
+  SELECT tick, u, v, coalesce(product(CASE WHEN kind = 'capacity_drop' THEN coalesce(capacity_factor, 1.0) END), 1.0) AS factor, bool_or(kind = 'edge_closure') AS closed
+  FROM t JOIN scenario_events ON tick >= tick_start AND tick < tick_end GROUP BY tick, u, v""")
+def active_events(spark, d):
+    return roads.active_factors(view(spark, d, "scenario_events"), spark.range(240).withColumnRenamed("id", "tick"))
+
+
+@query(f"""WITH {_CLASSED}, f AS (SELECT u, v, coalesce(product(CASE WHEN kind = 'capacity_drop' THEN capacity_factor END), 1.0) AS factor, bool_or(kind = 'edge_closure') AS closed
+    FROM scenario_events WHERE 120 >= tick_start AND 120 < tick_end GROUP BY u, v),
+  l AS (SELECT u, v, load FROM edge_history WHERE tick = 118)
+  SELECT e.u, e.v, round(base_cost * (1 + 1.8 * pow(coalesce(load, 0) / greatest(base_capacity * coalesce(factor, 1.0) * 0.5 / 10.0, 0.1), 2.8)), 6) AS cost
+  FROM edges e LEFT JOIN l ON l.u = e.u AND l.v = e.v LEFT JOIN f ON f.u = e.u AND f.v = e.v WHERE NOT coalesce(closed, false)""")
+def dynamic_cost(spark, d):
+    tick = spark.range(120, 121).withColumnRenamed("id", "tick")
+    factors = roads.active_factors(view(spark, d, "scenario_events"), tick)
+    return _rounded(roads.dynamic_costs(_edges(spark, d), view(spark, d, "edge_history").where("tick = 118"), factors), "cost")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM edges_raw WHERE edge_key % {SPARSE * 10} = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+  r(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.other) SELECT node, min(other) AS component FROM r GROUP BY node""")
+def weak_components(spark, d):
+    return graph.weak_components(view(spark, d, "edges_raw").where(f"edge_key % {SPARSE * 10} = 0"))
+
+
+_REACH = f"""e AS (SELECT DISTINCT u, v FROM edges_raw WHERE edge_key % {SPARSE * 4} = 0),
+  r(a, b) AS (SELECT u, v FROM e UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b)"""
+
+
+@query(f"""WITH RECURSIVE {_REACH}, s AS (SELECT x.a AS node, least(min(x.b), x.a) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+  n AS (SELECT node, scc FROM s UNION ALL SELECT node, node FROM (SELECT u AS node FROM e UNION SELECT v FROM e) WHERE node NOT IN (SELECT node FROM s)),
+  size AS (SELECT scc, count(*) AS c FROM n GROUP BY scc) SELECT node FROM n WHERE scc = (SELECT arg_min(scc, (-c, scc)) FROM size)""")
+def largest_scc(spark, d):
+    return graph.largest_scc(view(spark, d, "edges_raw").where(f"edge_key % {SPARSE * 4} = 0"))
+
+
+_PATHS = f"""e AS (SELECT u, v, min(length_m) AS w FROM edges_raw WHERE edge_key % {SPARSE} = 0 GROUP BY u, v),
+  p(dest, node, dist) AS (SELECT v, v, CAST(0 AS DOUBLE) FROM e WHERE v < 8
+    UNION SELECT p.dest, e.u, min(p.dist + e.w) FROM p JOIN e ON e.v = p.node WHERE p.dist + e.w < 4500 GROUP BY p.dest, e.u),
+  best AS (SELECT dest, node, min(dist) AS dist FROM p GROUP BY dest, node)"""
+
+
+def _trees(spark, d):
+    edges = _sparse(spark, d).groupBy("u", "v").agg(F.min("length_m").alias("cost"))
+    return graph.path_trees(edges, edges.where("v < 8").select(F.col("v").alias("node_id")).distinct())
+
+
+@query(f"WITH RECURSIVE {_PATHS} SELECT dest, node, dist FROM best WHERE dist < 4500")
+def shortest_paths(spark, d):
+    return _trees(spark, d).where("dist < 4500").select("dest", "node", "dist")
+
+
+@query(f"""WITH RECURSIVE {_PATHS}, asked AS (SELECT DISTINCT user_id % 100 AS node, event_id % 8 AS dest FROM events),
+  step AS (SELECT b.dest, b.node, min(e.v) AS next_node FROM best b JOIN e ON e.u = b.node JOIN best c ON c.dest = b.dest AND c.node = e.v
+    WHERE b.node <> b.dest AND abs(c.dist + e.w - b.dist) < 1e-9 AND b.dist < 2000 GROUP BY b.dest, b.node)
+  SELECT CAST(a.dest AS BIGINT) AS dest, CAST(a.node AS BIGINT) AS node, next_node FROM asked a JOIN step USING (dest, node)""")
+def next_hop(spark, d):
+    asked = view(spark, d, "events").select((F.col("user_id") % 100).cast("long").alias("node"), (F.col("event_id") % 8).cast("long").alias("dest")).distinct()
+    return graph.next_hops(_trees(spark, d).where("dist < 2000 AND node <> dest"), asked).where("next_node IS NOT NULL").select("dest", "node", "next_node")
+
+
+# ------------------------------------------------------------------ flows
+
+_SPEED = "CASE profile_name WHEN 'commuter' THEN 28.0 WHEN 'errand' THEN 22.0 ELSE 18.0 END * 1000.0 / 60.0 * 6.0"
+_EXPANDED = f"""ends AS (SELECT *, CAST(sum(length_m) OVER (PARTITION BY trip_id ORDER BY hop ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS b, CAST({_SPEED} AS DOUBLE) AS m FROM routes),
+  expanded AS (SELECT trip_id, depart_tick + k.range AS tick, u, v FROM ends, range(CAST(0 AS BIGINT), CAST(200 AS BIGINT)) k
+    WHERE k.range >= floor((b - length_m) / m) AND k.range <= greatest(ceil(b / m) - 1, floor((b - length_m) / m)))"""
+
+
+@query(f"WITH {_EXPANDED} SELECT trip_id, CAST(tick AS BIGINT) AS tick, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v FROM expanded")
+def trip_expansion(spark, d):
+    return flow.expand_trips(view(spark, d, "routes"))
+
+
+@query(f"WITH {_EXPANDED} SELECT CAST(tick AS BIGINT) AS tick, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, count(*) AS load FROM expanded GROUP BY tick, u, v")
+def edge_history(spark, d):
+    return flow.edge_loads(flow.expand_trips(view(spark, d, "routes")))
+
+
+@query(f"WITH {_CLASSED} SELECT h.u, h.v, CAST(sum(load) AS BIGINT) AS total_load FROM edge_history h JOIN edges e ON e.u = h.u AND e.v = h.v WHERE tick >= 100 AND road_class IN ({_MAJORS}) GROUP BY h.u, h.v ORDER BY total_load DESC, h.u, h.v LIMIT 8")
+def bottleneck_edges(spark, d):
+    return flow.bottlenecks(view(spark, d, "edge_history"), _edges(spark, d), 100)
+
+
+_USED = """used AS (SELECT tick, h.u, h.v, load, load / greatest(base_capacity * 0.5 / 10.0, 0.1) AS utilization FROM edge_history h JOIN edges e ON e.u = h.u AND e.v = h.v),
+  shocked AS (SELECT tick, h.u, h.v, load, load / greatest(base_capacity * 0.5 / 10.0, 0.1) AS utilization FROM shock_history h JOIN edges e ON e.u = h.u AND e.v = h.v)"""
+_LAMBDA = "greatest(0, least(1, (0.06 + exp(-0.5 * pow((hour - 8.0) / 2.2, 2)) + 1.1 * exp(-0.5 * pow((hour - 18.0) / 2.6, 2))) / 1.16))"
+_METRICS = f"""{_CLASSED}, {_USED}, done AS (SELECT trip_id, min(depart_tick) AS depart_tick, min(depart_tick) + CAST(ceil(sum(length_m) / min({_SPEED})) AS BIGINT) - 1 AS arrive_tick, sum(length_m) AS distance_m FROM routes GROUP BY trip_id),
+  arrived AS (SELECT arrive_tick AS tick, count(*) AS arrivals, sum(arrive_tick - depart_tick) AS spent, sum(distance_m) AS metres FROM done GROUP BY 1),
+  loads AS (SELECT tick, max(utilization) AS mx, avg(utilization) AS mn, count(*) FILTER (utilization > 1) AS over FROM used GROUP BY tick),
+  joined AS (SELECT coalesce(a.tick, l.tick) AS tick, arrivals, spent, metres, mx, mn, over FROM arrived a FULL JOIN loads l ON a.tick = l.tick),
+  metrics AS (SELECT tick, (tick * 6 / 60.0) % 24 AS hour, CAST(sum(coalesce(arrivals, 0)) OVER w AS BIGINT) AS completed_trips, sum(coalesce(spent, 0)) OVER w * 6.0 / nullif(sum(coalesce(arrivals, 0)) OVER w, 0) AS mean_trip_minutes,
+    sum(coalesce(metres, 0)) OVER w / nullif(sum(coalesce(arrivals, 0)) OVER w, 0) AS mean_distance_m, coalesce(mx, 0) AS max_utilization, coalesce(mn, 0) AS mean_utilization, coalesce(over, 0) AS overloaded_edges
+    FROM joined WINDOW w AS (ORDER BY tick ROWS UNBOUNDED PRECEDING))"""
+
+
+def _metrics(spark, d):
+    m = flow.metres_per_tick(F.col("profile_name"))
+    trips = view(spark, d, "routes").groupBy("trip_id").agg(F.min("depart_tick").alias("depart_tick"), F.sum("length_m").alias("distance_m"), F.min(m).alias("m"))
+    trips = trips.withColumn("arrive_tick", F.col("depart_tick") + F.ceil(F.col("distance_m") / F.col("m")).cast("long") - 1)
+    return flow.tick_metrics(trips, flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d)))
+
+
+@query(f"""WITH {_METRICS} SELECT tick, round(CAST(hour AS DOUBLE), 6) AS hour, round(CAST({_LAMBDA} AS DOUBLE), 6) AS diurnal_lambda, completed_trips, round(mean_trip_minutes, 6) AS mean_trip_minutes, round(mean_distance_m, 6) AS mean_distance_m,
+  round(max_utilization, 6) AS max_utilization, round(mean_utilization, 6) AS mean_utilization, CAST(overloaded_edges AS BIGINT) AS overloaded_edges FROM metrics""")
+def tick_metrics(spark, d):
+    return _rounded(_metrics(spark, d), "hour", "diurnal_lambda", "mean_trip_minutes", "mean_distance_m", "max_utilization", "mean_utilization")
+
+
+@query(f"""WITH {_METRICS} SELECT count(*) AS n_ticks, arg_max(completed_trips, tick) AS completed_trips, round(arg_max(mean_trip_minutes, tick), 6) AS mean_trip_minutes,
+  round(max(max_utilization), 6) AS peak_utilization, CAST(sum(overloaded_edges) AS BIGINT) AS overloaded_edge_ticks, arg_min(tick, (-max_utilization, tick)) AS peak_tick FROM metrics""")
+def run_summary(spark, d):
+    return flow.run_summary(_metrics(spark, d))
+
+
+@query(f"WITH t AS (SELECT range AS tick, (6.0 + range * 6 / 60.0) % 24 AS hour FROM range(300)) SELECT tick, round(CAST(hour AS DOUBLE), 6) AS hour, round(CAST({_LAMBDA} AS DOUBLE), 6) AS activity FROM t")
+def diurnal_curve(spark, d):
+    t = spark.range(300).select(F.col("id").alias("tick"), flow.hour_at(F.col("id")).alias("hour"))
+    return t.select("tick", F.round("hour", 6).alias("hour"), F.round(flow.activity(F.col("hour")), 6).alias("activity"))
+
+
+@query(f"WITH {_CLASSED}, {_USED} SELECT tick, u, v, load, round(utilization, 6) AS utilization FROM used")
+def edge_utilization(spark, d):
+    return _rounded(flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d)), "utilization")
+
+
+@query(f"WITH {_CLASSED}, l AS (SELECT u, v, load FROM edge_history WHERE tick = 120) SELECT e.u, e.v, road_class, coalesce(load, 0) AS load, round(coalesce(load, 0) / (greatest(base_capacity * 0.5, 0.1) / 10.0), 6) AS utilization FROM edges e LEFT JOIN l ON l.u = e.u AND l.v = e.v")
+def edge_snapshot(spark, d):
+    return _rounded(flow.edge_snapshot(_edges(spark, d), view(spark, d, "edge_history"), 120), "utilization")
+
+
+@query("""WITH ticks AS (SELECT DISTINCT tick FROM edge_history WHERE tick % 7 = 0), asked AS (SELECT range AS want FROM range(250))
+  SELECT want, arg_min(tick, abs(tick - want) * 100000 + tick) AS tick FROM asked, ticks GROUP BY want""")
+def nearest_tick(spark, d):
+    return flow.nearest_tick(spark.range(250).withColumnRenamed("id", "want"), view(spark, d, "edge_history").where("tick % 7 = 0").select("tick").distinct())
+
+
+@query(f"""WITH {_CLASSED}, {_USED}, p AS (SELECT b.tick, abs(max(b.utilization) - max(s.utilization)) AS gap FROM used b JOIN shocked s ON b.tick = s.tick GROUP BY b.tick),
+  worst AS (SELECT arg_min(tick, (-gap, tick)) AS tick FROM p),
+  m AS (SELECT coalesce(b.tick, s.tick) AS tick, coalesce(s.utilization, 0) - coalesce(b.utilization, 0) AS delta FROM used b FULL JOIN shocked s ON b.tick = s.tick AND b.u = s.u AND b.v = s.v)
+  SELECT m.tick, round(sum(delta), 6) AS net, round(quantile_cont(CASE WHEN delta <> 0 THEN abs(delta) END, 0.97), 6) AS p97 FROM m JOIN worst ON m.tick = worst.tick GROUP BY m.tick""")
+def flow_delta(spark, d):
+    edges = _edges(spark, d)
+    return _rounded(flow.delta_report(flow.utilisation(view(spark, d, "edge_history"), edges), flow.utilisation(view(spark, d, "shock_history"), edges)), "net", "p97")
+
+
+@query(f"WITH {_CLASSED}, {_USED} SELECT u, v, round(sum(utilization) / 240, 6) AS mean_utilization FROM used GROUP BY u, v ORDER BY sum(utilization) DESC, u, v LIMIT 25")
+def top_corridors(spark, d):
+    return _rounded(flow.top_corridors(flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d)), 240), "mean_utilization")
+
+
+@query(f"WITH {_CLASSED}, {_USED} SELECT round(coalesce(quantile_cont(CASE WHEN utilization > 0 THEN utilization END, 0.95), 1.0), 6) AS vmax FROM used")
+def vmax_p95(spark, d):
+    return _rounded(flow.colour_limit(flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d))), "vmax")
+
+
+_TENSOR = f"""{_CLASSED}, placed AS (SELECT e.u, e.v, base_capacity * 0.5 / 10.0 AS capacity, floor((a.y + b.y) / 2 / 1500) AS r, floor((a.x + b.x) / 2 / 1500) AS c FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes b ON b.node_id = e.v),
+  cells AS (SELECT u, v, CAST(r * 6 + c AS BIGINT) AS cell, capacity FROM placed WHERE r BETWEEN 0 AND 5 AND c BETWEEN 0 AND 5),
+  room AS (SELECT cell, greatest(sum(capacity), 0.1) AS room FROM cells GROUP BY cell),
+  vol AS (SELECT tick, cell, CAST(sum(load) AS BIGINT) AS volume FROM edge_history h JOIN cells c ON c.u = h.u AND c.v = h.v GROUP BY tick, cell),
+  tensor AS (SELECT tick, vol.cell, volume, volume / room AS utilization FROM vol JOIN room ON room.cell = vol.cell),
+  frames AS (SELECT t.tick AS frame, c.cell, CAST(coalesce(x.volume, 0) AS DOUBLE) AS value FROM (SELECT DISTINCT tick FROM tensor) t CROSS JOIN (SELECT DISTINCT cell FROM tensor) c LEFT JOIN tensor x ON x.tick = t.tick AND x.cell = c.cell)"""
+
+
+def _tensor(spark, d):
+    cells = flow.edge_cells(_edges(spark, d), view(spark, d, "nodes"), 1500.0, 6, 6)
+    return flow.traffic_tensor(view(spark, d, "edge_history"), cells)
+
+
+def _frames(spark, d):
+    return forecast.dense(_tensor(spark, d).withColumnRenamed("tick", "frame"), "volume")
+
+
+@query(f"WITH {_TENSOR} SELECT tick, cell, volume, round(utilization, 6) AS utilization FROM tensor")
+def traffic_tensor(spark, d):
+    return _rounded(_tensor(spark, d), "utilization")
+
+
+@query(f"""WITH {_TENSOR}, m AS (SELECT max(volume) AS a, max(utilization) AS b FROM tensor)
+  SELECT tick, cell, round(volume / CASE WHEN a <= 1e-6 THEN 1.0 ELSE a END, 6) AS volume, round(utilization / CASE WHEN b <= 1e-6 THEN 1.0 ELSE b END, 6) AS utilization FROM tensor, m""")
+def channel_scale(spark, d):
+    return _rounded(flow.channel_scaled(_tensor(spark, d), ["volume", "utilization"]), "volume", "utilization")
+
+
+@query(f"""WITH {_TENSOR}, w AS (SELECT cell, frame, list(value) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h, list(value) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS t FROM frames)
+  SELECT cell, frame, array_to_string(list_transform(h, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS history, array_to_string(list_transform(t, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS targets FROM w WHERE len(h) = 4 AND len(t) = 2""")
+def sliding_windows(spark, d):
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",").alias(c)
+    return forecast.sliding_windows(_frames(spark, d), 4, 2).select("cell", "frame", text_of("history"), text_of("targets"))
+
+
+@query(f"WITH {_TENSOR}, p AS (SELECT value, lag(value, 1) OVER (PARTITION BY cell ORDER BY frame) AS q FROM frames) SELECT count(*) AS n, round(avg(abs(q - value)), 6) AS mae, round(sqrt(avg(pow(q - value, 2))), 6) AS rmse FROM p WHERE q IS NOT NULL")
+def persistence(spark, d):
+    return _rounded(forecast.errors(forecast.persistence(_frames(spark, d))), "mae", "rmse")
+
+
+@query(f"""WITH {_TENSOR}, p AS (SELECT frame, cell, value, lag(value, 1) OVER (PARTITION BY cell ORDER BY frame) AS q FROM frames),
+  r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY value DESC, cell) AS rt, row_number() OVER (PARTITION BY frame ORDER BY q DESC, cell) AS rp FROM p WHERE q IS NOT NULL),
+  f AS (SELECT frame, max(value) AS peak, count(*) FILTER (rt <= 3 AND rp <= 3) / 3.0 AS hit FROM r GROUP BY frame) SELECT count(*) AS frames, round(avg(hit), 6) AS hit_rate FROM f WHERE peak > 0""")
+def hit_rate(spark, d):
+    return _rounded(forecast.hit_rate(forecast.persistence(_frames(spark, d)), 3), "hit_rate")
+
+
+@query(f"""WITH {_TENSOR}, r AS (SELECT frame, row_number() OVER (ORDER BY frame) AS r, count(*) OVER () AS t FROM (SELECT DISTINCT frame FROM frames))
+  SELECT frame, CASE WHEN r > t - greatest(1, floor(t * 0.15)) THEN 'test' WHEN r > t - greatest(1, floor(t * 0.15)) - greatest(1, floor(t * 0.15)) THEN 'validate' ELSE 'train' END AS part FROM r""")
+def chrono_split(spark, d):
+    return forecast.chronological_split(_frames(spark, d))
+
+
+@query()
+def forecast_regression(spark, d):
+    return _rounded(forecast.regression(_frames(spark, d)), "predicted")
+
+
+@query()
+def simulate(spark, d):
+    from cityloom.operators.simulation import Config, simulate as run
+
+    edges = roads.cheapest_edges(roads.routing_edges(_sparse(spark, d)))
+    heavy = edges.groupBy(F.col("v").alias("node_id")).agg(F.sum("base_capacity").alias("sum_weight"))
+    return run(edges, demand.attractors(heavy, 30), view(spark, d, "scenario_events"), Config(n_agents=200, n_ticks=40)).loads
+
+
+# ------------------------------------------------------------------ map tiles, strings, streams
+
+_LONLAT = "SELECT c_custkey AS id, CAST((c_custkey * 7919) % 72000 AS DOUBLE) / 100 - 360 AS lon, CAST((c_custkey * 104729) % 18000 AS DOUBLE) / 100 - 90 AS lat, c_custkey % 15 AS zoom FROM customer"
+
+
+def _lonlat(spark, d):
+    k = F.col("c_custkey")
+    return view(spark, d, "customer").select(k.alias("id"), (((k * 7919) % 72000).cast("double") / 100 - 360).alias("lon"), (((k * 104729) % 18000).cast("double") / 100 - 90).alias("lat"), (k % 15).alias("zoom"))
+
+
+_X = "CAST(floor(((((lon + 180) % 360) + 360) % 360 - 180 + 180) / 360 * pow(2, zoom)) AS BIGINT)"
+_Y = "CAST(floor((1 - asinh(tan(radians(greatest(least(lat, 85.05112878), -85.05112878)))) / pi()) / 2 * pow(2, zoom)) AS BIGINT)"
+
+
+@query(f"WITH p AS ({_LONLAT}) SELECT CAST(id AS BIGINT) AS id, {_X} AS x, {_Y} AS y FROM p")
+def tile_index(spark, d):
+    return _lonlat(spark, d).select(F.col("id").cast("long").alias("id"), geo.tile_x(F.col("lon"), F.col("zoom")).alias("x"), geo.tile_y(F.col("lat"), F.col("zoom")).alias("y"))
+
+
+@query(f"""WITH p AS ({_LONLAT}), t AS (SELECT id, zoom, {_X} AS x, {_Y} AS y, 2 * 20037508.342789244 / pow(2, zoom) AS span FROM p)
+  SELECT CAST(id AS BIGINT) AS id, round(-20037508.342789244 + x * span, 4) AS "left", round(20037508.342789244 - (y + 1) * span, 4) AS bottom, round(-20037508.342789244 + (x + 1) * span, 4) AS "right", round(20037508.342789244 - y * span, 4) AS top FROM t""")
+def tile_bounds(spark, d):
+    p = _lonlat(spark, d)
+    b = geo.tile_bounds(geo.tile_x(F.col("lon"), F.col("zoom")), geo.tile_y(F.col("lat"), F.col("zoom")), F.col("zoom"))
+    return p.select(F.col("id").cast("long").alias("id"), *[F.round(x, 4).alias(n) for x, n in zip(b, ("left", "bottom", "right", "top"))])
+
+
+@query("""WITH b AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 500 AS DOUBLE) AS w, CAST(c_custkey * 53 % 90000 AS DOUBLE) AS h FROM customer)
+  SELECT CAST(id AS BIGINT) AS id, CAST(greatest(0, least(19, floor(log2(2 * 20037508.342789244 / 256 / (greatest(w, h, 1.0) / 1600))))) AS BIGINT) AS zoom FROM b""")
+def choose_zoom(spark, d):
+    k = F.col("c_custkey")
+    zoom = geo.choose_zoom(F.lit(0.0), F.lit(0.0), (k * 37 % 500).cast("double"), (k * 53 % 90000).cast("double"), 1600, 19)
+    return view(spark, d, "customer").select(k.cast("long").alias("id"), zoom.alias("zoom"))
+
+
+@query(f"""WITH p AS ({_LONLAT}), z AS (SELECT id, lon % 180 AS lon, lat / 2 AS lat, CAST(range AS BIGINT) AS zoom FROM p, range(13)),
+  t AS (SELECT id, zoom, ({_X.replace("lon", "(lon + 0.4)")} - {_X} + 1) * ({_Y} - {_Y.replace("lat", "(lat + 0.3)").replace("f(lat + 0.3)", "lat")} + 1) AS tiles FROM z)
+  SELECT CAST(id AS BIGINT) AS id, max(zoom) AS zoom, arg_max(tiles, zoom) AS tiles FROM t WHERE tiles BETWEEN 1 AND 64 GROUP BY id""")
+def tile_range(spark, d):
+    p = _lonlat(spark, d).select("id", (F.col("lon") % 180).alias("lon"), (F.col("lat") / 2).alias("lat"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(12).cast("long"))).alias("zoom"))
+    z = F.col("zoom")
+    wide = geo.tile_x(F.col("lon") + 0.4, z) - geo.tile_x(F.col("lon"), z) + 1
+    high = geo.tile_y(F.col("lat"), z) - geo.tile_y(F.col("lat") + 0.3, z) + 1
+    fits = p.withColumn("tiles", wide * high).where("tiles BETWEEN 1 AND 64")
+    return fits.groupBy(F.col("id").cast("long").alias("id")).agg(F.max("zoom").alias("zoom"), F.max_by("tiles", "zoom").alias("tiles"))
+
+
+@query("""SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(nullif(trim(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'roi') AS slug FROM pages""")
+def slugify(spark, d):
+    return view(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), text.slugify(F.col("url")).alias("slug"))
+
+
+@query("""SELECT CAST(doc_id AS BIGINT) AS doc_id, md5(regexp_replace(regexp_replace(text, '^﻿+', ''), '^[ \\t\\n\\v\\f\\r]+|[ \\t\\n\\v\\f\\r]+$', '', 'g')) AS cleaned_md5 FROM documents""")
+def clean_text(spark, d):
+    return view(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text.clean_text(F.col("text")), "UTF-8")).alias("cleaned_md5"))
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 360) AS BIGINT) AS tick, CAST(user_id % 5 AS BIGINT) AS u, count(*) AS load FROM events GROUP BY 1, 2""")
+def streaming_ticks(spark, d):
+    return streaming.replayed_ticks(spark, f"{d.rstrip('/')}/events.parquet")
