@@ -147,9 +147,9 @@ def fit_rates(posteriors: DataFrame, targets: list[float] | None, weights: list[
     a = [f"(CAST(_tokens AS DOUBLE) * _posteriors[{i}])" for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rate: str) -> tuple[np.ndarray, np.ndarray]:
-        """Totals, and the Gram matrix over documents whose rate can still go down."""
-        free = f"if(({rate}) > {least!r}, 1.0D, 0.0D)"
+    def sums(rate: str, all_free: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Totals, and the Gram matrix over documents above their bound (or all)."""
+        free = "1.0D" if all_free else f"if(({rate}) > {float(least)!r}D, 1.0D, 0.0D)"
         found = posteriors.select(F.expr(rate).alias("r"), F.expr(free).alias("f"), *[F.expr(x).alias(f"a{i}") for i, x in enumerate(a)]).agg(
             *[F.expr(f"sum(r * a{i})") for i in range(k)], *[F.expr(f"sum(f * a{i} * a{j})") for i, j in pairs]
         )
@@ -159,8 +159,8 @@ def fit_rates(posteriors: DataFrame, targets: list[float] | None, weights: list[
             gram[i, j] = gram[j, i] = x
         return np.array(row[:k]), gram
 
-    rate = "1.0D"
-    held, gram = sums(rate)
+    rate = f"{max(1.0, float(least))!r}D"
+    held, gram = sums(rate, all_free=True)
     share = np.where(held > 0, np.array(weights, dtype=float), 0.0)  # nothing to draw from else
     share = share / max(1e-300, share.sum())
     if targets is None:
