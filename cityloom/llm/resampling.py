@@ -111,19 +111,22 @@ def resampled(
     labels: DataFrame,
     target: str = "quality = 1",
     share: float | None = None,
+    slack: float = 0.02,
     effective: float = 400.0,
     most_docs: int = 4000,
     seed: int = 11,
 ) -> DataFrame:
     """doc_id, log_weight, gumbel_key of the sampled rows.
 
-    share: part of the rows to draw; None takes the target's share of the labels.
+    share: part of the rows to draw; None takes the target's share of the labels and
+    slack more, so that an estimate a little too low doesn't cost good documents.
     """
     goal, raw = bucket_counts(target_sample(documents, labels, target, most_docs)), bucket_counts(documents)
     ratio = _log_shares(goal) - _log_shares(raw) if goal.any() else np.zeros(_SIZE)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     keys = written(log_weights(documents, ratio, effective).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "resampling")
     if share is None:
-        share = labels.agg(F.avg(F.expr(f"CASE WHEN {target} THEN 1.0D ELSE 0.0D END"))).first()[0]
-    k = int(np.ceil((1.0 if share is None else share) * keys.count()))
+        found = labels.agg(F.avg(F.expr(f"CASE WHEN {target} THEN 1.0D ELSE 0.0D END"))).first()[0]
+        share = 1.0 if found is None else min(1.0, found + slack)
+    k = int(np.ceil(share * keys.count()))
     return top_k(keys, "gumbel_key", "doc_id", k)

@@ -313,7 +313,8 @@ def test_top_k_equals_a_sort(spark):
 def test_resampling_prefers_the_target(spark):
     docs = spark.createDataFrame([(i, " ".join(_words(40, random.Random(i), 50)) if i % 4 else "junk % % " * 20) for i in range(200)] + [(500, None), (501, "")], DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(100)], "doc_id long, quality int")
-    got = {r.doc_id for r in resampling.resampled(docs, labels).collect()}
+    got = {r.doc_id for r in resampling.resampled(docs, labels, slack=0.0).collect()}
+    assert len(resampling.resampled(docs, labels).collect()) == int(np.ceil(0.77 * 202))
     assert len(got) == int(np.ceil(0.75 * 202)) and sum(1 for i in got if i < 500 and i % 4 == 0) <= 2
 
 
