@@ -11,7 +11,8 @@ The global order puts n-grams by how often their bucket of a counting sketch occ
 * Overlaps are counted for each fragment by itself and summed for each pair.  The
   first fragment's count already rejects pairs whose remaining n-grams can't suffice.
 
-Documents with equal sets are one class.  N-grams are 64-bit hashes.  Texts that are
+Documents with equal sets are one class, named by 63 bits of a digest of the set.
+N-grams are 64-bit hashes.  Texts that are
 null or without words have no n-grams and link with nothing.  A null doc_id gets a
 null component.  Repeated rows are returned as often as they come; rows that share a
 doc_id with another text keep results of their own.  Extra columns are ignored.
@@ -27,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import components, written
+from cityloom.llm.store import components, drop, written
 from cityloom.llm.textops import shingles, words
 
-_BITS = 18
-_BLOCKS = 16
+_BITS = 21
+_BLOCKS = 32
 _SHIFT = np.uint64(64 - _BITS)
+_MOST = (1 << 31) - 1
 
 
 def _sets(column: pa.Array, k: int):
@@ -43,75 +45,78 @@ def _sets(column: pa.Array, k: int):
             yield first + r, np.unique(grams[cuts[r] : cuts[r + 1]])
 
 
-def _digest(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+def _class(grams: np.ndarray) -> int:
+    """63 bits that name a set of n-grams."""
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "big") >> 1
 
 
 def _profile(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: row_key, doc_id, n and digest of a text's set; kind 1: sums of the counting sketch."""
+    """kind 0: row_key, doc_id, n and node (class) of a text; kind 1: sums of the counting sketch."""
 
     def run(batches):
         sketch = np.zeros(1 << _BITS, dtype=np.int64)
         for batch in batches:
-            n, digests, buckets = np.zeros(batch.num_rows, dtype=np.int64), [b""] * batch.num_rows, [np.zeros(0, dtype=np.int64)]
+            n, node = np.zeros((2, batch.num_rows), dtype=np.int64)
+            buckets = [np.zeros(0, dtype=np.int64)]
             for r, grams in _sets(batch.column(2), k):
-                n[r], digests[r] = len(grams), _digest(grams)
+                n[r], node[r] = len(grams), _class(grams)
                 buckets.append((grams >> _SHIFT).astype(np.int64))
             sketch += np.bincount(np.concatenate(buckets), minlength=1 << _BITS)
             zero = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(batch.num_rows, dtype=np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(digests, pa.binary()), zero, pa.nulls(batch.num_rows, pa.binary())],
+                [pa.array(np.zeros(batch.num_rows, dtype=np.int32)), batch.column(0), batch.column(1), pa.array(n), pa.array(node), zero, pa.nulls(batch.num_rows, pa.binary())],
                 names,
             )
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, _BLOCKS)]
+        parts = [zlib.compress(np.minimum(x, _MOST).astype(np.int32).tobytes(), 1) for x in np.split(sketch, _BLOCKS)]
         none = pa.nulls(_BLOCKS, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(_BLOCKS, dtype=np.int32)), none, none, none, pa.nulls(_BLOCKS, pa.binary()), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())],
+            [pa.array(np.ones(_BLOCKS, dtype=np.int32)), none, none, none, none, pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())],
             names,
         )
 
-    names = ["kind", "row_key", "doc_id", "n", "digest", "block", "counts"]
+    names = ["kind", "row_key", "doc_id", "n", "node", "block", "counts"]
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "kind int, row_key long, doc_id long, n long, digest binary, block int, counts binary")
+    return rows.mapInArrow(run, "kind int, row_key long, doc_id long, n long, node long, block int, counts binary")
 
 
 def _summed(profile: DataFrame) -> np.ndarray:
-    """The whole sketch: 2**18 counts, whatever the input."""
+    """The whole sketch: 2**21 counts, whatever the input."""
 
     def run(batches):
         total = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+                part = np.frombuffer(zlib.decompress(data), dtype=np.int32).astype(np.int64)
                 total[block] = total[block] + part if block in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, _MOST).astype(np.int32).tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
 
     blocks = profile.where("kind = 1").select("block", "counts").repartition(_BLOCKS, "block").mapInArrow(run, "block int, counts binary")
-    counts = np.zeros(1 << _BITS, dtype=np.int64)
+    counts = np.zeros(1 << _BITS, dtype=np.int32)
     size = len(counts) // _BLOCKS
     for row in blocks.collect():
-        counts[row.block * size : (row.block + 1) * size] += np.frombuffer(row.counts, dtype=np.int64)
+        counts[row.block * size : (row.block + 1) * size] += np.frombuffer(row.counts, dtype=np.int32)
     return counts
 
 
 class Order:
-    """The global order: ranks and fragments of the sketch's buckets."""
+    """The global order: ranks of the sketch's buckets, and where fragments begin in it."""
 
     def __init__(self, counts: np.ndarray, fragments: int):
         by = np.argsort(counts, kind="stable")
         self.rank = np.empty(len(counts), dtype=np.int32)
         self.rank[by] = np.arange(len(counts), dtype=np.int32)
-        before = np.cumsum(counts[by]) - counts[by]
-        self.fragment = np.empty(len(counts), dtype=np.uint8)
-        self.fragment[by] = np.minimum(fragments - 1, before * fragments // max(1, counts.sum()))
+        upto = np.cumsum(counts[by], dtype=np.int64)
+        shares = [int(upto[-1]) * i // fragments for i in range(1, fragments)]
+        self.cuts = np.searchsorted(upto, shares, side="right") if upto[-1] else np.zeros(0, dtype=np.int64)
         mean = counts.mean()
-        self.rare = counts <= mean + 6 * np.sqrt(mean)
+        self.crowded = int((counts <= mean + 6 * np.sqrt(mean)).sum())  # first rank of a crowded bucket
 
     def sort(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """n-grams in order, their fragments, and how many are in no crowded bucket."""
-        bucket = (grams >> _SHIFT).astype(np.int64)
-        by = np.argsort(self.rank[bucket], kind="stable")
-        return grams[by], self.fragment[bucket[by]], int(self.rare[bucket].sum())
+        rank = self.rank[(grams >> _SHIFT).astype(np.int64)]
+        by = np.argsort(rank, kind="stable")
+        rank = rank[by]
+        return grams[by], np.searchsorted(self.cuts, rank, side="right"), int(np.searchsorted(rank, self.crowded))
 
 
 def _lists(docs: DataFrame, k: int, order: Order, num: int, den: int) -> DataFrame:
@@ -123,19 +128,18 @@ def _lists(docs: DataFrame, k: int, order: Order, num: int, den: int) -> DataFra
     def run(batches):
         seen = set()
         for batch in batches:
-            nodes = batch.column(0).to_pylist()
             tokens, rows, parts = [], [], []
-            for r, grams in _sets(batch.column(1), k):
+            for _, grams in _sets(batch.column(0), k):
                 n = len(grams)
-                digest = _digest(grams)
-                if not n or digest in seen:
+                name = _class(grams)
+                if not n or name in seen:
                     continue
-                seen.add(digest)
+                seen.add(name)
                 ordered, fragment, rare = order.sort(grams)
                 prefix = n - -(-num * n // den) + 1
-                hub = (min(rare, (1 << 20) - 1) << 43) | (int.from_bytes(digest[:8], "big") >> 21)
+                hub = (min(rare, (1 << 20) - 1) << 43) | (name >> 20)
                 tokens.append(ordered[:prefix])
-                rows.append((nodes[r], hub, n, prefix))
+                rows.append((name, hub, n, prefix))
                 parts.append(ordered[fragment == 0].view(np.int64))
             if not rows:
                 continue
@@ -153,17 +157,17 @@ def _lists(docs: DataFrame, k: int, order: Order, num: int, den: int) -> DataFra
                 names,
             )
 
-    out = docs.select("node", "text").mapInArrow(run, "token long, node long, hub long, n int, pos int, part array<bigint>")
+    out = docs.select("text").mapInArrow(run, "token long, node long, hub long, n int, pos int, part array<bigint>")
     return written(out.withColumn("posting", F.col("token").isNotNull()), "jaccard-lists", ("posting",))
 
 
 def _bloom(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[np.ndarray, int]:
-    """A bit set of at most 8 MB that holds the column node of ids."""
+    """A bit set of at most 8 MB (as 32-bit words) that holds the column row_key of ids."""
     n = ids.count()
     bits = 1 << 16
     while bits < min(most_bits, 16 * n):
         bits *= 2
-    h = F.xxhash64("node")
+    h = F.xxhash64("row_key")
     spots = ids.select(F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits)))).alias("at"))
     found = (
         spots.selectExpr("shiftright(at, 5) AS word", "shiftleft(1L, CAST(at & 31 AS INT)) AS bit")
@@ -177,23 +181,23 @@ def _bloom(ids: DataFrame, most_bits: int = 1 << 26) -> tuple[np.ndarray, int]:
 
 
 def _fragments(docs: DataFrame, ids: DataFrame, k: int, order: Order) -> DataFrame:
-    """node, fragment, part of texts whose node may be in ids, all fragments but the first."""
+    """node, fragment, part of texts whose row_key may be in ids, all fragments but the first."""
     mask, bits = _bloom(ids)
 
     def run(batches):
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            h = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = np.ones(len(h), dtype=bool)
             for at in (np.mod(h, bits), np.mod(h >> 32, bits)):
                 keep &= ((mask[at >> 5] >> (at & 31)) & 1).astype(bool)
             batch = batch.filter(pa.array(keep))
-            nodes = batch.column(0).to_pylist()
             out_nodes, out_fragments, parts = [], [], []
-            for r, grams in _sets(batch.column(1), k):
+            for _, grams in _sets(batch.column(0), k):
                 ordered, fragment, _ = order.sort(grams)
+                name = _class(grams)
                 for f in np.unique(fragment):
                     if f:
-                        out_nodes.append(nodes[r])
+                        out_nodes.append(name)
                         out_fragments.append(int(f))
                         parts.append(np.sort(ordered[fragment == f]).view(np.int64))
             if parts:
@@ -203,7 +207,7 @@ def _fragments(docs: DataFrame, ids: DataFrame, k: int, order: Order) -> DataFra
                     ["node", "fragment", "part"],
                 )
 
-    return docs.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(run, "node long, fragment int, part array<bigint>")
+    return docs.select("text", F.xxhash64(F.xxhash64("doc_id", "text"))).mapInArrow(run, "node long, fragment int, part array<bigint>")
 
 
 def _need(num: int, den: int) -> str:
@@ -211,18 +215,18 @@ def _need(num: int, den: int) -> str:
     return f"CAST(ceil({num} * CAST(na + nb AS DOUBLE) / {num + den}) AS INT)"
 
 
-def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, k: int, order: Order, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, classes: DataFrame, k: int, order: Order, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link; overlaps are counted by fragment."""
     one = first.select("node", "part")
     left = one.select(F.col("node").alias("a"), F.col("part").alias("pa"))
     right = one.select(F.col("node").alias("b"), F.col("part").alias("pb"))
-    both = pairs.join(left.dropDuplicates(["a"]), "a").join(right.dropDuplicates(["b"]), "b").select(
+    both = pairs.join(left, "a").join(right, "b").select(
         "a", "b", F.expr(_need(num, den)).alias("need"),
         F.size(F.array_intersect("pa", "pb")).alias("got"),
         F.least(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb")).alias("rest"),
     )
     hopeful = written(both.where("got + rest >= need").select("a", "b", "need", "got"), "jaccard-hopeful")
-    ids = hopeful.select(F.col("a").alias("node")).union(hopeful.select(F.col("b").alias("node"))).distinct()
+    ids = hopeful.select(F.col("a").alias("node")).union(hopeful.select(F.col("b").alias("node"))).distinct().join(classes, "node").select("row_key")
     parts = written(_fragments(docs, ids, k, order).dropDuplicates(["node", "fragment"]), "jaccard-fragments")
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("part").alias("pa"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("part").alias("pb"))
@@ -251,26 +255,24 @@ def linked_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, where
     two texts link when den * |common n-grams| >= num * |all n-grams of both|."""
     profile = written(_profile(docs, k), "jaccard-profile", ("kind",))
-    rows = profile.where("kind = 0").select("row_key", "doc_id", "n", "digest")
+    rows = profile.where("kind = 0").select("row_key", "doc_id", "n", "node")
     order = Order(_summed(profile), fragments)
+    classes = rows.where("n > 0").groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("least_id"))
+    classes = written(classes, "jaccard-classes")
 
-    # A document's node is its doc_id, or a key of its row where doc_ids are null or repeat.
-    repeats = rows.groupBy("doc_id").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("doc_id IS NULL OR low <> high")
-    by_row = bool(repeats.limit(1).count())
-    docs = docs.select((F.xxhash64("doc_id", "text") if by_row else F.col("doc_id").cast("long")).alias("node"), "text")
-    rows = rows.withColumn("node", F.col("row_key") if by_row else F.col("doc_id"))
-
+    # A class has a list entry from every task that met it; they are equal.
     lists = _lists(docs, k, order, num, den)
     postings = lists.where("posting").select("token", "node", "hub", "n", "pos")
-    first = lists.where("NOT posting").select("node", "part")
-    hubs = postings.groupBy("token").agg(F.min("hub").alias("least"), F.count("*").alias("c")).where("c > 1").select("token", "least")
-    shared = written(postings.join(hubs, "token"), "jaccard-shared")
+    first = written(lists.where("NOT posting").select("node", "part").dropDuplicates(["node"]), "jaccard-first")
+    hubs = postings.groupBy("token").agg(F.min("hub").alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("token", "least")
+    shared = written(postings.join(hubs, "token").distinct(), "jaccard-shared")
+    drop(lists)
     hub = shared.where("hub = least").select("token", "node", "n", "pos")
     pairs = (
         shared.alias("x").join(hub.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(f"x.node <> y.node AND {_bounded('x', 'y', num, den)}"))
         .selectExpr(*_pair("x", "y")).distinct()
     )
-    links = _verified(written(pairs, "jaccard-pairs"), first, docs, k, order, num, den)
+    links = _verified(written(pairs, "jaccard-pairs"), first, docs, classes, k, order, num, den)
 
     # What the hubs' components don't hold is compared with the rest of its lists.
     reached = written(components(links), "jaccard-reached")
@@ -283,22 +285,31 @@ def linked_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
         outside.alias("x").join(others.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr(f"x.near <> y.near AND {_bounded('x', 'y', num, den)}"))
         .selectExpr(*_pair("x", "y")).distinct()
     )
-    links = links.union(_verified(written(pairs, "jaccard-pairs"), first, docs, k, order, num, den))
+    links = links.union(_verified(written(pairs, "jaccard-pairs"), first, docs, classes, k, order, num, den))
 
-    # Classes of equal sets stand behind their smallest doc_id.
+    # A component's id is the smallest doc_id of its classes.
+    found = written(components(links), "jaccard-components")
+    named = classes.join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    answer = written(named.join(least, "component").select("node", "component_id"), "jaccard-named")
     salts = 16
-    classes = (
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("c")).where("c > 1")
-        .select("digest", "least_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    rows = written(
-        rows.withColumn("salt", F.pmod(F.hash("row_key"), F.lit(salts))).join(classes, ["digest", "salt"], "left")
-        .select("node", "doc_id", "n", F.coalesce("least_id", "doc_id").alias("class_id")),
-        "jaccard-classes",
-    )
-    name = rows.where("class_id IS NOT NULL").select("node", "class_id").distinct()
-    ends = links.join(name.select(F.col("node").alias("a"), F.col("class_id").alias("ca")), "a").join(name.select(F.col("node").alias("b"), F.col("class_id").alias("cb")), "b")
-    found = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return rows.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id")
-    )
+    several = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("c")).where("c > 1000").select("node")
+    hot = answer.join(several, "node", "left_semi").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    cold = answer.join(several, "node", "left_anti").select("node", "component_id", F.lit(0).alias("salt"))
+    salted = rows.join(several.withColumn("hot", F.lit(True)), "node", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row_key", F.lit(salts))).otherwise(0).cast("int"))
+    out = salted.join(hot.union(cold), ["node", "salt"], "left")
+    id_or_null = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), id_or_null.alias("component_id"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(m.low, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT a, min(b) AS low FROM r GROUP BY a) m ON m.a = s.doc_id
+"""

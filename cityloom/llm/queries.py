@@ -18,4 +18,4 @@ QUERIES = {
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
 }
 
-ORACLES = {"op2_chat_format": chat.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES = {"op2_chat_format": chat.ORACLE, "op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE}

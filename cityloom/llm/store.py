@@ -37,6 +37,11 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drop(df: DataFrame) -> None:
+    """Removes a table that written() made and nothing will read again."""
+    remove(df.sparkSession, df.stored_at)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -46,11 +51,12 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, tag: str, partition_by: tuple[str, ...] = (), options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer = df.write.options(**(options or {}))
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
