@@ -19,7 +19,6 @@ labelled twice counts once for each label.  Every row of documents gives one row
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -137,23 +136,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * odds + self.shift, -_CLIP, _CLIP)))
 
 
-def _evidence(docs: list[tuple[set[str], int]], least: int) -> dict[str, float]:
-    """Shrunk log ratio of a feature's share of toxic and of clean documents, if high."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    sizes = [0, 0]
-    for found, toxic in docs:
-        sizes[toxic] += 1
-        counts[toxic].update(found)
-    if not all(sizes):
-        return {}
-    base = math.log((sizes[0] + 2) / (sizes[1] + 2))
-    out = {}
-    for name, t in counts[1].items():
-        if t >= least:
-            value = math.log((t + 1) / (counts[0][name] + 1)) + base
-            if value > 0.5:
-                out[name] = value
-    return out
+class _Sample:
+    """Labelled texts as numbers: words of texts, features of words.
+
+    Distinct words and features are held once, so memory follows the vocabulary.
+    """
+
+    def __init__(self, texts: list[str]):
+        number: dict[str, int] = {}
+        self.tokens = [np.array([number.setdefault(w, len(number)) for w in t.split()], dtype=np.int32) for t in texts]
+        feature: dict[str, int] = {}
+        held = [[feature.setdefault(f, len(feature)) for f in features(w)] for w in number]
+        self.names = list(feature)
+        self.sizes = np.array([len(h) for h in held], dtype=np.int64)
+        self.flat = np.array([f for h in held for f in h], dtype=np.int32)
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def evidence(self, docs: np.ndarray, labels: np.ndarray, least: int) -> np.ndarray:
+        """Shrunk log ratio of each feature's share of toxic and of clean documents, if high, else 0."""
+        counts, sizes = np.zeros((2, len(self.names)), dtype=np.int64), [0, 0]
+        for d in docs:
+            used = np.unique(self.tokens[d])
+            pieces = [self.flat[self.begin[w] : self.begin[w + 1]] for w in used]
+            counts[labels[d], np.unique(np.concatenate(pieces)) if pieces else []] += 1
+            sizes[labels[d]] += 1
+        if not all(sizes):
+            return np.zeros(len(self.names))
+        value = np.log((counts[1] + 1) / (counts[0] + 1)) + math.log((sizes[0] + 2) / (sizes[1] + 2))
+        return np.where((counts[1] >= least) & (value > 0.5), value, 0.0)
+
+    def inputs(self, evidence: np.ndarray) -> np.ndarray:
+        """Largest and mean evidence of each word's features."""
+        out, own = np.zeros((len(self.sizes), 2)), evidence[self.flat]
+        some = np.flatnonzero(self.sizes)
+        if len(some):
+            out[some, 0] = np.maximum.reduceat(own, self.begin[some])
+            out[some, 1] = np.add.reduceat(own, self.begin[some]) / self.sizes[some]
+        return out
 
 
 def _field(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,10 +203,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(w[0])), float(w[1])
 
 
-def _tokens(texts: list[str]):
-    return [t.split() for t in texts]
-
-
 def fit(texts: list[str], labels: list[int], least: int = 2, most_tokens: int = 150_000) -> Model:
     """A model from whole labelled texts (see the module's text).
 
@@ -200,37 +215,48 @@ def fit(texts: list[str], labels: list[int], least: int = 2, most_tokens: int =
         share = float(labels.mean()) if len(labels) else 0.0
         model.shift = math.log(max(share, 1e-12) / max(1 - share, 1e-12))
         return model
-    split = _tokens(texts)
-    sets = [{f for w in set(ws) for f in features(w)} for ws in split]
+    sample = _Sample(texts)
     half = np.arange(len(texts)) % 2
-    parts = [_evidence([(sets[i], int(labels[i])) for i in np.flatnonzero(half == h)], least) for h in (0, 1)]
-    xs, ys, firsts, owner = [], [], [], []
-    for i, ws in enumerate(split):
-        if not ws:
-            continue
-        own = Model(evidence=parts[1 - half[i]])
-        memo: dict[str, tuple[float, float]] = {}
-        x = np.array([memo.setdefault(w, own.inputs(w)) for w in ws])
-        # At most a third off a document's strongest evidence, and clear by itself.
-        y = (x[:, 0] >= max(1.5, 0.67 * x[:, 0].max())) if labels[i] else np.zeros(len(ws), dtype=bool)
-        first = np.zeros(len(ws), dtype=bool)
-        first[0] = True
-        xs.append(x), ys.append(y), firsts.append(first), owner.append(np.full(len(ws), i))
-    x, y, first, owner = (np.concatenate(v) for v in (xs, ys, firsts, owner))
+    parts = [sample.inputs(sample.evidence(np.flatnonzero(half == 1 - h), labels, least)) for h in (0, 1)]
+
+    def rows(d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of a document's tokens by the other half's evidence, and their labels: at
+        most a third off the document's strongest evidence, and clear by itself."""
+        x = parts[half[d]][sample.tokens[d]]
+        return x, (x[:, 0] >= max(1.5, 0.67 * x[:, 0].max(initial=0.0))) if labels[d] else np.zeros(len(x), dtype=bool)
+
+    used = [d for d in range(len(texts)) if len(sample.tokens[d])]
+    some, held = [], 0
+    for d in used:
+        if held < most_tokens:
+            some.append(d)
+            held += len(sample.tokens[d])
+    x, y = (np.concatenate(v) for v in zip(*(rows(d) for d in some))) if some else (np.zeros((0, 2)), np.zeros(0, dtype=bool))
     if not y.any():
         model.shift = math.log(labels.mean() / (1 - labels.mean()))
         return model
-    some = owner <= owner[min(most_tokens, len(owner)) - 1]
-    model.weights, model.pairs, model.begin = _field(x[some], y[some].astype(float), first[some])
-    marginal, _ = forward_backward(model.emission(x), first, model.pairs, model.begin)
-    surprise = np.bincount(owner, weights=-np.log1p(-np.minimum(marginal, 1 - 1e-12)), minlength=len(texts))
+    model.weights, model.pairs, model.begin = _field(x, y.astype(float), _firsts([len(sample.tokens[d]) for d in some]))
+    surprise = np.zeros(len(texts))
+    sizes = np.array([len(sample.tokens[d]) for d in used])
+    for part in np.split(np.arange(len(used)), np.flatnonzero(np.diff(np.cumsum(sizes) // 50_000)) + 1):  # bounded arrays
+        x = np.concatenate([rows(used[i])[0] for i in part])
+        marginal, _ = forward_backward(model.emission(x), _firsts(sizes[part].tolist()), model.pairs, model.begin)
+        loss = -np.log1p(-np.minimum(marginal, 1 - 1e-12))
+        surprise[[used[i] for i in part]] = np.add.reduceat(loss, np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
     odds = np.log(np.expm1(np.clip(surprise, 1e-12, _CLIP)))
     model.scale, model.shift = _logistic(odds, labels.astype(float))
-    model.evidence = _evidence([(s, int(v)) for s, v in zip(sets, labels)], least)
+    final = sample.evidence(np.arange(len(texts)), labels, least)
+    model.evidence = {sample.names[i]: float(final[i]) for i in np.flatnonzero(final)}
     return model
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 1200, most_chars: int = 6_000_000) -> tuple[list[str], list[int]]:
+def _firsts(sizes: list[int]) -> np.ndarray:
+    first = np.zeros(sum(sizes), dtype=bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    return first
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 1000, most_chars: int = 4_000_000) -> tuple[list[str], list[int]]:
     """Texts and labels of at most most_docs documents of each class, most_chars in all.
 
     Only rows whose crc32 of doc_id modulo 5 is not 0 are taken; they come in the
@@ -315,7 +341,9 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa
 
 
 def tagged(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with score double and spans array<struct<start, end, p>>."""
+    """documents with _score double and _spans array<struct<start, end, p>>, which replace
+    columns of these names."""
+    documents = documents.drop("_score", "_spans")
 
     def run(batches):
         scorer = Scorer(model)
