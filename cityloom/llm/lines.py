@@ -116,7 +116,9 @@ def repeated_chunks(documents: DataFrame, spread: int = 3, least_lines: int = 2)
 
 
 def deduplicated(documents: DataFrame, spread: int = 3, least_lines: int = 2) -> DataFrame:
-    """documents with repeated chunks removed from text, and _removed_chunks int."""
+    """documents with repeated chunks removed from text, and _removed_chunks int (which,
+    like _node, replaces a column of that name)."""
+    documents = documents.drop("_removed_chunks", "_node")
     gone = repeated_chunks(documents, spread, least_lines)
     joined = documents.withColumn("_node", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("node", "_node"), "_node", "left").drop("_node")
     at = documents.columns.index("text")

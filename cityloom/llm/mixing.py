@@ -1,12 +1,13 @@
 """Mixing sources to target weights, with soft membership.
 
 A classifier fitted on labelled rows gives every document posterior chances of the
-domains.  With a[d] = tokens of d times its posteriors, the expected tokens of the
-domains are sum(rate[d] a[d]); nonnegative rates are fitted to the target totals by
-projected-gradient least squares.  The residual is weighted by the inverse of the
-Gram matrix sum(a a') over documents whose rate is above its bound, which gives the
-problem a curvature of about 1 whatever the scales of the domains.  A step is one distributed sum of as many numbers as there are domains;
-rates stay in the table, as an expression of the steps so far.
+domains.  The expected tokens of the domains are sum(rate * tokens * posteriors);
+nonnegative rates are fitted to the target totals by projected-gradient least squares.
+The gradient is scaled by 1 / tokens, so a rate depends on posteriors and not on
+length, and by the inverse of the Gram matrix sum(tokens p p') over documents above
+their bound, or over all documents where that would overshoot.  A step is one
+distributed sum of a few numbers; rates stay in the table, as an expression of the
+steps so far.
 
 Null and blank texts have no tokens: they keep the prior as posteriors and the rate 1.
 Empty tables give empty tables.  Repeated rows get equal rates.  Extra columns stay.
@@ -108,7 +109,7 @@ def fit_classifier(texts: list[str], labels: list, rounds: int = 300) -> Classif
     return Classifier(domains, shares(counts.sum(axis=0)), w / scale[:, None], prior)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, domain: str, most_docs: int = 1500, most_chars: int = 6_000_000) -> tuple[list[str], list]:
+def labelled_sample(documents: DataFrame, labels: DataFrame, domain: str, most_docs: int = 1000, most_chars: int = 3_000_000) -> tuple[list[str], list]:
     """At most most_docs labelled documents and about most_chars characters, by a hash
     of doc_id; domain is an SQL expression over the columns of both tables."""
     own = [c for c in labels.columns if c != "doc_id"]
@@ -124,7 +125,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, domain: str, most_d
 
 
 def with_posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
-    """documents with _tokens long and _posteriors array<double>."""
+    """documents with _tokens long and _posteriors array<double>, which replace columns of
+    these names."""
+    documents = documents.drop("_tokens", "_posteriors")
     at = documents.columns.index("text")
 
     def run(batches):
@@ -144,36 +147,46 @@ def fit_rates(posteriors: DataFrame, targets: list[float] | None, weights: list[
     weights that has no domain below what it holds (no document must be thinned out).
     """
     k = len(weights)
-    a = [f"(CAST(_tokens AS DOUBLE) * _posteriors[{i}])" for i in range(k)]
+    p = [f"_posteriors[{i}]" for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(rate: str, all_free: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Totals, and the Gram matrix over documents above their bound (or all)."""
-        free = "1.0D" if all_free else f"if(({rate}) > {float(least)!r}D, 1.0D, 0.0D)"
-        found = posteriors.select(F.expr(rate).alias("r"), F.expr(free).alias("f"), *[F.expr(x).alias(f"a{i}") for i, x in enumerate(a)]).agg(
-            *[F.expr(f"sum(r * a{i})") for i in range(k)], *[F.expr(f"sum(f * a{i} * a{j})") for i, j in pairs]
+    def sums(rate: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals, and Gram matrices over documents above their bound and over all."""
+        rows = posteriors.select(F.expr("CAST(_tokens AS DOUBLE)").alias("n"), F.expr(rate).alias("r"), *[F.expr(x).alias(f"p{i}") for i, x in enumerate(p)])
+        free = f"if(r > {float(least)!r}D, n, 0.0D)"
+        found = rows.agg(
+            *[F.expr(f"sum(r * n * p{i})") for i in range(k)], *[F.expr(f"sum({w} * p{i} * p{j})") for w in (free, "n") for i, j in pairs]
         )
         row = [x or 0.0 for x in found.first()]
-        gram = np.zeros((k, k))
-        for (i, j), x in zip(pairs, row[k:]):
-            gram[i, j] = gram[j, i] = x
-        return np.array(row[:k]), gram
+        grams = np.zeros((2, k, k))
+        for g in (0, 1):
+            for (i, j), x in zip(pairs, row[k + g * len(pairs) :]):
+                grams[g, i, j] = grams[g, j, i] = x
+        return np.array(row[:k]), grams[0], grams[1]
 
     rate = f"{max(1.0, float(least))!r}D"
-    held, gram = sums(rate, all_free=True)
-    share = np.where(held > 0, np.array(weights, dtype=float), 0.0)  # nothing to draw from else
+    now, free, full = sums(rate)
+    share = np.where(now > 0, np.array(weights, dtype=float), 0.0)  # nothing to draw from else
     share = share / max(1e-300, share.sum())
     if targets is None:
-        targets = share * max((h / s for h, s in zip(held, share) if s > 0), default=0.0)
+        targets = share * max((h / s for h, s in zip(now, share) if s > 0), default=0.0)
     target = np.array(targets, dtype=float)
-    now = held
     for _ in range(rounds):
         residual = now - target
-        if np.abs(residual).max(initial=0.0) <= tolerance * max(1.0, target.sum()) or not gram.any():
+        size = float(np.linalg.norm(residual))
+        if np.abs(residual).max(initial=0.0) <= tolerance * max(1.0, target.sum()):
             break
-        step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual
-        rate = f"greatest({float(least)!r}D, {rate} - ({' + '.join(f'{float(x)!r}D * {y}' for x, y in zip(step, a))}))"
-        now, gram = sums(rate)
+        for gram in (free, full):  # the second never overshoots
+            if not gram.any():
+                continue
+            step = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual
+            tried = f"greatest({float(least)!r}D, {rate} - ({' + '.join(f'{float(x)!r}D * {y}' for x, y in zip(step, p))}))"
+            found = sums(tried)
+            if np.linalg.norm(found[0] - target) < 0.95 * size:
+                break
+        else:
+            break
+        rate, (now, free, full) = tried, found
     return rate, target, now
 
 

@@ -409,14 +409,21 @@ def test_permutation_is_a_bijection(size, key):
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
-    docs = store.table(spark, DATA, "documents")
+    docs = store.table(spark, DATA, "documents").withColumn("_score", F.lit("own")).withColumn("toxic", F.lit(5)).withColumn("_copy", F.lit(1.5))
+    names = docs.columns
     step = {}
     for name, stage in p.STAGES[:-1]:
         docs = store.written(stage(spark, docs, DATA), "test-stage")
         step[name] = [r.doc_id for r in docs.select("doc_id").collect()]
-        assert docs.columns == store.table(spark, DATA, "documents").columns
+        assert docs.columns == names and docs.where("_score <> 'own' OR toxic <> 5 OR _copy <> 1.5").count() == 0
     toxic = {r.doc_id for r in store.table(spark, DATA, "labels").where("toxic = 1").collect()}
     assert len(toxic & set(step["toxicity"])) <= 0.2 * len(toxic)
     texts = [(r.doc_id, r.text) for r in store.table(spark, DATA, "documents").collect() if r.doc_id in set(step["toxicity"])]
     assert sorted(step["near duplicates"]) == sorted(i for i, (_, c) in _brute(texts).items() if c == i)
-    assert set(step["mixing"]) == set(step["decontamination"])
+    assert set(step["mixing"]) == set(step["decontamination"]) and len(step["mixing"]) > len(step["decontamination"])
+    none = store.table(spark, DATA, "documents").limit(0)
+    for name, stage in p.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0), (7, "", "en", None, 0), (8, "plain words here", None, "s", 3)], none.schema)
+    for name, stage in p.STAGES:
+        assert stage(spark, odd, DATA).count() >= 1, name
