@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import components, drop, written
+from cityloom.llm.store import components, drop, mark, release, written
 from cityloom.llm.textops import shingles, words
 
 _BITS = 21
@@ -217,6 +217,7 @@ def _need(num: int, den: int) -> str:
 
 def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, classes: DataFrame, k: int, order: Order, num: int, den: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link; overlaps are counted by fragment."""
+    since = mark()
     one = first.select("node", "part")
     left = one.select(F.col("node").alias("a"), F.col("part").alias("pa"))
     right = one.select(F.col("node").alias("b"), F.col("part").alias("pb"))
@@ -235,7 +236,9 @@ def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, classes: Data
         .select("a", "b", "need", F.size(F.array_intersect("pa", "pb")).alias("got"))
     )
     summed = hopeful.union(counts).groupBy("a", "b", "need").agg(F.sum("got").alias("got"))
-    return written(summed.where("got >= need").select("a", "b"), "jaccard-links")
+    links = written(summed.where("got >= need").select("a", "b"), "jaccard-links")
+    release(since, links)
+    return links
 
 
 def _bounded(x: str, y: str, num: int, den: int) -> str:
@@ -254,6 +257,7 @@ def _pair(x: str, y: str) -> list[str]:
 def linked_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, fragments: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that links reach, where
     two texts link when den * |common n-grams| >= num * |all n-grams of both|."""
+    since = mark()
     profile = written(_profile(docs, k), "jaccard-profile", ("kind",))
     rows = profile.where("kind = 0").select("row_key", "doc_id", "n", "node")
     order = Order(_summed(profile), fragments)
@@ -292,6 +296,7 @@ def linked_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     named = classes.join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     answer = written(named.join(least, "component").select("node", "component_id"), "jaccard-named")
+    release(since, profile, answer)
     salts = 16
     several = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("c")).where("c > 1000").select("node")
     hot = answer.join(several, "node", "left_semi").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))

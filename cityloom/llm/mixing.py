@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import written
+from cityloom.llm.store import drop, written
 from cityloom.llm.textops import shingles, words
 
 _BITS = 14
@@ -226,6 +226,8 @@ def rated(
     rate, target, now = fit_rates(facts, targets, share, least)
     report = {"target": dict(zip(model.domains, target.tolist())), "fitted": dict(zip(model.domains, now.tolist()))}
     out = with_posteriors(documents, model) if keep_text else facts
+    if keep_text:
+        drop(facts)
     return out.withColumn("_rate", F.expr(rate)), model.domains, report
 
 

@@ -42,6 +42,20 @@ def drop(df: DataFrame) -> None:
     remove(df.sparkSession, df.stored_at)
 
 
+def mark() -> int:
+    """A point in time for release()."""
+    return len(_made)
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Removes the tables made since a mark() but for kept ones; nothing may read them later."""
+    stay = {df.stored_at for df in kept}
+    for entry in _made[since:]:
+        if entry[1] not in stay:
+            remove(*entry)
+            _made.remove(entry)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
@@ -79,6 +93,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     round's labels are written to the shared folder; only a count of changes comes
     to the driver.  Nodes without edges don't appear.  Returns node, component.
     """
+    since = mark()
     edges = edges.select("a", "b").where("a <> b")
     both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
@@ -97,6 +112,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             "node", F.least("low", F.coalesce("far", "low")).alias("label"), F.col("label").alias("was")
         )
         step = written(step, "cc-step")
+        release(since, both, step)
         changed = step.where("label <> was").limit(1).count()
         labels = step.select("node", "label")
         if not changed:

@@ -25,7 +25,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import new_path, written
+from cityloom.llm.store import drop, new_path, written
 from cityloom.llm.textops import mix64
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -165,9 +165,9 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout) -> DataFrame:
         for batch in batches:
             number = firsts[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             slot = permuted(number, total, layout.key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), *batch.columns[2:]], ["slot", "shard", "ids", "docs", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), pa.array([zlib.compress(x, 1) for x in batch.column(2).to_pylist()], pa.binary()), *batch.columns[3:]], ["slot", "shard", "ids", "docs", "starts"])
 
-    shards = max(1, -(-total // layout.per_shard))
+    shards = max(1, -(-total // layout.per_shard))  # ids are compressed for the shuffle only
     placed = sequences.mapInArrow(place, "slot long, shard long, ids binary, docs array<bigint>, starts array<int>")
     ordered = placed.repartitionByRange(min(shards, 20_000), "shard").sortWithinPartitions("slot")
     stride, per_shard = layout.stride, layout.per_shard
@@ -185,7 +185,8 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout) -> DataFrame:
         for batch in batches:
             slot, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             crc = []
-            for s, ids in zip(shard.tolist(), batch.column(2).to_pylist()):
+            for s, packed_ids in zip(shard.tolist(), batch.column(2).to_pylist()):
+                ids = zlib.decompress(packed_ids)
                 if s != now:
                     close()
                     now, name = s, f"{root}/.{shard_name(s)}.{uuid.uuid4().hex}"
@@ -222,19 +223,47 @@ def read_shards(spark: SparkSession, path: str, total: int, layout: Layout, firs
     return ids.mapInArrow(run, "slot long, n_tokens long, n_ends long, id_sum long, crc long")
 
 
+def read_slots(index: DataFrame, path: str, layout: Layout) -> DataFrame:
+    """The rows of write_shards() with what their slots hold now: n_tokens, n_ends, id_sum.
+
+    Rows of a shard lie together in order, so its file is read front to back.  Bytes
+    that differ from those written raise ValueError.
+    """
+    names = ["slot", "shard", "offset", "doc_ids", "starts", "n_tokens", "n_ends", "id_sum", "crc"]
+
+    def run(batches):
+        store, root = _store(path)
+        now, file = None, None
+        for batch in batches:
+            rows = []
+            for slot, shard, offset, crc in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5))):
+                if shard != now:
+                    if file:
+                        file.close()
+                    now, file = shard, store.open_input_file(f"{root}/{shard_name(shard)}")
+                data = file.read_at(layout.stride, offset)
+                if zlib.crc32(data) != crc:
+                    raise ValueError(f"slot {slot} read back differs from what was written")
+                x = np.frombuffer(data, dtype="<u2")
+                rows.append((len(x), int((x == END).sum()), int(x.sum(dtype=np.int64))))
+            found = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * 3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *found, batch.column(5)], names)
+        if file:
+            file.close()
+
+    return index.select("slot", "shard", "offset", "docs", "starts", "crc").mapInArrow(
+        run, "slot long, shard long, offset long, doc_ids array<bigint>, starts array<int>, n_tokens long, n_ends long, id_sum long, crc long"
+    )
+
+
 def materialised(documents: DataFrame, layout: Layout = Layout(), path: str | None = None) -> DataFrame:
     """Writes all documents as shards under path and reads every slot back.
 
     One row a slot: slot, shard, offset, doc_ids, starts, n_tokens, n_ends, id_sum, crc.
-    A slot whose bytes read back differ from those written raises an error.
     """
-    spark = documents.sparkSession
-    path = path or new_path(spark, "shards")
-    sequences = written(packed(documents, layout), "token-sequences")
-    total = sequences.count()
+    path = path or new_path(documents.sparkSession, "shards")
+    dense = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+    sequences = written(packed(documents, layout), "token-sequences", options=dense)
     index = write_shards(sequences, path, layout)
-    read = read_shards(spark, path, total, layout)
-    same = F.when(F.col("crc") == F.col("read_crc"), F.col("crc")).otherwise(F.raise_error(F.lit("a slot read back differs")))
-    return index.join(read.withColumnRenamed("crc", "read_crc"), "slot", "left").select(
-        "slot", "shard", "offset", F.col("docs").alias("doc_ids"), "starts", "n_tokens", "n_ends", "id_sum", same.alias("crc")
-    )
+    drop(sequences)
+    return read_slots(index, path, layout)

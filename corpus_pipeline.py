@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.llm import decontam, jaccard, mixing, tokens, toxicity
-from cityloom.llm.store import table, written
+from cityloom.llm.store import mark, release, table, written
 
 #: Shares of expected tokens.  Every document stays at least once.
 MIX = {"en": 0.46, "de": 0.14, "fr": 0.14, "es": 0.10, "low": 0.16}
@@ -43,7 +43,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Rows without doc_id stay; of rows that repeat a doc_id and text, one stays.
     """
+    since = mark()
     found = written(jaccard.linked_components(docs), "pipeline-groups")
+    release(since, found)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
