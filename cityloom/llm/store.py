@@ -85,36 +85,52 @@ def local_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected edges (a, b).
 
-    Labels go down by taking the least neighbour's label and then the label's
-    label (pointer jumping), so chains shrink by a power of two a round.  Each
-    round's labels are written to the shared folder; only a count of changes comes
-    to the driver.  Nodes without edges don't appear.  Returns node, component.
+    In a round every root takes the least root that an edge leads to, trees are made flat
+    by pointer jumping, and edges are drawn between the new roots.  A root that no other
+    takes in one round finds a smaller one in the next, so every two rounds at least
+    halve the roots that still have edges, and jumps are logarithmic in a tree's depth.
+    It ends when no edge is left; labels that haven't converged are never returned.
+    Tables of a round are written to the shared folder; only counts come to the driver.
+    Nodes without edges don't appear.  Returns node, component.
     """
     since = mark()
     edges = edges.select("a", "b").where("a <> b")
     both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
-    labels = written(labels, "cc-labels")
-    for _ in range(rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("reach")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("reach").alias("near"))
-        )
-        low = labels.join(near, "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("near", "label")).alias("low")
-        )
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        step = low.join(jump, "low", "left").select(
-            "node", F.least("low", F.coalesce("far", "low")).alias("label"), F.col("label").alias("was")
-        )
-        step = written(step, "cc-step")
-        release(since, both, step)
+    labels = None
+    for _ in range(_MOST_ROUNDS):
+        roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
+        roots = _flat(written(roots, "cc-roots"))
+        to = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        if labels is None:
+            labels = roots
+        else:
+            labels = written(labels.join(to, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "cc-labels")
+        drawn = both
+        for end in ("a", "b"):
+            drawn = drawn.join(roots.select(F.col("node").alias(end), F.col("label").alias("root")), end).drop(end).withColumnRenamed("root", end)
+        drawn = written(drawn.where("a <> b").select("a", "b").distinct(), "cc-edges")
+        release(since, drawn, labels)
+        both = drawn
+        if not both.limit(1).count():
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError("components don't converge")
+
+
+#: Two rounds for each halving of as many nodes as 64 bits can name.
+_MOST_ROUNDS = 128
+
+
+def _flat(labels: DataFrame) -> DataFrame:
+    """labels of a forest (node, label) with every label a root; they, too, are nodes."""
+    while True:
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        step = written(labels.join(jump, "label").select("node", F.col("far").alias("label"), F.col("label").alias("was")), "cc-step")
         changed = step.where("label <> was").limit(1).count()
-        labels = step.select("node", "label")
+        drop(labels)
+        labels = step.drop("was")
+        labels.stored_at = step.stored_at
         if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+            return labels

@@ -192,6 +192,26 @@ def test_chain_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_long_shuffled_chain_is_one_component(spark):
+    names = np.random.default_rng(4).permutation(3000)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(names, names[1:])], "a long, b long")
+    got = store.components(edges).collect()
+    assert len(got) == 3000 and {r.component for r in got} == {0}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(12)
+    for n, m in ((60, 40), (60, 58), (200, 150)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(n, n + i) for i in range(1, 30)]
+        label = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in label:
+            for a, b in edges:
+                if a != b:
+                    label[a] = label[b] = min(label[a], label[b])
+        got = {r.node: r.component for r in store.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == label
+
+
 # ---------------------------------------------------------------- toxicity
 
 
