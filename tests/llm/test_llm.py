@@ -447,3 +447,36 @@ def test_pipeline_stages(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", None, 0), (7, "", "en", None, 0), (8, "plain words here", None, "s", 3)], none.schema)
     for name, stage in p.STAGES:
         assert stage(spark, odd, DATA).count() >= 1, name
+
+
+def test_pipeline_drops_copies_from_similarity_of_four_fifths_on(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    docs = []
+    for i in range(24):
+        w = _words((1 + i % 4) * rng.randrange(36, 64), rng)
+        docs.append((i, " ".join(w)))
+        edited = list(w)
+        for at in range(0, len(w) - 5, len(w) // (1 + i % 4)):
+            edited[at + 2] = f"edit{i}x{at}"
+        docs.append((100 + i, " ".join(edited)))
+    shares = []
+    for i in range(24):
+        sets = []
+        for text in (docs[2 * i][1], docs[2 * i + 1][1]):
+            w = text.split()
+            sets.append([{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for k in (5, 3)])
+        shares.append([len(x & y) / len(x | y) for x, y in zip(*sets)])
+    assert sum(0.8 <= five < 0.9 and three < 0.9 for five, three in shares) >= 3 and any(five < 0.8 for five, _ in shares)
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {r.doc_id for r in p.one_of_each_group(spark, df, DATA).collect()}
+    assert got == {i for i, (_, c) in _brute(docs, 5, 80, 100).items() if c == i}
+
+
+def test_pipeline_near_duplicates_of_sample_data(spark):
+    import corpus_pipeline as p
+
+    docs = store.table(spark, DATA, "documents")
+    want = {i for i, (_, c) in _brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80, 100).items() if c == i}
+    assert {r.doc_id for r in p.one_of_each_group(spark, docs, DATA).collect()} == want
