@@ -1,19 +1,22 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-Word n-grams of the benchmark items are looked up in every whole text.  A first pass
-counts the documents that hold each; of every item the rarest ones are its seeds
-(those in at most ``common_share`` of the documents and, whatever their counts, the
-rarest ``least_seeds`` share of the item), so an edited copy still meets some.  Seeds
-put item and text on a diagonal; the text around each group of diagonals is aligned
-with the item by words, and the local score over the item's best possible one is the
-similarity.  Pairs of at least ``least_score`` are reported.
+All pairs of neighbouring words of the benchmark items are looked up in every whole
+text; none is left out for being common.  Pairs put item and text on a diagonal.  Where
+diagonals less than an item's length apart hold at least a sixth of the item's pairs, and
+the stretch of text around them holds enough of its words, that stretch is aligned with
+the item by words; the local score over the item's best possible one is the similarity.
+Pairs of at least ``least_score`` are reported.
+
+A copy of L words with words replaced or left out that scores 0.5 keeps at least
+L / 3 - 1 of its pairs, which is no less than a sixth from four words on; shorter items
+are looked up by single words.  So only a copy with words put in at more than two thirds
+of its places can score 0.5 and be missed.
 
 Items are broadcast in blocks of bounded size; every block meets all documents, so a
 large benchmark takes more passes and not more memory.  Rows are handled one by one:
 no shuffle of texts, no grouping.
 
-Null, empty and blank texts match nothing, nor do items without words.  An item
-shorter than n words has all of them as its seed.  Repeated documents each report their matches;
+Null, empty and blank texts match nothing, nor do items without words.  Repeated documents each report their matches;
 repeated items are items of their own.  Case, ASCII white space and ASCII punctuation
 don't matter.
 """
@@ -87,43 +90,31 @@ class Items:
         inner = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         return np.repeat(some, reps), np.repeat(low[some], reps) + inner
 
-    def keep(self, seeds: np.ndarray) -> None:
-        self.grams, self.owner, self.place = self.grams[seeds], self.owner[seeds], self.place[seeds]
-
-
-def _counts(documents: DataFrame, items: Items, n: int) -> np.ndarray:
-    """Documents holding each n-gram of the block; one sum a task goes to the driver."""
-    distinct = np.unique(items.grams)
-
-    def run(batches):
-        total = np.zeros(len(distinct), dtype=np.int64)
-        for batch in batches:
-            for _, hashes, offsets, _, _ in words(batch.column(0), punctuation=True):
-                grams, cuts = shingles(hashes, offsets, n)
-                at = np.searchsorted(distinct, grams)
-                at[at == len(distinct)] = 0
-                hit = np.flatnonzero(distinct[at] == grams) if len(distinct) else np.zeros(0, dtype=np.int64)
-                row = np.searchsorted(cuts, hit, side="right")
-                seen = np.unique(np.stack([row, at[hit]]), axis=1)
-                total += np.bincount(seen[1], minlength=len(distinct))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "c"])
-
-    counts = np.zeros(len(distinct), dtype=np.int64)
-    for row in documents.select(F.lower("text")).mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
-        counts[row["at"]] = row["c"]
-    return counts[np.searchsorted(distinct, items.grams)]
-
 
-def _groups(diagonal: np.ndarray, slack: int) -> list[tuple[int, int]]:
-    """Lowest and highest diagonal of groups without gaps wider than slack."""
-    d = np.unique(diagonal)
-    cuts = np.flatnonzero(np.diff(d) > slack) + 1
-    return [(int(p[0]), int(p[-1])) for p in np.split(d, cuts)]
+def _dense(pair: np.ndarray, diagonal: np.ndarray, need: np.ndarray, width: np.ndarray) -> list[tuple[int, int, int]]:
+    """(pair, lowest, highest diagonal) of groups with need hits on diagonals within width."""
+    if not len(pair):
+        return []
+    by = np.lexsort((diagonal, pair))
+    pair, diagonal, need, width = pair[by], diagonal[by], need[by], width[by]
+    span = int(diagonal.max() - diagonal.min() + width.max()) + 2
+    key = pair * span + (diagonal - diagonal.min())
+    last = np.searchsorted(key, key + width, side="right")
+    at = np.arange(len(key))
+    full = np.flatnonzero(last - at >= need)
+    edge = np.zeros(len(key) + 1, dtype=np.int64)
+    np.add.at(edge, full, 1)
+    np.add.at(edge, last[full], -1)
+    at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    cuts = np.flatnonzero(np.diff(key[at]) > width[at][1:]) + 1
+    return [(int(pair[g[0]]), int(diagonal[g[0]]), int(diagonal[g[-1]])) for g in np.split(at, cuts) if len(g)]
 
 
 def _matches(documents: DataFrame, items: Items, n: int, least_score: float) -> DataFrame:
     item_kind = pa.int64()
+    lengths = np.array([len(w) for w in items.words], dtype=np.int64)
+    share_of_pairs = max(0.0, 4 * min(least_score, 0.5) - 1) / 6
+    needs = np.maximum(1, np.ceil(lengths * (share_of_pairs if n > 1 else min(least_score, 0.5)) - 1e-9).astype(np.int64))
 
     def run(batches):
         for batch in batches:
@@ -132,21 +123,22 @@ def _matches(documents: DataFrame, items: Items, n: int, least_score: float) ->
             for first, hashes, offsets, _, _ in words(batch.column(1), punctuation=True):
                 grams, cuts = shingles(hashes, offsets, n)
                 spot, seed = items.hits(grams)
-                row = np.searchsorted(cuts, spot, side="right") - 1
-                pair = np.stack([row, items.owner[seed]])
-                for r, o in np.unique(pair, axis=1).T:
-                    mine = (pair[0] == r) & (pair[1] == o)
+                row, owner = np.searchsorted(cuts, spot, side="right") - 1, items.owner[seed]
+                best: dict[int, tuple[int, int, int]] = {}
+                for pair, lo, hi in _dense(row * len(lengths) + owner, spot - cuts[row] - items.place[seed], needs[owner], lengths[owner]):
+                    r, o = divmod(pair, len(lengths))
                     item, text = items.words[o], hashes[offsets[r] : offsets[r + 1]]
-                    slack = max(4, len(item) // 2)
-                    best = (0, 0, 0)
-                    for lo, hi in _groups(spot[mine] - cuts[r] - items.place[seed[mine]], slack):
-                        a, b = max(0, lo - slack), min(len(text), hi + len(item) + slack)
-                        score, start, end = align(item, text[a:b])
-                        if score > best[0]:
-                            best = (score, a + start, a + end)
-                    share = best[0] / (MATCH * len(item))
+                    a, b = max(0, lo - len(item)), min(len(text), hi + 2 * len(item))
+                    if np.isin(item, text[a:b]).sum() < least_score * len(item):
+                        continue  # too few matches for the score
+                    score, start, end = align(item, text[a:b])
+                    if score > best.get(pair, (0, 0, 0))[0]:
+                        best[pair] = (score, a + start, a + end)
+                for pair, (score, start, end) in sorted(best.items()):
+                    r, o = divmod(pair, len(lengths))
+                    share = score / (MATCH * len(items.words[o]))
                     if share >= least_score:
-                        out.append((ids[first + r], items.ids[o], share, best[1], best[2]))
+                        out.append((ids[first + r], items.ids[o], share, start, end))
             columns = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_kind), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
@@ -157,35 +149,20 @@ def _matches(documents: DataFrame, items: Items, n: int, least_score: float) ->
     return documents.select("doc_id", F.lower("text")).mapInArrow(run, f"doc_id {kind}, item_id long, score double, word_start long, word_end long")
 
 
-def contaminated(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    n: int = 5,
-    common_share: float = 1e-3,
-    least_seeds: float = 0.5,
-    least_score: float = 0.5,
-    block_chars: int = 8_000_000,
-) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = 0.5, block_chars: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, score (0 to 1), word_start, word_end of each match."""
     size = benchmark.agg(F.sum(F.length("text")).alias("c")).first().c or 0
     blocks = max(1, -(-size // block_chars))
-    total = documents.count()
     out = None
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").collect()
-        by_length: dict[int, list] = {}
-        for row, held in zip(rows, Items(rows, n).words):
-            by_length.setdefault(min(n, len(held)), []).append(row)
-        for length in sorted(by_length) or [n]:
-            items = Items(by_length.get(length, []) if length else [], length or n)
-            counts = _counts(documents, items, length or n)
-            seeds = counts <= max(1, common_share * total)
-            for o in range(len(items.ids)):
-                mine = np.flatnonzero(items.owner == o)
-                seeds[mine[np.argsort(counts[mine], kind="stable")][: int(np.ceil(len(mine) * least_seeds))]] = True
-            items.keep(seeds & (counts > 0))
-            found = _matches(documents, items, length or n, least_score)
+        by_kind: dict[int, list] = {}
+        for row, held in zip(rows, Items(rows, 1).words):
+            if len(held):
+                by_kind.setdefault(1 if len(held) < 4 else 2, []).append(row)
+        for n in sorted(by_kind) or [2]:
+            found = _matches(documents, Items(by_kind.get(n, []), n), n, least_score)
             out = found if out is None else out.union(found)
     return out
 

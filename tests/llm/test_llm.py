@@ -301,6 +301,29 @@ def test_contamination(spark):
 # ---------------------------------------------------------------- mixing and resampling
 
 
+def test_contamination_equals_alignment_of_all_pairs(spark):
+    rng = random.Random(15)
+    items = [(i, " ".join(_words(n, rng, 300))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 9, 16, 16, 20, 30, 40, 59])]
+    docs = []
+    for i in range(300):
+        item = items[rng.randrange(len(items))][1].split()
+        rate, copy = rng.choice((0.1, 0.15, 0.2, 0.25, 0.3)), []
+        for at, w in enumerate(item):
+            kind = rng.choice("rrdi") if rng.random() < rate else ""
+            copy += {"": [w], "r": [f"new{at}"], "d": [], "i": [w, f"put{at}"]}[kind]
+        if i % 10 == 0:
+            copy = [f"new{at}" if at % 5 == 4 else w for at, w in enumerate(item)]
+        docs.append((i, " ".join(_words(rng.randrange(0, 60), rng, 300) + copy + _words(rng.randrange(0, 60), rng, 300))))
+    want = {}
+    for i, text in docs:
+        for o, item in items:
+            score = decontam.align(np.array(item.split()), np.array(text.split()))[0] / (2 * len(item.split())) if text else 0
+            if score >= 0.5:
+                want[i, o] = score
+    got = decontam.contaminated(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want) > 200
+
+
 def test_rates_meet_targets(spark):
     rng = np.random.default_rng(4)
     p = rng.dirichlet([0.3, 0.3, 0.3], 300)
