@@ -1,4 +1,13 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated passages of lines, or content-defined chunks of them.
+
+Passages (``without_passages``, which op4 uses): every two lines that follow each other
+and every single line of at least ``long_line`` words is
+looked up in all texts by a 128-bit digest of its bytes, so every repeated passage is
+found whatever stands around it.  Its first place (smallest doc_id, then place in the
+text) stays whole; elsewhere its lines go, but for
+those that are part of another passage's first place.
+
+Chunks (``deduplicated``) move fewer rows but find only passages that hold a whole chunk.
 
 Lines end at line feeds.  A boundary stands after a line where a rolling hash of it
 and the line before it falls in one of ``spread`` classes, so chunks find back into
@@ -14,6 +23,8 @@ doc_id and text count as one place, so they end up equal.  Extra columns stay.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,9 +156,91 @@ def deduplicated(documents: DataFrame, spread: int = 3, least_lines: int = 2) ->
     return joined.mapInArrow(run, f"{kinds}, _removed_chunks int")
 
 
+def _passages(documents: DataFrame, long_line: int) -> DataFrame:
+    """node, doc_id, place, high, low (a digest) of all line pairs (place 2 i for lines i
+    and i + 1) and long lines (place 2 i + 1).  The last line's missing line feed counts
+    as there."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(2))
+            rows, places, digests = [], [], []
+            for r in range(len(offsets) - 1):
+                text = data[offsets[r] : offsets[r + 1]].tobytes()
+                parts = text.split(b"\n")
+                if not parts[-1]:
+                    parts.pop()
+                for i, line in enumerate(parts):
+                    if len(line) >= 2 * long_line - 1 and len(line.split()) >= long_line:
+                        rows.append(r)
+                        places.append(2 * i + 1)
+                        digests.append(hashlib.blake2b(line, digest_size=16).digest())
+                    if i + 1 < len(parts):
+                        rows.append(r)
+                        places.append(2 * i)
+                        digests.append(hashlib.blake2b(line + b"\n" + parts[i + 1], digest_size=16, person=b"pair").digest())
+            at = pa.array(rows, pa.int64())
+            words = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())],
+                ["node", "doc_id", "place", "high", "low"],
+            )
+
+    rows = documents.select(F.xxhash64("doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "text")
+    return rows.mapInArrow(run, "node long, doc_id long, place int, high long, low long")
+
+
+def repeated_passages(documents: DataFrame, long_line: int = 50) -> DataFrame:
+    """node, gone and held: the passages that go, and the first places of repeated ones,
+    for each text that has any."""
+    places = written(_passages(documents, long_line), "line-passages")
+    at = F.struct("doc_id", "node", "place")
+    first = places.groupBy("high", "low").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("high", "low", "first")
+    found = places.join(written(first, "line-firsts"), ["high", "low"]).select("node", "place", (at == F.col("first")).alias("is_first"))
+    return found.groupBy("node").agg(
+        F.collect_set(F.when(~F.col("is_first"), F.col("place"))).alias("gone"), F.collect_set(F.when(F.col("is_first"), F.col("place"))).alias("held")
+    ).where("size(gone) > 0")
+
+
+def without_passages(documents: DataFrame, long_line: int = 50) -> DataFrame:
+    """documents with repeated passages removed from text, and _removed_chunks int: the
+    runs of lines removed (which, like _node, replaces a column of that name)."""
+    documents = documents.drop("_removed_chunks", "_node")
+    found = repeated_passages(documents, long_line).withColumnRenamed("node", "_node")
+    joined = documents.withColumn("_node", F.xxhash64("doc_id", "text")).join(found, "_node", "left").drop("_node")
+    at = documents.columns.index("text")
+    width = len(documents.columns)
+
+    def covered(places: list[int], size: int) -> np.ndarray:
+        places = np.array(places, dtype=np.int64)
+        out = np.zeros(size + 1, dtype=bool)
+        out[places >> 1] = True
+        out[(places[places & 1 == 0] >> 1) + 1] = True
+        return out[:size]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            texts, removed = column.to_pylist(), np.zeros(batch.num_rows, dtype=np.int32)
+            gone, held = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+            for r, text in enumerate(texts):
+                if gone[r]:
+                    parts = text.split("\n")
+                    parts = [x + "\n" for x in parts[:-1]] + parts[-1:] * bool(parts[-1])
+                    out = covered(gone[r], len(parts)) & ~covered(held[r], len(parts))
+                    texts[r] = "".join(x for x, away in zip(parts, out) if not away)
+                    removed[r] = int(out[:1].sum()) + int((out[1:] & ~out[:-1]).sum())
+            columns = list(batch.columns[:width])
+            columns[at] = pa.array(texts, column.type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*batch.schema.names[:width], "_removed_chunks"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
+    return joined.mapInArrow(run, f"{kinds}, _removed_chunks int")
+
+
 def line_report(documents: DataFrame) -> DataFrame:
-    """doc_id, kept_chars, removed_chunks and the digest of the remaining text of every row."""
-    out = deduplicated(documents.select("doc_id", "text"))
+    """doc_id, kept_chars, removed_chunks (runs of lines) and the digest of the remaining text of every row."""
+    out = without_passages(documents.select("doc_id", "text"))
     return out.select(
         "doc_id", F.length("text").cast("long").alias("kept_chars"), F.col("_removed_chunks").alias("removed_chunks"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
     )

@@ -399,6 +399,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.line_report(df.limit(0)).count() == 0
 
 
+def test_passages_of_any_length_go(spark):
+    rng = random.Random(31)
+    sizes = (1, 2, 4, 6)
+    shared = {m: [" ".join(_words(60 if m == 1 else 20, rng)) for _ in range(m)] for m in sizes}
+    docs = [(i, "\n".join([" ".join(_words(8, rng)) for _ in range(3)] + shared[sizes[i % 4]] + [" ".join(_words(8, rng)) for _ in range(3)])) for i in range(40)]
+    docs += [(100, None), (101, ""), (102, "a\na\na"), (103, "b\nc\n"), (104, "c\nd\ne"), (105, "b\nc\nd"), (106, "short"), (107, "short"), (None, "b\nc")]
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {r.doc_id: r for r in lines.without_passages(df).collect()}
+    for i in range(40):
+        own = docs[i][1].split("\n")
+        want = docs[i][1] if i < 4 else "\n".join(own[:3] + own[-3:])
+        assert (got[i].text, got[i]._removed_chunks) == (want, int(i >= 4))
+    assert [got[i].text for i in range(100, 108)] == [None, "", "a\na\n", "b\nc\n", "c\nd\ne", "", "short", "short"] and got[None].text == ""
+    kept = {r.doc_id: r.kept_chars for r in lines.line_report(df).collect()}
+    assert kept[4] == len(got[4].text) and kept[7] == len(got[7].text)
+
+
 def test_boundaries_survive_shifts():
     rng = random.Random(8)
     body = "\n".join(" ".join(_words(6, rng)) for _ in range(200))
