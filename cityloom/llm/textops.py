@@ -2,18 +2,26 @@
 
 Everything works on whole UTF-8 texts.  A "word" is a maximal run of bytes other
 than the ASCII white space characters (space and 0x09-0x0D); A-Z compare equal to
-a-z where ``lower`` tables are used.  Arrays are cut into segments of a few MB so
-that memory stays bounded whatever the batch or the text length is.
+a-z where ``lower`` is set.  A batch is worked on in segments of a few MB cut between
+texts; a longer text is a segment of its own, so memory is a small multiple of the
+larger of a segment and the longest text.
+
+Words are hashed in blocks of eight bytes, each mixed in by a bijection that isn't
+linear; words of over 64 bytes by BLAKE2b.  Equal hashes of different words come by
+chance only (2**-64 for a pair), whatever pattern the words have.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _SEGMENT = 1 << 21
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_LONG = 64
 _U = np.uint64
+_MULT = _U(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -27,33 +35,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _table(lower: bool) -> np.ndarray:
-    t = mix64(np.arange(1, 257, dtype=np.uint64) * _MULT)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-_TABLES = {True: _table(True), False: _table(False)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _PUNCTUATION = _SPACE.copy()
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    size = max(_SEGMENT, n) + 1
-    if size not in _POWERS:
-        base = int(_MULT) | 1
-        inverse = pow(base, -1, 1 << 64)
-        up = np.cumprod(np.full(size, base, dtype=np.uint64))
-        down = np.cumprod(np.full(size, inverse, dtype=np.uint64))
-        if size > _SEGMENT + 1:
-            return up, down
-        _POWERS[size] = (up, down)
-    return _POWERS[size]
+def digest64(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+def _hashed(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of part from starts to ends."""
+    length = ends - starts
+    out = mix64(length.astype(np.uint64) * _MULT + _U(1))
+    padded = np.concatenate([part, np.zeros(8, dtype=np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, (len(part) + 1, 8), (1, 1))
+    rest, done = np.flatnonzero((length > 0) & (length <= _LONG)), 0
+    while len(rest):
+        block = blocks[starts[rest] + done].view("<u8").ravel() & _MASKS[np.minimum(length[rest] - done, 8)]
+        out[rest] = mix64(out[rest] * _MULT + block)
+        done += 8
+        rest = rest[length[rest] > done]
+    for i in np.flatnonzero(length > _LONG):
+        out[i] = digest64(part[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def pieces(batches, rows: int = 1024):
+    """Batches in slices of few rows, so that what a task makes of one at a time is small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +116,9 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = False):
     """Yields (first row, hashes, row offsets into hashes, starts, ends) by segment.
 
     With punctuation, ASCII punctuation separates words as white space does.
-    starts and ends are byte positions relative to the segment's first row's text;
-    a single text longer than a segment is one segment.
+    starts and ends are byte positions relative to the segment's first row's text.
     """
     data, offsets = text_buffer(column)
-    table = _TABLES[lower]
     for i, j in _segments(offsets):
         lo, hi = int(offsets[i]), int(offsets[j])
         part = data[lo:hi]
@@ -114,11 +128,7 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = False):
             yield i, np.zeros(0, dtype=np.uint64), np.zeros(j - i + 1, dtype=np.int64), zero, zero
             continue
         starts, ends = _runs(part, cuts[:-1], _PUNCTUATION if punctuation else _SPACE)
-        up, down = _powers(len(part))
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(table[part] * up[: len(part)], out=sums[1:])
-        hashes = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        yield i, hashes, np.searchsorted(starts, cuts), starts, ends
+        yield i, _hashed(_LOWER[part] if lower else part, starts, ends), np.searchsorted(starts, cuts), starts, ends
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

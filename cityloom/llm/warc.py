@@ -2,17 +2,22 @@ r"""WARC: archives written and read as DataFrames, with boundary-chain verificat
 
 Writing: each record is a row; Spark's text writer puts CR LF CR LF behind it, which
 is the record terminator, so a part file is a WARC file on whatever file system Spark
-writes to, and the commit protocol survives lost executors.
+writes to, and the commit protocol survives lost executors.  Payloads are not shuffled,
+but for those of rows that a bit set takes for revisits.
 
 Reading: files are cut into splits.  A task reports every place in its split where a
-record could begin (``WARC/1.`` and a header block with a length) with the offset of
-its successor.  Magic inside payloads is reported as well, so the true records are
-those that the chain from offset 0 reaches: chains are followed inside a split at
-once, and between splits by pointer jumping, which doubles the reach a round.
-
-Null payloads are empty; empty tables write no records; rows are not merged.  A file
-that doesn't start with a record, or whose chain ends before the file does, raises
-ValueError (``strict``) when read.
+record could begin (``WARC/1.`` and header lines with a length that ends in the file)
+and where the chain of successors from there leaves the split.  Magic inside payloads
+is reported as well, so the true records are those that the chain from offset 0
+reaches: pointer jumping over the places where chains enter splits doubles the reach a
+round.  Payloads are read, in bounded pieces, only after that.
+
+Headers may have any length.  Null payloads are empty; empty tables write no records;
+rows are not merged.  A null page_id is written as ``<urn:page:null>`` and read back as
+null; such a row is a revisit where a row with an id has its payload.  Rows that repeat
+a page_id and payload are all responses where that id is the smallest, else revisits.
+A file that doesn't start with a record, whose chain ends before the file does, or
+whose record has no terminator raises ValueError when read.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +26,18 @@ import base64
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import new_path, written
+from cityloom.llm.store import Workspace, hot_keys, maybe_in, row_keys, spread_join
 
 _END = b"\r\n\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_MOST = 1 << 16
+_NAME = re.compile(rb"[!#$%&'*+\-.^_`|~0-9A-Za-z]*")
+_LENGTH = re.compile(rb"[0-9]{1,18}")
+_PIECE = 1 << 20
 
 
 def digest32(data: bytes) -> str:
@@ -45,33 +51,31 @@ def _digest_column(data: F.Column) -> F.Column:
     return F.translate(F.concat(*groups), digits, letters)
 
 
-def with_digests(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, payload_bytes, payload_digest, refers_to.
+def with_digests(pages: DataFrame, work: Workspace, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, html (null for revisits), payload_bytes, payload_digest, refers_to.
 
     Of equal payloads of at least least_bytes bytes, all but those with the smallest
-    page_id refer to it.  The least id is summed up in each task before the shuffle;
-    rows of a hot digest are spread over salts for the join back.
+    page_id refer to it.  Keys decide that; only rows that may be revisits are shuffled.
     """
-    salts = 16
     data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keys = pages.select("page_id", "url", "html").withColumns({"payload_bytes": F.octet_length(data).cast("long"), "payload_digest": _digest_column(data)})
+    full = pages.select("page_id", "url", "html", F.octet_length(data).cast("long").alias("payload_bytes"), _digest_column(data).alias("payload_digest"))
+    full = full.select("*", *row_keys("page_id", "payload_digest"))
+    keys = work.written(full.select("page_id", "payload_bytes", "payload_digest", "row_a", "row_b"), "warc-keys")
     first = (
-        keys.where(F.col("payload_bytes") >= least_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("payload_digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    )
-    return (
-        keys.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(salts)))
-        .join(first, ["payload_digest", "salt"], "left")
-        .withColumn("refers_to", F.when((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") > F.col("first_id")), F.col("first_id")))
-        .drop("salt", "first_id")
+        keys.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+        .where("n > 1 AND first_id IS NOT NULL").select("payload_digest", "first_id")
     )
+    held = spread_join(keys, work.written(first, "warc-firsts"), ["payload_digest"], hot_keys(keys, ["payload_digest"]))
+    again = work.written(held.where("page_id IS NULL OR page_id > first_id").select("row_a", "row_b", F.col("first_id").alias("refers_to")).distinct(), "warc-again")
+    some, rest = maybe_in(full, "row_a", again.select("row_a"), work)
+    joined = some.join(again, ["row_a", "row_b"], "left").withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
+    names = ["page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to"]
+    joined = joined.select(*names)
+    return joined if rest is None else joined.union(rest.withColumn("refers_to", F.lit(None).cast(dict(again.dtypes)["refers_to"])).select(*names))
 
 
 def record_uri(page_id: str) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), F.col(page_id).cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page_id).cast("string"), F.lit("null")), F.lit(">"))
 
 
 def record_text(pages: DataFrame) -> DataFrame:
@@ -116,54 +120,74 @@ def _open(path: str):
     return store.open_input_file(name)
 
 
-def _header(block: bytes) -> dict[str, str] | None:
-    """Fields in lower case of a header block, None unless it is one with a length."""
-    fields = {}
-    for line in block.split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            return None
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return fields if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
+class _Window:
+    """Bytes of a file from lo on, read as far as they are asked for."""
+
+    def __init__(self, file, size: int, lo: int, hi: int):
+        self.file, self.size, self.lo = file, size, lo
+        self.data = bytearray(file.read_at(min(hi, size) - lo, lo))
 
+    def more(self) -> bool:
+        at = self.lo + len(self.data)
+        piece = self.file.read_at(min(1 << 16, self.size - at), at) if at < self.size else b""
+        self.data += piece
+        return bool(piece)
 
-def candidates_of(data: bytes, base: int, until: int):
-    """(offset, successor, header, body start, body length) of places before until."""
-    for found in _MAGIC.finditer(data):
-        if base + found.start() >= until:
-            return
-        end = data.find(_END, found.start(), found.start() + _HEAD_MOST)
-        if end < 0:
-            continue
-        fields = _header(data[found.start() : end])
-        if fields:
-            size = int(fields["content-length"])
-            yield base + found.start(), base + end + 4 + size + 4, fields, base + end + 4, size
+    def header(self, at: int) -> tuple[dict[str, str], int, int] | None:
+        """Fields, start and length of the payload of a record that may begin at the file's
+        offset at; None if none can.  A line that is no field ends the search."""
+        at -= self.lo
+        while len(self.data) < at + 10 and self.more():
+            pass
+        if not _MAGIC.match(self.data, at):
+            return None
+        at, fields, name = at + 10, {}, None
+        while True:
+            while (stop := self.data.find(b"\r\n", at)) < 0:
+                named = _NAME.match(self.data, at).end()
+                known = named < len(self.data) and self.data[at:] != b"\r" and self.data[at] not in b" \t"
+                if known and self.data[named] != 58:  # a colon
+                    return None
+                if not self.more():
+                    return None
+            if stop == at:
+                break
+            line = bytes(self.data[at:stop])
+            if line[:1] in (b" ", b"\t") and name:
+                fields[name] += b" " + line.strip()
+            else:
+                named = _NAME.match(line).end()
+                if not named or line[named : named + 1] != b":":
+                    return None
+                name = line[:named].lower().decode()
+                fields[name] = line[named + 1 :].strip()
+            at = stop + 2
+        length = fields.get("content-length", b"")
+        start = self.lo + at + 2
+        if "warc-type" not in fields or not _LENGTH.fullmatch(length) or start + int(length) + 4 > self.size:
+            return None
+        return {k: v.decode("utf-8", "replace") for k, v in fields.items()}, start, int(length)
 
 
-_FIELDS = "path string, split long, offset long, successor long, length long, size long, exit long, record_type string, record_id string, refers_to string, digest string, payload_bytes long, payload_digest string"
+def candidates(file, size: int, lo: int, hi: int):
+    """(offset, successor) of the places from lo to hi where a record may begin."""
+    window = _Window(file, size, lo, hi + 9)
+    for found in list(_MAGIC.finditer(bytes(window.data))):
+        offset = lo + found.start()
+        if offset < hi and (head := window.header(offset)):
+            yield offset, head[1] + head[2] + 4
 
 
 def _scan(batches):
-    names = [x.split()[0] for x in _FIELDS.split(", ")]
-    kinds = [pa.string() if " string" in x else pa.int64() for x in _FIELDS.split(", ")]
+    """path, offset, exit: where the chain from each candidate of a split leaves it."""
     for batch in batches:
-        for path, split, lo, hi, size in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            rows = []
+        for path, lo, hi, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
             with _open(path) as file:
-                # A header may begin at the split's end; bodies that go on are read apart.
-                data = file.read_at(min(hi + _HEAD_MOST, size) - lo, lo)
-                for offset, successor, fields, start, length in candidates_of(data, lo, hi):
-                    whole = start - lo + length <= len(data)
-                    body = data[start - lo : start - lo + length] if whole else file.read_at(length, start)
-                    rows.append(
-                        [path, split, offset, successor, size, length, successor, fields["warc-type"], fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-payload-digest"), len(body), digest32(body)]
-                    )
-            at = {r[2]: i for i, r in enumerate(rows)}
-            for r in reversed(rows):  # successors are larger, so they are known already
-                if r[3] in at:
-                    r[6] = rows[at[r[3]]][6]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+                found = list(candidates(file, size, lo, hi))
+            out: dict[int, int] = {}
+            for offset, successor in reversed(found):  # successors are larger, so they are known already
+                out[offset] = out.get(successor, successor)
+            yield pa.RecordBatch.from_arrays([pa.array([path] * len(out), pa.string()), pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], ["path", "offset", "exit"])
 
 
 def splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
@@ -176,89 +200,101 @@ def splits(spark: SparkSession, path: str, split_bytes: int) -> DataFrame:
     )
 
 
-def _entries(places: DataFrame) -> DataFrame:
-    """(path, offset) where the chain from offset 0 enters each split, by pointer jumping."""
-    jump = written(places.select("path", "offset", "exit"), "warc-jump")
-    reached = jump.where("offset = 0").select("path", "offset")
-    n = jump.count()
-    width = 1
-    while width <= n:
+def _entries(places: DataFrame, work: Workspace) -> DataFrame:
+    """path, offset, exit of the places that the chain from offset 0 reaches.
+
+    Of all candidates only file starts and places that another split's chain leaves for
+    can be reached; pointer jumping over these takes as many rounds as the logarithm of
+    a file's number of splits.
+    """
+    targets = places.select("path", F.col("exit").alias("offset")).distinct()
+    nodes = work.written(places.join(targets, ["path", "offset"], "left_semi").union(places.where("offset = 0")).distinct(), "warc-nodes")
+    jump, old = nodes, None
+    reached = work.written(nodes.where("offset = 0").select("path", "offset"), "warc-reached")
+    n = reached.count()
+    while True:
         on = reached.join(jump, ["path", "offset"]).select("path", F.col("exit").alias("offset"))
-        more = on.join(jump.select("path", "offset"), ["path", "offset"], "left_semi")
-        grown = written(reached.union(more).distinct(), "warc-reached")
-        if width > 1 and grown.count() == reached.count():
-            return grown
-        reached = grown
+        grown = work.written(reached.union(on.join(nodes.select("path", "offset"), ["path", "offset"], "left_semi")).distinct(), "warc-reached")
+        work.drop(reached)
+        reached, last, n = grown, n, grown.count()
+        if n == last:
+            return reached.join(nodes, ["path", "offset"])
         far = jump.select("path", F.col("offset").alias("exit"), F.col("exit").alias("far"))
-        jump = written(
-            jump.join(far, ["path", "exit"], "left").select("path", "offset", F.coalesce("far", "exit").alias("exit")), "warc-jump"
-        )
-        width *= 2
-    return reached
+        jump = work.written(jump.join(far, ["path", "exit"], "left").select("path", "offset", F.coalesce("far", "exit").alias("exit")), "warc-jump")
+        if old is not None:
+            work.drop(old)
+        old = jump
 
 
-def read_archives(spark: SparkSession, path: str, split_bytes: int = 8 << 20, strict: bool = True) -> DataFrame:
+_FIELDS = "path string, offset long, successor long, record_type string, record_id string, refers_to string, digest string, payload_bytes long, payload_digest string"
+
+
+def _walk(batches):
+    """The records of splits from where the chain enters them."""
+    names = [x.split()[0] for x in _FIELDS.split(", ")]
+    kinds = [pa.string() if " string" in x else pa.int64() for x in _FIELDS.split(", ")]
+    for batch in batches:
+        for path, offset, hi, size in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            rows = []
+            with _open(path) as file:
+                while offset < hi:
+                    fields, start, length = _Window(file, size, offset, offset + 2048).header(offset)
+                    sha = hashlib.sha1()
+                    for at in range(start, start + length, _PIECE):
+                        sha.update(file.read_at(min(_PIECE, start + length - at), at))
+                    if file.read_at(4, start + length) != _END:
+                        raise ValueError(f"the record at {offset} of {path} doesn't end where it says")
+                    successor = start + length + 4
+                    rows.append([path, offset, successor, fields["warc-type"], *(fields.get(x) for x in ("warc-record-id", "warc-refers-to", "warc-payload-digest")), length, base64.b32encode(sha.digest()).decode()])
+                    offset = successor
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+
+def read_archives(spark: SparkSession, path: str, work: Workspace, split_bytes: int = 16 << 20) -> DataFrame:
     """The records of all archives under path: path, offset, successor, type, ids, payload digest."""
-    parts = splits(spark, path, split_bytes)
-    n = max(1, min(10_000, parts.count()))
-    parts = parts.repartition(n, "path", "split")
-    places = written(parts.mapInArrow(_scan, _FIELDS), "warc-places")
-    entries = _entries(places).withColumn("entry", F.lit(True))
-
-    marked = places.join(entries, ["path", "offset"], "left").select(*places.columns, "entry")
-
-    def chain(batches):
-        key, want = None, None
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 13)]
-            for i, (p, s, offset, successor, entry) in enumerate(zip(*columns)):
-                if (p, s) != key:
-                    key, want = (p, s), None
-                if entry or offset == want:
-                    keep[i], want = True, successor
-            yield batch.filter(pa.array(keep)).select(list(range(13)))
-
-    ordered = marked.repartition("path", "split").sortWithinPartitions("path", "split", "offset")
-    records = ordered.mapInArrow(chain, _FIELDS)
-    if not strict:
-        return records
-    records = written(records, "warc-records")
-    ends = records.groupBy("path").agg(F.max("successor").alias("last"), F.min("offset").alias("first"), F.max("length").alias("size"))
-    files = parts.select("path", "size").distinct()
-    bad = files.join(ends.drop("size"), "path", "left").where("first IS NULL OR first <> 0 OR last <> size").limit(1).collect()
+    parts = work.written(splits(spark, path, split_bytes), "warc-splits")
+    n = max(1, min(100_000, parts.count()))
+    dealt = parts.repartition(n, "path", "split")
+    places = work.written(dealt.select("path", "lo", "hi", "size").mapInArrow(_scan, "path string, offset long, exit long"), "warc-places")
+    entries = work.written(_entries(places, work), "warc-entries")
+    files = parts.where("lo = 0").select("path", "size")
+    ends = entries.groupBy("path").agg(F.max("exit").alias("last"))
+    bad = files.join(ends, "path", "left").where("last IS NULL OR last <> size").limit(1).collect()
     if bad:
         raise ValueError(f"the records of {bad[0]['path']} don't fill the file")
-    return records
+    inside = F.floor(F.col("offset") / split_bytes).cast("long")
+    begin = entries.select("path", inside.alias("split"), "offset").join(parts, ["path", "split"])
+    return begin.repartition(n, "path", "split").select("path", "offset", "hi", "size").mapInArrow(_walk, _FIELDS)
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
+def page_records(spark: SparkSession, path: str, work: Workspace) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, all read from archives.
 
     A revisit's size is that of the response it refers to, whose digest must be its own.
     """
-    page = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+)", 1).cast("long")
-    records = read_archives(spark, path).select(
-        page("record_id").alias("page_id"), "record_type", page(F.nullif("refers_to", F.lit(""))).alias("refers_to"), "digest", "payload_bytes", "payload_digest"
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, 'urn:page:(-?[0-9]+)', 1) AS BIGINT)")
+    records = read_archives(spark, path, work).select(
+        page("record_id").alias("page_id"), "record_type", page("refers_to").alias("refers_to"), F.regexp_replace("digest", "^sha1:", "").alias("digest"), "payload_bytes", "payload_digest"
     )
-    records = written(records, "warc-pages")
+    records = work.written(records, "warc-pages")
     plain = records.where("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")
     )
-    again = records.where("record_type = 'revisit'")
-    target = plain.select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("body"))
-    seen = again.join(target, "refers_to").where("digest = concat('sha1:', body)").select(
-        "page_id", F.col("size").alias("payload_bytes"), F.col("body").alias("payload_digest"), "record_type", "refers_to"
-    )
+    again = records.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("digest").alias("payload_digest"), "record_type")
+    target = plain.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").dropDuplicates(["refers_to", "payload_digest"])
+    key = ["refers_to", "payload_digest"]
+    seen = spread_join(again, target, key, hot_keys(again, key), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return plain.union(seen)
 
 
 def page_archives(pages: DataFrame) -> DataFrame:
     """Writes all pages as archives in the shared folder and reads them back."""
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
-    write_archives(with_digests(pages), path)
-    return page_records(spark, path)
+    write, read = Workspace(spark), Workspace(spark)
+    path = read.path("warc")
+    write_archives(with_digests(pages, write), path)
+    write.close()
+    return page_records(spark, path, read)
 
 
 ORACLE = """
