@@ -2,18 +2,23 @@
 
 Labels are of documents.  For training, tokens of toxic documents whose word, prefixes
 or suffix are found far more in toxic than in clean documents are labelled toxic, all
-others clean.  Half of the sample gives the evidence for the other half and the other
-way round, so the field and the final calibration see evidence as for new documents.
-
-Scoring runs forward-backward over every token of a text.  The chance that at least
-one token is toxic, after calibration, is the document's score; tokens with a marginal
-of at least one half are the offending spans, in code points of the text.
-
-The sample is bounded (``most_docs`` of each class and ``most_chars`` in all, chosen by
-a hash of doc_id).  Null, empty and blank texts score as a text without evidence.  If
+others clean.  The sample is cut into folds; each fold sees the evidence of the others,
+so the field and the final calibration see evidence as for new documents.
+
+Scoring runs forward-backward over every token of a text.  A document's score is a
+logistic function of what the marginals add up to: the chance that at least one token
+is toxic, the largest marginal, and the number of tokens, which makes up for the little
+that every clean token adds.  It is fitted with a penalty on standardised inputs, and
+documents are weighted so that classes count as often as among all labels, toxic ones
+``cost`` times (missing one is worse than losing a clean document).  Tokens with
+a marginal of at least one half are the offending spans, in code points of the text.
+
+The sample is bounded (``most_docs`` of each class and ``most_chars`` in all, in the order
+of a hash).  Null, empty and blank texts score as a text without evidence.  If
 the sample lacks a class, no word has evidence and the score is the share of toxic
 labels in the sample, 0 without any.  Labels that are null are not used; a document
-labelled twice counts once for each label.  Every row of documents gives one row.
+labelled twice counts once for each label.  Every row of documents gives one row; rows
+with equal texts get equal scores.  Memory of a task follows its longest text.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.textops import text_buffer, words
+from cityloom.llm.store import Workspace, labelled_texts
+from cityloom.llm.textops import pieces, text_buffer, words
 
 _STRIP = " \t\r\n\f\v.,;:!?\"'()[]{}<>*#%&$-_/\\|~`^+="
 _BLOCK = 64
@@ -119,7 +125,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.array([-8.0, 0.0, 0.0]))
     pairs: np.ndarray = field(default_factory=lambda: np.ones((2, 2)))
     begin: np.ndarray = field(default_factory=lambda: np.ones(2))
-    scale: float = 0.0
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(3))
     shift: float = -_CLIP
 
     def inputs(self, word: str) -> tuple[float, float]:
@@ -130,10 +136,25 @@ class Model:
     def emission(self, x: np.ndarray) -> np.ndarray:
         return self.weights[0] + x @ self.weights[1:]
 
-    def score(self, surprise: np.ndarray) -> np.ndarray:
-        """Calibrated chance from -log of the chance that no token is toxic."""
-        odds = np.log(np.expm1(np.clip(surprise, 1e-12, _CLIP)))
-        return 1 / (1 + np.exp(-np.clip(self.scale * odds + self.shift, -_CLIP, _CLIP)))
+    def score(self, facts: np.ndarray) -> np.ndarray:
+        """Calibrated chances from _facts() of documents."""
+        return 1 / (1 + np.exp(-np.clip(facts @ self.scale + self.shift, -_CLIP, _CLIP)))
+
+
+def _facts(marginal: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of texts laid end to end: log odds that any token is toxic, log odds of the largest
+    marginal, and log of the number of tokens; those of one clean token for no tokens."""
+    out = np.tile([-_CLIP, -_CLIP, 0.0], (len(sizes), 1))
+    some = np.flatnonzero(sizes)
+    if len(some):
+        begin = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        m = np.clip(marginal, 1e-12, 1 - 1e-12)
+        surprise = np.add.reduceat(-np.log1p(-m), begin)
+        top = np.maximum.reduceat(m, begin)
+        out[some, 0] = np.log(np.expm1(np.clip(surprise, 1e-12, _CLIP)))
+        out[some, 1] = np.log(top) - np.log1p(-top)
+        out[some, 2] = np.log(sizes[some])
+    return np.clip(out, -_CLIP, _CLIP)
 
 
 class _Sample:
@@ -192,19 +213,43 @@ def _field(x: np.ndarray, y: np.ndarray, first: np.ndarray, rounds: int = 40) ->
     return theta[:3], np.exp(np.array([[0.0, theta[3]], [theta[4], theta[5]]])), np.ones(2)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a one-dimensional logistic fit (Newton, slight ridge)."""
-    w = np.array([1.0, 0.0])
-    a = np.stack([x, np.ones(len(x))], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -_CLIP, _CLIP)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([1e-2, 1e-2])
-        w = w - np.linalg.solve(h, a.T @ (p - y) + 1e-2 * (w - [1.0, 0.0]))
-    return max(0.0, float(w[0])), float(w[1])
-
-
-def fit(texts: list[str], labels: list[int], least: int = 2, most_tokens: int = 150_000) -> Model:
-    """A model from whole labelled texts (see the module's text).
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Scales and shift of a penalised logistic fit: Newton steps on standardised inputs,
+    halved until the loss falls.  Scales have no sign against their meaning (the first
+    two inputs don't lower a score)."""
+    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    a = np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], axis=1)
+    penalty = ridge * np.append(np.ones(x.shape[1]), 1e-6)
+    free = np.ones(a.shape[1], dtype=bool)
+
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, np.where(y > 0, -1, 1) * (a @ w)) + 0.5 * penalty @ w**2)
+
+    while True:
+        w = np.zeros(a.shape[1])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -_CLIP, _CLIP)))
+            slope = (a.T @ (weight * (p - y)) + penalty * w)[free]
+            curve = (a.T @ (a * (weight * p * (1 - p))[:, None]) + np.diag(penalty))[np.ix_(free, free)]
+            step, now, size = np.zeros(len(w)), loss(w), 1.0
+            step[free] = np.linalg.solve(curve, slope)
+            while loss(w - size * step) > now and size > 1e-6:
+                size /= 2
+            w = w - size * step
+            if size * np.abs(step).max() < 1e-8:
+                break
+        wrong = np.flatnonzero((w[:2] < 0) & free[:2])
+        if not len(wrong):
+            break
+        free[wrong] = False
+    scale = w[:-1] / spread
+    return scale, float(w[-1] - mean @ scale)
+
+
+def fit(texts: list[str], labels: list[int], totals: tuple[int, int] | None = None, least: int = 2, most_tokens: int = 150_000, folds: int = 5, cost: float = 5.0) -> Model:
+    """A model from whole labelled texts (see the module's text); totals: how many labels
+    of either class there are in all; cost: how many clean documents wrongly called toxic
+    are as bad as a toxic one that is missed.
 
     The field's weights come from the first documents up to most_tokens tokens, the
     evidence and the calibration from all.
@@ -216,13 +261,13 @@ def fit(texts: list[str], labels: list[int], least: int = 2, most_tokens: int =
         model.shift = math.log(max(share, 1e-12) / max(1 - share, 1e-12))
         return model
     sample = _Sample(texts)
-    half = np.arange(len(texts)) % 2
-    parts = [sample.inputs(sample.evidence(np.flatnonzero(half == 1 - h), labels, least)) for h in (0, 1)]
+    of = np.arange(len(texts)) % folds
+    parts = [sample.inputs(sample.evidence(np.flatnonzero(of != h), labels, least)) for h in range(folds)]
 
     def rows(d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs of a document's tokens by the other half's evidence, and their labels: at
+        """Inputs of a document's tokens by the other folds' evidence, and their labels: at
         most a third off the document's strongest evidence, and clear by itself."""
-        x = parts[half[d]][sample.tokens[d]]
+        x = parts[of[d]][sample.tokens[d]]
         return x, (x[:, 0] >= max(1.5, 0.67 * x[:, 0].max(initial=0.0))) if labels[d] else np.zeros(len(x), dtype=bool)
 
     used = [d for d in range(len(texts)) if len(sample.tokens[d])]
@@ -236,15 +281,15 @@ def fit(texts: list[str], labels: list[int], least: int = 2, most_tokens: int =
         model.shift = math.log(labels.mean() / (1 - labels.mean()))
         return model
     model.weights, model.pairs, model.begin = _field(x, y.astype(float), _firsts([len(sample.tokens[d]) for d in some]))
-    surprise = np.zeros(len(texts))
+    facts = _facts(np.zeros(0), np.zeros(len(texts), dtype=np.int64))
     sizes = np.array([len(sample.tokens[d]) for d in used])
     for part in np.split(np.arange(len(used)), np.flatnonzero(np.diff(np.cumsum(sizes) // 50_000)) + 1):  # bounded arrays
         x = np.concatenate([rows(used[i])[0] for i in part])
         marginal, _ = forward_backward(model.emission(x), _firsts(sizes[part].tolist()), model.pairs, model.begin)
-        loss = -np.log1p(-np.minimum(marginal, 1 - 1e-12))
-        surprise[[used[i] for i in part]] = np.add.reduceat(loss, np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
-    odds = np.log(np.expm1(np.clip(surprise, 1e-12, _CLIP)))
-    model.scale, model.shift = _logistic(odds, labels.astype(float))
+        facts[[used[i] for i in part]] = _facts(marginal, sizes[part])
+    counts = np.bincount(labels, minlength=2)
+    share = np.array(totals if totals and min(totals) > 0 else counts) / counts * np.array([1.0, cost])
+    model.scale, model.shift = _logistic(facts, labels.astype(float), (share / (share @ counts) * len(labels))[labels])
     final = sample.evidence(np.arange(len(texts)), labels, least)
     model.evidence = {sample.names[i]: float(final[i]) for i in np.flatnonzero(final)}
     return model
@@ -256,21 +301,21 @@ def _firsts(sizes: list[int]) -> np.ndarray:
     return first
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 1000, most_chars: int = 4_000_000) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most most_docs documents of each class, most_chars in all.
+def labelled_sample(documents: DataFrame, labels: DataFrame, most_docs: int = 1000, most_chars: int = 4_000_000) -> tuple[list[str], list[int], tuple[int, int]]:
+    """Texts and labels of at most most_docs documents of each class, most_chars characters
+    in all, and how many usable labels of either class there are.
 
     Only rows whose crc32 of doc_id modulo 5 is not 0 are taken; they come in the
-    order of a hash of doc_id, so the sample doesn't depend on the layout of files.
+    order of a hash, so the sample doesn't depend on the layout of files.
     """
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1) AND crc32(CAST(doc_id AS STRING)) % 5 <> 0").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    chosen = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs) for v in (0, 1)]
-    picked = chosen[0].union(chosen[1])
-    sample = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    mean = sample.agg(F.sum(F.length("text")).alias("c"), F.count("*").alias("n")).first()
-    keep = min(1.0, most_chars / max(1, mean.c or 1))
-    sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000))
-    rows = sorted(sample.collect(), key=lambda r: (r.doc_id, r.toxic))
-    return [r.text for r in rows], [r.toxic for r in rows]
+    totals = usable.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
+    rows = []
+    for v in (0, 1):  # half of the characters for each class
+        picked = usable.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+        rows += labelled_texts(documents.select("doc_id", "text"), picked, most_chars // 2)
+    rows.sort(key=lambda r: (r.doc_id, r.toxic))
+    return [r.text for r in rows], [r.toxic for r in rows], tuple(totals)
 
 
 # ---------------------------------------------------------------- scoring
@@ -314,7 +359,7 @@ class Scorer:
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
         n = len(column)
-        surprise, spans = np.zeros(n), [[] for _ in range(n)]
+        facts, spans = _facts(np.zeros(0), np.zeros(n, dtype=np.int64)), [[] for _ in range(n)]
         data, byte_offsets = text_buffer(column)
         for row, hashes, offsets, starts, ends in words(column):
             if not len(hashes):
@@ -325,8 +370,7 @@ class Scorer:
             first = np.zeros(len(hashes), dtype=bool)
             first[offsets[:-1][np.diff(offsets) > 0]] = True
             marginal, _ = forward_backward(self.model.emission(x), first, self.model.pairs, self.model.begin)
-            loss = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.minimum(marginal, 1 - 1e-12)))])
-            surprise[row : row + len(offsets) - 1] = loss[offsets[1:]] - loss[offsets[:-1]]
+            facts[row : row + len(offsets) - 1] = _facts(marginal, np.diff(offsets))
             hot = np.flatnonzero(marginal >= 0.5)
             owner = np.searchsorted(offsets, hot, side="right") - 1
             for r in np.unique(owner):
@@ -334,7 +378,7 @@ class Scorer:
                 lo = int(byte_offsets[row + r])
                 text = data[lo : int(byte_offsets[row + r + 1])].tobytes()
                 spans[row + r] = _spans(text, starts[mine] + base - lo, ends[mine] + base - lo, marginal[mine])
-        return self.model.score(surprise), spans
+        return self.model.score(facts), spans
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
@@ -343,11 +387,12 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa
 def tagged(documents: DataFrame, model: Model) -> DataFrame:
     """documents with _score double and _spans array<struct<start, end, p>>, which replace
     columns of these names."""
+    shared = Workspace(documents.sparkSession).share(model)
     documents = documents.drop("_score", "_spans")
 
     def run(batches):
-        scorer = Scorer(model)
-        for batch in batches:
+        scorer = Scorer(shared.value)
+        for batch in pieces(batches):
             score, spans = scorer.score(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(spans, _SPAN)], [*batch.schema.names, "_score", "_spans"])
 
