@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import written
-from cityloom.llm.textops import shingles, words
+from cityloom.llm.store import Workspace
+from cityloom.llm.textops import pieces, shingles, words
 
+EFFECTIVE = 30.0
 _BITS = 14
 _SIZE = 2 << _BITS
 
@@ -42,7 +43,7 @@ def bucket_counts(texts: DataFrame) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(_SIZE, dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             for _, _, buckets, _ in _features(batch.column(0)):
                 total += np.bincount(buckets, minlength=_SIZE)
         some = np.flatnonzero(total)
@@ -59,11 +60,12 @@ def _log_shares(counts: np.ndarray) -> np.ndarray:
     return np.log(parts / parts.sum(axis=1, keepdims=True)).ravel()
 
 
-def log_weights(documents: DataFrame, ratio: np.ndarray, effective: float) -> DataFrame:
-    """doc_id and log_weight of every row."""
+def log_weights(documents: DataFrame, shared, effective: float) -> DataFrame:
+    """doc_id and log_weight of every row; shared: a broadcast of the buckets' log ratios."""
 
     def run(batches):
-        for batch in batches:
+        ratio = shared.value
+        for batch in pieces(batches):
             out = np.full(batch.num_rows, -effective)
             for first, n, buckets, row in _features(batch.column(1)):
                 count = np.bincount(row, minlength=n)
@@ -106,27 +108,32 @@ def target_sample(documents: DataFrame, labels: DataFrame, target: str, most_doc
     return documents.join(F.broadcast(picked), "doc_id", "left_semi").select("text")
 
 
+def gumbel(seed: int | F.Column, *columns: str) -> F.Column:
+    """Standard Gumbel noise, a hash of the columns and seed."""
+    uniform = (F.pmod(F.xxhash64(*columns, F.lit(seed) if isinstance(seed, int) else seed), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(uniform))
+
+
 def resampled(
     documents: DataFrame,
     labels: DataFrame,
     target: str = "quality = 1",
     share: float | None = None,
-    slack: float = 0.02,
-    effective: float = 400.0,
+    effective: float = EFFECTIVE,
     most_docs: int = 4000,
     seed: int = 11,
 ) -> DataFrame:
     """doc_id, log_weight, gumbel_key of the sampled rows.
 
-    share: part of the rows to draw; None takes the target's share of the labels and
-    slack more, so that an estimate a little too low doesn't cost good documents.
+    share: part of the rows to draw; None takes the target's share of the labels.
     """
+    work = Workspace(documents.sparkSession)
     goal, raw = bucket_counts(target_sample(documents, labels, target, most_docs)), bucket_counts(documents)
     ratio = _log_shares(goal) - _log_shares(raw) if goal.any() else np.zeros(_SIZE)
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    keys = written(log_weights(documents, ratio, effective).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))), "resampling")
+    weighed = log_weights(documents, work.share(ratio), effective)
+    keys = work.written(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "doc_id")), "resampling")
     if share is None:
         found = labels.agg(F.avg(F.expr(f"CASE WHEN {target} THEN 1.0D ELSE 0.0D END"))).first()[0]
-        share = 1.0 if found is None else min(1.0, found + slack)
+        share = 1.0 if found is None else found
     k = int(np.ceil(share * keys.count()))
     return top_k(keys, "gumbel_key", "doc_id", k)
