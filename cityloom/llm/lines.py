@@ -1,24 +1,22 @@
-"""Line dedup: repeated passages of lines, or content-defined chunks of them.
-
-Passages (``without_passages``, which op4 uses): every two lines that follow each other
-and every single line of at least ``long_line`` words is
-looked up in all texts by a 128-bit digest of its bytes, so every repeated passage is
-found whatever stands around it.  Its first place (smallest doc_id, then place in the
-text) stays whole; elsewhere its lines go, but for
-those that are part of another passage's first place.
-
-Chunks (``deduplicated``) move fewer rows but find only passages that hold a whole chunk.
-
-Lines end at line feeds.  A boundary stands after a line where a rolling hash of it
-and the line before it falls in one of ``spread`` classes, so chunks find back into
-step after lines put in or taken out.  Chunks of at least ``least_lines`` lines that
-occur again anywhere are removed everywhere but at their first place (smallest doc_id,
-then place in the text), after their bytes were compared with those of the first.
-
-Hashes of all chunks are counted; bytes are moved only for chunks whose hash repeats
-(and the few that a bit set of bounded size lets through).  A null doc_id comes after
-all others.  Null texts stay null and empty ones empty.  Repeated rows with equal
-doc_id and text count as one place, so they end up equal.  Extra columns stay.
+"""Line dedup: content-defined chunks of lines that repeat anywhere are removed.
+
+Lines end at line feeds (a missing one at the end counts as there).  A boundary stands
+after a line where a rolling hash of it and the line before it falls in one of
+``spread`` classes, so chunks find back into step after lines put in or taken out.
+Such chunks hold at least ``least_lines`` lines.  A repeated passage of few lines often
+holds no whole chunk, so the shortest passages are units of their own: every two lines
+that follow each other and every line of at least ``long_line`` words (windows=True).
+With them every repeated passage of two lines, or of one long line, is found whatever
+stands around it; without them only those that hold a whole chunk.
+
+Units are looked up in all texts by 128-bit digests.  The first place of a unit
+(smallest doc_id, then row, then place in the text) stays; elsewhere its lines go, but for
+lines that belong to another unit's first place.  Before that the bytes of all places of
+a unit are compared: a unit whose places differ stays everywhere.
+
+A null doc_id comes after all others.  Null texts stay null and empty ones empty.
+Repeated rows with equal doc_id and text count as one place, so they end up equal.
+Extra columns stay.  Memory of a task follows its longest text.
 """
 
 from __future__ import annotations
@@ -30,196 +28,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import written
-from cityloom.llm.textops import _MULT, _TABLES, _powers, mix64, text_buffer
+from cityloom.llm.store import Workspace, bit_set, may_hold, maybe_in, row_keys, spread_join
+from cityloom.llm.textops import pieces
 
 _LAST = (1 << 63) - 1
 
 
-def line_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines of a text's bytes (a line keeps its line feed) and their ends."""
-    ends = np.flatnonzero(text == 10) + 1
-    if not len(ends) or ends[-1] != len(text):
-        ends = np.append(ends, len(text))
-    starts = np.concatenate([[0], ends[:-1]])
-    up, down = _powers(len(text))
-    sums = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(_TABLES[False][text] * up[: len(text)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), ends
-
-
-def chunks(text: np.ndarray, spread: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First lines of the chunks (with the number of lines last), hashes, and line ends."""
-    lines, ends = line_hashes(text)
-    rolled = mix64(np.concatenate([lines[:1] * _MULT, lines[:-1] * _MULT])[: len(lines)] + lines)
-    cut = np.flatnonzero(rolled % np.uint64(spread) == 0) + 1
-    firsts = np.unique(np.concatenate([[0], cut, [len(lines)]]))
-    place = np.arange(len(lines), dtype=np.uint64) - np.repeat(firsts[:-1], np.diff(firsts)).astype(np.uint64)
-    sums = np.add.reduceat(mix64(lines + place * _MULT), firsts[:-1])
-    return firsts, mix64(sums + np.diff(firsts).astype(np.uint64)), ends
-
-
-def _each(column: pa.Array, spread: int, least_lines: int):
-    """(row, chunk number, hash, bytes) of every chunk of enough lines."""
-    data, offsets = text_buffer(column)
-    for r in range(len(offsets) - 1):
-        text = data[offsets[r] : offsets[r + 1]]
-        if not len(text):
-            continue
-        firsts, hashes, ends = chunks(text, spread)
-        starts = np.concatenate([[0], ends])[firsts]
-        for c in np.flatnonzero(np.diff(firsts) >= least_lines):
-            yield r, int(c), hashes[c], text[starts[c] : starts[c + 1]]
-
-
-def _places(documents: DataFrame, spread: int, least_lines: int, mask: np.ndarray | None) -> DataFrame:
-    """node, doc_id, place, hash of chunks; with mask, only of those in it and with body."""
-    bits = 0 if mask is None else 32 * len(mask)
+def split_lines(text: bytes) -> list[bytes]:
+    """Lines without their line feeds."""
+    parts = text.split(b"\n")
+    if not parts[-1]:
+        parts.pop()
+    return parts
 
-    def run(batches):
-        for batch in batches:
-            nodes, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = []
-            for r, c, h, body in _each(batch.column(2), spread, least_lines):
-                if mask is not None:
-                    spot = int(h) % bits
-                    if not (int(mask[spot >> 5]) >> (spot & 31)) & 1:
-                        continue
-                out.append((nodes[r], ids[r], c, int(np.uint64(h).astype(np.int64)), body.tobytes() if mask is not None else None))
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names)
-
-    names = ["node", "doc_id", "place", "hash", "body"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    rows = documents.select(F.xxhash64("doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "text")
-    return rows.mapInArrow(run, "node long, doc_id long, place int, hash long, body binary")
-
-
-def _mask(hashes: DataFrame, most_bits: int = 1 << 26) -> np.ndarray:
-    """A bit set of at most 8 MB over the column hash."""
-    n, bits = hashes.count(), 1 << 16
-    while bits < min(most_bits, 16 * n):
-        bits *= 2
-    found = (
-        hashes.selectExpr(f"hash & {bits - 1} AS at").selectExpr("shiftright(at, 5) AS word", "shiftleft(1L, CAST(at & 31 AS INT)) AS bit")
-        .groupBy("word").agg(F.bit_or("bit").alias("mask")).toPandas()
-    )
-    out = np.zeros(bits // 32, dtype=np.int64)
-    out[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64)
-    return out
 
+def chunks(lines: list[bytes], spread: int = 3) -> list[int]:
+    """First lines of the chunks, and the number of lines last."""
+    hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines]
+    cuts = [i + 1 for i in range(len(lines)) if (3 * hashes[i - 1] * (i > 0) + hashes[i]) % (1 << 64) % (spread << 20) >> 20 == 0]
+    return sorted({0, *cuts, len(lines)})
 
-def repeated_chunks(documents: DataFrame, spread: int = 3, least_lines: int = 2) -> DataFrame:
-    """node, gone: the numbers of the chunks that go, for each text that loses some."""
-    places = written(_places(documents, spread, least_lines, None).drop("body"), "line-places")
-    first = (
-        places.groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "node", "place")).alias("first"), F.max(F.struct("doc_id", "node", "place")).alias("last"))
-        .where("first <> last").select("hash", "first")
-    )
-    first = written(first, "line-firsts")
-    bodies = written(_places(documents, spread, least_lines, _mask(first.select("hash"))), "line-bodies")
-    held = bodies.join(first, "hash").withColumn("is_first", F.struct("doc_id", "node", "place") == F.col("first"))
-    model = held.where("is_first").select("hash", F.col("body").alias("model")).dropDuplicates(["hash"])
-    again = bodies.join(first, "hash").where(F.struct("doc_id", "node", "place") != F.col("first")).select("hash", "node", "place", "body")
-    gone = again.join(model, "hash").where("body = model").select("node", "place")
-    return gone.groupBy("node").agg(F.collect_set("place").alias("gone"))
-
-
-def deduplicated(documents: DataFrame, spread: int = 3, least_lines: int = 2) -> DataFrame:
-    """documents with repeated chunks removed from text, and _removed_chunks int (which,
-    like _node, replaces a column of that name)."""
-    documents = documents.drop("_removed_chunks", "_node")
-    gone = repeated_chunks(documents, spread, least_lines)
-    joined = documents.withColumn("_node", F.xxhash64("doc_id", "text")).join(gone.withColumnRenamed("node", "_node"), "_node", "left").drop("_node")
-    at = documents.columns.index("text")
-    width = len(documents.columns)
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column(at)
-            texts, removed = column.to_pylist(), np.zeros(batch.num_rows, dtype=np.int32)
-            data, offsets = text_buffer(column)
-            for r, out in enumerate(batch.column(width).to_pylist()):
-                if out:
-                    text = data[offsets[r] : offsets[r + 1]]
-                    firsts, _, ends = chunks(text, spread)
-                    starts = np.concatenate([[0], ends])[firsts]
-                    keep = np.setdiff1d(np.arange(len(firsts) - 1), out)
-                    texts[r] = b"".join(text[starts[c] : starts[c + 1]].tobytes() for c in keep).decode("utf-8", "replace")
-                    removed[r] = len(out)
-            columns = list(batch.columns[:width])
-            columns[at] = pa.array(texts, column.type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], [*batch.schema.names[:width], "_removed_chunks"])
+def units(text: bytes, spread: int, least_lines: int, long_line: int, windows: bool) -> tuple[list[tuple[int, int]], list[bytes]]:
+    """(first line, number of lines) of each unit of a text, and its lines."""
+    lines = split_lines(text)
+    out = []
+    if len(lines) >= least_lines:
+        edges = chunks(lines, spread)
+        out = [(a, b - a) for a, b in zip(edges, edges[1:]) if b - a >= least_lines and not (windows and b - a == 2)]
+    if windows:
+        out += [(i, 2) for i in range(len(lines) - 1)]
+        out += [(i, 1) for i, x in enumerate(lines) if len(x) >= 2 * long_line - 1 and len(x.split()) >= long_line]
+    return out, lines
+
+
+_DIGEST = {"digest_size": 16}
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return joined.mapInArrow(run, f"{kinds}, _removed_chunks int")
 
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(*row_keys("doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
 
-def _passages(documents: DataFrame, long_line: int) -> DataFrame:
-    """node, doc_id, place, high, low (a digest) of all line pairs (place 2 i for lines i
-    and i + 1) and long lines (place 2 i + 1).  The last line's missing line feed counts
-    as there."""
+
+def _places(documents: DataFrame, options: tuple) -> DataFrame:
+    """row_a, row_b, doc_id, place (first line and number of lines), high, low (a digest) of all units."""
 
     def run(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
+        for batch in pieces(batches):
             rows, places, digests = [], [], []
-            for r in range(len(offsets) - 1):
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
-                parts = text.split(b"\n")
-                if not parts[-1]:
-                    parts.pop()
-                for i, line in enumerate(parts):
-                    if len(line) >= 2 * long_line - 1 and len(line.split()) >= long_line:
-                        rows.append(r)
-                        places.append(2 * i + 1)
-                        digests.append(hashlib.blake2b(line, digest_size=16).digest())
-                    if i + 1 < len(parts):
+            for r, text in enumerate(batch.column(3).cast(pa.large_binary()).to_pylist()):
+                if text:
+                    found, lines = units(text, *options)
+                    for first, n in found:
                         rows.append(r)
-                        places.append(2 * i)
-                        digests.append(hashlib.blake2b(line + b"\n" + parts[i + 1], digest_size=16, person=b"pair").digest())
+                        places.append(first << 32 | n)
+                        digests.append(hashlib.blake2b(b"\n".join(lines[first : first + n]), **_DIGEST).digest())
             at = pa.array(rows, pa.int64())
             words = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())],
-                ["node", "doc_id", "place", "high", "low"],
-            )
-
-    rows = documents.select(F.xxhash64("doc_id", "text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "text")
-    return rows.mapInArrow(run, "node long, doc_id long, place int, high long, low long")
-
-
-def repeated_passages(documents: DataFrame, long_line: int = 50) -> DataFrame:
-    """node, gone and held: the passages that go, and the first places of repeated ones,
-    for each text that has any."""
-    places = written(_passages(documents, long_line), "line-passages")
-    at = F.struct("doc_id", "node", "place")
-    first = places.groupBy("high", "low").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("high", "low", "first")
-    found = places.join(written(first, "line-firsts"), ["high", "low"]).select("node", "place", (at == F.col("first")).alias("is_first"))
-    return found.groupBy("node").agg(
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), pa.array(places, pa.int64()), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())], names)
+
+    names = ["row_a", "row_b", "doc_id", "place", "high", "low"]
+    return _rows(documents).mapInArrow(run, "row_a long, row_b long, doc_id long, place long, high long, low long")
+
+
+def _differing(documents: DataFrame, firsts: DataFrame, options: tuple, work: Workspace) -> DataFrame:
+    """high, low of repeated units whose places don't all have the same bytes.
+
+    A task compares the places of a batch and passes on each body once; a unit's least
+    and greatest body differ just where any two do.
+    """
+    held = bit_set(firsts.select("high"), "high", work)
+
+    def run(batches):
+        for batch in pieces(batches):
+            known: set[tuple[bytes, bytes]] = set()
+            for text in batch.column(0).cast(pa.large_binary()).to_pylist():
+                if not text:
+                    continue
+                found, lines = units(text, *options)
+                bodies = [b"\n".join(lines[first : first + n]) for first, n in found]
+                digests = [hashlib.blake2b(x, **_DIGEST).digest() for x in bodies]
+                keep = np.ones(len(bodies), dtype=bool)
+                if held is not None:
+                    keep = may_hold(held.value, np.frombuffer(b"".join(digests), dtype="<i8")[::2])
+                known.update((digests[i], bodies[i]) for i in np.flatnonzero(keep))
+            keys = np.frombuffer(b"".join(d for d, _ in known), dtype="<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([b for _, b in known], pa.binary())], ["high", "low", "body"])
+
+    bodies = documents.select("text").mapInArrow(run, "high long, low long, body binary")
+    if held is None:
+        bodies = bodies.join(firsts.select("high", "low"), ["high", "low"], "left_semi")
+    return bodies.groupBy("high", "low").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("high", "low")
+
+
+def repeated_units(documents: DataFrame, options: tuple, work: Workspace) -> DataFrame:
+    """row_a, row_b, doc_id, gone and held: the places that go, and the first places of
+    repeated units, for each text that has any that go (a table of work)."""
+    places = work.written(_places(documents, options), "line-places")
+    at = F.struct("doc_id", "row_a", "row_b", "place")
+    first = places.groupBy("high", "low").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = work.written(first.select("high", "low", "first", "n"), "line-firsts")
+    wrong = work.written(_differing(documents, first, options, work), "line-differing")
+    right = first.join(wrong, ["high", "low"], "left_anti").select("high", "low", "first")
+    much = max(1000, places.count() // 1000)  # so at most a thousand are hot
+    hot = first.where(F.col("n") > much).select("high", "low")
+    found = spread_join(places, right, ["high", "low"], hot).select("row_a", "row_b", "doc_id", "place", (at == F.col("first")).alias("is_first"))
+    out = found.groupBy("row_a", "row_b", "doc_id").agg(
         F.collect_set(F.when(~F.col("is_first"), F.col("place"))).alias("gone"), F.collect_set(F.when(F.col("is_first"), F.col("place"))).alias("held")
     ).where("size(gone) > 0")
+    out = work.written(out, "line-gone")
+    work.close(out)
+    return out
 
 
-def without_passages(documents: DataFrame, long_line: int = 50) -> DataFrame:
-    """documents with repeated passages removed from text, and _removed_chunks int: the
-    runs of lines removed (which, like _node, replaces a column of that name)."""
-    documents = documents.drop("_removed_chunks", "_node")
-    found = repeated_passages(documents, long_line).withColumnRenamed("node", "_node")
-    joined = documents.withColumn("_node", F.xxhash64("doc_id", "text")).join(found, "_node", "left").drop("_node")
+def deduplicated(documents: DataFrame, spread: int = 3, least_lines: int = 2, long_line: int = 50, windows: bool = True) -> DataFrame:
+    """documents with repeated units removed from text, and _removed_chunks int: the runs of
+    lines removed (columns of that name and _row_a, _row_b, _id, _maybe, gone and held are replaced)."""
+    documents = documents.drop("_removed_chunks", "_row_a", "_row_b", "_id", "_maybe", "gone", "held")
+    found = repeated_units(documents, (spread, least_lines, long_line, windows), Workspace(documents.sparkSession))
+    found = found.withColumnsRenamed({"row_a": "_row_a", "row_b": "_row_b", "doc_id": "_id"})
+    keys = dict(zip(("_row_a", "_row_b"), row_keys("doc_id", "text"))) | {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))}
+    some, rest = maybe_in(documents.withColumns(keys), "_row_a", found.select("_row_a"), Workspace(documents.sparkSession))
+    joined = some.join(found, list(keys), "left")
+    if rest is not None:
+        kind = "array<bigint>"
+        joined = joined.unionByName(rest.withColumns({"gone": F.lit(None).cast(kind), "held": F.lit(None).cast(kind)}))
+    joined = joined.select(*documents.columns, "gone", "held")
     at = documents.columns.index("text")
     width = len(documents.columns)
 
     def covered(places: list[int], size: int) -> np.ndarray:
-        places = np.array(places, dtype=np.int64)
-        out = np.zeros(size + 1, dtype=bool)
-        out[places >> 1] = True
-        out[(places[places & 1 == 0] >> 1) + 1] = True
-        return out[:size]
+        out = np.zeros(size, dtype=bool)
+        for place in places:
+            out[place >> 32 : (place >> 32) + (place & 0xFFFFFFFF)] = True
+        return out
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             column = batch.column(at)
             texts, removed = column.to_pylist(), np.zeros(batch.num_rows, dtype=np.int32)
             gone, held = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
@@ -240,7 +184,7 @@ def without_passages(documents: DataFrame, long_line: int = 50) -> DataFrame:
 
 def line_report(documents: DataFrame) -> DataFrame:
     """doc_id, kept_chars, removed_chunks (runs of lines) and the digest of the remaining text of every row."""
-    out = without_passages(documents.select("doc_id", "text"))
+    out = deduplicated(documents.select("doc_id", "text"))
     return out.select(
         "doc_id", F.length("text").cast("long").alias("kept_chars"), F.col("_removed_chunks").alias("removed_chunks"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256")
     )
