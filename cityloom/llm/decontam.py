@@ -1,34 +1,39 @@
-"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
-All pairs of neighbouring words of the benchmark items are looked up in every whole
-text; none is left out for being common.  Pairs put item and text on a diagonal.  Where
-diagonals less than an item's length apart hold at least a sixth of the item's pairs, and
-the stretch of text around them holds enough of its words, that stretch is aligned with
-the item by words; the local score over the item's best possible one is the similarity.
-Pairs of at least ``least_score`` are reported.
+The seeds of a benchmark item are its pairs of neighbouring words but for a twelfth that
+is commonest in the documents (pairs are counted over all of them).  Seeds put item and text on a diagonal.  Where
+diagonals less than an item's length apart hold enough seeds, and the stretch of text
+around them holds enough of the item's words, that stretch is aligned with the item by
+words; the local score over the item's best possible one is the similarity.  Pairs of at
+least ``least_score`` are reported.
 
 A copy of L words with words replaced or left out that scores 0.5 keeps at least
-L / 3 - 1 of its pairs, which is no less than a sixth from four words on; shorter items
-are looked up by single words.  So only a copy with words put in at more than two thirds
-of its places can score 0.5 and be missed.
+L / 3 - 1 of its pairs, which is no less than a sixth of them from four words on, so at
+least as many seeds as that less those dropped; shorter items are looked up by single
+words.  So only a copy with words put in at more than two thirds of its places can score
+0.5 and be missed.
 
 Items are broadcast in blocks of bounded size; every block meets all documents, so a
-large benchmark takes more passes and not more memory.  Rows are handled one by one:
-no shuffle of texts, no grouping.
-
-Null, empty and blank texts match nothing, nor do items without words.  Repeated documents each report their matches;
-repeated items are items of their own.  Case, ASCII white space and ASCII punctuation
-don't matter.
+large benchmark takes more passes and not more memory.  Rows are handled one by one: no
+shuffle of texts, no grouping.  Memory of a task follows its longest text.
+
+Null, empty and blank texts match nothing, nor do items without words.  Repeated
+documents each report their matches, whatever their doc_id; repeated items are items of
+their own.  Of equal scores in a text the first stretch counts; equally common pairs
+go by hash.  Case, ASCII white space and ASCII punctuation don't matter.  Extra columns
+stay in ``decontaminated`` and are ignored in ``contaminated``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.textops import shingles, words
+from cityloom.llm.store import Workspace
+from cityloom.llm.textops import pieces, shingles, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -69,9 +74,9 @@ class Items:
     """A block of benchmark items: their words, n-grams and seeds."""
 
     def __init__(self, rows: list, n: int):
-        self.ids = [r.item_id for r in rows]
+        self.n, self.ids = n, [r.item_id for r in rows]
         self.words, grams, owner, place = [], [], [], []
-        for first, hashes, offsets, _, _ in words(pa.array([r.text for r in rows], pa.string()), punctuation=True):
+        for first, hashes, offsets, _, _ in words(pc.utf8_lower(pa.array([r.text for r in rows], pa.string())), punctuation=True):
             found, cuts = shingles(hashes, offsets, n)
             for r in range(len(offsets) - 1):
                 self.words.append(hashes[offsets[r] : offsets[r + 1]])
@@ -79,8 +84,28 @@ class Items:
                 owner.append(np.full(len(grams[-1]), first + r))
                 place.append(np.arange(len(grams[-1])))
         grams, owner, place = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (grams, owner, place))
+        self._set(grams.astype(np.uint64), owner, place)
+        self.lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.needs = np.ones(len(self.words), dtype=np.int64)
+
+    def _set(self, grams: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
         by = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[by].astype(np.uint64), owner[by], place[by]
+        self.grams, self.owner, self.place = grams[by], owner[by], place[by]
+
+    def seed(self, counts: dict[int, int], least_score: float) -> Items:
+        """Keeps the rarest n-grams of every item, and how many of them a match must have."""
+        score = min(least_score, 0.5)
+        share = max(0.0, 4 * score - 1) / 6 if self.n > 1 else score
+        needs = np.maximum(1, np.ceil(self.lengths * share - 1e-9).astype(np.int64))
+        dropped = needs // 2 if self.n > 1 else np.zeros_like(needs)
+        common = np.array([counts.get(int(g), 0) for g in self.grams], dtype=np.int64)
+        by = np.lexsort((self.grams, -common, self.owner))
+        owner = self.owner[by]
+        rank = np.arange(len(by)) - np.searchsorted(owner, owner, side="left")
+        kept = np.sort(by[rank >= dropped[owner]])
+        self._set(self.grams[kept], self.owner[kept], self.place[kept])
+        self.needs = needs - dropped
+        return self
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in grams and in this block's sorted n-grams, for all equal pairs."""
@@ -90,6 +115,28 @@ class Items:
         inner = np.arange(int(reps.sum())) - np.repeat(np.cumsum(reps) - reps, reps)
         return np.repeat(some, reps), np.repeat(low[some], reps) + inner
 
+    def matches(self, hashes: np.ndarray, offsets: np.ndarray, least_score: float):
+        """(row, item, score, start, end) of all matches of a segment of texts."""
+        grams, cuts = shingles(hashes, offsets, self.n)
+        spot, seed = self.hits(grams)
+        row, owner = np.searchsorted(cuts, spot, side="right") - 1, self.owner[seed]
+        best: dict[int, tuple[int, int, int]] = {}
+        n = max(1, len(self.lengths))
+        for pair, lo, hi in _dense(row * n + owner, spot - cuts[row] - self.place[seed], self.needs[owner], self.lengths[owner]):
+            r, o = divmod(pair, n)
+            item, text = self.words[o], hashes[offsets[r] : offsets[r + 1]]
+            a, b = max(0, lo - len(item)), min(len(text), hi + 2 * len(item))
+            if np.isin(item, text[a:b]).sum() < least_score * len(item):
+                continue  # too few matches for the score
+            score, start, end = align(item, text[a:b])
+            if score > best.get(pair, (0, 0, 0))[0]:
+                best[pair] = (score, a + start, a + end)
+        for pair, (score, start, end) in sorted(best.items()):
+            r, o = divmod(pair, n)
+            share = score / (MATCH * len(self.words[o]))
+            if share >= least_score:
+                yield r, self.ids[o], share, start, end
+
 
 def _dense(pair: np.ndarray, diagonal: np.ndarray, need: np.ndarray, width: np.ndarray) -> list[tuple[int, int, int]]:
     """(pair, lowest, highest diagonal) of groups with need hits on diagonals within width."""
@@ -110,64 +157,76 @@ def _dense(pair: np.ndarray, diagonal: np.ndarray, need: np.ndarray, width: np.n
     return [(int(pair[g[0]]), int(diagonal[g[0]]), int(diagonal[g[-1]])) for g in np.split(at, cuts) if len(g)]
 
 
-def _matches(documents: DataFrame, items: Items, n: int, least_score: float) -> DataFrame:
-    item_kind = pa.int64()
-    lengths = np.array([len(w) for w in items.words], dtype=np.int64)
-    share_of_pairs = max(0.0, 4 * min(least_score, 0.5) - 1) / 6
-    needs = np.maximum(1, np.ceil(lengths * (share_of_pairs if n > 1 else min(least_score, 0.5)) - 1e-9).astype(np.int64))
+def _counted(documents: DataFrame, grams: np.ndarray, n: int, work: Workspace) -> dict[int, int]:
+    """How often each of the n-grams of a block occurs in all documents."""
+    known = np.unique(grams)
+    held = work.share(known)
 
     def run(batches):
-        for batch in batches:
-            out = []
-            ids = batch.column(0).to_pylist()
-            for first, hashes, offsets, _, _ in words(batch.column(1), punctuation=True):
-                grams, cuts = shingles(hashes, offsets, n)
-                spot, seed = items.hits(grams)
-                row, owner = np.searchsorted(cuts, spot, side="right") - 1, items.owner[seed]
-                best: dict[int, tuple[int, int, int]] = {}
-                for pair, lo, hi in _dense(row * len(lengths) + owner, spot - cuts[row] - items.place[seed], needs[owner], lengths[owner]):
-                    r, o = divmod(pair, len(lengths))
-                    item, text = items.words[o], hashes[offsets[r] : offsets[r + 1]]
-                    a, b = max(0, lo - len(item)), min(len(text), hi + 2 * len(item))
-                    if np.isin(item, text[a:b]).sum() < least_score * len(item):
-                        continue  # too few matches for the score
-                    score, start, end = align(item, text[a:b])
-                    if score > best.get(pair, (0, 0, 0))[0]:
-                        best[pair] = (score, a + start, a + end)
-                for pair, (score, start, end) in sorted(best.items()):
-                    r, o = divmod(pair, len(lengths))
-                    share = score / (MATCH * len(items.words[o]))
-                    if share >= least_score:
-                        out.append((ids[first + r], items.ids[o], share, start, end))
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], item_kind), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
-                ["doc_id", "item_id", "score", "word_start", "word_end"],
-            )
-
-    kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", F.lower("text")).mapInArrow(run, f"doc_id {kind}, item_id long, score double, word_start long, word_end long")
+        known = held.value
+        total = np.zeros(len(known), dtype=np.int64)
+        for batch in pieces(batches):
+            for _, hashes, offsets, _, _ in words(pc.utf8_lower(batch.column(0)), punctuation=True):
+                found, _ = shingles(hashes, offsets, n)
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                total += np.bincount(at[known[at] == found], minlength=len(known))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["at", "c"])
+
+    rows = documents.select("text").mapInArrow(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect()
+    return {int(known[r["at"]]): r["c"] for r in rows}
+
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, least_score: float, block_chars: int, work: Workspace):
+    """Broadcasts of the seeded items of each block (short items, others), and whether it is the last."""
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_chars))
+    for b in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        rows = part.select("item_id", "text").orderBy("item_id", "text").collect()
+        long = [len(w) for w in Items(rows, 1).words]
+        short, others = Items([r for r, n in zip(rows, long) if 0 < n < 4], 1), Items([r for r, n in zip(rows, long) if n >= 4], 2)
+        counts = _counted(documents, others.grams, 2, work) if len(others.grams) else {}
+        yield work.share((short.seed({}, least_score), others.seed(counts, least_score))), b == blocks - 1
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = 0.5, block_chars: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, score (0 to 1), word_start, word_end of each match."""
-    size = benchmark.agg(F.sum(F.length("text")).alias("c")).first().c or 0
-    blocks = max(1, -(-size // block_chars))
+    work = Workspace(documents.sparkSession)
+    kind = dict(documents.dtypes)["doc_id"]
+    names = ["doc_id", "item_id", "score", "word_start", "word_end"]
     out = None
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        rows = part.select("item_id", F.lower("text").alias("text")).orderBy("item_id", "text").collect()
-        by_kind: dict[int, list] = {}
-        for row, held in zip(rows, Items(rows, 1).words):
-            if len(held):
-                by_kind.setdefault(1 if len(held) < 4 else 2, []).append(row)
-        for n in sorted(by_kind) or [2]:
-            found = _matches(documents, Items(by_kind.get(n, []), n), n, least_score)
-            out = found if out is None else out.union(found)
+    for block, last in _blocks(documents, benchmark, least_score, block_chars, work):
+
+        def run(batches, block=block):
+            for batch in pieces(batches):
+                ids, found = batch.column(0).to_pylist(), []
+                for first, hashes, offsets, _, _ in words(pc.utf8_lower(batch.column(1)), punctuation=True):
+                    found += [(ids[first + r], *rest) for items in block.value for r, *rest in items.matches(hashes, offsets, least_score)]
+                columns = list(zip(*found)) if found else [()] * 5
+                kinds = [batch.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        part = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, score double, word_start long, word_end long")
+        part = part if last else work.written(part, "contaminated")
+        out = part if out is None else out.union(part)
     return out
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """documents without those that match an item; a null doc_id never leaves."""
-    hit = contaminated(documents, benchmark, **options).select("doc_id").distinct()
-    return documents.join(hit, "doc_id", "left_anti").select(*documents.columns)
+def decontaminated(documents: DataFrame, benchmark: DataFrame, least_score: float = 0.5, block_chars: int = 1_000_000) -> DataFrame:
+    """documents without the rows whose text matches an item, whatever their doc_id."""
+    work = Workspace(documents.sparkSession)
+    at = documents.columns.index("text")
+    for block, last in _blocks(documents, benchmark, least_score, block_chars, work):
+
+        def run(batches, block=block):
+            for batch in pieces(batches):
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for first, hashes, offsets, _, _ in words(pc.utf8_lower(batch.column(at)), punctuation=True):
+                    for items in block.value:
+                        keep[[first + r for r, *_ in items.matches(hashes, offsets, least_score)]] = False
+                yield batch.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(run, documents.schema)
+        documents = documents if last else work.written(documents, "decontaminated")
+    return documents
