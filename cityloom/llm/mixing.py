@@ -9,20 +9,23 @@ their bound, or over all documents where that would overshoot.  A step is one
 distributed sum of a few numbers; rates stay in the table, as an expression of the
 steps so far.
 
-Null and blank texts have no tokens: they keep the prior as posteriors and the rate 1.
-Empty tables give empty tables.  Repeated rows get equal rates.  Extra columns stay.
+Null and blank texts have no tokens: they keep the prior as posteriors and the rate 1
+(or the lower bound of rates if that is more).  Empty tables give empty tables.  Repeated rows get equal rates;
+labels that repeat a doc_id count as often.  Memory of a task follows its longest text.
+Extra columns stay.
 """
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import drop, written
-from cityloom.llm.textops import shingles, words
+from cityloom.llm.store import Workspace, labelled_texts
+from cityloom.llm.textops import pieces, shingles, words
 
 _BITS = 14
 
@@ -110,28 +113,25 @@ def fit_classifier(texts: list[str], labels: list, rounds: int = 300) -> Classif
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, domain: str, most_docs: int = 1000, most_chars: int = 3_000_000) -> tuple[list[str], list]:
-    """At most most_docs labelled documents and about most_chars characters, by a hash
-    of doc_id; domain is an SQL expression over the columns of both tables."""
+    """At most most_docs labelled rows and most_chars characters, by a hash of doc_id;
+    domain is an SQL expression over the columns of both tables."""
     own = [c for c in labels.columns if c != "doc_id"]
     picked = labels.where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", *own).limit(most_docs)
     rest = [c for c in documents.columns if c not in own]
-    sample = documents.select(*rest).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
-    sample = sample.selectExpr("doc_id", "text", f"{domain} AS _domain").where("_domain IS NOT NULL")
-    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 1
-    keep = min(1.0, most_chars / chars)
-    rows = sample.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(keep * 1_000_000)).collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, str(r._domain)))
+    joined = documents.select(*rest).where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").selectExpr("doc_id", "text", f"{domain} AS _domain").where("_domain IS NOT NULL")
+    rows = labelled_texts(joined.select("doc_id", "text", "_domain"), picked.select("doc_id").distinct(), most_chars)
     return [r.text for r in rows], [r._domain for r in rows]
 
 
-def with_posteriors(documents: DataFrame, model: Classifier) -> DataFrame:
+def with_posteriors(documents: DataFrame, shared) -> DataFrame:
     """documents with _tokens long and _posteriors array<double>, which replace columns of
-    these names."""
+    these names; shared: a broadcast Classifier."""
     documents = documents.drop("_tokens", "_posteriors")
     at = documents.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        model = shared.value
+        for batch in pieces(batches):
             p, tokens = model.posteriors(batch.column(at))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), flat], [*batch.schema.names, "_tokens", "_posteriors"])
@@ -203,14 +203,19 @@ def rated(
     least: float = 0.0,
     keep_text: bool = True,
     columns: list[str] | None = None,
+    tolerance: float = 0.01,
     **sample,
 ) -> tuple[DataFrame, list, dict]:
     """documents with _tokens, _posteriors and _rate; the domains; a report of totals.
 
     total: tokens in all of the mix; None keeps as many as there are, a negative one
-    the fewest with which no domain loses tokens.  Texts are read again for the
+    the fewest with which no domain loses tokens.  Where rates can't meet these targets
+    (posteriors overlap and rates have a lower bound), a negative total is raised by
+    tenths, up to twice the fewest.  Targets missed by more than tolerance of the total
+    give a warning; the report has them in any case.  Texts are read again for the
     result only where it keeps them.
     """
+    work = Workspace(documents.sparkSession)
     weights = weights or WEIGHTS
     model = fit_classifier(*labelled_sample(documents, labels, domain, **sample))
     documents = documents.select(*columns) if columns else documents
@@ -219,16 +224,26 @@ def rated(
         model = Classifier(["all"], np.zeros((1, 2, 1 << _BITS)), np.zeros((5, 1)), np.ones(1))
     if not sum(share):
         share = [1.0] * len(share)
-    facts = written(with_posteriors(documents, model).drop("text"), "mixing")
+    shared = work.share(model)
+    facts = work.written(with_posteriors(documents, shared).drop("text"), "mixing")
     if total is None:
         total = facts.agg(F.sum("_tokens")).first()[0] or 0
     targets = [total * s / sum(share) for s in share] if total >= 0 else None
     rate, target, now = fit_rates(facts, targets, share, least)
+    missed = lambda: float(np.abs(now - target).sum()) > tolerance * float(target.sum())
+    if total < 0:
+        fewest = target
+        for tenths in range(11, 21):
+            if not missed():
+                break
+            rate, target, now = fit_rates(facts, (fewest * tenths / 10).tolist(), share, least)
+    if missed():
+        warnings.warn(f"rates don't meet the mix: wanted {target.tolist()}, fitted {now.tolist()} tokens of {model.domains}", stacklevel=2)
     report = {"target": dict(zip(model.domains, target.tolist())), "fitted": dict(zip(model.domains, now.tolist()))}
-    out = with_posteriors(documents, model) if keep_text else facts
+    out = with_posteriors(documents, shared) if keep_text else facts
     if keep_text:
-        drop(facts)
-    return out.withColumn("_rate", F.expr(rate)), model.domains, report
+        work.drop(facts)
+    return out.withColumn("_rate", F.expr(f"if(_tokens = 0, {max(1.0, float(least))!r}D, {rate})")), model.domains, report
 
 
 def copies(rate: str = "_rate", key: str = "doc_id", seed: int = 17) -> F.Column:
@@ -238,7 +253,9 @@ def copies(rate: str = "_rate", key: str = "doc_id", seed: int = 17) -> F.Column
 
 
 def mixture(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, a posterior for each domain (p_*), rate and whole copies of every document."""
-    out, domains, _ = rated(documents, labels, keep_text=False, columns=["doc_id", "text"])
+    """doc_id, n_tokens, a posterior for each domain (p_*), rate and whole copies of every
+    document, with target_tokens and fitted_tokens of the domains (maps) of the whole mix."""
+    out, domains, report = rated(documents, labels, keep_text=False, columns=["doc_id", "text"])
     chances = [F.col("_posteriors")[domains.index(d)].alias(f"p_{d}") if d in domains else F.lit(0.0).alias(f"p_{d}") for d in WEIGHTS]
-    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *chances, F.col("_rate").alias("rate"), copies().alias("copies"))
+    totals = [F.create_map(*[F.lit(x) for pair in (report[k] or {"all": 0.0}).items() for x in pair]).alias(f"{k}_tokens") for k in ("target", "fitted")]
+    return out.select("doc_id", F.col("_tokens").alias("n_tokens"), *chances, F.col("_rate").alias("rate"), copies().alias("copies"), *totals)
