@@ -25,8 +25,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.llm.store import drop, new_path, written
-from cityloom.llm.textops import mix64
+from cityloom.llm.store import Workspace
+from cityloom.llm.textops import mix64, pieces
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = 50256
@@ -109,7 +109,7 @@ def packed(documents: DataFrame, layout: Layout) -> DataFrame:
         def table():
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = memoryview(coder.encode(text or "") + end)
                 at = 0
@@ -149,7 +149,7 @@ def shard_name(shard: int) -> str:
 _INDEX = "slot long, shard long, offset long, docs array<bigint>, starts array<int>, crc long"
 
 
-def write_shards(sequences: DataFrame, path: str, layout: Layout) -> DataFrame:
+def write_shards(sequences: DataFrame, path: str, layout: Layout, work: Workspace) -> DataFrame:
     """Writes shards from packed() rows; returns slot, shard, offset, docs, starts, crc.
 
     The rows must be stable (a stored table): slots depend on counts of its parts.
@@ -165,7 +165,7 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout) -> DataFrame:
         for batch in batches:
             number = firsts[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             slot = permuted(number, total, layout.key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), pa.array([zlib.compress(x, 1) for x in batch.column(2).to_pylist()], pa.binary()), *batch.columns[3:]], ["slot", "shard", "ids", "docs", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), pa.array([zlib.compress(x, 6) for x in batch.column(2).to_pylist()], pa.binary()), *batch.columns[3:]], ["slot", "shard", "ids", "docs", "starts"])
 
     shards = max(1, -(-total // layout.per_shard))  # ids are compressed for the shuffle only
     placed = sequences.mapInArrow(place, "slot long, shard long, ids binary, docs array<bigint>, starts array<int>")
@@ -196,7 +196,7 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((slot % per_shard) * stride), batch.column(3), batch.column(4), pa.array(crc, pa.int64())], ["slot", "shard", "offset", "docs", "starts", "crc"])
         close()
 
-    return written(ordered.mapInArrow(write, _INDEX), "token-index")
+    return work.written(ordered.mapInArrow(write, _INDEX), "token-index")
 
 
 def read_shards(spark: SparkSession, path: str, total: int, layout: Layout, first: int = 0) -> DataFrame:
@@ -261,9 +261,10 @@ def materialised(documents: DataFrame, layout: Layout = Layout(), path: str | No
 
     One row a slot: slot, shard, offset, doc_ids, starts, n_tokens, n_ends, id_sum, crc.
     """
-    path = path or new_path(documents.sparkSession, "shards")
+    work = Workspace(documents.sparkSession)
+    path = path or work.path("shards")
     dense = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
-    sequences = written(packed(documents, layout), "token-sequences", options=dense)
-    index = write_shards(sequences, path, layout)
-    drop(sequences)
+    sequences = work.written(packed(documents, layout), "token-sequences", options=dense)
+    index = write_shards(sequences, path, layout, work)
+    work.drop(sequences)
     return read_slots(index, path, layout)
