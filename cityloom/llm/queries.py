@@ -11,7 +11,7 @@ QUERIES = {
     "op3_importance_resampling": lambda spark, d: resampling.resampled(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_line_dedup": lambda spark, d: lines.line_report(table(spark, d, "documents")),
     "op5_warc": lambda spark, d: warc.page_archives(table(spark, d, "pages")),
-    "op10_jaccard_join": lambda spark, d: jaccard.linked_components(table(spark, d, "documents")),
+    "op10_jaccard_join": lambda spark, d: jaccard.component_report(table(spark, d, "documents")),
     "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_token_output": lambda spark, d: tokens.materialised(table(spark, d, "documents")),
