@@ -127,16 +127,46 @@ def test_archives_with_magic_in_payloads(spark):
         assert (r.record_type, r.refers_to) == (("response", None) if first[data] == i else ("revisit", first[data]))
 
 
+def _forged(length: str) -> str:
+    return f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nabc\r\n\r\n"
+
+
+def _brute_pages(rows):
+    least = {}
+    for i, _, html in rows:
+        if i is not None:
+            data = (html or "").encode()
+            least[data] = min(i, least.get(data, i))
+    out = []
+    for i, _, html in rows:
+        data = (html or "").encode()
+        again = data in least and i != least[data]
+        out.append((i, len(data), warc.digest32(data), "revisit" if again else "response", least[data] if again else None))
+    return sorted(out, key=repr)
+
+
+def test_archives_of_odd_pages(spark):
+    rows = [(i, "u", _forged(n)) for i, n in enumerate(["\u00b2", "9" * 5000, "9" * 20, "1000000000000", "007", "", "-1", "5 "])]
+    rows += [(20, "http://x/" + "y" * 1_000_000, "after a long address"), (21, "v", "x\r\nWARC/1.0\r\n" + "no colon " * 30_000), (22, "v", "WARC/1.0\r\nA: b\r\n c: d\r"), (23, "v", "WARC/1.0\r\n")]
+    rows += [(None, "a", "of nobody"), (None, "a", "same"), (1, "b", "same"), (1, "b", "same"), (5, None, "same"), (5, "c", "same"), (5, "c", "other"), (6, "c", "other"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in warc.page_archives(df).collect()), key=repr)
+    assert got == _brute_pages(rows)
+    assert warc.page_archives(df.limit(0)).count() == 0
+
+
 def test_small_splits_and_damage(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "u", f"WARC/1.0\r\n {i} " * 9) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    pages = spark.createDataFrame([(i, "u" * (40 * (i % 40)), f"WARC/1.0\r\n {i} " * (9 if i % 7 else 900)) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     path = f"file://{tmp_path}/warc"
-    warc.write_archives(warc.with_digests(pages), path)
-    assert warc.read_archives(spark, path, split_bytes=512).count() == 40
-    name = next(f for f in os.listdir(tmp_path / "warc") if f.startswith("part"))
-    with open(tmp_path / "warc" / name, "ab") as f:
-        f.write(b"WARC/1.0\r\ncut off")
+    work = store.Workspace(spark)
+    warc.write_archives(warc.with_digests(pages, work), path)
+    for size in (1000, 9000):
+        assert sorted(r.payload_bytes for r in warc.read_archives(spark, path, work, split_bytes=size).collect()) == sorted(len(r.html) for r in pages.collect())
+    for name in [f for f in os.listdir(tmp_path / "warc") if f.startswith("part")]:
+        with open(tmp_path / "warc" / name, "ab") as f:
+            f.write(b"WARC/1.0\r\ncut off")
     with pytest.raises(ValueError):
-        warc.read_archives(spark, path)
+        warc.read_archives(spark, path, work)
 
 
 # ---------------------------------------------------------------- Jaccard join
@@ -174,28 +204,28 @@ def test_components_equal_brute_force(spark):
         docs.append((i, " ".join(w) if i % 5 else " ".join(w).upper()))
     docs += [(200, None), (201, ""), (202, " \n"), (203, "one two"), (204, "ONE\ttwo"), (205, "one"), (206, "x " * 3000)]
     df = spark.createDataFrame(docs, DOCS).repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df.withColumn("node", F.lit("clash"))).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_report(df.withColumn("node", F.lit("clash"))).collect()}
     assert got == _brute(docs)
 
 
 def test_repeated_and_null_ids(spark):
     text = " ".join(str(i) for i in range(50))
     df = spark.createDataFrame([(4, text), (4, text), (None, text), (9, text + " more"), (4, "other words here now")], DOCS)
-    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.linked_components(df).collect()), key=repr)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.component_report(df).collect()), key=repr)
     assert got == sorted([(4, 48, 4), (4, 48, 4), (0, 48, None), (9, 49, 4), (4, 2, 4)], key=repr)
-    assert jaccard.linked_components(df.limit(0)).count() == 0
+    assert jaccard.component_report(df.limit(0)).count() == 0
 
 
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.node: r.component for r in store.components(edges).collect()}
+    got = {r.node: r.component for r in store.components(edges, store.Workspace(spark)).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
 def test_long_shuffled_chain_is_one_component(spark):
     names = np.random.default_rng(4).permutation(3000)
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(names, names[1:])], "a long, b long")
-    got = store.components(edges).collect()
+    got = store.components(edges, store.Workspace(spark)).collect()
     assert len(got) == 3000 and {r.component for r in got} == {0}
 
 
@@ -208,7 +238,7 @@ def test_components_of_random_graphs(spark):
             for a, b in edges:
                 if a != b:
                     label[a] = label[b] = min(label[a], label[b])
-        got = {r.node: r.component for r in store.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        got = {r.node: r.component for r in store.components(spark.createDataFrame(edges, "a long, b long"), store.Workspace(spark)).collect()}
         assert got == label
 
 
@@ -354,48 +384,99 @@ def test_top_k_equals_a_sort(spark):
 
 
 def test_resampling_prefers_the_target(spark):
-    docs = spark.createDataFrame([(i, " ".join(_words(40, random.Random(i), 50)) if i % 4 else "junk % % " * 20) for i in range(200)] + [(500, None), (501, "")], DOCS)
+    docs = spark.createDataFrame([(i, " ".join(_words(40, random.Random(i), 50)) if i % 4 else "junk % % " * 20) for i in range(200)] + [(500, None), (501, "")], DOCS).withColumn("log_weight", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(100)], "doc_id long, quality int")
-    got = {r.doc_id for r in resampling.resampled(docs, labels, slack=0.0).collect()}
-    assert len(resampling.resampled(docs, labels).collect()) == int(np.ceil(0.77 * 202))
+    got = {r.doc_id for r in resampling.resampled(docs, labels).collect()}
     assert len(got) == int(np.ceil(0.75 * 202)) and sum(1 for i in got if i < 500 and i % 4 == 0) <= 2
+    assert resampling.resampled(docs.limit(0), labels).count() == 0
+    assert resampling.resampled(docs, labels.limit(0)).count() == 202
+    twice = docs.union(docs)
+    assert len(resampling.resampled(twice, labels).collect()) == int(np.ceil(0.75 * 404))
+
+
+def test_resampling_weights_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(2)
+    texts = {i: " ".join(_words(rng.randrange(0, 30), rng, 15 if i % 2 else 25)) for i in range(40)} | {40: None, 41: "one"}
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+
+    def features(text):  # the operator's buckets of words and of word pairs, counted by hand
+        w = (text or "").split()
+        one = [next(resampling._features(pa.array([x])))[2].tolist()[0] for x in w]
+        pair = [next(resampling._features(pa.array([f"{a} {b}"])))[2].tolist()[2] for a, b in zip(w, w[1:])] or ([next(resampling._features(pa.array([w[0]])))[2].tolist()[1]] if w else [])
+        return one + pair
+
+    found = {i: features(t) for i, t in texts.items()}
+    raw, goal = Counter(f for v in found.values() for f in v), Counter(f for i, v in found.items() if i % 2 and i < 40 for f in v)
+
+    def share(counts, f):
+        half = range(1 << 14) if f < 1 << 14 else range(1 << 14, 2 << 14)
+        return (counts[f] + 0.5) / (sum(c for g, c in counts.items() if g in half) + 0.5 * (1 << 14))
+
+    got = {r.doc_id: r for r in resampling.resampled(docs, labels, share=1.0, effective=20.0, seed=3).collect()}
+    for i, v in found.items():
+        want = 20.0 * sum(math.log(share(goal, f) / share(raw, f)) for f in v) / len(v) if v else -20.0
+        assert got[i].log_weight == pytest.approx(want, abs=1e-9)
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", resampling.gumbel(3, "doc_id").alias("g")).collect()}
+    assert all(r.gumbel_key == pytest.approx(r.log_weight + noise[i]) for i, r in got.items())
+    want = sorted(got, key=lambda i: (-got[i].gumbel_key, i))[:21]
+    assert {r.doc_id for r in resampling.resampled(docs, labels, share=0.5, effective=20.0, seed=3).collect()} == set(want)
+
+
+def test_gumbel_draws_follow_the_weights(spark):
+    weights = [1.0, 2.0, 3.0, 6.0]
+    rows = spark.createDataFrame([(i, float(np.log(w))) for i, w in enumerate(weights)], "doc_id long, w double")
+    seeds = spark.range(6000).select(F.col("id").alias("seed"))
+    keyed = rows.crossJoin(seeds).select("seed", "doc_id", (F.col("w") + resampling.gumbel(F.col("seed"), "doc_id")).alias("key"))
+    first = {r.d: r["count"] for r in keyed.groupBy("seed").agg(F.max_by("doc_id", "key").alias("d")).groupBy("d").count().collect()}
+    for i, w in enumerate(weights):
+        assert first[i] / 6000 == pytest.approx(w / 12, abs=0.02)
 
 
 # ---------------------------------------------------------------- lines
 
 
-def _brute_lines(docs, spread=3, least=2):
-    seen, out = {}, {}
-    parts = {}
+def _brute_lines(docs, spread=3, least=2, windows=False):
+    seen, places = {}, {}
+    rows = sorted({(i is None, i or 0, t) for i, t in docs if t})
+    for row in rows:
+        found, parts = lines.units(row[2].encode(), spread, least, 50, windows)
+        places[row] = (len(parts), [(b"\n".join(parts[a : a + n]), a, n) for a, n in found])
+        for body, a, n in places[row][1]:
+            seen.setdefault(body, []).append((row, a, n))
+    out = []
     for i, text in docs:
-        data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        if not len(data):
+        row = (i is None, i or 0, text)
+        if not text:
+            out.append((i, text))
             continue
-        firsts, _, ends = lines.chunks(data, spread)
-        starts = [0, *ends.tolist()]
-        parts[i] = [(data[starts[a] : starts[b]].tobytes(), b - a) for a, b in zip(firsts[:-1], firsts[1:])]
-    for i in sorted(parts):
-        for c, (body, n) in enumerate(parts[i]):
-            if n >= least:
-                seen.setdefault(body, (i, c))
-    for i, text in docs:
-        out[i] = text if i not in parts else b"".join(b for c, (b, n) in enumerate(parts[i]) if n < least or seen[b] == (i, c)).decode()
-    return out
-
-
-def test_line_dedup_equals_brute_force(spark):
+        size, found = places[row]
+        gone, held = np.zeros(size, bool), np.zeros(size, bool)
+        for body, a, n in found:
+            if len(seen[body]) > 1:
+                (held if seen[body][0] == (row, a, n) else gone)[a : a + n] = True
+        parts = text.split("\n")
+        parts = [x + "\n" for x in parts[:-1]] + parts[-1:] * bool(parts[-1])
+        out.append((i, "".join(x for x, g, h in zip(parts, gone, held) if h or not g)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("windows", [False, True])
+def test_line_dedup_equals_brute_force(spark, windows):
     rng = random.Random(6)
     shared = ["\n".join(" ".join(_words(5, rng, 50)) for _ in range(12)) for _ in range(4)]
     docs = []
     for i in range(60):
         own = "\n".join(" ".join(_words(4, rng)) for _ in range(rng.randrange(1, 9)))
         docs.append((i, own + "\n" + shared[i % 4] + "\n" + own[::-1]))
-    docs += [(100, None), (101, ""), (102, "\n\n\n"), (103, "single"), (104, "\n\n\n")]
+    docs += [(100, None), (101, ""), (102, "\n\n\n"), (103, "single"), (104, "\n\n\n"), (5, docs[5][1]), (5, "own\nwords"), (None, docs[7][1])]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], DOCS + ", place string").repartition(3)
-    got = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
-    want = _brute_lines(docs)
-    assert got == want
-    assert sum(len(t or "") for t in got.values()) < 0.8 * sum(len(t or "") for _, t in docs)
+    got = [(r.doc_id, r.text) for r in lines.deduplicated(df, windows=windows).collect()]
+    assert sorted(got, key=repr) == _brute_lines(docs, windows=windows)
+    assert sum(len(t or "") for _, t in got) < 0.8 * sum(len(t or "") for _, t in docs)
     assert lines.line_report(df.limit(0)).count() == 0
 
 
@@ -406,7 +487,7 @@ def test_passages_of_any_length_go(spark):
     docs = [(i, "\n".join([" ".join(_words(8, rng)) for _ in range(3)] + shared[sizes[i % 4]] + [" ".join(_words(8, rng)) for _ in range(3)])) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "a\na\na"), (103, "b\nc\n"), (104, "c\nd\ne"), (105, "b\nc\nd"), (106, "short"), (107, "short"), (None, "b\nc")]
     df = spark.createDataFrame(docs, DOCS).repartition(3)
-    got = {r.doc_id: r for r in lines.without_passages(df).collect()}
+    got = {r.doc_id: r for r in lines.deduplicated(df).collect()}
     for i in range(40):
         own = docs[i][1].split("\n")
         want = docs[i][1] if i < 4 else "\n".join(own[:3] + own[-3:])
@@ -416,15 +497,29 @@ def test_passages_of_any_length_go(spark):
     assert kept[4] == len(got[4].text) and kept[7] == len(got[7].text)
 
 
+def test_units_with_other_bytes_stay(spark, monkeypatch):
+    docs = [(i, f"same start {i % 2}\nsecond line {i % 2}") for i in range(6)]
+    df = spark.createDataFrame(docs, DOCS)
+    monkeypatch.setattr(lines, "_DIGEST", {"digest_size": 16, "key": b"k"})
+    assert sum(r._removed_chunks for r in lines.deduplicated(df).collect()) == 4
+
+    class Weak:  # all bodies share a digest
+        @staticmethod
+        def blake2b(data, digest_size=16, **_):
+            return hashlib.blake2b(b"", digest_size=digest_size) if digest_size == 16 else hashlib.blake2b(data, digest_size=digest_size)
+
+    monkeypatch.setattr(lines, "hashlib", Weak)
+    assert sum(r._removed_chunks for r in lines.deduplicated(df).collect()) == 0
+
+
 def test_boundaries_survive_shifts():
     rng = random.Random(8)
-    body = "\n".join(" ".join(_words(6, rng)) for _ in range(200))
+    body = [" ".join(_words(6, rng)).encode() for _ in range(200)]
     pieces = []
-    for text in (body, "put in front\n" + body):
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
-        firsts, hashes, _ = lines.chunks(data)
-        pieces.append(set(hashes.tolist()))
-    assert len(pieces[0] & pieces[1]) >= len(pieces[0]) - 2
+    for text in (body, [b"put in front", *body]):
+        edges = lines.chunks(text)
+        pieces.append({tuple(text[a:b]) for a, b in zip(edges, edges[1:])})
+    assert len(pieces[0]) > 30 and len(pieces[0] & pieces[1]) >= len(pieces[0]) - 2
 
 
 # ---------------------------------------------------------------- tokens
@@ -471,15 +566,15 @@ def test_pipeline_stages(spark):
 
     docs = store.table(spark, DATA, "documents").withColumn("_score", F.lit("own")).withColumn("toxic", F.lit(5)).withColumn("_copy", F.lit(1.5))
     names = docs.columns
-    step = {}
+    step, work = {}, store.Workspace(spark)
     for name, stage in p.STAGES[:-1]:
-        docs = store.written(stage(spark, docs, DATA), "test-stage")
+        docs = work.written(stage(spark, docs, DATA), "test-stage")
         step[name] = [r.doc_id for r in docs.select("doc_id").collect()]
         assert docs.columns == names and docs.where("_score <> 'own' OR toxic <> 5 OR _copy <> 1.5").count() == 0
     toxic = {r.doc_id for r in store.table(spark, DATA, "labels").where("toxic = 1").collect()}
     assert len(toxic & set(step["toxicity"])) <= 0.2 * len(toxic)
     texts = [(r.doc_id, r.text) for r in store.table(spark, DATA, "documents").collect() if r.doc_id in set(step["toxicity"])]
-    assert sorted(step["near duplicates"]) == sorted(i for i, (_, c) in _brute(texts).items() if c == i)
+    assert sorted(step["near duplicates"]) == sorted(i for i, (_, c) in _brute(texts, 5, 80, 100).items() if c == i)
     assert set(step["mixing"]) == set(step["decontamination"]) and len(step["mixing"]) > len(step["decontamination"])
     none = store.table(spark, DATA, "documents").limit(0)
     for name, stage in p.STAGES:
