@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.llm import decontam, jaccard, mixing, tokens, toxicity
-from cityloom.llm.store import mark, release, table, written
+from cityloom.llm.store import Workspace, table
 
 #: Shares of expected tokens.  Every document stays at least once.
-MIX = {"en": 0.46, "de": 0.14, "fr": 0.14, "es": 0.10, "low": 0.16}
+MIX = {"en": 0.50, "de": 0.15, "fr": 0.15, "es": 0.10, "low": 0.10}
 
 
 def _any_columns(stage):
@@ -41,18 +41,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group of linked documents.
 
-    Two link from a Jaccard similarity of 0.8 of their sets of five words on.  Rows without doc_id stay; of rows that repeat a doc_id and text, one stays.
+    Two link from a Jaccard similarity of 0.8 of their sets of five words on.
     """
-    since = mark()
-    found = written(jaccard.linked_components(docs, k=5, num=80, den=100), "pipeline-groups")
-    release(since, found)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    if not repeated.limit(1).count():
-        return kept
-    order = Window.partitionBy("doc_id", "text").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).where("_n = 1").drop("_n")
+    return jaccard.one_of_each(docs, k=5, num=80, den=100)
 
 
 @_any_columns
@@ -85,7 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Workspace(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        docs = work.written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
