@@ -16,11 +16,16 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿+", ""), r"^\s+|\s+$", "")
 
 
-def list_tokens(text: Column) -> Column:
-    """Items of a value like "['a', 'b']" or "a;b"; null, blank and nan have none."""
-    items = F.transform(F.split(F.regexp_replace(text, r"^\s*\[|\]\s*$", ""), "[,;]"), lambda x: F.regexp_replace(F.trim(x), "^['\"]+|['\"]+$", ""))
-    return F.coalesce(F.filter(items, lambda x: (x != "") & (F.lower(x) != "nan")), F.array().cast("array<string>"))
+def list_tokens(text: Column, lists: str = ",") -> Column:
+    """Items of a value like "['a', 'b']" in lower case; null, blank and nan have none.
+    lists: the characters that separate items."""
+    whole = F.regexp_replace(F.lower(text), r"^\s+|\s+$", "")
+    bare = F.regexp_replace(F.nullif(whole, F.lit("nan")), r"^[\[\]]+|[\[\]]+$", "")
+    items = F.transform(F.split(bare, f"[{lists}]"), lambda x: F.regexp_replace(x, r"^[\s\[\]]*['\"]*|['\"]*[\s\[\]]*$", ""))
+    return F.coalesce(F.array_remove(items, ""), F.array().cast("array<string>"))
 
 
 def output_name(order: Column, name: Column) -> Column:
-    return F.concat(F.lpad(order.cast("string"), 2, "0"), F.lit("_"), slugify(name))
+    """Number of at least two digits and slug."""
+    number = order.cast("string")
+    return F.concat(F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number), F.lit("_"), slugify(name))

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.operators.ordered import percentile, running_sum
+from cityloom.sources.lineage import stored
 
-def kmeans(cells: DataFrame, features: list[str], k: int, weight: str, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """cells with cluster_id from weighted k-means on standardised features."""
+
+def kmeans(cells: DataFrame, features: list[str], k: int, weight: str, seed: int = 42, rounds: int = 20, clusterer=None) -> DataFrame:
+    """cells with cluster_id from weighted k-means on standardised features, with as many
+    clusters as asked for or as there are cells.
+
+    clusterer: another estimator of pyspark.ml that reads _x and writes cluster_id.
+    """
+    k = min(k, cells.count())
+    if k < 2 and clusterer is None:  # one cluster, or no cells
+        return cells.withColumn("cluster_id", F.lit(0))
     vectors = VectorAssembler(inputCols=features, outputCol="_raw").transform(cells)
     scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    fitted = KMeans(k=max(2, k), featuresCol="_x", predictionCol="cluster_id", weightCol=weight, seed=seed, maxIter=rounds).fit(scaled)
-    return fitted.transform(scaled).drop("_raw", "_x")
+    clusterer = clusterer or KMeans(k=k, featuresCol="_x", predictionCol="cluster_id", weightCol=weight, seed=seed, maxIter=rounds)
+    return clusterer.fit(scaled).transform(scaled).drop("_raw", "_x")
 
 
 def cluster_summary(cells: DataFrame) -> DataFrame:
@@ -25,37 +35,76 @@ def cluster_summary(cells: DataFrame) -> DataFrame:
     ).orderBy(F.desc("mean_local_score"), F.desc("pixel_count"), "cluster_id")
 
 
-def snap_nearest(points: DataFrame, nodes: DataFrame, cell: float, rounds: int = 40) -> DataFrame:
+def snap_nearest(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
     """points (cluster_id, x, y, ...) with node_id, node_x, node_y, snap_distance_m of the
     nearest node (of equals, the smallest id).
 
     Nodes are looked up by grid cell.  A point is done once its best distance is within
-    the ring searched; the others go on with cells twice as wide.
+    the ring searched; the others go on with cells twice as wide, from the stored rest.
+    Cells grow no wider than the box around all points and nodes.
     """
-    left, done = points, None
-    for _ in range(rounds):
-        near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        asked = left.withColumn("_r", F.floor(F.col("y") / cell)).withColumn("_c", F.floor(F.col("x") / cell)).withColumn("_dr", near).withColumn("_dc", near).withColumn("_r", F.col("_r") + F.col("_dr")).withColumn("_c", F.col("_c") + F.col("_dc")).drop("_dr", "_dc")
-        held = nodes.select("node_id", F.col("x").alias("node_x"), F.col("y").alias("node_y"), F.floor(F.col("y") / cell).alias("_r"), F.floor(F.col("x") / cell).alias("_c"))
+    points = stored(points.withColumn("_point", F.monotonically_increasing_id()), "snap-points")
+    nodes = stored(nodes.select("node_id", F.col("x").alias("node_x"), F.col("y").alias("node_y")), "snap-nodes")
+    if not nodes.limit(1).count():
+        raise ValueError("there are no nodes to snap to")
+    both = points.select("x", "y").union(nodes.select("node_x", "node_y"))
+    box = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    widest = max(cell, box[0] or 0.0, box[1] or 0.0)
+    left, done = points.select("_point", "x", "y"), None
+    while True:
+        near = F.sequence(F.lit(-1), F.lit(1))
+        asked = left.withColumn("_dr", F.explode(near)).withColumn("_dc", F.explode(near))
+        asked = asked.select("_point", "x", "y", (F.floor(F.col("y") / cell) + F.col("_dr")).alias("_r"), (F.floor(F.col("x") / cell) + F.col("_dc")).alias("_c"))
+        held = nodes.select("*", F.floor(F.col("node_y") / cell).alias("_r"), F.floor(F.col("node_x") / cell).alias("_c"))
         far = F.sqrt(F.pow(F.col("x") - F.col("node_x"), F.lit(2)) + F.pow(F.col("y") - F.col("node_y"), F.lit(2)))
-        found = asked.join(held, ["_r", "_c"]).withColumn("d", far)
-        best = found.groupBy("cluster_id").agg(F.min_by(F.struct("node_id", "node_x", "node_y", F.col("d").alias("snap_distance_m")), F.struct("d", "node_id")).alias("b"))
-        sure = points.join(best, "cluster_id").where(F.col("b.snap_distance_m") <= cell).select(*points.columns, "b.*")
+        best = asked.join(held, ["_r", "_c"]).withColumn("d", far).groupBy("_point").agg(F.min_by(F.struct("node_id", "node_x", "node_y", F.col("d").alias("snap_distance_m")), F.struct("d", "node_id")).alias("b"))
+        best = stored(best.select("_point", "b.*"), "snap-best")
+        sure = best.where(F.col("snap_distance_m") <= cell) if cell < widest else best
         done = sure if done is None else done.union(sure)
-        left = left.join(sure.select("cluster_id"), "cluster_id", "left_anti")
-        if not left.limit(1).count():
-            return done
-        cell *= 2
-    raise ValueError("no node is near some of the points")
+        left = stored(left.join(sure.select("_point"), "_point", "left_anti"), "snap-left")
+        if cell >= widest or not left.limit(1).count():
+            return points.join(done, "_point").drop("_point")
+        cell = min(2 * cell, widest)
+
+
+def node_demand(snapped: DataFrame, scores: tuple[str, ...] = ("weight",)) -> DataFrame:
+    """Clusters, cells and sums of scores by node: hotspot_count, sum_pixel_count, sum_*."""
+    return snapped.groupBy("node_id").agg(F.count("*").alias("hotspot_count"), F.sum("pixel_count").alias("sum_pixel_count"), *[F.sum(s).alias(f"sum_{s}") for s in scores])
+
+
+def demand_order(demand: DataFrame) -> DataFrame:
+    """By sum_mean_local_score, then hotspot_count (both falling), then node."""
+    return demand.orderBy(F.desc("sum_mean_local_score"), F.desc("hotspot_count"), "node_id")
+
+
+def with_node_attributes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (node_id, ...) with the columns of nodes; a node that isn't there is an error."""
+    joined = rows.join(nodes.withColumn("_there", F.lit(True)), "node_id", "left")
+    lost = joined.where("_there IS NULL").select("node_id").limit(5).collect()
+    if lost:
+        raise KeyError("unknown nodes: " + ", ".join(str(r.node_id) for r in lost))
+    return joined.drop("_there")
+
+
+def within_nodes(demand: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Demand at the given nodes only, such as those of the strongly connected part."""
+    return demand.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+
+
+def attractor_points(nodes: DataFrame, attracting: DataFrame) -> DataFrame:
+    """The nodes that attract."""
+    return nodes.join(attracting.select("node_id"), "node_id", "left_semi")
 
 
-def node_demand(snapped: DataFrame) -> DataFrame:
-    return snapped.groupBy("node_id").agg(F.count("*").alias("hotspot_count"), F.sum("pixel_count").alias("sum_pixel_count"), F.sum("weight").alias("sum_weight"))
+def strongest_node(attracting: DataFrame) -> DataFrame:
+    """node_id of the largest weight (of equals, the smallest id): one row."""
+    return attracting.agg(F.min_by("node_id", F.struct(-F.col("sum_weight"), F.col("node_id"))).alias("node_id"))
 
 
 def snap_statistics(snapped: DataFrame) -> DataFrame:
     d = F.col("snap_distance_m")
-    return snapped.agg(F.min(d).alias("min_m"), F.max(d).alias("max_m"), F.avg(d).alias("mean_m"), F.percentile(d, 0.5).alias("median_m"), F.percentile(d, 0.95).alias("p95_m"))
+    halves = [F.lit(percentile(snapped, d, share)).cast("double").alias(name) for name, share in (("median_m", 0.5), ("p95_m", 0.95))]
+    return snapped.agg(F.min(d).alias("min_m"), F.max(d).alias("max_m"), F.avg(d).alias("mean_m")).select("*", *halves)
 
 
 def attractors(demand: DataFrame, top: int) -> DataFrame:
@@ -76,13 +125,16 @@ def destination_weights(attracting: DataFrame, power: Column, surge: Column | fl
 def weighted_choice(draws: DataFrame, chances: DataFrame) -> DataFrame:
     """draws (draw_id, u in [0, 1)) with the node whose stretch of the cumulated chances holds u.
 
-    Chances are a short list (the attractors): their running sums go along as an array.
+    0..1 is cut into as many ranges as there are chances; chances are sent to the ranges
+    they touch and draws to their own, so neither list is held whole.
     """
-    running = F.sum("p").over(Window.orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0))
-    ends = chances.select("node_id", running.alias("upto")).agg(F.array_sort(F.collect_list(F.struct("upto", "node_id"))).alias("ends"))
-    first = F.get(F.filter("ends", lambda e: e["upto"] > F.col("u")), F.lit(0))["node_id"]
-    last = F.get(F.col("ends"), F.size("ends") - 1)["node_id"]
-    return draws.crossJoin(F.broadcast(ends)).select("draw_id", F.coalesce(first, last).alias("node_id"))
+    ends = stored(running_sum(chances.select("node_id", "p"), "node_id", "p", "upto"), "choice")
+    n, last = ends.agg(F.count("*"), F.max("node_id")).first()
+    cuts = max(1, n)
+    at = lambda x: F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor(x * cuts))).cast("long")
+    touched = ends.select("node_id", "upto", F.explode(F.sequence(at(F.col("upto") - F.col("p") - 1e-9), at(F.col("upto") + 1e-9))).alias("_cut"))
+    found = draws.withColumn("_cut", at(F.col("u"))).join(touched, "_cut").where("upto > u").groupBy("draw_id").agg(F.min("node_id").alias("node_id"))
+    return draws.select("draw_id").join(found, "draw_id", "left").select("draw_id", F.coalesce("node_id", F.lit(last)).alias("node_id"))
 
 
 def hash_uniform(seed: int, *keys: Column) -> Column:

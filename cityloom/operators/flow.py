@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityloom.operators.roads import capacity_per_tick, snapshot_capacity
+from cityloom.operators.roads import capacity_per_tick, is_major, snapshot_capacity
 
 # Share, speed (km/h), attraction power, dwelling ticks (mean, deviation).
 PROFILES = {"commuter": (0.55, 28.0, 1.05, 8, 2), "errand": (0.30, 22.0, 0.95, 4, 1), "explorer": (0.15, 18.0, 0.75, 2, 1)}
+# Fixed values of the two daily peaks: hours, widths, strength of the second, least activity.
+DIURNAL = {"am": 8.0, "pm": 18.0, "am_width": 2.2, "pm_width": 2.6, "strength": 1.1, "floor": 0.06}
 
 
 def metres_per_tick(profile: Column, tick_minutes: float = 6.0) -> Column:
@@ -24,7 +26,7 @@ def hour_at(tick: Column, start: float = 6.0, tick_minutes: float = 6.0) -> Colu
     return F.pmod(start + tick * tick_minutes / 60.0, F.lit(24.0))
 
 
-def activity(hour: Column, am: float = 8.0, pm: float = 18.0, am_width: float = 2.2, pm_width: float = 2.6, strength: float = 1.1, floor: float = 0.06) -> Column:
+def activity(hour: Column, am: float = DIURNAL["am"], pm: float = DIURNAL["pm"], am_width: float = DIURNAL["am_width"], pm_width: float = DIURNAL["pm_width"], strength: float = DIURNAL["strength"], floor: float = DIURNAL["floor"]) -> Column:
     """Share of agents that leave at an hour of the day: two peaks over a floor."""
     bump = lambda centre, width: F.exp(-0.5 * F.pow((hour - centre) / width, F.lit(2.0)))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (floor + bump(am, am_width) + strength * bump(pm, pm_width)) / (floor + max(1.0, strength))))
@@ -48,17 +50,20 @@ def edge_loads(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("tick", "u", "v").agg(F.count("*").alias("load"))
 
 
-def bottlenecks(loads: DataFrame, edges: DataFrame, from_tick: int, most: int = 8, major_only: bool = True) -> DataFrame:
-    """The edges with most load from a tick on, of major classes where asked."""
-    from cityloom.operators.roads import is_major
+def bottlenecks(loads: DataFrame, edges: DataFrame, from_tick: int, most: int = 8, least: int = 4) -> DataFrame:
+    """The edges with most load from a tick on: those of major classes among the top ones if
+    there are at least ``least``, else any."""
+    total = loads.where(F.col("tick") >= from_tick).groupBy("u", "v").agg(F.sum("load").alias("total_load")).join(edges.select("u", "v", is_major().alias("_major")), ["u", "v"])
+    top = lambda rows: rows.orderBy(F.desc("total_load"), "u", "v").limit(most)
+    major = top(total.where("_major"))
+    enough = major.agg((F.count("*") >= least).alias("_enough"))
+    rows = major.union(top(total).withColumn("_major", F.lit(False))).crossJoin(F.broadcast(enough))
+    return rows.where("_major = _enough").select("u", "v", "total_load").orderBy(F.desc("total_load"), "u", "v")
 
-    kept = edges.where(is_major()) if major_only else edges
-    return loads.where(F.col("tick") >= from_tick).groupBy("u", "v").agg(F.sum("load").alias("total_load")).join(kept.select("u", "v"), ["u", "v"], "left_semi").orderBy(F.desc("total_load"), "u", "v").limit(most)
 
-
-def utilisation(loads: DataFrame, edges: DataFrame) -> DataFrame:
+def utilisation(loads: DataFrame, edges: DataFrame, scale: float = 0.5, tick_minutes: float = 6.0) -> DataFrame:
     """tick, u, v, load, utilization of loaded edges that exist."""
-    return loads.join(edges.select("u", "v", "base_capacity"), ["u", "v"]).select("tick", "u", "v", "load", (F.col("load") / capacity_per_tick(F.col("base_capacity"))).alias("utilization"))
+    return loads.join(edges.select("u", "v", "base_capacity"), ["u", "v"]).select("tick", "u", "v", "load", (F.col("load") / capacity_per_tick(F.col("base_capacity"), scale, tick_minutes)).alias("utilization"))
 
 
 def edge_snapshot(edges: DataFrame, loads: DataFrame, tick: int) -> DataFrame:
@@ -135,7 +140,7 @@ def colour_limit(used: DataFrame, pct: float = 0.95) -> DataFrame:
 def edge_cells(edges: DataFrame, nodes: DataFrame, size: float, height: int, width: int) -> DataFrame:
     """u, v, cell, capacity: the grid cell of each edge's midpoint, inside the grid."""
     a, b = nodes.select(F.col("node_id").alias("u"), F.col("x").alias("xu"), F.col("y").alias("yu")), nodes.select(F.col("node_id").alias("v"), F.col("x").alias("xv"), F.col("y").alias("yv"))
-    placed = edges.join(F.broadcast(a), "u").join(F.broadcast(b), "v")
+    placed = edges.join(a, "u").join(b, "v")
     row, col = F.floor((F.col("yu") + F.col("yv")) / 2 / size), F.floor((F.col("xu") + F.col("xv")) / 2 / size)
     return placed.select("u", "v", "base_capacity", row.alias("row_i"), col.alias("col_i")).where((F.col("row_i") >= 0) & (F.col("row_i") < height) & (F.col("col_i") >= 0) & (F.col("col_i") < width)).select("u", "v", (F.col("row_i") * width + F.col("col_i")).alias("cell"), (F.col("base_capacity") * 0.5 / 10.0).alias("capacity"))
 

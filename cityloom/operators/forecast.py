@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def dense(frames: DataFrame, value: str, frame: str = "frame") -> DataFrame:
     """frame, cell, value for every frame and cell there is; absent ones are 0."""
-    grid = frames.select(frame).distinct().crossJoin(F.broadcast(frames.select("cell").distinct()))
+    every = frames.agg(F.collect_set(frame).alias("_all"))  # one row: a number a frame
+    grid = frames.select("cell").distinct().crossJoin(F.broadcast(every)).select("cell", F.explode("_all").alias(frame))
     return grid.join(frames.select(frame, "cell", value), [frame, "cell"], "left").select(frame, "cell", F.coalesce(value, F.lit(0.0)).cast("double").alias("value"))
 
 

@@ -11,35 +11,46 @@ from pyspark.sql import functions as F
 
 from cityloom.sources.lineage import stored
 
-#: Largest road graph (edges) that is sent to every executor for path kernels.
-MOST_EDGES = 20_000_000
+#: Largest road graph (edges) that path kernels get as a broadcast; beyond it paths are
+#: found by joins.
+MOST_EDGES = 5_000_000
 
 
-def weak_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (smallest node reached when directions don't count)."""
-    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "weak-edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")), "weak-labels")
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("low"))
-        step = low.join(labels.select(F.col("node").alias("low"), F.col("component").alias("far")), "low", "left")
-        step = stored(step.select("node", "was", F.least("low", F.coalesce("far", "low")).alias("component")), "weak-step")
-        labels = step.select("node", "component")
-        if not step.where("was <> component").limit(1).count():
-            break
-    return labels
+def weak_components(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node reached when directions don't count).
 
-
-def _reached(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFrame:
+    In a round every root takes the least root that an edge leads to, trees are made flat
+    by pointer jumping, and edges are drawn between the new roots; it ends when no edge
+    is left.  Two rounds at least halve the roots that have edges.
+    """
+    both = stored(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "weak-edges")
+    labels = None
+    while True:
+        flat = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "weak-roots")
+        while True:
+            far = flat.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            step = stored(flat.join(far, "root").select("node", "root", "far"), "weak-step")
+            flat = step.select("node", F.col("far").alias("root"))
+            if not step.where("far <> root").limit(1).count():
+                break
+        to = flat.select(F.col("node").alias("component"), F.col("root"))
+        labels = flat.select("node", F.col("root").alias("component")) if labels is None else labels.join(to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        labels = stored(labels, "weak-labels")
+        drawn = both.join(flat.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(flat.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
+        both = stored(drawn.where("ru <> rv").select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct(), "weak-edges")
+        if not both.limit(1).count():
+            return labels
+
+
+def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Nodes reached from start (node) along edges; each round grows the front."""
     seen = front = stored(start, "reach")
-    for _ in range(rounds):
+    while True:
         grown = front.join(edges, front.node == edges.u).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
         front = stored(grown, "reach-front")
         if not front.limit(1).count():
             return seen
         seen = stored(seen.union(front), "reach")
-    return seen
 
 
 def _strong_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
@@ -97,23 +108,24 @@ def _largest_scc_in_task(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInPandas(run, "node long")
 
 
-def largest_scc(edges: DataFrame, most_in_task: int = 2_000_000, rounds: int = 1000) -> DataFrame:
+def largest_scc(edges: DataFrame, most_in_task: int = MOST_EDGES) -> DataFrame:
     """node of the largest strongly connected component (of equals, that of the smallest node).
 
     Up to most_in_task edges, counted first, one task searches depth-first.  Larger
     graphs go by pivots: a pivot's component is what it reaches and is reached from; it
     and nodes without edges both ways go before the next, until none left can be larger.
+    Both give the same result.
     """
     edges = stored(edges.select("u", "v").distinct(), "scc-edges")
     if edges.count() <= most_in_task:
         return _largest_scc_in_task(edges)
-    return largest_scc_by_pivots(edges, rounds)
+    return largest_scc_by_pivots(edges)
 
 
-def largest_scc_by_pivots(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def largest_scc_by_pivots(edges: DataFrame) -> DataFrame:
     left = edges
-    best, size = None, 0
-    for _ in range(rounds):
+    best, size, low = None, 0, None
+    while True:
         nodes = left.select(F.col("u").alias("node")).intersect(left.select(F.col("v").alias("node")))
         n = nodes.count()
         if n == 0 or n < size:
@@ -122,38 +134,38 @@ def largest_scc_by_pivots(edges: DataFrame, rounds: int = 1000) -> DataFrame:
         pivot = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
         ahead, back = _reached(left, pivot), _reached(left.select(F.col("v").alias("u"), F.col("u").alias("v")), pivot)
         found = stored(ahead.intersect(back), "scc")
-        m, low = found.agg(F.count("*"), F.min("node")).first()
-        if m > size or (m == size and low < best.agg(F.min("node")).first()[0]):
-            best, size = found, m
+        m, least = found.agg(F.count("*"), F.min("node")).first()
+        if m > size or (m == size and least < low):
+            best, size, low = found, m, least
         left = stored(left.join(found, left.u == found.node, "left_anti").join(found, F.col("v") == found.node, "left_anti"), "scc-left")
-    if best is None:
-        return edges.agg(F.least(F.min("u"), F.min("v")).alias("node")).where("node IS NOT NULL")
+    single = edges.agg(F.least(F.min("u"), F.min("v")).alias("node")).where("node IS NOT NULL")
+    if best is None or size == 1:  # every node is a component
+        return single
     return best
 
 
-def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost") -> DataFrame:
+def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost", most_edges: int = MOST_EDGES) -> DataFrame:
     """dest, node, dist, next_node: shortest distances to each destination and the first
-    step on the way (of equals, the smallest node).
+    step on the way (of equals, the smallest node).  Costs must be positive.
 
-    Destinations are spread over tasks; every task walks the reversed graph, sent as
-    arrays, with a heap.  The graph's size is checked first; a larger one must be cut
-    into regions by the caller.
+    Destinations are spread over tasks; every task walks the reversed graph, a broadcast
+    of arrays, with a heap.  The graph's size is checked first: beyond most_edges
+    distances are found by joins, as rounds of relaxation.
     """
-    n = edges.count()
-    if n > MOST_EDGES:
-        raise ValueError(f"{n} edges are more than {MOST_EDGES}")
+    if edges.count() > most_edges:
+        return relaxed_trees(edges, destinations, cost)
     rows = edges.select("u", "v", cost).toPandas().sort_values(["v", "u"])
-    names = np.unique(np.concatenate([rows["u"], rows["v"]])) if len(rows) else np.zeros(0, dtype=np.int64)
+    names = np.unique(np.concatenate([rows["u"], rows["v"]])).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64)
     source, target = np.searchsorted(names, rows["u"]), np.searchsorted(names, rows["v"])
-    weight = rows[cost].to_numpy(dtype=float)
     begin = np.searchsorted(target, np.arange(len(names) + 1))
+    shared = edges.sparkSession.sparkContext.broadcast((names, source, begin, rows[cost].to_numpy(dtype=float)))
 
-    def tree(dest: int):
+    def tree(dest: int, names, source, begin, weight):
         dist = np.full(len(names), np.inf)
-        step = np.full(len(names), -1)
+        hop = np.full(len(names), -1)
         at = int(np.searchsorted(names, dest))
         if at == len(names) or names[at] != dest:
-            return dist, step
+            return dist, hop
         dist[at] = 0.0
         heap = [(0.0, at)]
         while heap:
@@ -162,21 +174,41 @@ def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost") ->
                 continue
             for e in range(begin[x], begin[x + 1]):
                 y, far = source[e], d + weight[e]
-                if far < dist[y] or (far == dist[y] and step[y] > x):
+                if far < dist[y] or (far == dist[y] and hop[y] > x):
                     if far < dist[y]:
                         heapq.heappush(heap, (far, int(y)))
-                    dist[y], step[y] = far, x
-        return dist, step
+                    dist[y], hop[y] = far, x
+        return dist, hop
 
     def run(batches):
+        names = shared.value[0]
         for batch in batches:
             for dest in batch["dest"]:
-                dist, step = tree(dest)
+                dist, hop = tree(dest, *shared.value)
                 hit = np.flatnonzero(np.isfinite(dist))
-                yield pd.DataFrame({"dest": np.int64(dest), "node": names[hit].astype(np.int64), "dist": dist[hit], "next_node": [int(names[s]) if s >= 0 else int(dest) for s in step[hit]]})
+                yield pd.DataFrame({"dest": np.int64(dest), "node": names[hit], "dist": dist[hit], "next_node": [int(names[s]) if s >= 0 else int(dest) for s in hop[hit]]})
 
     parts = max(1, min(2000, destinations.count()))
-    return destinations.select(F.col("node_id").cast("long").alias("dest")).repartition(parts, "dest").mapInPandas(run, "dest long, node long, dist double, next_node long")
+    return destinations.select(F.col("node_id").cast("long").alias("dest")).distinct().repartition(parts, "dest").mapInPandas(run, "dest long, node long, dist double, next_node long")
+
+
+def relaxed_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost") -> DataFrame:
+    """path_trees() by joins alone: each round, nodes whose distance fell pass it on to
+    those with an edge to them, until none falls."""
+    edges = stored(edges.select("u", "v", F.col(cost).cast("double").alias("w")), "relax-edges")
+    there = edges.select(F.col("v").alias("node_id")).union(edges.select("u")).distinct()
+    start = destinations.select(F.col("node_id").cast("long").alias("node_id")).distinct().join(there, "node_id", "left_semi")
+    best = front = stored(start.select(F.col("node_id").alias("dest"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist")), "relax")
+    while True:
+        offered = front.withColumnRenamed("node", "v").join(edges, "v").groupBy("dest", F.col("u").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("far"))
+        front = stored(offered.join(best, ["dest", "node"], "left").where("dist IS NULL OR far < dist").select("dest", "node", F.col("far").alias("dist")), "relax-front")
+        if not front.limit(1).count():
+            break
+        best = stored(best.union(front).groupBy("dest", "node").agg(F.min("dist").alias("dist")), "relax")
+    ahead = best.select("dest", F.col("node").alias("v"), F.col("dist").alias("rest"))
+    ways = best.withColumnRenamed("node", "u").join(edges, "u").join(ahead, ["dest", "v"]).where("u <> dest AND dist = rest + w")
+    hops = ways.groupBy("dest", F.col("u").alias("node")).agg(F.min("v").alias("next_node"))
+    return best.join(hops, ["dest", "node"], "left").select("dest", "node", "dist", F.coalesce("next_node", "dest").alias("next_node"))
 
 
 def next_hops(trees: DataFrame, asked: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityloom.operators.ordered import percentile, running_sum
+from cityloom.sources.lineage import stored
+
 KEY = ["row_i", "col_i"]
 
 
@@ -84,42 +89,64 @@ def saturation(value: Column, eps: float = 1e-6) -> Column:
 
 
 def percentile_rank(cells: DataFrame, by: str, name: str) -> DataFrame:
-    """Rank over count, ties sharing the mean of their ranks; ranks come from counts of
-    equal values, so only distinct values are put in one order."""
+    """Rank over count, ties sharing the mean of their ranks; ranks come from running
+    counts of equal values, which are summed range by range."""
     counts = cells.groupBy(by).agg(F.count("*").alias("_c"))
-    below = F.sum("_c").over(Window.orderBy(by)) - F.col("_c")
-    total = F.sum("_c").over(Window.partitionBy())
-    ranks = counts.select(by, ((below + 1 + (F.col("_c") - 1) / 2) / total).alias(name))
+    upto = running_sum(counts, by, "_c", "_upto")
+    total = cells.count()
+    ranks = upto.select(by, ((F.col("_upto") - F.col("_c") + 1 + (F.col("_c") - 1) / 2) / F.lit(total)).alias(name))
     return cells.join(ranks, by)
 
 
-def local_mean(cells: DataFrame, value: str = "value", window: int = 3, name: str = "local_mean") -> DataFrame:
+def local_mean(cells: DataFrame, value: str = "value", window: int = 3, name: str = "local_mean", tile: int = 64) -> DataFrame:
     """Mean over the valid cells of a window x window square around each valid cell.
 
-    Every cell sends its value to the centres it belongs to: one shuffle by centre.
+    Cells are dealt to square tiles, those near a border to the neighbours as well; a
+    tile sums its own windows, so a cell is moved once or a little more often.
     """
     if window < 1 or window % 2 == 0:
         raise ValueError("window must be odd")
     r = window // 2
-    steps = F.sequence(F.lit(-r), F.lit(r))
-    sent = cells.where(F.col(value).isNotNull()).select("row_i", "col_i", value, F.explode(steps).alias("dr")).select("row_i", "col_i", value, "dr", F.explode(steps).alias("dc"))
-    sums = sent.groupBy((F.col("row_i") + F.col("dr")).alias("row_i"), (F.col("col_i") + F.col("dc")).alias("col_i")).agg(
-        F.sum(value).alias("_s"), F.count("*").alias("_n"), F.max(F.when((F.col("dr") == 0) & (F.col("dc") == 0), F.col(value))).alias(value)
-    )
-    return sums.where(F.col(value).isNotNull()).select(*KEY, value, (F.col("_s") / F.col("_n")).alias(name))
+    if r > tile:
+        raise ValueError("a window can't be wider than two tiles")
+    reach = lambda c: F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-r, 0, r)]))
+    dealt = cells.where(F.col(value).isNotNull()).select(*KEY, F.col(value).cast("double").alias(value)).withColumn("_tr", F.explode(reach("row_i"))).withColumn("_tc", F.explode(reach("col_i")))
+
+    def run(key, frame):
+        top, left = int(key[0]) * tile - r, int(key[1]) * tile - r
+        total, count = np.zeros((2, tile + 2 * r + 1, tile + 2 * r + 1))
+        row, col = frame["row_i"].to_numpy() - top, frame["col_i"].to_numpy() - left
+        v = frame[value].to_numpy()
+        np.add.at(total, (row, col), v)
+        np.add.at(count, (row, col), 1)
+
+        def windows(x):  # sums of whole windows, direct, so that values of other cells add no rounding
+            out = np.zeros((tile, tile))
+            for i in range(window):
+                for j in range(window):
+                    out += x[i : i + tile, j : j + tile]
+            return out
+
+        own = (row >= r) & (row < r + tile) & (col >= r) & (col < r + tile)
+        a, b = row[own] - r, col[own] - r
+        return pd.DataFrame({"row_i": frame["row_i"].to_numpy()[own], "col_i": frame["col_i"].to_numpy()[own], value: v[own], name: windows(total)[a, b] / windows(count)[a, b]})
+
+    return dealt.groupBy("_tr", "_tc").applyInPandas(run, f"row_i long, col_i long, {value} double, {name} double")
 
 
 def candidates(cells: DataFrame, score: str, quantile: float = 0.5) -> DataFrame:
-    """Cells whose score reaches the exact (interpolated) quantile of all scores."""
-    limit = cells.agg(F.percentile(score, quantile).alias("threshold"))
-    return cells.crossJoin(F.broadcast(limit)).where(F.col(score) >= F.col("threshold"))
+    """Cells whose score reaches the exact (interpolated) quantile of all scores.  cells
+    should be a stored table: it is read for the quantile as well."""
+    limit = percentile(cells, F.col(score), quantile)
+    return cells.withColumn("threshold", F.lit(limit).cast("double")).where(F.col(score) >= F.col("threshold"))
 
 
 def hotspots(a: DataFrame, b: DataFrame, quantile: float = 0.9, window: int = 3) -> DataFrame:
     """The whole path: normalise both, fuse, score, smooth, keep the hottest cells."""
+    a, b = stored(a, "raster-a"), stored(b, "raster-b")  # read for the range, the histogram and the result
     fused = fuse(normalise(a), normalise(b))
     scored = fused.select(*KEY, saturation(F.col("value")).alias("score"))
-    return candidates(local_mean(scored, "score", window, "local_score"), "local_score", quantile)
+    return candidates(stored(local_mean(scored, "score", window, "local_score"), "raster-scores"), "local_score", quantile)
 
 
 def decimate(raster: DataFrame, scale: int) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityloom.functions import geo
+from cityloom.operators.raster import valid
+
 
 def requested_cities(lines: DataFrame, value: str = "value") -> DataFrame:
     """ord, requested_name of a text of one name a line; blanks go, duplicates are an error."""
@@ -81,6 +84,102 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
 
 
+def polygons_of(vertices: DataFrame) -> DataFrame:
+    """city_id, city_name, ring (array of x, y) of a table of vertices (seq, x, y) in order."""
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return vertices.groupBy("city_id", "city_name").agg(ring.alias("ring"))
+
+
+def ring_bounds(ring: Column) -> list[Column]:
+    """minx, miny, maxx, maxy of a ring."""
+    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return [F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)]
+
+
+def total_bounds(polygons: DataFrame, ring: str = "ring") -> DataFrame:
+    """One row minx, miny, maxx, maxy, area_km2 of all rings."""
+    minx, miny, maxx, maxy = ring_bounds(F.col(ring))
+    return polygons.agg(F.min(minx).alias("minx"), F.min(miny).alias("miny"), F.max(maxx).alias("maxx"), F.max(maxy).alias("maxy"), (F.sum(ring_area(F.col(ring))) / 1e6).alias("area_km2"))
+
+
+def ring_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to the nearest side of a ring."""
+    n = F.size(ring)
+
+    def far(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+        return F.sqrt(F.pow(x - a["x"] - t * dx, F.lit(2.0)) + F.pow(y - a["y"] - t * dy, F.lit(2.0)))
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), far))
+
+
+def _window(ring: Column, transform: tuple[float, ...], distance: float) -> list[Column]:
+    """row_min, row_max, col_min, col_max of the cells that a widened ring's bounds touch."""
+    minx, miny, maxx, maxy = ring_bounds(ring)
+    r1, c1 = geo.cell_of(minx - distance, maxy + distance, transform)
+    r2, c2 = geo.cell_of(maxx + distance, miny - distance, transform)
+    return [F.least(r1, r2), F.greatest(r1, r2), F.least(c1, c2), F.greatest(c1, c2)]
+
+
+def windows(polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0) -> DataFrame:
+    """polygons with row_min, row_max, col_min, col_max."""
+    return polygons.withColumns(dict(zip(("row_min", "row_max", "col_min", "col_max"), _window(F.col("ring"), transform, distance))))
+
+
+def _covers(transform: tuple[float, ...], distance: float) -> Column:
+    x, y = geo.cell_centre(F.col("row_i"), F.col("col_i"), transform)
+    inside = inside_polygon(x, y, F.col("ring"))
+    return inside | (ring_distance(x, y, F.col("ring")) <= distance) if distance > 0 else inside
+
+
+def clip_polygons(cells: DataFrame, polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0, tile: int = 64) -> DataFrame:
+    """Cells whose centre is in a polygon (or within distance of it), with its columns: an
+    equi join on tiles, the box, then the exact test."""
+    joined = _tiled_cells(cells, tile).join(_tiled_boxes(windows(polygons, transform, distance), tile), ["_tr", "_tc"])
+    return joined.where(inside_box()).where(_covers(transform, distance)).drop("_tr", "_tc", "ring")
+
+
+def polygon_masks(polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0) -> DataFrame:
+    """city_id, row_i, col_i of all cells of the grid whose centre is in a polygon, with or without data."""
+    rows = windows(polygons, transform, distance).withColumn("row_i", F.explode(F.sequence("row_min", "row_max")))
+    cells = rows.repartition("city_id", "row_i").withColumn("col_i", F.explode(F.sequence("col_min", "col_max")))
+    return cells.where(_covers(transform, distance)).select("city_id", "row_i", "col_i")
+
+
+def masked_scan(baseline: DataFrame, mask: DataFrame, baseline_grid: dict, mask_grid: dict, nodata: float | None = -9999.0) -> DataFrame:
+    """row_i, col_i, value of the valid cells under the mask (value 1) of two rasters.
+
+    Grids (width, height, transform, crs) must agree, and a cell must be left.
+    """
+    for k in ("transform", "crs", "width", "height"):
+        if baseline_grid.get(k) != mask_grid.get(k):
+            raise ValueError(f"the {k} of the mask isn't that of the baseline")
+    found = baseline.where(roi_valid(nodata)).join(mask.where("value = 1").select("row_i", "col_i"), ["row_i", "col_i"], "left_semi")
+    if not found.limit(1).count():
+        raise ValueError("no valid cell lies under the mask")
+    return found
+
+
+def roi_valid(nodata: float | None = -9999.0, value: str = "value") -> Column:
+    return valid(value, nodata)
+
+
+def roi_statistics(cells: DataFrame, polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0) -> DataFrame:
+    """Per polygon: window (width, height, bounds), cells under the mask, valid ones, their sum."""
+    a, _, c, _, e, f = transform
+    boxes = windows(polygons, transform, distance).select("city_id", "city_name", "row_min", "row_max", "col_min", "col_max")
+    masks = polygon_masks(polygons, transform, distance).groupBy("city_id").agg(F.count("*").alias("pixel_count_inside_mask"))
+    sums = clip_polygons(cells, polygons, transform, distance).groupBy("city_id").agg(F.count("value").alias("valid_baseline_pixels"), F.sum("value").alias("baseline_sum"))
+    bounds = F.array(c + F.col("col_min") * a, f + (F.col("row_max") + 1) * e, c + (F.col("col_max") + 1) * a, f + F.col("row_min") * e)
+    zero = lambda n, x: F.coalesce(n, F.lit(x)).alias(n)
+    return boxes.join(masks, "city_id", "left").join(sums, "city_id", "left").select(
+        "city_id", "city_name", (F.col("col_max") - F.col("col_min") + 1).alias("width"), (F.col("row_max") - F.col("row_min") + 1).alias("height"), bounds.alias("bounds"),
+        zero("pixel_count_inside_mask", 0), zero("valid_baseline_pixels", 0), zero("baseline_sum", 0.0),
+    )
+
+
 def region_summary(clipped: DataFrame, all_cells: Column) -> DataFrame:
     """Per city: cells of the mask, valid ones and their sum."""
     return clipped.groupBy("city_id", "city_name").agg(F.max(all_cells).alias("mask_cells"), F.count("value").alias("valid_cells"), F.sum("value").alias("value_sum"))

@@ -25,6 +25,7 @@ CLASSES = [
     ("unclassified", 13, 30.0, 1.55),
     ("other", None, 28.0, 1.70),
 ]
+# Major classes, and the tiers that shocks are looked for in, in order.
 MAJOR = ["motorway", "motorway_link", "trunk", "trunk_link", "primary", "primary_link", "secondary", "secondary_link"]
 TIERS = [["trunk", "trunk_link"], ["primary", "primary_link"], ["secondary", "secondary_link"], ["motorway", "motorway_link"]]
 
@@ -37,13 +38,12 @@ def road_class(highway: Column) -> Column:
     """First class of the priority list among the tokens, else the first token, else other."""
     tokens = list_tokens(highway)
     ordered = F.array(*[F.lit(c) for c, p, _, _ in CLASSES if p is not None])
-    known = F.filter(ordered, lambda c: F.array_contains(tokens, c))
-    return F.coalesce(F.get(known, F.lit(0)), F.get(tokens, F.lit(0)), F.lit("other"))
+    return F.coalesce(F.get(F.array_intersect(ordered, tokens), F.lit(0)), F.get(tokens, F.lit(0)), F.lit("other"))
 
 
 def lane_count(lanes: Column) -> Column:
     """Mean of the numbers in a list-like value, at least 1; 1 without any."""
-    numbers = F.filter(F.transform(list_tokens(lanes), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
+    numbers = F.filter(F.transform(list_tokens(lanes, ",;"), lambda x: x.try_cast("double")), lambda x: x.isNotNull() & ~F.isnan(x))
     mean = F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(numbers), F.lit(0))
     return F.greatest(F.coalesce(mean, F.lit(1.0)), F.lit(1.0))
 
@@ -95,7 +95,8 @@ def event_edges(events: DataFrame) -> DataFrame:
 
 def active_factors(events: DataFrame, ticks: DataFrame) -> DataFrame:
     """tick, u, v, factor (product of active drops), closed, for edges with active events."""
-    on = ticks.join(F.broadcast(events), (ticks.tick >= events.tick_start) & (ticks.tick < events.tick_end))
+    active = events.where("tick_end > tick_start").withColumn("tick", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)))
+    on = ticks.join(active, "tick")
     drop = F.when(F.col("kind") == "capacity_drop", F.coalesce("capacity_factor", F.lit(1.0)))
     return on.groupBy("tick", "u", "v").agg(F.coalesce(F.product(drop), F.lit(1.0)).alias("factor"), F.bool_or(F.col("kind") == "edge_closure").alias("closed"))
 
@@ -110,7 +111,7 @@ def snapshot_capacity(capacity: Column, scale: float = 0.5, tick_minutes: float
 
 def dynamic_costs(edges: DataFrame, loads: DataFrame, factors: DataFrame, alpha: float = 1.8, beta: float = 2.8, scale: float = 0.5, tick_minutes: float = 6.0) -> DataFrame:
     """u, v, cost of open edges under loads (u, v, load) and factors (u, v, factor, closed)."""
-    both = edges.join(loads.select("u", "v", "load"), ["u", "v"], "left").join(F.broadcast(factors.select("u", "v", "factor", "closed")), ["u", "v"], "left")
+    both = edges.join(loads.select("u", "v", "load"), ["u", "v"], "left").join(factors.select("u", "v", "factor", "closed"), ["u", "v"], "left")
     effective = F.col("base_capacity") * F.coalesce("factor", F.lit(1.0))
     used = F.coalesce("load", F.lit(0)) / capacity_per_tick(effective, scale, tick_minutes)
     cost = F.col("base_cost") * (1.0 + alpha * F.pow(F.greatest(used, F.lit(0.0)), F.lit(beta)))

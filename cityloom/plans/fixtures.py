@@ -10,9 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Edges kept of the raw multigraph (edge_key modulo this is 0) for graph operators.
-SPARSE = 17
-
 VIEWS: dict[str, str] = {
     "grid_a": """SELECT CAST(l_partkey % 64 AS BIGINT) AS row_i, CAST(l_suppkey % 64 AS BIGINT) AS col_i,
         CAST(sum(l_quantity) AS DOUBLE) AS value
@@ -23,14 +20,19 @@ VIEWS: dict[str, str] = {
     "roi": """SELECT CAST(n_nationkey AS BIGINT) AS city_id, n_name AS city_name,
         CAST((n_nationkey % 5) * 12 AS BIGINT) AS row_min, CAST((n_nationkey % 5) * 12 + 15 AS BIGINT) AS row_max,
         CAST(n_regionkey * 12 AS BIGINT) AS col_min, CAST(n_regionkey * 12 + 15 AS BIGINT) AS col_max FROM nation""",
+    "roi_vertices": """SELECT city_id, city_name, CAST(p.seq AS BIGINT) AS seq,
+        CAST(col_min + 8.3 AS DOUBLE) + p.dx * (1 + city_id % 3 * 0.25) AS x, CAST(row_min + 7.6 AS DOUBLE) + p.dy * (1 + city_id % 3 * 0.25) AS y
+        FROM roi CROSS JOIN (SELECT * FROM (VALUES (0, CAST(0.0 AS DOUBLE), CAST(-7.0 AS DOUBLE)), (1, CAST(7.5 AS DOUBLE), CAST(-2.0 AS DOUBLE)),
+        (2, CAST(1.5 AS DOUBLE), CAST(1.0 AS DOUBLE)), (3, CAST(5.5 AS DOUBLE), CAST(7.0 AS DOUBLE)), (4, CAST(-6.0 AS DOUBLE), CAST(6.0 AS DOUBLE))) AS v(seq, dx, dy)) AS p""",
+    "mask_b": """SELECT row_i, col_i, CAST(CASE WHEN (row_i * 7 + col_i) % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM grid_b""",
     "nodes": """SELECT CAST(p_partkey AS BIGINT) AS node_id,
         CAST((p_partkey % 10) * 1000 + (p_partkey * 37) % 211 AS DOUBLE) AS x,
         CAST(floor(p_partkey / 10) * 1000 + (p_partkey * 53) % 197 AS DOUBLE) AS y FROM part WHERE p_partkey < 100""",
     "edges_raw": """SELECT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 100 AS BIGINT) AS v,
         CAST(l_orderkey AS BIGINT) AS edge_key,
         CAST(100 + (l_partkey * 31 + l_suppkey * 17 + l_orderkey * 7) % 900 AS DOUBLE) AS length_m,
-        CASE l_orderkey % 6 WHEN 0 THEN 'motorway' WHEN 1 THEN '[''primary'', ''trunk'']'
-             WHEN 2 THEN 'secondary_link' WHEN 3 THEN 'residential' WHEN 4 THEN 'busway' ELSE NULL END AS highway,
+        CASE l_orderkey % 7 WHEN 0 THEN 'Motorway' WHEN 1 THEN '[''primary'', ''Trunk'']'
+             WHEN 2 THEN ' secondary_link ' WHEN 3 THEN 'RESIDENTIAL' WHEN 4 THEN 'Busway; trunk' WHEN 5 THEN 'NaN' ELSE NULL END AS highway,
         CASE l_orderkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '[''2'', ''3'']' WHEN 2 THEN '1;4' ELSE NULL END AS lanes
         FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 100 <> l_partkey % 100""",
     "trips": """SELECT CAST(event_id AS BIGINT) AS trip_id, CAST(user_id AS BIGINT) AS agent_id,
@@ -54,7 +56,7 @@ VIEWS: dict[str, str] = {
         FROM trips CROSS JOIN (SELECT CAST(0 AS BIGINT) AS hop UNION ALL SELECT CAST(1 AS BIGINT) UNION ALL SELECT CAST(2 AS BIGINT)) AS h""",
     "centres": """SELECT CAST(c_custkey AS BIGINT) AS cluster_id,
         CAST((c_custkey * 7919) % 10007 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 9973 AS DOUBLE) AS y,
-        CAST(1 + c_custkey % 7 AS BIGINT) AS pixel_count, CAST(1 + (c_custkey * 13) % 50 AS DOUBLE) AS weight
+        CAST(1 + c_custkey % 7 AS BIGINT) AS pixel_count, CAST(1 + (c_custkey * 13) % 50 AS DOUBLE) AS weight, CAST((c_custkey * 29) % 64 AS DOUBLE) / 64 AS mean_local_score
         FROM customer""",
 }
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
-from cityloom.operators import demand, flow, forecast, graph, raster, regions, roads
-from cityloom.plans.fixtures import SPARSE, sql, view
+from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, scenarios, simulation
+from cityloom.operators.ordered import percentile
+from cityloom.plans.fixtures import sql, view
+from cityloom.sources.lineage import stored
 from cityloom.streaming import ticks as streaming
 
 QUERIES: dict = {}
@@ -29,10 +31,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def _sparse(spark, d):
-    return view(spark, d, "edges_raw").where(f"edge_key % {SPARSE} = 0")
-
-
 def _edges(spark, d):
     return roads.cheapest_edges(roads.routing_edges(view(spark, d, "edges_raw")))
 
@@ -161,10 +159,10 @@ def bilinear_warp(spark, d):
 @query("""WITH q AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi, min(value) AS a, max(value) AS b FROM grid_a)
   SELECT round(CASE WHEN abs(hi - lo) < 1e-9 THEN a ELSE lo END, 6) AS low, round(CASE WHEN abs(hi - lo) < 1e-9 THEN b ELSE hi END, 6) AS high FROM q""")
 def robust_limits(spark, d):
-    v = F.col("value")
-    q = view(spark, d, "grid_a").agg(F.percentile(v, 0.02).alias("lo"), F.percentile(v, 0.98).alias("hi"), F.min(v).alias("a"), F.max(v).alias("b"))
-    flat = F.abs(F.col("hi") - F.col("lo")) < 1e-9
-    return q.select(F.round(F.when(flat, F.col("a")).otherwise(F.col("lo")), 6).alias("low"), F.round(F.when(flat, F.col("b")).otherwise(F.col("hi")), 6).alias("high"))
+    v, grid = F.col("value"), view(spark, d, "grid_a")
+    lo, hi = (F.lit(percentile(grid, v, p)).cast("double") for p in (0.02, 0.98))
+    flat = F.abs(hi - lo) < 1e-9
+    return grid.agg(F.min(v).alias("a"), F.max(v).alias("b")).select(F.round(F.when(flat, F.col("a")).otherwise(lo), 6).alias("low"), F.round(F.when(flat, F.col("b")).otherwise(hi), 6).alias("high"))
 
 
 @query("""SELECT row_i * 64 + col_i AS cell_id, 500.0 + (col_i + 0.5) * 10.0 AS center_x, 900.0 - (row_i + 0.5) * 10.0 AS center_y,
@@ -208,6 +206,64 @@ def city_match(spark, d):
     return regions.match_cities(asked, p.union(p.where("city_id % 6 = 0").select(F.col("city_id") + 100, "city_name")))
 
 
+_SIDES = """sides AS (SELECT a.city_id, a.city_name, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy FROM roi_vertices a JOIN roi_vertices b ON b.city_id = a.city_id AND b.seq = (a.seq + 1) % 5)"""
+_IN_CITY = f"""{_SIDES}, grid AS (SELECT r.range AS row_i, c.range AS col_i, c.range + 0.5 AS x, r.range + 0.5 AS y FROM range(-20, 100) r, range(-20, 100) c),
+  covered AS (SELECT city_id, city_name, row_i, col_i, count(*) FILTER ((ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / nullif(cy - ay, 0) + ax) % 2 = 1 AS inside,
+    min(sqrt(pow(x - ax - t * (cx - ax), 2) + pow(y - ay - t * (cy - ay), 2))) AS far FROM (SELECT *, greatest(0, least(1, ((x - ax) * (cx - ax) + (y - ay) * (cy - ay)) / (pow(cx - ax, 2) + pow(cy - ay, 2)))) AS t FROM grid, sides) GROUP BY ALL)"""
+_UNIT = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+
+
+def _polygons(spark, d):
+    return regions.polygons_of(view(spark, d, "roi_vertices"))
+
+
+@query(f"WITH {_IN_CITY} SELECT c.city_id, c.city_name, c.row_i, c.col_i, value FROM covered c JOIN grid_a g ON g.row_i = c.row_i AND g.col_i = c.col_i WHERE inside")
+def polygon_clip(spark, d):
+    return regions.clip_polygons(view(spark, d, "grid_a"), _polygons(spark, d), _UNIT).select("city_id", "city_name", "row_i", "col_i", "value")
+
+
+@query(f"WITH {_IN_CITY} SELECT c.city_id, c.city_name, c.row_i, c.col_i, value FROM covered c JOIN grid_a g ON g.row_i = c.row_i AND g.col_i = c.col_i WHERE inside OR far <= 1.75")
+def polygon_buffer(spark, d):
+    return regions.clip_polygons(view(spark, d, "grid_a"), _polygons(spark, d), _UNIT, 1.75).select("city_id", "city_name", "row_i", "col_i", "value")
+
+
+@query(f"""WITH {_IN_CITY}, m AS (SELECT city_id, count(*) AS n FROM covered WHERE inside GROUP BY city_id),
+  s AS (SELECT c.city_id, count(value) AS valid, sum(value) AS total FROM covered c JOIN grid_a g ON g.row_i = c.row_i AND g.col_i = c.col_i WHERE inside GROUP BY c.city_id)
+  SELECT v.city_id, v.city_name, CAST(floor(max(x)) - floor(min(x)) + 1 AS BIGINT) AS width, CAST(floor(max(y)) - floor(min(y)) + 1 AS BIGINT) AS height, coalesce(any_value(n), 0) AS pixel_count_inside_mask,
+    coalesce(any_value(valid), 0) AS valid_baseline_pixels, coalesce(any_value(total), 0) AS baseline_sum FROM roi_vertices v LEFT JOIN m ON m.city_id = v.city_id LEFT JOIN s ON s.city_id = v.city_id GROUP BY v.city_id, v.city_name""")
+def polygon_statistics(spark, d):
+    return regions.roi_statistics(view(spark, d, "grid_a"), _polygons(spark, d), _UNIT).drop("bounds")
+
+
+@query(f"WITH {_SIDES} SELECT round(min(ax), 6) AS minx, round(min(ay), 6) AS miny, round(max(ax), 6) AS maxx, round(max(ay), 6) AS maxy, round(CAST(sum(area) AS DOUBLE), 9) AS area_km2 FROM (SELECT *, 0.0 AS area FROM sides UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, abs(sum(ax * cy - cx * ay)) / 2 / 1e6 FROM sides GROUP BY city_id)")
+def polygon_bounds(spark, d):
+    return _rounded(_rounded(regions.total_bounds(_polygons(spark, d)), "minx", "miny", "maxx", "maxy"), "area_km2", digits=9)
+
+
+@query("SELECT a.row_i, a.col_i, a.value FROM grid_a a JOIN mask_b m ON m.row_i = a.row_i AND m.col_i = a.col_i WHERE m.value = 1 AND a.value <> 100")
+def roi_mask_scan(spark, d):
+    grid = {"width": 64, "height": 64, "transform": _UNIT, "crs": "local"}
+    return regions.masked_scan(view(spark, d, "grid_a"), view(spark, d, "mask_b"), grid, grid, nodata=100.0).select("row_i", "col_i", "value")
+
+
+@query("""WITH j AS (SELECT a.value, b.value AS score FROM grid_a a JOIN grid_b b ON a.row_i = b.row_i AND a.col_i = b.col_i)
+  SELECT count(*) AS valid_pixels, round(avg(value), 6) AS value_mean, round(quantile_cont(value, 0.5), 6) AS value_p50, round(quantile_cont(value, 0.95), 6) AS value_p95, round(avg(score), 6) AS score_mean,
+    round(quantile_cont(score, 0.5), 6) AS score_p50, round(quantile_cont(score, 0.95), 6) AS score_p95, max(score) AS score_max FROM j""")
+def region_review(spark, d):
+    cells = stored(view(spark, d, "grid_a").join(view(spark, d, "grid_b").withColumnRenamed("value", "score"), ["row_i", "col_i"]), "review")
+    return _rounded(report.region_review(cells), "value_mean", "value_p50", "value_p95", "score_mean", "score_p50", "score_p95")
+
+
+@query("""SELECT m.row_i AS row, m.col_i AS col, m.row_i * 64 + m.col_i AS cell_id, m.col_i + 0.5 AS center_x, m.row_i + 0.5 AS center_y, true AS in_roi, a.value IS NOT NULL AS baseline_valid, a.value AS baseline_value,
+    a.value AS score, a.value / 2 AS score_rank, a.value * 2 AS local_score, c.row_i IS NOT NULL AS is_hotspot_candidate, CASE WHEN c.row_i IS NOT NULL THEN (m.row_i + m.col_i) % 9 END AS cluster_id
+  FROM mask_b m LEFT JOIN grid_a a ON a.row_i = m.row_i AND a.col_i = m.col_i LEFT JOIN (SELECT * FROM grid_a WHERE value >= 60) c ON c.row_i = m.row_i AND c.col_i = m.col_i WHERE m.value = 1""")
+def grid_cells(spark, d):
+    a = view(spark, d, "grid_a")
+    scored = a.select("row_i", "col_i", F.col("value").alias("score"), (F.col("value") / 2).alias("score_rank"), (F.col("value") * 2).alias("local_score"))
+    hot = a.where("value >= 60").select("row_i", "col_i", ((F.col("row_i") + F.col("col_i")) % 9).alias("cluster_id"))
+    return report.grid_cells(view(spark, d, "mask_b").where("value = 1"), a, scored, hot, _UNIT, 64)
+
+
 # ------------------------------------------------------------------ clusters and demand
 
 
@@ -250,6 +306,27 @@ def node_demand(spark, d):
     return _demand(spark, d)
 
 
+@query(f"""WITH {_SNAPPED} SELECT s.node_id, count(*) AS hotspot_count, CAST(sum(s.pixel_count) AS BIGINT) AS sum_pixel_count, sum(s.weight) AS sum_weight, sum(c.mean_local_score) AS sum_mean_local_score
+  FROM snapped s JOIN centres c ON c.cluster_id = s.cluster_id GROUP BY s.node_id ORDER BY sum_mean_local_score DESC, hotspot_count DESC, s.node_id LIMIT 25""")
+def demand_order(spark, d):
+    return demand.demand_order(demand.node_demand(_snapped(spark, d), ("weight", "mean_local_score"))).limit(25)
+
+
+@query(f"WITH {_DEMAND} SELECT arg_min(node_id, (-sum_weight, node_id)) AS node_id FROM dem")
+def strongest_node(spark, d):
+    return demand.strongest_node(_demand(spark, d))
+
+
+@query(f"WITH {_DEMAND} SELECT * FROM dem WHERE node_id IN (SELECT u FROM edges_raw)")
+def demand_in_network(spark, d):
+    return demand.within_nodes(_demand(spark, d), view(spark, d, "edges_raw").select(F.col("u").alias("node_id")))
+
+
+@query(f"WITH {_DEMAND}, top AS (SELECT * FROM dem ORDER BY sum_weight DESC, node_id LIMIT 20) SELECT node_id, x, y FROM nodes WHERE node_id IN (SELECT node_id FROM top)")
+def attractor_points(spark, d):
+    return demand.attractor_points(view(spark, d, "nodes"), demand.attractors(_demand(spark, d), 20))
+
+
 @query(f"WITH {_SNAPPED} SELECT round(min(d), 6) AS min_m, round(max(d), 6) AS max_m, round(avg(d), 6) AS mean_m, round(quantile_cont(d, 0.5), 6) AS median_m, round(quantile_cont(d, 0.95), 6) AS p95_m FROM snapped")
 def snap_stats(spark, d):
     return _rounded(demand.snap_statistics(_snapped(spark, d)), "min_m", "max_m", "mean_m", "median_m", "p95_m")
@@ -297,10 +374,9 @@ def weighted_choice(spark, d):
 
 _KNOWN = ", ".join(f"'{c}'" for c, p, _, _ in roads.CLASSES if p is not None)
 _MAJORS = ", ".join(f"'{c}'" for c in roads.MAJOR)
-_CLASSED = f"""toks AS (SELECT *, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(highway, ''), '^\\s*\\[|\\]\\s*$', '', 'g'), '[,;]'),
-     lambda x: regexp_replace(trim(x), '^[''"]+|[''"]+$', '', 'g')), lambda x: x <> '' AND lower(x) <> 'nan') AS tokens,
-   list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(lanes, ''), '^\\s*\\[|\\]\\s*$', '', 'g'), '[,;]'),
-     lambda x: TRY_CAST(regexp_replace(trim(x), '^[''"]+|[''"]+$', '', 'g') AS DOUBLE)), lambda x: x IS NOT NULL) AS nums FROM edges_raw),
+_QUOTES = "'" * 3 + '"' + "'"
+_CLASSED = f"""toks AS (SELECT *, CASE WHEN lower(trim(highway)) = 'nan' THEN [] ELSE list_filter(list_transform(string_split(trim(lower(trim(coalesce(highway, ''))), '[]'), ','), lambda x: trim(trim(x), {_QUOTES})), lambda x: x <> '') END AS tokens,
+   list_filter(list_transform(string_split(replace(lower(trim(coalesce(lanes, ''))), ';', ','), ','), lambda x: TRY_CAST(trim(trim(trim(x), '[]'), {_QUOTES}) AS DOUBLE)), lambda x: x IS NOT NULL) AS nums FROM edges_raw),
  classed AS (SELECT u, v, edge_key, length_m, coalesce(list_filter([{_KNOWN}], lambda c: list_contains(tokens, c))[1], tokens[1], 'other') AS road_class,
    greatest(coalesce(list_avg(nums), 1.0), 1.0) AS lane_count FROM toks),
  dims AS (SELECT * FROM (VALUES {", ".join(f"('{c}', CAST({cap} AS DOUBLE), CAST({pen} AS DOUBLE))" for c, _, cap, pen in roads.CLASSES)}) AS d(name, capacity, penalty)),
@@ -362,13 +438,13 @@ def dynamic_cost(spark, d):
     return _rounded(roads.dynamic_costs(_edges(spark, d), view(spark, d, "edge_history").where("tick = 118"), factors), "cost")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM edges_raw WHERE edge_key % {SPARSE * 10} = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT u, v FROM edges_raw), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
   r(node, other) AS (SELECT u, u FROM b UNION SELECT r.node, b.v FROM r JOIN b ON b.u = r.other) SELECT node, min(other) AS component FROM r GROUP BY node""")
 def weak_components(spark, d):
-    return graph.weak_components(view(spark, d, "edges_raw").where(f"edge_key % {SPARSE * 10} = 0"))
+    return graph.weak_components(view(spark, d, "edges_raw"))
 
 
-_REACH = f"""e AS (SELECT DISTINCT u, v FROM edges_raw WHERE edge_key % {SPARSE * 4} = 0),
+_REACH = """e AS (SELECT DISTINCT u, v FROM edges_raw),
   r(a, b) AS (SELECT u, v FROM e UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b)"""
 
 
@@ -376,32 +452,111 @@ _REACH = f"""e AS (SELECT DISTINCT u, v FROM edges_raw WHERE edge_key % {SPARSE
   n AS (SELECT node, scc FROM s UNION ALL SELECT node, node FROM (SELECT u AS node FROM e UNION SELECT v FROM e) WHERE node NOT IN (SELECT node FROM s)),
   size AS (SELECT scc, count(*) AS c FROM n GROUP BY scc) SELECT node FROM n WHERE scc = (SELECT arg_min(scc, (-c, scc)) FROM size)""")
 def largest_scc(spark, d):
-    return graph.largest_scc(view(spark, d, "edges_raw").where(f"edge_key % {SPARSE * 4} = 0"))
+    return graph.largest_scc(view(spark, d, "edges_raw"))
 
 
-_PATHS = f"""e AS (SELECT u, v, min(length_m) AS w FROM edges_raw WHERE edge_key % {SPARSE} = 0 GROUP BY u, v),
-  p(dest, node, dist) AS (SELECT v, v, CAST(0 AS DOUBLE) FROM e WHERE v < 8
-    UNION SELECT p.dest, e.u, min(p.dist + e.w) FROM p JOIN e ON e.v = p.node WHERE p.dist + e.w < 4500 GROUP BY p.dest, e.u),
+# Walks longer than any shortest way of these dense graphs end the recursion.
+_PATHS = """e AS (SELECT u, v, min(length_m) AS w FROM edges_raw GROUP BY u, v),
+  p(dest, node, dist) AS (SELECT n, n, CAST(0 AS DOUBLE) FROM (SELECT u AS n FROM e UNION SELECT v FROM e)
+    UNION SELECT p.dest, e.u, min(p.dist + e.w) FROM p JOIN e ON e.v = p.node WHERE p.dist + e.w < 3000 GROUP BY p.dest, e.u),
   best AS (SELECT dest, node, min(dist) AS dist FROM p GROUP BY dest, node)"""
 
 
 def _trees(spark, d):
-    edges = _sparse(spark, d).groupBy("u", "v").agg(F.min("length_m").alias("cost"))
-    return graph.path_trees(edges, edges.where("v < 8").select(F.col("v").alias("node_id")).distinct())
+    edges = view(spark, d, "edges_raw").groupBy("u", "v").agg(F.min("length_m").alias("cost"))
+    return graph.path_trees(edges, edges.select(F.col("v").alias("node_id")).union(edges.select("u")).distinct())
 
 
-@query(f"WITH RECURSIVE {_PATHS} SELECT dest, node, dist FROM best WHERE dist < 4500")
+@query(f"WITH RECURSIVE {_PATHS} SELECT dest, node, dist FROM best")
 def shortest_paths(spark, d):
-    return _trees(spark, d).where("dist < 4500").select("dest", "node", "dist")
+    return _trees(spark, d).select("dest", "node", "dist")
 
 
-@query(f"""WITH RECURSIVE {_PATHS}, asked AS (SELECT DISTINCT user_id % 100 AS node, event_id % 8 AS dest FROM events),
+@query(f"""WITH RECURSIVE {_PATHS}, asked AS (SELECT DISTINCT CAST(user_id % 100 AS BIGINT) AS node, CAST(event_id % 100 AS BIGINT) AS dest FROM events),
   step AS (SELECT b.dest, b.node, min(e.v) AS next_node FROM best b JOIN e ON e.u = b.node JOIN best c ON c.dest = b.dest AND c.node = e.v
-    WHERE b.node <> b.dest AND abs(c.dist + e.w - b.dist) < 1e-9 AND b.dist < 2000 GROUP BY b.dest, b.node)
-  SELECT CAST(a.dest AS BIGINT) AS dest, CAST(a.node AS BIGINT) AS node, next_node FROM asked a JOIN step USING (dest, node)""")
+    WHERE b.node <> b.dest AND abs(c.dist + e.w - b.dist) < 1e-9 GROUP BY b.dest, b.node)
+  SELECT a.dest, a.node, next_node FROM asked a LEFT JOIN step USING (dest, node) WHERE a.dest <> a.node""")
 def next_hop(spark, d):
-    asked = view(spark, d, "events").select((F.col("user_id") % 100).cast("long").alias("node"), (F.col("event_id") % 8).cast("long").alias("dest")).distinct()
-    return graph.next_hops(_trees(spark, d).where("dist < 2000 AND node <> dest"), asked).where("next_node IS NOT NULL").select("dest", "node", "next_node")
+    asked = view(spark, d, "events").select((F.col("user_id") % 100).cast("long").alias("node"), (F.col("event_id") % 100).cast("long").alias("dest")).distinct().where("node <> dest")
+    return graph.next_hops(_trees(spark, d), asked).select("dest", "node", "next_node")
+
+
+@query("""WITH n AS (SELECT node_id, x, y FROM nodes), r AS (SELECT l_orderkey % 100 AS node_id, count(*) AS c FROM lineitem GROUP BY 1)
+  SELECT CAST(r.node_id AS BIGINT) AS node_id, c, x, y FROM r JOIN n ON n.node_id = r.node_id WHERE r.node_id > 0""")
+def node_attributes(spark, d):
+    rows = view(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 100).cast("long").alias("node_id")).agg(F.count("*").alias("c")).where("node_id > 0")
+    return demand.with_node_attributes(rows, view(spark, d, "nodes")).select("node_id", "c", "x", "y")
+
+
+# ------------------------------------------------------------------ scenarios and agents
+
+
+def _heavy(edges):
+    return edges.groupBy(F.col("v").alias("node_id")).agg(F.sum("base_capacity").alias("sum_weight"))
+
+
+_CATALOG = """hit AS (SELECT row_number() OVER (ORDER BY base_capacity, u, v) AS place, u, v, road_class FROM shocked_edges),
+  heavy AS (SELECT v AS node_id, sum(base_capacity) AS w FROM edges GROUP BY v)"""
+_SHOCKED = f"""tiered AS (SELECT *, CASE WHEN base_capacity < 40 THEN NULL WHEN road_class IN ('trunk', 'trunk_link') THEN 0 WHEN road_class IN ('primary', 'primary_link') THEN 1
+    WHEN road_class IN ('secondary', 'secondary_link') THEN 2 WHEN road_class IN ('motorway', 'motorway_link') THEN 3 END AS tier FROM edges),
+  best AS (SELECT min(tier) AS best FROM (SELECT tier FROM tiered WHERE tier IS NOT NULL GROUP BY tier HAVING count(*) >= 4)),
+  shocked_edges AS (SELECT u, v, road_class, base_capacity FROM tiered, best WHERE CASE WHEN best IS NOT NULL THEN tier = best ELSE road_class IN ({_MAJORS}) END ORDER BY base_capacity, u, v LIMIT 8)"""
+
+
+@query(f"""WITH {_CLASSED}, {_SHOCKED}, {_CATALOG}
+  SELECT 'capacity_drop' AS scenario, 'capacity_drop' AS kind, 20 AS tick_start, 60 AS tick_end, u, v, CAST(0.25 AS DOUBLE) AS capacity_factor, NULL AS node_id, CAST(NULL AS DOUBLE) AS multiplier FROM hit
+  UNION ALL SELECT 'edge_closure', 'edge_closure', 20, 60, u, v, NULL, NULL, NULL FROM hit WHERE place <= 3
+  UNION ALL SELECT 'hotspot_surge', 'hotspot_surge', 20, 60, NULL, NULL, NULL, (SELECT arg_min(node_id, (-w, node_id)) FROM heavy), 3.0""")
+def scenario_catalog(spark, d):
+    edges = _edges(spark, d)
+    return scenarios.catalog(edges, _heavy(edges), 80)
+
+
+@query(f"""WITH {_CLASSED}, {_SHOCKED}, {_CATALOG}, c AS (SELECT arg_min(road_class, place) AS c FROM hit)
+  SELECT 'baseline' AS scenario, 'no shock' AS description, 0 AS event_count, 'capacities' AS edge_source
+  UNION ALL SELECT 'capacity_drop', 'a quarter of the capacity on ' || c || ' edges in ticks 20 to 60', 1, 'capacities' FROM c
+  UNION ALL SELECT 'edge_closure', upper(c[1]) || c[2:] || ' edges closed in ticks 20 to 60', 1, 'capacities' FROM c
+  UNION ALL SELECT 'hotspot_surge', 'the strongest attractor three times as strong in ticks 20 to 60', 1, 'capacities'""")
+def scenario_table(spark, d):
+    return scenarios.table(_edges(spark, d), 80)
+
+
+def _run(spark, d, c=simulation.Config(), events=None):
+    edges = stored(_edges(spark, d), "edges")
+    heavy = stored(_heavy(edges), "heavy")
+    return edges, simulation.simulate(edges, heavy, demand.attractors(heavy, 30), view(spark, d, "scenario_events") if events is None else events, c)
+
+
+@query()
+def simulate(spark, d):
+    return _run(spark, d, simulation.Config(n_ticks=120))[1].loads
+
+
+@query()
+def warmup_bottlenecks(spark, d):
+    edges = stored(_edges(spark, d), "edges")
+    heavy = _heavy(edges)
+    return scenarios.warm_up_bottlenecks(edges, heavy, demand.attractors(heavy, 30), simulation.Config())
+
+
+@query()
+def simulation_metrics(spark, d):
+    c = simulation.Config()
+    edges, run = _run(spark, d, c)
+    return simulation.metrics(run, edges, c)
+
+
+@query()
+def simulation_summary(spark, d):
+    c = simulation.Config(n_ticks=40)
+    edges, run = _run(spark, d, c)
+    return simulation.summary(simulation.metrics(run, edges, c), "scenario events")
+
+
+@query()
+def agent_positions(spark, d):
+    c = simulation.Config(n_ticks=40)
+    return simulation.place(_run(spark, d, c)[1].positions, view(spark, d, "nodes"))
 
 
 # ------------------------------------------------------------------ flows
@@ -422,7 +577,8 @@ def edge_history(spark, d):
     return flow.edge_loads(flow.expand_trips(view(spark, d, "routes")))
 
 
-@query(f"WITH {_CLASSED} SELECT h.u, h.v, CAST(sum(load) AS BIGINT) AS total_load FROM edge_history h JOIN edges e ON e.u = h.u AND e.v = h.v WHERE tick >= 100 AND road_class IN ({_MAJORS}) GROUP BY h.u, h.v ORDER BY total_load DESC, h.u, h.v LIMIT 8")
+@query(f"""WITH {_CLASSED}, t AS (SELECT h.u, h.v, CAST(sum(load) AS BIGINT) AS total_load, any_value(road_class IN ({_MAJORS})) AS major FROM edge_history h JOIN edges e ON e.u = h.u AND e.v = h.v WHERE tick >= 100 GROUP BY h.u, h.v)
+  SELECT u, v, total_load FROM t WHERE major OR (SELECT count(*) FROM t WHERE major) < 4 ORDER BY total_load DESC, u, v LIMIT 8""")
 def bottleneck_edges(spark, d):
     return flow.bottlenecks(view(spark, d, "edge_history"), _edges(spark, d), 100)
 
@@ -499,6 +655,44 @@ def vmax_p95(spark, d):
     return _rounded(flow.colour_limit(flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d))), "vmax")
 
 
+@query(f"WITH {_CLASSED}, {_USED}, peak AS (SELECT arg_min(tick, (-m, tick)) AS tick FROM (SELECT tick, max(utilization) AS m FROM used GROUP BY tick)) SELECT used.tick, u, v, round(utilization, 6) AS utilization FROM used JOIN peak ON peak.tick = used.tick")
+def spatial_peak(spark, d):
+    used = flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d))
+    return _rounded(report.spatial_peak(used, used.groupBy("tick").agg(F.max("utilization").alias("max_utilization"))), "utilization")
+
+
+@query(f"""WITH {_CLASSED}, {_USED}, b AS (SELECT 'baseline' AS run, * FROM used UNION ALL SELECT 'scenario', * FROM shocked)
+  SELECT run, tick, u, v, round(utilization, 6) AS utilization, run = 'scenario' AND tick >= 60 AND tick < 180 AS in_event FROM b WHERE tick IN (0, 48, 96, 143, 191, 239)""")
+def flow_snapshots(spark, d):
+    edges = _edges(spark, d)
+    runs = [flow.utilisation(view(spark, d, n), edges) for n in ("edge_history", "shock_history")]
+    return _rounded(report.marked_snapshots(*runs, 0, 239, 60, 180), "utilization")
+
+
+@query(f"WITH {_CLASSED} SELECT u, v, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v")
+def edge_segments(spark, d):
+    return report.edge_segments(_edges(spark, d), view(spark, d, "nodes"))
+
+
+@query(f"WITH {_CLASSED}, {_USED}, p AS (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS place FROM edges WHERE road_class IN ({_MAJORS})) SELECT p.u, p.v, place, tick, round(utilization, 6) AS utilization FROM p JOIN used ON used.u = p.u AND used.v = p.v")
+def utilisation_matrix(spark, d):
+    edges = _edges(spark, d)
+    return _rounded(report.utilisation_matrix(flow.utilisation(view(spark, d, "edge_history"), edges), edges, True), "utilization")
+
+
+@query("""WITH t AS (SELECT range AS tick, (6.0 + range * 6 / 60.0) % 24 AS hour FROM range(240))
+  SELECT tick, 'shock, tick ' || tick || ' of 240, ' || printf('%02d:%02d', CAST(floor(hour) AS INT), CAST(floor((hour - floor(hour)) * 60 + 1e-9) AS INT)) || CASE WHEN tick >= 60 AND tick < 180 THEN ' (event)' ELSE '' END AS caption, 'major' AS edge_scope, tick >= 60 AND tick < 180 AS in_event FROM t""")
+def frame_captions(spark, d):
+    return report.frame_captions(spark.range(240).withColumnRenamed("id", "tick"), 240, 60, 180, "shock")
+
+
+@query(f"WITH {_CLASSED}, {_USED} SELECT coalesce(b.tick, -1) AS tick, round(max(b.utilization), 6) AS peak, round(max(s.utilization), 6) AS peak_scenario FROM (SELECT tick, max(utilization) AS utilization FROM used GROUP BY tick) b JOIN (SELECT tick, max(utilization) AS utilization FROM shocked GROUP BY tick) s ON s.tick = b.tick GROUP BY b.tick")
+def compared_metrics(spark, d):
+    edges = _edges(spark, d)
+    peaks = [flow.utilisation(view(spark, d, n), edges).groupBy("tick").agg(F.max("utilization").alias("peak")) for n in ("edge_history", "shock_history")]
+    return _rounded(scenarios.compared(*peaks), "peak", "peak_scenario")
+
+
 _TENSOR = f"""{_CLASSED}, placed AS (SELECT e.u, e.v, base_capacity * 0.5 / 10.0 AS capacity, floor((a.y + b.y) / 2 / 1500) AS r, floor((a.x + b.x) / 2 / 1500) AS c FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes b ON b.node_id = e.v),
   cells AS (SELECT u, v, CAST(r * 6 + c AS BIGINT) AS cell, capacity FROM placed WHERE r BETWEEN 0 AND 5 AND c BETWEEN 0 AND 5),
   room AS (SELECT cell, greatest(sum(capacity), 0.1) AS room FROM cells GROUP BY cell),
@@ -558,16 +752,40 @@ def forecast_regression(spark, d):
 
 
 @query()
-def simulate(spark, d):
-    from cityloom.operators.simulation import Config, simulate as run
-
-    edges = roads.cheapest_edges(roads.routing_edges(_sparse(spark, d)))
-    heavy = edges.groupBy(F.col("v").alias("node_id")).agg(F.sum("base_capacity").alias("sum_weight"))
-    return run(edges, demand.attractors(heavy, 30), view(spark, d, "scenario_events"), Config(n_agents=200, n_ticks=40)).loads
+def forecast_recurrent(spark, d):
+    made = recurrent.windows(_frames(spark, d), 6, 6, 12, 3)
+    model, _ = recurrent.train(made, recurrent.Model(6, 6, hidden=8), epochs=3)
+    tail = made.join(forecast.chronological_split(made), "frame").where("part = 'test'").select("frame", "seen", "ahead")
+    return recurrent.predict(tail, model)
 
 
 # ------------------------------------------------------------------ map tiles, strings, streams
 
+
+@query(f"""WITH b AS (SELECT CAST(c_custkey AS BIGINT) AS id, CAST((c_custkey * 7919) % 30000000 - 15000000 AS DOUBLE) AS minx, CAST((c_custkey * 104729) % 30000000 - 15000000 AS DOUBLE) AS miny, c_custkey % 9 AS zoom, 1 + c_custkey % 70000 AS w, 1 + (c_custkey * 3) % 50000 AS h FROM customer),
+  s AS (SELECT *, 2 * 20037508.342789244 / pow(2, zoom) AS span, pow(2, zoom) - 1 AS top FROM b),
+  t AS (SELECT *, greatest(0, least(top, floor((minx + 20037508.342789244) / span))) AS x0, greatest(0, least(top, floor((minx + w + 20037508.342789244) / span))) AS x1,
+    greatest(0, least(top, floor((20037508.342789244 - miny - h) / span))) AS y0, greatest(0, least(top, floor((20037508.342789244 - miny) / span))) AS y1 FROM s)
+  SELECT id, CAST((x1 - x0 + 1) * 256 AS BIGINT) AS width_px, CAST((y1 - y0 + 1) * 256 AS BIGINT) AS height_px, round(-20037508.342789244 + x0 * span, 4) AS "left", round(20037508.342789244 - y0 * span, 4) AS top,
+    CASE WHEN w >= h THEN 1600 ELSE greatest(1, CAST(round_even(1600.0 * w / h, 0) AS BIGINT)) END AS out_width, CASE WHEN w >= h THEN greatest(1, CAST(round_even(1600.0 * h / w, 0) AS BIGINT)) ELSE 1600 END AS out_height FROM t""")
+def mosaic_layout(spark, d):
+    k = F.col("c_custkey").cast("long")
+    b = view(spark, d, "customer").select(k.alias("id"), ((k * 7919) % 30000000 - 15000000).cast("double").alias("minx"), ((k * 104729) % 30000000 - 15000000).cast("double").alias("miny"), (k % 9).alias("zoom"), (1 + k % 70000).alias("w"), (1 + (k * 3) % 50000).alias("h"))
+    maxx, maxy = F.col("minx") + F.col("w"), F.col("miny") + F.col("h")
+    size = basemap.warped_size(F.col("minx"), F.col("miny"), maxx, maxy, 1600)
+    tiles = b.select("id", "zoom", *[c.alias(n) for c, n in zip(basemap.tile_range(F.col("minx"), F.col("miny"), maxx, maxy, F.col("zoom")), ("x_min", "x_max", "y_min", "y_max"))], size[0].alias("out_width"), size[1].alias("out_height"))
+    return _rounded(basemap.mosaic_layout(tiles).select("id", "width_px", "height_px", "left", "top", "out_width", "out_height"), "left", "top", digits=4)
+
+
+@query("SELECT CAST(page_id AS BIGINT) AS page_id, lower(replace(url, '.', '_')) AS folder FROM pages")
+def provider_folder(spark, d):
+    return view(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), basemap.provider_folder(F.col("url")).alias("folder"))
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(2, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '_' || coalesce(nullif(trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'roi') AS name FROM customer")
+def output_name(spark, d):
+    return view(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), text.output_name(F.col("c_custkey"), F.col("c_name")).alias("name"))
+
 _LONLAT = "SELECT c_custkey AS id, CAST((c_custkey * 7919) % 72000 AS DOUBLE) / 100 - 360 AS lon, CAST((c_custkey * 104729) % 18000 AS DOUBLE) / 100 - 90 AS lat, c_custkey % 15 AS zoom FROM customer"
 
 

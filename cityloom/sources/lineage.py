@@ -2,19 +2,44 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: list[tuple[SparkSession, str]] = []
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it back."""
-    spark = df.sparkSession
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's path under spark.checkpoint.dir; it goes when the driver ends.
+
+    A cluster without that setting raises ValueError; only a local session gets a folder
+    of its own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cityloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/cityloom/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Writes df as Parquet under spark.checkpoint.dir and reads it back."""
+    path = new_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _made:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            return

@@ -161,8 +161,9 @@ def _lzw(data: bytes) -> bytes:
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 
 
-def geotiff(content: bytes) -> tuple[np.ndarray, dict]:
-    """First band and tags (transform, nodata) of a strip or tile GeoTIFF: none, LZW or deflate."""
+def geotiff(content: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
+    """A band (from 1) and tags (transform, nodata) of a strip or tile GeoTIFF: none, LZW or
+    deflate, bands apart or interleaved."""
     e = "<" if content[:2] == b"II" else ">"
     big = struct.unpack_from(e + "H", content, 2)[0] == 43
     at = struct.unpack_from(e + ("Q" if big else "I"), content, 8 if big else 4)[0]
@@ -187,8 +188,14 @@ def geotiff(content: bytes) -> tuple[np.ndarray, dict]:
     tw, th = (tags[322][0], tags[323][0]) if tiled else (w, tags.get(278, (h,))[0])
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     out, across = np.zeros((h, w), dtype=dtype), -(-w // tw)
-    for k in range(across * -(-h // th)):
-        raw = content[offsets[k] : offsets[k] + sizes[k]]
+    samples = tags.get(277, (1,))[0]
+    if not 1 <= band <= samples:
+        raise ValueError(f"there is no band {band} of {samples}")
+    woven = samples if tags.get(284, (1,))[0] == 1 else 1
+    each = across * -(-h // th)
+    for k in range(each):
+        at = k + (0 if woven > 1 else (band - 1) * each)
+        raw = content[offsets[at] : offsets[at] + sizes[at]]
         if method == 5:
             raw = _lzw(raw)
         elif method in (8, 32946):
@@ -197,19 +204,31 @@ def geotiff(content: bytes) -> tuple[np.ndarray, dict]:
             raise ValueError(f"compression {method} isn't read")
         y, x = k // across * th, k % across * tw
         rows = th if tiled else min(th, h - y)
-        block = np.frombuffer(raw, dtype=dtype, count=rows * tw).reshape(rows, tw)
+        block = np.frombuffer(raw, dtype=dtype, count=rows * tw * woven).reshape(rows, tw, woven)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=dtype)
         elif predictor != 1:
             raise ValueError(f"predictor {predictor} isn't read")
-        out[y : y + rows, x : x + tw] = block[: h - y, : w - x]
-    found = {"width": w, "height": h, "nodata": float(tags[42113].rstrip(b"\0 ")) if 42113 in tags else None, "transform": None}
+        out[y : y + rows, x : x + tw] = block[: h - y, : w - x, band - 1 if woven > 1 else 0]
+    found = {"width": w, "height": h, "bands": samples, "nodata": float(tags[42113].rstrip(b"\0 ")) if 42113 in tags else None, "transform": None}
     if 33550 in tags and 33922 in tags:
         (sx, sy, *_), (i, j, _, x, y, *_) = tags[33550], tags[33922]
         found["transform"] = (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
     return out, found
 
 
+def raster_grids(spark: SparkSession, path: str) -> DataFrame:
+    """raster_id, width, height, bands, nodata, transform (six numbers or null) of GeoTIFF files."""
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                _, info = geotiff(content)
+                yield pd.DataFrame({"raster_id": [name.rsplit("/", 1)[-1]], **{k: [info[k]] for k in ("width", "height", "bands", "nodata")}, "transform": [None if info["transform"] is None else list(info["transform"])]})
+
+    return _files(spark, path).mapInPandas(run, "raster_id string, width long, height long, bands long, nodata double, transform array<double>")
+
+
 def raster_tables(spark: SparkSession, path: str) -> DataFrame:
     """raster_id, row_i, col_i, value of GeoTIFF files; nodata and NaN samples are left out."""
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.sources.lineage import new_folder
 
 
 def tick_loads(events: DataFrame, minutes: int = 6, lateness: str = "30 days") -> DataFrame:
@@ -17,12 +16,21 @@ def tick_loads(events: DataFrame, minutes: int = 6, lateness: str = "30 days") -
     return counts.select(F.floor(F.unix_timestamp("window.start") / (60 * minutes)).alias("tick"), "u", "load")
 
 
-def replayed_ticks(spark: SparkSession, path: str) -> DataFrame:
-    """Runs tick_loads over all files of path as one available stream and returns its result."""
-    name = f"ticks_{uuid.uuid4().hex}"
+def replayed_ticks(spark: SparkSession, path: str, lateness: str = "30 days") -> DataFrame:
+    """Runs tick_loads over all files of path as one available stream and returns its result.
+
+    Windows that changed go to Parquet in the shared folder batch by batch; the last
+    batch of a window counts.  State is dropped when the watermark has passed.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, file = path.rpartition("/")
+    out = new_folder(spark, "stream")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    run = tick_loads(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/loads/batch={number}")
+
+    run = tick_loads(stream, lateness=lateness).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema("tick long, u long, load long, batch long").parquet(f"{out}/loads")
+    return rows.groupBy("tick", "u").agg(F.max_by("load", "batch").alias("load"))
