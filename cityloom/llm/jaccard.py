@@ -307,10 +307,13 @@ def linked_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100
     again = outside.join(others, "token").where(f"near <> o_near AND {_bounded('', 'o_', num, den)}").selectExpr(*_pair("", "o_")).distinct()
     again = work.written(again, "jaccard-pairs")
     work.drop(candidates, placed, pairs)
-    links = work.written(links.union(_verified(again, *wanted)), "jaccard-links")
+    more = _verified(again, *wanted)
 
-    # A component's id is the smallest doc_id of its classes.
-    found = components(links, work)
+    # A component's id is the smallest doc_id of its classes; links found later join those found before.
+    found = reached
+    if more.limit(1).count():
+        whole = work.written(more.union(reached.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-links")
+        found = components(whole, work)
     ends = classes.join(found, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     least = ends.groupBy("component").agg(F.min("least_id").alias("component_id"))
     answer = work.written(ends.join(least, "component").select("node", "component", "component_id"), "jaccard-answer")

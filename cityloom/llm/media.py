@@ -36,8 +36,8 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 def encode(payload: bytes, unit: int = PAYLOAD_UNIT, level: int = 1, chunk: int = 1 << 16) -> bytes:
     """RGB PNG with unit / 3 pixels a row; payload is a positive multiple of unit.
 
-    Every row takes whichever of the filters None, Sub and Up makes the
-    smallest sum of absolute differences of an image sample.
+    All rows take whichever of the filters None, Sub and Up makes the smallest sum of
+    absolute differences in a sample of them.
     """
     rows = np.frombuffer(payload, dtype=np.uint8).reshape(-1, unit)
     sub, up = rows.copy(), rows.copy()

@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 _open: list[Workspace] = []
+#: Rows that go to Python at a time.
+BATCH = 1000
 
 
 class Workspace:
@@ -48,6 +51,9 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths, self.values = spark, [], []
+        most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(most, "10000")) > BATCH:  # texts may be long, and batches lie outside the heap
+            spark.conf.set(most, str(BATCH))
         _open.append(self)
 
     def path(self, tag: str) -> str:
@@ -106,11 +112,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """Smallest node reachable from each node of undirected edges (a, b).
 
-    In a round every root takes the least root that an edge leads to, trees are made flat
-    by pointer jumping, and edges are drawn between the new roots.  A root that no other
-    takes in one round finds a smaller one in the next, so every two rounds at least
-    halve the roots that still have edges, and jumps are logarithmic in a tree's depth.
-    It ends when no edge is left; labels that haven't converged are never returned.
+    In a round every node takes the least of its neighbours and itself as its label, and
+    that one's label in turn; edges are drawn anew between labels, and between a label
+    and its own label where these differ, so no connection is lost.  Labels only fall
+    and a component's smallest node keeps itself; it ends when no edge is left, and
+    labels that haven't converged are never returned.
     Tables of a round are written to the shared folder; only counts come to the driver.
     Nodes without edges don't appear.  Returns node, component (a table of work).
     """
@@ -118,18 +124,22 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     both = work.written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = None
     for _ in range(_MOST_ROUNDS):
-        roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
-        roots = _flat(work.written(roots, "cc-roots"), work)
-        to = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        least = work.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("near")), "cc-least")
+        far = least.select(F.col("node").alias("near"), F.col("near").alias("label"))
+        jumped = work.written(least.join(far, "near").select("node", "label"), "cc-jumped")
+        work.drop(least)
+        to = jumped.select(F.col("node").alias("label"), F.col("label").alias("next"))
         if labels is None:
-            old, labels = [], roots
+            labels, old = jumped, []
         else:
-            old = [labels, roots]
-            labels = work.written(labels.join(to, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "cc-labels")
-        drawn = both
+            old = [labels, jumped]
+            labels = work.written(labels.join(to, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "cc-labels")
+        drawn = both.where("a < b")
         for end in ("a", "b"):
-            drawn = drawn.join(roots.select(F.col("node").alias(end), F.col("label").alias("root")), end).drop(end).withColumnRenamed("root", end)
-        drawn = work.written(drawn.where("a <> b").select("a", "b").distinct(), "cc-edges")
+            drawn = drawn.join(jumped.select(F.col("node").alias(end), F.col("label").alias("root")), end).drop(end).withColumnRenamed("root", end)
+        chain = jumped.join(to, "label").select(F.col("label").alias("a"), F.col("next").alias("b"))
+        drawn = drawn.select("a", "b").union(chain).where("a <> b")
+        drawn = work.written(drawn.union(drawn.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
         work.drop(both, *old)
         both = drawn
         if not both.limit(1).count():
@@ -140,21 +150,8 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     raise RuntimeError("components don't converge")
 
 
-#: Two rounds for each halving of as many nodes as 64 bits can name.
-_MOST_ROUNDS = 128
-
-
-def _flat(labels: DataFrame, work: Workspace) -> DataFrame:
-    """labels of a forest (node, label) with every label a root; they, too, are nodes."""
-    while True:
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = work.written(labels.join(jump, "label").select("node", F.col("far").alias("label"), F.col("label").alias("was")), "cc-step")
-        changed = step.where("label <> was").limit(1).count()
-        work.drop(labels)
-        labels = step.drop("was")
-        labels.stored_at = step.stored_at
-        if not changed:
-            return labels
+#: Far more than labels need to fall along a path of as many nodes as 64 bits can name.
+_MOST_ROUNDS = 512
 
 
 def row_keys(*columns: str) -> list[F.Column]:
@@ -175,10 +172,21 @@ def bit_set(keys: DataFrame, key: str, work: Workspace):
     bits = 1 << 16
     while bits < 16 * n:
         bits *= 2
-    spots = keys.select(F.explode(F.array(F.pmod(key, F.lit(bits)), F.pmod(F.shiftright(key, 32), F.lit(bits)))).alias("at"))
-    found = spots.selectExpr("shiftright(at, 5) AS word", "shiftleft(1L, CAST(at & 31 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("mask")).toPandas()
+    block = min(bits, 1 << 19)
+    spots = keys.select(F.explode(F.array(F.pmod(key, F.lit(bits)), F.pmod(F.shiftright(key, 32), F.lit(bits)))).alias("at")).withColumn("block", F.floor(F.col("at") / block))
+
+    def run(batches):
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at, of = (batch.column(i).to_numpy() for i in (0, 1))
+            for b in np.unique(of).tolist():
+                held = parts.setdefault(b, np.zeros(block, dtype=bool))
+                held[at[of == b] - b * block] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in parts.values()], pa.binary())], ["block", "held"])
+
     words = np.zeros(bits // 32, dtype=np.uint32)
-    words[found["word"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).astype(np.uint32)
+    for row in spots.repartition(max(1, bits // block), "block").mapInArrow(run, "block long, held binary").collect():  # 32 MB at most
+        words[row.block * block // 32 : (row.block + 1) * block // 32] |= np.frombuffer(row.held, dtype="<u4")
     return work.share(words)
 
 

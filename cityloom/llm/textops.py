@@ -18,7 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 20
 _LONG = 64
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)

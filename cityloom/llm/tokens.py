@@ -7,9 +7,12 @@ is a random-looking bijection that needs no sort by random keys and no state.  S
 are range-partitioned; a task writes whole shards, where slot s is at byte
 ``(s % per_shard) * stride`` of shard ``s // per_shard``, so a reader may begin anywhere.
 
+Sequences are compressed for the shuffle with a dictionary of a thousand of them.
 A shard is written under a name of its own and then renamed, so a repeated or lost
 task leaves one whole file.  Null texts count as empty; an empty text is an end mark;
-an empty table has no sequences.  Repeated rows are repeated in the output.
+an empty table has no sequences.  Repeated rows are repeated in the output, null doc_ids
+stay null, extra columns are ignored.  What a sequence holds depends on how Spark splits
+the input; every token is in one in any case.  Memory of a task follows its longest text.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,6 +150,18 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def _trained(sample: list[bytes]) -> bytes:
+    """A compression dictionary; none where the sample is too small or too plain for one."""
+    try:
+        return zstandard.train_dictionary(1 << 17, sample).as_bytes() if len(sample) >= 100 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _dictionary(words: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
+
+
 _INDEX = "slot long, shard long, offset long, docs array<bigint>, starts array<int>, crc long"
 
 
@@ -159,13 +175,16 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout, work: Workspac
     for part in sorted(counts):
         before[part] = total
         total += counts[part] + 1
+    sample = [r.ids for r in sequences.select("ids").limit(1000).collect()]  # 2 MB at the default length
+    words = work.share(_trained(sample))
     firsts = np.array([before.get(p, 0) for p in range(max(counts, default=0) + 1)], dtype=np.int64)
 
     def place(batches):
+        pack = zstandard.ZstdCompressor(level=6, **_dictionary(words.value))
         for batch in batches:
             number = firsts[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             slot = permuted(number, total, layout.key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), pa.array([zlib.compress(x, 6) for x in batch.column(2).to_pylist()], pa.binary()), *batch.columns[3:]], ["slot", "shard", "ids", "docs", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // layout.per_shard), pa.array([pack.compress(x) for x in batch.column(2).to_pylist()], pa.binary()), *batch.columns[3:]], ["slot", "shard", "ids", "docs", "starts"])
 
     shards = max(1, -(-total // layout.per_shard))  # ids are compressed for the shuffle only
     placed = sequences.mapInArrow(place, "slot long, shard long, ids binary, docs array<bigint>, starts array<int>")
@@ -174,6 +193,7 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout, work: Workspac
 
     def write(batches):
         store, root = _store(path)
+        unpack = zstandard.ZstdDecompressor(**_dictionary(words.value))
         store.create_dir(root, recursive=True)
         now, file, name = None, None, None
 
@@ -186,7 +206,7 @@ def write_shards(sequences: DataFrame, path: str, layout: Layout, work: Workspac
             slot, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             crc = []
             for s, packed_ids in zip(shard.tolist(), batch.column(2).to_pylist()):
-                ids = zlib.decompress(packed_ids)
+                ids = unpack.decompress(packed_ids, max_output_size=stride)
                 if s != now:
                     close()
                     now, name = s, f"{root}/.{shard_name(s)}.{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -68,6 +69,26 @@ def test_document_media(spark):
     assert got[1].tail_crc32 == zlib.crc32(b" " * 16)
 
 
+def test_media_feature_equals_a_direct_transform():
+    rng = np.random.default_rng(4)
+    samples = media.decode(media.encode(media.padded(rng.integers(0, 256, 5000, dtype=np.uint8).tobytes())))
+    h, w = samples.shape[:2]
+    grey = samples.mean(axis=2)
+
+    def pooled(v, n):
+        edges = np.linspace(0, len(v), n + 1)
+        out = []
+        for a, b in zip(edges, edges[1:]):
+            lo = min(int(np.floor(a)), len(v) - 1)
+            out.append(v[lo : max(int(np.ceil(b)), lo + 1)].mean(axis=0))
+        return np.array(out)
+
+    small = pooled(pooled(grey, 32).T, 32).T
+    low = [sum(small[y, x] * math.cos(math.pi * (y + 0.5) * i / 32) * math.cos(math.pi * (x + 0.5) * j / 32) for y in range(32) for x in range(32)) for i in range(8) for j in range(8)]
+    low = np.round(low, 6)
+    assert (h, w) == (27, 64) and media.low_frequency_hash(samples) == np.packbits(low > np.median(low[1:])).tobytes().hex()
+
+
 # ---------------------------------------------------------------- chat
 
 
@@ -242,6 +263,73 @@ def test_components_of_random_graphs(spark):
         assert got == label
 
 
+def test_patterned_words_and_shared_names(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # hashes by polynomials modulo a power of two can't tell these apart
+    rng = random.Random(8)
+    docs = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"x {a} y")]
+    for i in range(60):
+        w = _words(12, random.Random(i % 20), 9)
+        docs.append((10 + i, " ".join(w + ([rng.choice("pq")] if i > 40 else []))))
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    want = _brute(docs)
+    for bits in (63, 4):  # with 4 bits, many classes share a first name
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_components(df, name_bits=bits).select("doc_id", "n_shingles", "component_id").collect()}
+        assert got == want
+
+
+def test_common_ngrams_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(store, "MOST_KEYS", 0)  # and nothing fits a bit set
+    calls = []
+    plain = store.spread_join
+
+    def spy(rows, facts, key, hot, how="inner"):
+        hot = rows.select(*key).distinct()  # all keys are hot
+        calls.append(key)
+        return plain(rows, facts, key, hot, how)
+
+    for module in (jaccard, lines, warc):
+        monkeypatch.setattr(module, "spread_join", spy)
+    rng = random.Random(14)
+    base = [_words(40, rng, 100) for _ in range(3)]
+    docs = []
+    for i in range(50):
+        w = list(base[i % 3])
+        w[rng.randrange(40)] = "other"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_report(df).collect()} == _brute(docs)
+    kept = {r.doc_id for r in jaccard.one_of_each(df).collect()}
+    assert kept == {i for i, (_, c) in _brute(docs).items() if c == i}
+    text = [(i, f"line one\nline two\nown {i}") for i in range(9)]
+    assert sum(r._removed_chunks for r in lines.deduplicated(spark.createDataFrame(text, DOCS)).collect()) == 8
+    pages = spark.createDataFrame([(i, "u", "same") for i in range(9)], "page_id long, url string, html string")
+    assert sorted(r.refers_to for r in warc.page_archives(pages).collect() if r.refers_to is not None) == [0] * 8
+    assert len(calls) >= 5
+
+
+def test_rows_without_or_with_shared_ids_go_by_their_text(spark):
+    text = " ".join(str(i) for i in range(50))
+    rows = [(4, text), (4, text), (None, text), (9, text), (4, "other words here now"), (None, "alone in this table"), (7, None), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], DOCS + ", node int")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(4, text), (4, "other words here now"), (None, "alone in this table"), (7, None), (7, None), (8, "")], key=repr)
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in decontam.decontaminated(df, items).collect()), key=repr)
+    assert got == sorted([r for r in rows if r[1] != text], key=repr)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))  # longer than a segment of the kernels
+    docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short text")], DOCS)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.component_report(docs).collect()}
+    assert got == {1: (5000, 1), 2: (5001, 1), 3: (1, 3)}
+    item = spark.createDataFrame([(1, "so " + " ".join(f"w{i}" for i in range(30)))], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, item).collect()} == {1, 2}
+    assert {r.doc_id for r in lines.line_report(docs).collect()} == {1, 2, 3}
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -291,6 +379,31 @@ def test_toxicity_held_out_accuracy(spark):
     assert spans and all(s in ("vilewort", "vilename", "grotbag") for s in spans)
 
 
+def test_calibration_is_finite_on_separable_data():
+    x = np.array([[-9.0, -9.0, 3.0]] * 50 + [[8.0, 7.0, 3.5]] * 50)
+    scale, shift = toxicity._logistic(x, np.repeat([0.0, 1.0], 50), np.ones(100))
+    assert np.isfinite(shift) and (np.abs(scale) < 5).all() and scale[0] >= 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_toxicity_of_sample_data(spark):
+    d = "/root/testdata/sf0.1"
+    documents, labels = store.table(spark, d, "documents"), store.table(spark, d, "labels")
+    rows = toxicity.scored_documents(documents, labels).select("doc_id", "held_out", "score", "predicted").join(labels, "doc_id", "left").join(documents.select("doc_id", F.length("text").alias("n")), "doc_id").collect()
+    held = [(r.predicted, r.toxic) for r in rows if r.held_out and r.toxic is not None]
+    hit = sum(p and t for p, t in held)
+    assert hit / sum(p for p, _ in held) >= 0.85 and hit / sum(t for _, t in held) >= 0.85
+    assert len({r.score for r in rows}) > 100 and sum(r.n or 0 for r in rows if r.predicted) < 0.15 * sum(r.n or 0 for r in rows)
+    print("held out:", hit, "hits", sum(p and not t for p, t in held), "false", sum(t and not p for p, t in held), "missed of", len(held))
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a" * 10)] * 500 + [(2, "b" * 5000), (3, "c" * 30), (4, None), (5, "d" * 40)], DOCS)
+    picked = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 5)], "doc_id long, toxic int")
+    rows = store.labelled_texts(docs, picked, 60)
+    assert 0 < sum(len(r.text) for r in rows) <= 60 and len({r.doc_id for r in rows}) == len(rows)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
