@@ -22,6 +22,10 @@ from cityloom.sources.lineage import stored
 from cityloom.sources.outputs import put
 
 
+#: Tasks that share a round's windows; each sends back one gradient.
+TASKS = 64
+
+
 @dataclass
 class Model:
     height: int
@@ -163,7 +167,7 @@ def _pass(rows: DataFrame, model: Model, back: bool) -> tuple[float, int, dict[s
         yield pd.DataFrame({"loss": [loss], "n": [n], "grads": [flat.tobytes()]})
 
     loss, n, flat = 0.0, 0, None
-    for r in rows.select("seen", "ahead").mapInPandas(run, "loss double, n long, grads binary").toLocalIterator():  # one row a task
+    for r in rows.select("seen", "ahead").coalesce(TASKS).mapInPandas(run, "loss double, n long, grads binary").collect():  # one row a task
         loss, n = loss + r.loss, n + r.n
         part = np.frombuffer(r.grads)
         flat = part if flat is None else flat + part

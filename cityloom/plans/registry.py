@@ -521,10 +521,18 @@ def scenario_table(spark, d):
     return scenarios.table(_edges(spark, d), 80)
 
 
-def _run(spark, d, c=simulation.Config(), events=None):
+def _network(spark, d):
+    """The edges of the strongly connected part, and the demand at its nodes."""
     edges = stored(_edges(spark, d), "edges")
-    heavy = stored(_heavy(edges), "heavy")
-    return edges, simulation.simulate(edges, heavy, demand.attractors(heavy, 30), view(spark, d, "scenario_events") if events is None else events, c)
+    inner = graph.largest_scc(edges).select(F.col("node").alias("node_id"))
+    ends = [inner.withColumnRenamed("node_id", n) for n in ("u", "v")]
+    edges = stored(edges.join(ends[0], "u", "left_semi").join(ends[1], "v", "left_semi").select(*edges.columns), "network")
+    return edges, stored(demand.within_nodes(_heavy(edges), inner), "heavy")
+
+
+def _run(spark, d, c=simulation.Config()):
+    edges, heavy = _network(spark, d)
+    return edges, simulation.simulate(edges, heavy, demand.attractors(heavy, 30), view(spark, d, "scenario_events"), c)
 
 
 @query()
@@ -534,8 +542,7 @@ def simulate(spark, d):
 
 @query()
 def warmup_bottlenecks(spark, d):
-    edges = stored(_edges(spark, d), "edges")
-    heavy = _heavy(edges)
+    edges, heavy = _network(spark, d)
     return scenarios.warm_up_bottlenecks(edges, heavy, demand.attractors(heavy, 30), simulation.Config())
 
 
