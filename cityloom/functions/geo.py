@@ -68,3 +68,27 @@ def cell_centre(row: Column, col: Column, transform: tuple[float, ...]) -> tuple
 def cell_of(x: Column, y: Column, transform: tuple[float, ...]) -> tuple[Column, Column]:
     a, _, c, _, e, f = transform
     return F.floor((y - f) / e).cast("long"), F.floor((x - c) / a).cast("long")
+
+
+def line_centroid(points: Column) -> Column:
+    """Length-weighted centre (struct x, y) of a line (array of structs x, y); its first point if it has no length."""
+    n = F.size(points)
+    steps = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    parts = F.transform(steps, lambda i: F.struct(F.get(points, i).alias("a"), F.get(points, i + 1).alias("b")))
+    long = lambda s: F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], F.lit(2.0)) + F.pow(s["b"]["y"] - s["a"]["y"], F.lit(2.0)))
+    total = F.aggregate(parts, F.lit(0.0), lambda t, s: t + long(s))
+    mean = lambda c: F.coalesce(F.aggregate(parts, F.lit(0.0), lambda t, s: t + long(s) * (s["a"][c] + s["b"][c]) / 2) / F.nullif(total, F.lit(0.0)), F.get(points, F.lit(0))[c])
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
+def line_between(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """A line (array of structs x, y) of two points."""
+    return F.array(F.struct(x1.alias("x"), y1.alias("y")), F.struct(x2.alias("x"), y2.alias("y")))
+
+
+def cell_ring(row: Column, col: Column, transform: tuple[float, ...]) -> Column:
+    """The four corners of a grid cell as a ring, from its least x and y on."""
+    a, _, c, _, e, f = transform
+    left, right, one, two = c + col * a, c + (col + 1) * a, f + row * e, f + (row + 1) * e
+    low, high = F.least(one, two), F.greatest(one, two)
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((left, low), (right, low), (right, high), (left, high))])

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cityloom.operators.ordered import percentile
 from cityloom.operators.roads import capacity_per_tick, is_major, snapshot_capacity
+from cityloom.sources.lineage import stored
 
 # Share, speed (km/h), attraction power, dwelling ticks (mean, deviation).
 PROFILES = {"commuter": (0.55, 28.0, 1.05, 8, 2), "errand": (0.30, 22.0, 0.95, 4, 1), "explorer": (0.15, 18.0, 0.75, 2, 1)}
@@ -46,6 +48,18 @@ def expand_trips(routes: DataFrame, tick_minutes: float = 6.0) -> DataFrame:
     return ranged.select("trip_id", "u", "v", "depart_tick", F.explode(F.sequence(first.cast("long"), F.greatest(first, last).cast("long"))).alias("k")).select("trip_id", (F.col("depart_tick") + F.col("k")).alias("tick"), "u", "v")
 
 
+def route_positions(routes: DataFrame, tick_minutes: float = 6.0) -> DataFrame:
+    """trip_id, tick, u, v, share: where a trip is at the end of each tick under way, as a
+    share of its edge."""
+    along = Window.partitionBy("trip_id").orderBy("hop")
+    ranged = routes.withColumn("b", F.sum("length_m").over(along)).withColumn("m", metres_per_tick(F.col("profile_name"), tick_minutes))
+    a = F.col("b") - F.col("length_m")
+    first, last = F.floor(a / F.col("m")) + 1, F.ceil(F.col("b") / F.col("m")) - 1
+    ticks = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    rows = ranged.select("trip_id", "u", "v", "depart_tick", "length_m", "m", a.alias("a"), F.explode(ticks).alias("k"))
+    return rows.select("trip_id", (F.col("depart_tick") + F.col("k") - 1).alias("tick"), "u", "v", ((F.col("k") * F.col("m") - F.col("a")) / F.col("length_m")).alias("share"))
+
+
 def edge_loads(expanded: DataFrame) -> DataFrame:
     return expanded.groupBy("tick", "u", "v").agg(F.count("*").alias("load"))
 
@@ -124,8 +138,9 @@ def delta_report(base: DataFrame, shock: DataFrame) -> DataFrame:
     peak = lambda d, n: d.groupBy("tick").agg(F.max("utilization").alias(n))
     peaks = peak(base, "pb").join(peak(shock, "ps"), "tick")
     at = peaks.agg(F.min_by("tick", F.struct(-F.abs(F.col("ps") - F.col("pb")), F.col("tick"))).alias("tick"))
-    moved = flow_delta(base, shock).join(F.broadcast(at), "tick")
-    return moved.groupBy("tick").agg(F.sum("delta").alias("net"), F.percentile(F.when(F.col("delta") != 0, F.abs("delta")), 0.97).alias("p97"))
+    moved = stored(flow_delta(base, shock).join(F.broadcast(at), "tick"), "flow-delta")
+    p97 = percentile(moved, F.when(F.col("delta") != 0, F.abs("delta")), 0.97)
+    return moved.groupBy("tick").agg(F.sum("delta").alias("net")).withColumn("p97", F.lit(p97).cast("double"))
 
 
 def top_corridors(used: DataFrame, n_ticks: int, most: int = 25) -> DataFrame:
@@ -134,7 +149,9 @@ def top_corridors(used: DataFrame, n_ticks: int, most: int = 25) -> DataFrame:
 
 
 def colour_limit(used: DataFrame, pct: float = 0.95) -> DataFrame:
-    return used.agg(F.coalesce(F.percentile(F.when(F.col("utilization") > 0, F.col("utilization")), pct), F.lit(1.0)).alias("vmax"))
+    """One row vmax: a percentile of the positive utilisations, 1 without any."""
+    found = percentile(used, F.when(F.col("utilization") > 0, F.col("utilization")), pct)
+    return used.sparkSession.range(1).select(F.lit(1.0 if found is None else found).alias("vmax"))
 
 
 def edge_cells(edges: DataFrame, nodes: DataFrame, size: float, height: int, width: int) -> DataFrame:

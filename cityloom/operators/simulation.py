@@ -11,6 +11,7 @@ State, loads, counters and positions are written to the shared folder in every r
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from dataclasses import dataclass
@@ -179,7 +180,7 @@ def step(a: dict, c: Config, chooser: Chooser, here, hops: dict, loads: Counter,
 def _epoch(c: Config, until: int, chooser_of, block_of: dict):
     whole = [k for k, t in _STATE.items() if t == "long"]
 
-    def run(key, agents: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+    def run(key, agents, tree):
         chooser = Chooser(*chooser_of)
         hops = dict(zip(zip(tree["dest"].tolist(), tree["node"].tolist()), zip(tree["next_node"].tolist(), tree["length_m"].tolist())))
         here = lambda dest: block_of.get(dest, 0) == key[0]
@@ -258,35 +259,35 @@ def simulate(edges: DataFrame, origins: DataFrame, attracting: DataFrame, events
     per_block = max(1, TREE_ROWS // max(1, edges.select("u").distinct().count()))
     block_of = {n: i // per_block for i, n in enumerate(nodes)}
     blocks = stored(spark.createDataFrame(list(block_of.items()), "dest long, block int"), "sim-blocks")
-    loads = counts = positions = None
+    kept: dict[str, list[DataFrame]] = {"load": [], "count": [], "position": []}
     ends = boundaries(times, c)
     for begin, until in zip(ends, ends[1:]):
         now = spark.range(begin, begin + 1).withColumnRenamed("id", "tick")
-        past = loads.where(F.col("tick") == begin - 2).select("u", "v", "load") if loads is not None else spark.createDataFrame([], "u long, v long, load long")
+        past = spark.createDataFrame([], "tick long, u long, v long, load long")
+        for part in kept["load"][-2:]:  # epochs have a tick at least
+            past = past.union(part)
         edge_events = events.where("u IS NOT NULL").select("kind", "tick_start", "tick_end", "u", "v", "capacity_factor")
-        costs = roads.dynamic_costs(edges, past, roads.active_factors(edge_events, now), c.alpha, c.beta, c.capacity_scale, c.tick_minutes)
+        costs = roads.dynamic_costs(edges, past.where(F.col("tick") == begin - 2).select("u", "v", "load"), roads.active_factors(edge_events, now), c.alpha, c.beta, c.capacity_scale, c.tick_minutes)
         trees = graph.path_trees(costs, attracting.select("node_id"))
         ways = trees.where("node <> dest").join(edges.select(F.col("u").alias("node"), F.col("v").alias("next_node"), "length_m"), ["node", "next_node"])
         ways = stored(ways.join(blocks, "dest").select("block", "dest", "node", "next_node", "length_m").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "sim-ways")
         surges = [(e["node_id"], e["multiplier"]) for e in times if e["kind"] == "hotspot_surge" and e["tick_start"] <= begin < e["tick_end"]]
         walk = _epoch(c, until, (nodes, weights, surges), block_of)
-        left, done = agents, None
+        left, rounds = agents, []
         while True:
             placed = left.join(blocks, "dest", "left").withColumn("block", F.coalesce("block", F.lit(0))).withColumn("salt", F.pmod("agent_id", F.lit(salts)).cast("int"))
             asked = ways.join(placed.select("block", "salt").distinct(), ["block", "salt"], "left_semi")
-            out = stored(placed.groupBy("block", "salt").cogroup(asked.groupBy("block", "salt")).applyInPandas(walk, ", ".join(f"{k} {t}" for k, t in _OUT.items())), "sim-epoch")
-            of = lambda kind, *cs, out=out: out.where(F.col("kind") == kind).select(*cs)
-            more = of("load", "tick", F.col("node").alias("u"), F.col("next_node").alias("v"), "load"), of("count", "tick", *_COUNTS), of("position", *_STATE)
-            loads, counts, positions = (m if all_ is None else all_.union(m) for all_, m in zip((loads, counts, positions), more))
-            state = of("agent", *_STATE)
-            done = state.where(F.col("tick") >= until) if done is None else done.union(state.where(F.col("tick") >= until))
-            left = state.where(F.col("tick") < until)
+            rounds.append(stored(placed.groupBy("block", "salt").cogroup(asked.groupBy("block", "salt")).applyInPandas(walk, ", ".join(f"{k} {t}" for k, t in _OUT.items())), "sim-epoch"))
+            left = rounds[-1].where(f"kind = 'agent' AND tick < {until}").select(*_STATE)
             if not left.limit(1).count():
                 break
-        agents = stored(done, "sim-agents")
-        loads = stored(loads.groupBy("tick", "u", "v").agg(F.sum("load").alias("load")), "sim-loads")
-        counts = stored(counts.groupBy("tick").agg(*[F.sum(n).alias(n) for n in _COUNTS]), "sim-counts")
-        positions = stored(positions, "sim-positions")
+        out = functools.reduce(DataFrame.union, rounds)
+        agents = stored(out.where(f"kind = 'agent' AND tick >= {until}").select(*_STATE), "sim-agents")
+        moved = out.where("kind = 'load'").groupBy("tick", F.col("node").alias("u"), F.col("next_node").alias("v")).agg(F.sum("load").alias("load"))
+        kept["load"].append(stored(moved, "sim-loads"))
+        kept["count"].append(stored(out.where("kind = 'count'").groupBy("tick").agg(*[F.sum(n).alias(n) for n in _COUNTS]), "sim-counts"))
+        kept["position"].append(out.where("kind = 'position'").select(*_STATE))
+    loads, counts, positions = (functools.reduce(DataFrame.union, kept[k]) for k in ("load", "count", "position"))
     return Run(agents, loads, counts, sampled(positions, c))
 
 

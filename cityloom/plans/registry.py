@@ -579,6 +579,12 @@ def trip_expansion(spark, d):
     return flow.expand_trips(view(spark, d, "routes"))
 
 
+@query(f"""WITH ends AS (SELECT *, CAST(sum(length_m) OVER (PARTITION BY trip_id ORDER BY hop ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS b, CAST({_SPEED} AS DOUBLE) AS m FROM routes)
+  SELECT trip_id, depart_tick + k.range - 1 AS tick, u, v, round((k.range * m - b + length_m) / length_m, 6) AS share FROM ends, range(CAST(0 AS BIGINT), CAST(200 AS BIGINT)) k WHERE k.range * m > b - length_m AND k.range * m < b AND k.range > 0""")
+def route_positions(spark, d):
+    return _rounded(flow.route_positions(view(spark, d, "routes")), "share")
+
+
 @query(f"WITH {_EXPANDED} SELECT CAST(tick AS BIGINT) AS tick, CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, count(*) AS load FROM expanded GROUP BY tick, u, v")
 def edge_history(spark, d):
     return flow.edge_loads(flow.expand_trips(view(spark, d, "routes")))
@@ -784,6 +790,17 @@ def mosaic_layout(spark, d):
     return _rounded(basemap.mosaic_layout(tiles).select("id", "width_px", "height_px", "left", "top", "out_width", "out_height"), "left", "top", digits=4)
 
 
+@query("""SELECT row_i, col_i, round(500.0 + col_i * 10.0, 6) AS x1, round(900.0 - (row_i + 1) * 10.0, 6) AS y1, round(500.0 + (col_i + 1) * 10.0, 6) AS x2, round(900.0 - row_i * 10.0, 6) AS y2,
+  round((sqrt(50) * (507.5 + col_i * 10.0) + 10.0 * (510.0 + col_i * 10.0)) / (sqrt(50) + 10.0), 4) AS centre_x FROM grid_a""")
+def cell_rings(spark, d):
+    t = (10.0, 0.0, 500.0, 0.0, -10.0, 900.0)
+    ring = geo.cell_ring(F.col("row_i"), F.col("col_i"), t)
+    x, y = geo.cell_centre(F.col("row_i"), F.col("col_i"), t)
+    low, high = F.get(ring, F.lit(0)), F.get(ring, F.lit(2))
+    line = F.concat(geo.line_between(x, y, x, y), F.array(F.struct((x + 5).alias("x"), (y + 5).alias("y")), F.struct((x + 5).alias("x"), (y - 5).alias("y"))))
+    return _rounded(view(spark, d, "grid_a").select("row_i", "col_i", low["x"].alias("x1"), low["y"].alias("y1"), high["x"].alias("x2"), high["y"].alias("y2"), F.round(geo.line_centroid(line)["x"], 4).alias("centre_x")), "x1", "y1", "x2", "y2")
+
+
 @query("SELECT CAST(page_id AS BIGINT) AS page_id, lower(replace(url, '.', '_')) AS folder FROM pages")
 def provider_folder(spark, d):
     return view(spark, d, "pages").select(F.col("page_id").cast("long").alias("page_id"), basemap.provider_folder(F.col("url")).alias("folder"))

@@ -6,9 +6,10 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: list[str] = []  # names only: kernels that travel by value may refer to this module
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -24,7 +25,7 @@ def new_folder(spark: SparkSession, tag: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="cityloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/cityloom/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made.append(path)
     return path
 
 
@@ -37,9 +38,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    context = SparkContext._active_spark_context
+    for path in _made if context else []:
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session may have ended already
             return

@@ -87,7 +87,7 @@ def geotiffs(cells: DataFrame, path: str, transform: tuple[float, ...], height:
     """A GeoTIFF for each value of by under path, from row_i, col_i, value; band: a column
     whose values, in order, are its bands.  Returns file names and numbers of samples."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         names = sorted(frame[band].unique()) if band else [None]
         if len(names) * height * width > most_values:
             raise ValueError(f"{key[0]} has too many samples for one file")
@@ -216,7 +216,7 @@ def _greys(frame: pd.DataFrame, height: int, width: int, top: float) -> np.ndarr
 def heat_pngs(cells: DataFrame, path: str, height: int, width: int, by: str, top: float) -> DataFrame:
     """A grey PNG for each value of by (row_i, col_i, value from 0 to top): file names."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key, frame):
         file = f"{path.rstrip('/')}/{key[0]}.png"
         put(file, encode_png(_greys(frame, height, width, top)))
         return pd.DataFrame({"file": [file]})
@@ -227,7 +227,7 @@ def heat_pngs(cells: DataFrame, path: str, height: int, width: int, by: str, top
 def heat_gif(cells: DataFrame, path: str, height: int, width: int, frame: str, top: float, most_frames: int = 1000) -> None:
     """A GIF with a frame for each value of frame, in order; frames are drawn in tasks."""
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key, part):
         return pd.DataFrame({"frame": [int(key[0])], "pixels": [zlib.compress(_greys(part, height, width, top).tobytes())]})
 
     drawn = cells.select("row_i", "col_i", "value", F.col(frame).cast("long").alias(frame)).groupBy(frame).applyInPandas(run, "frame long, pixels binary")
@@ -300,7 +300,7 @@ def roi_bundle(spark: SparkSession, folder: str, cells: DataFrame, polygons: Dat
     masked = regions.polygon_masks(named, transform, distance).withColumn("value", F.lit(1.0))
 
     def run(kind: str, empty: float, dtype: str):
-        def write(key, frame: pd.DataFrame) -> pd.DataFrame:
+        def write(key, frame):
             top, bottom, left, right = (int(frame[k].iloc[0]) for k in ("row_min", "row_max", "col_min", "col_max"))
             out = np.full((1, bottom - top + 1, right - left + 1), empty, dtype=dtype)
             some = frame[frame["value"].notna()]

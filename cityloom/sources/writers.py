@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +44,7 @@ def tensor_npy(tensor: DataFrame, file: str, ticks: list[int], height: int, widt
 
 
 def manifest(spark: SparkSession, path: str, content: dict, merge: tuple[str, ...] = ()) -> None:
-    """Writes a JSON manifest by rename; the mappings named in merge keep older entries."""
+    """Writes a JSON manifest by a rename that replaces the old one; the mappings named in merge keep older entries."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -52,12 +53,15 @@ def manifest(spark: SparkSession, path: str, content: dict, merge: tuple[str, ..
         old = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
         for key in merge:
             content[key] = {**old.get(key, {}), **content.get(key, {})}
-    draft = jvm.org.apache.hadoop.fs.Path(path + ".draft")
+    draft = store.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}"))
     out = store.create(draft, True)
     out.write(bytearray(json.dumps(content, indent=2, sort_keys=True, default=_plain).encode()))
     out.close()
-    store.delete(target, False)
-    store.rename(draft, target)
+    how = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE
+    whole = store.makeQualified(target)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, whole, options)
 
 
 def _plain(value):

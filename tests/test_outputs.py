@@ -134,7 +134,7 @@ def test_basemap(spark):
 
     cells, meta = basemap.build(spark, (900_000.0, 5_000_000.0, 1_300_000.0, 5_200_000.0), provider, fetch, long_side=24)
     rows = cells.collect()
-    assert len(rows) == 24 * 13 and {(r.row_i, r.col_i) for r in rows} == {(i, j) for i in range(13) for j in range(24)}
+    assert len(rows) == 24 * 12 and {(r.row_i, r.col_i) for r in rows} == {(i, j) for i in range(12) for j in range(24)}
     assert all(r.red == r.green == r.blue for r in rows) and any(r.red for r in rows) and 0 <= meta["zoom"] <= 5
     wrapped = spark.range(1).select(*basemap.wrapped_tile(F.lit(2), F.lit(-1), F.lit(3))).first()
     assert tuple(wrapped) == (3, 3)
@@ -148,3 +148,33 @@ def test_sources_and_peaks(spark):
     positions = spark.createDataFrame([(0, 1), (4, 1), (4, 2)], "tick long, agent_id long")
     metrics = spark.createDataFrame([(0, 0.1), (3, 0.9), (9, 0.2)], "tick long, max_utilization double")
     assert {(r.tick, r.agent_id) for r in report.positions_at_peak(positions, metrics).collect()} == {(4, 1), (4, 2)}
+
+
+def test_discovery_and_sources(spark, tmp_path):
+    from cityloom.functions import catalog, geo
+    from cityloom.sources import discovery, writers
+
+    with pytest.raises(ValueError):
+        discovery.require_columns(spark.range(1), ["id", "x"])
+    folder = f"file://{tmp_path}/p"
+    writers.manifest(spark, f"{folder}/a_manifest.json", {"rois": {"x": 1}})
+    writers.manifest(spark, f"{folder}/a_manifest.json", {"rois": {"y": 2}}, merge=("rois",))
+    path = discovery.one_manifest(spark, folder)
+    assert discovery.manifest_content(spark, path) == {"rois": {"x": 1, "y": 2}}
+    writers.manifest(spark, f"{folder}/b/other_manifest.json", {})
+    with pytest.raises(ValueError):
+        discovery.one_manifest(spark, folder)
+    assert discovery.NetworkConfig().to_dict()["hotspots"]["n_clusters"] == 1000
+    nodes = spark.createDataFrame([(1, 0.0, 1.0), (2, 5.0, 0.0)], "node_id long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 5.0, "primary")], "u long, v long, length double, highway string")
+    outputs.graphml(nodes, edges, f"file://{tmp_path}/Rome.graphml")
+    n, e = discovery.GraphmlRoads(f"file://{tmp_path}").load(spark, "Rome")
+    assert {tuple(r) for r in n.collect()} == {(1, 0.0, 1.0), (2, 5.0, 0.0)} and [(r.u, r.v, r.length_m, r.highway, r.lanes) for r in e.collect()] == [(1, 2, 5.0, "primary", None)]
+    n.write.parquet(f"file://{tmp_path}/q/Rome/nodes")
+    e.write.parquet(f"file://{tmp_path}/q/Rome/edges")
+    assert discovery.ParquetRoads(f"file://{tmp_path}/q").load(spark, "Rome")[0].count() == 2
+    assert set(catalog.register(spark)) == {"slugify", "saturation", "tile_x", "tile_y", "sample_ticks"}
+    assert spark.sql("SELECT slugify('A b!') AS a, tile_x(10D, 4) AS x, tile_y(50D, 4) AS y, saturation(0.9D) AS s").first()[:3] == ("a_b", 8, 5)
+    assert [(r.tick, r.hour) for r in spark.sql("SELECT * FROM sample_ticks(0, 20, 10, 6D, 6D)").collect()] == [(0, 6.0), (10, 7.0), (20, 8.0)]
+    line = geo.line_between(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(2.0))
+    assert tuple(spark.range(1).select(geo.line_centroid(line).alias("c")).first().c) == (2.0, 1.0)
