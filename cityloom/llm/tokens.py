@@ -63,13 +63,12 @@ def permuted(numbers: np.ndarray, size: int, key: int, rounds: int = 6) -> np.nd
 # ---------------------------------------------------------------- tokens
 
 class Tokenizer:
-    """Encodes whole texts with a byte-pair vocabulary file; no special tokens."""
+    """Encodes whole texts with the content of a byte-pair vocabulary file; no special tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
@@ -89,16 +88,25 @@ class Layout:
         return 2 * self.length
 
 
+def vocabulary(spark: SparkSession, path: str) -> bytes:
+    """A vocabulary file: of the driver's disk, or of any store that Spark reads."""
+    if "://" in path and not path.startswith("file:"):
+        return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
+    with open("/" + path[5:].lstrip("/") if path.startswith("file:") else path, "rb") as file:
+        return file.read()
+
+
 _PACKED = "part int, local long, ids binary, docs array<bigint>, starts array<int>"
 
 
-def packed(documents: DataFrame, layout: Layout) -> DataFrame:
+def packed(documents: DataFrame, layout: Layout, work: Workspace) -> DataFrame:
     """part, local, ids, docs, starts: a task's texts packed into sequences.
 
     docs and starts name the texts that have ids in a sequence and where they begin
     in it (0 for one that goes on from the sequence before).
     """
     stride = layout.stride
+    words = work.share(vocabulary(documents.sparkSession, layout.vocabulary))
     names = [x.split()[0] for x in _PACKED.split(", ")]
     kinds = [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
@@ -106,7 +114,7 @@ def packed(documents: DataFrame, layout: Layout) -> DataFrame:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        coder = Tokenizer(layout.vocabulary)
+        coder = Tokenizer(words.value)
         end = END.to_bytes(2, "little")
         n, held, docs, starts, out = 0, bytearray(), [], [], []
 
@@ -284,7 +292,7 @@ def materialised(documents: DataFrame, layout: Layout = Layout(), path: str | No
     work = Workspace(documents.sparkSession)
     path = path or work.path("shards")
     dense = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
-    sequences = work.written(packed(documents, layout), "token-sequences", options=dense)
+    sequences = work.written(packed(documents, layout, work), "token-sequences", options=dense)
     index = write_shards(sequences, path, layout, work)
     work.drop(sequences)
     return read_slots(index, path, layout)

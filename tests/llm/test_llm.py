@@ -645,7 +645,7 @@ def test_shards_hold_every_token_once(spark, tmp_path):
     layout = tokens.Layout(length=64, per_shard=16)
     rows = tokens.materialised(df, layout, f"file://{tmp_path}/shards").collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    coder = tokens.Tokenizer(tokens.VOCABULARY)
+    coder = tokens.Tokenizer(tokens.vocabulary(spark, tokens.VOCABULARY))
     want = {i: np.frombuffer(coder.encode(t or ""), dtype="<u2").tolist() for i, t in docs}
     assert sum(len(x) + 1 for x in want.values()) <= 64 * len(rows) <= sum(len(x) + 1 for x in want.values()) + 64 * 3
     for r in rows:
