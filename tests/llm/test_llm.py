@@ -382,7 +382,7 @@ def test_toxicity_held_out_accuracy(spark):
 def test_calibration_is_finite_on_separable_data():
     x = np.array([[-9.0, -9.0, 3.0]] * 50 + [[8.0, 7.0, 3.5]] * 50)
     scale, shift = toxicity._logistic(x, np.repeat([0.0, 1.0], 50), np.ones(100))
-    assert np.isfinite(shift) and (np.abs(scale) < 5).all() and scale[0] >= 0
+    assert np.isfinite(shift) and (np.abs(scale * x.std(axis=0)) < 5).all() and scale[0] >= 0  # per standard deviation
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
