@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, decontam, jaccard, lines, media, mixing, resampling, tokens, toxicity, warc
+from cityloom.llm import chat, decontam, infill, jaccard, lines, media, mixing, resampling, tokens, toxicity, warc
 from cityloom.llm.store import table
 
 QUERIES = {
@@ -15,7 +15,8 @@ QUERIES = {
     "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_token_output": lambda spark, d: tokens.materialised(table(spark, d, "documents")),
+    "op12_infill": lambda spark, d: infill.infill_report(table(spark, d, "documents")),
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
 }
 
-ORACLES = {"op2_chat_format": chat.ORACLE, "op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+ORACLES = {"op2_chat_format": chat.ORACLE, "op5_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op12_infill": infill.ORACLE}
