@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cityloom.llm import chat, decontam, infill, jaccard, lines, media, mixing, resampling, tokens, toxicity, warc, whitening
+from cityloom.llm import chat, decontam, infill, jaccard, lines, media, mixing, resampling, suffixes, tokens, toxicity, warc, whitening
 from cityloom.llm.store import table
 
 QUERIES = {
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_decontamination": lambda spark, d: decontam.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op7_mixing": lambda spark, d: mixing.mixture(table(spark, d, "documents"), table(spark, d, "labels")),
     "op8_token_output": lambda spark, d: tokens.materialised(table(spark, d, "documents")),
+    "op11_suffix_dedup": lambda spark, d: suffixes.suffix_report(table(spark, d, "documents")),
     "op12_infill": lambda spark, d: infill.infill_report(table(spark, d, "documents")),
     "op13_whitening": lambda spark, d: whitening.whitening_report(table(spark, d, "embeddings")),
     "op9_media": lambda spark, d: media.document_media(table(spark, d, "documents")),
