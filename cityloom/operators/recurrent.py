@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.operators.forecast import chronological_split
-from cityloom.sources.lineage import stored
+from cityloom.sources.lineage import Shared, stored
 from cityloom.sources.outputs import put
 
 
@@ -147,7 +147,7 @@ def _arrays(frame: pd.DataFrame, name: str, model: Model) -> np.ndarray:
 
 def _pass(rows: DataFrame, model: Model, back: bool) -> tuple[float, int, dict[str, np.ndarray]]:
     """Squared error, number of values and (back) gradient over all windows."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(rows.sparkSession, model)
 
     def run(batches):
         model = shared.value
@@ -206,7 +206,7 @@ def train(made: DataFrame, model: Model, epochs: int = 20, rate: float = 1e-2, s
 
 def predict(made: DataFrame, model: Model) -> DataFrame:
     """frame (the last seen), step (1 to horizon), cell, predicted, value (null where unknown)."""
-    shared = made.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(made.sparkSession, model)
 
     def run(batches):
         model = shared.value

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import SparkContext
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []  # names only: kernels that travel by value may refer to this module
@@ -36,6 +36,31 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shared:
+    """A broadcast value whose classes travel with it, as those of kernels do.
+
+    Spark pickles what it broadcasts by reference, so executors without this package
+    couldn't load a class of it.  Here the broadcast is bytes, pickled by value once; a
+    task loads them at its first use of value.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.loaded = None
+
+    def __getstate__(self):
+        return {"held": self.held, "loaded": None}
+
+    @property
+    def value(self):
+        if self.loaded is None:
+            self.loaded = (cloudpickle.loads(self.held.value),)
+        return self.loaded[0]
+
+    def destroy(self) -> None:
+        self.held.destroy()
+
+
 @atexit.register
 def _clean() -> None:
     context = SparkContext._active_spark_context
