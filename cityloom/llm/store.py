@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.sources.lineage import Shared
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir.
@@ -72,8 +74,8 @@ class Workspace:
         return out
 
     def share(self, value):
-        """value as a broadcast, so that closures stay small."""
-        out = self.spark.sparkContext.broadcast(value)
+        """value as a broadcast, so that closures stay small; its classes travel with it."""
+        out = Shared(self.spark, value)
         self.values.append(out)
         return out
 
