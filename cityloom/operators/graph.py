@@ -1,20 +1,15 @@
-"""Graph operators over edges (u, v): components and shortest paths."""
+"""Graph operators over edges (u, v): weak and strong components."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.operators.cells import CELL, celled_edges, grown_cells
 from cityloom.sources.lineage import stored
 
-#: Largest road graph (edges) that path kernels get as a broadcast; beyond it paths are
-#: found by joins.
-MOST_EDGES = 5_000_000
-
 
 def weak_components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reached when directions don't count).
@@ -42,175 +37,166 @@ def weak_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes reached from start (node) along edges; each round grows the front."""
-    seen = front = stored(start, "reach")
-    while True:
-        grown = front.join(edges, front.node == edges.u).select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = stored(grown, "reach-front")
-        if not front.limit(1).count():
-            return seen
-        seen = stored(seen.union(front), "reach")
-
-
-def _strong_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Component number of each of n nodes, by depth-first search with low links, without recursion."""
-    by = np.argsort(u, kind="stable")
-    begin, heads = np.searchsorted(u[by], np.arange(n + 1)).tolist(), v[by].tolist()
-    order, low, label = [-1] * n, [0] * n, [-1] * n
-    clock = found = 0
-    stack: list[int] = []
-    for root in range(n):
-        if order[root] >= 0:
-            continue
-        walk = [(root, begin[root])]
-        order[root] = low[root] = clock
-        clock += 1
-        stack.append(root)
-        while walk:
-            x, e = walk[-1]
-            if e < begin[x + 1]:
-                walk[-1] = (x, e + 1)
-                y = heads[e]
-                if order[y] < 0:
-                    order[y] = low[y] = clock
-                    clock += 1
-                    stack.append(y)
-                    walk.append((y, begin[y]))
-                elif label[y] < 0:
-                    low[x] = min(low[x], order[y])
-                continue
-            walk.pop()
-            if walk:
-                low[walk[-1][0]] = min(low[walk[-1][0]], low[x])
-            if low[x] == order[x]:
-                while True:
-                    y = stack.pop()
-                    label[y] = found
-                    if y == x:
-                        break
-                found += 1
-    return np.array(label, dtype=np.int64)
-
-
-def _largest_scc_in_task(edges: DataFrame) -> DataFrame:
-    def run(batches):
-        parts = list(batches)
-        frame = pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": []})
-        names, flat = np.unique(np.concatenate([frame["u"], frame["v"]]).astype(np.int64), return_inverse=True)
-        if not len(names):
-            return
-        labels = _strong_labels(flat[: len(frame)], flat[len(frame) :], len(names))
-        sizes = np.bincount(labels)
-        first = labels[np.isin(labels, np.flatnonzero(sizes == sizes.max()))][0]  # names are in order
-        yield pd.DataFrame({"node": names[labels == first]})
-
-    return edges.coalesce(1).mapInPandas(run, "node long")
-
-
-def largest_scc(edges: DataFrame, most_in_task: int = MOST_EDGES) -> DataFrame:
-    """node of the largest strongly connected component (of equals, that of the smallest node).
-
-    Up to most_in_task edges, counted first, one task searches depth-first.  Larger
-    graphs go by pivots: a pivot's component is what it reaches and is reached from; it
-    and nodes without edges both ways go before the next, until none left can be larger.
-    Both give the same result.
-    """
-    edges = stored(edges.select("u", "v").distinct(), "scc-edges")
-    if edges.count() <= most_in_task:
-        return _largest_scc_in_task(edges)
-    return largest_scc_by_pivots(edges)
+def _ends(edges: pd.DataFrame, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(edges):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.searchsorted(names, edges["u"]), np.searchsorted(names, edges["v"])
 
 
-def largest_scc_by_pivots(edges: DataFrame) -> DataFrame:
-    left = edges
-    best, size, low = None, 0, None
+def _peeled(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Nodes of a cell that are left once those without an edge in or out have gone, again and again."""
+    state = state.sort_values("node")
+    u, v = _ends(edges, state["node"].to_numpy())
+    n, live = len(state), np.ones(len(state), dtype=bool)
+    come, go = state["comes"].to_numpy(dtype=bool), state["goes"].to_numpy(dtype=bool)
     while True:
-        nodes = left.select(F.col("u").alias("node")).intersect(left.select(F.col("v").alias("node")))
-        n = nodes.count()
-        if n == 0 or n < size:
+        held = live[u] & live[v]
+        keep = live & (come | (np.bincount(v[held], minlength=n) > 0)) & (go | (np.bincount(u[held], minlength=n) > 0))
+        if keep.sum() == live.sum():
+            return state.loc[keep, ["cell", "node"]]
+        live = keep
+
+
+def _draws(node: np.ndarray, t: int) -> np.ndarray:
+    """A permutation of all 64-bit numbers, another one for each t."""
+    x = node.astype(np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (t + 1) & 0xFFFFFFFFFFFFFFFF)
+    for shift, odd in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _coloured(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Labels of a cell's nodes once each is the largest among those that reach it within the cell."""
+    state = state.sort_values("node")
+    u, v = _ends(edges, state["node"].to_numpy())
+    label = state["label"].to_numpy().copy()
+    if len(u):
+        by = np.argsort(v, kind="stable")
+        u, v = u[by], v[by]
+        at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        while True:
+            come = np.maximum.reduceat(label[u], at)
+            if not (come > label[v[at]]).any():
+                break
+            label[v[at]] = np.maximum(label[v[at]], come)
+    return state.assign(label=label)[["cell", "node", "label"]]
+
+
+def _reaching(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """Marks of a cell's nodes once each that leads to a marked one of its colour has one."""
+    state = state.sort_values("node")
+    u, v = _ends(edges, state["node"].to_numpy())
+    label, mark = state["label"].to_numpy(), state["mark"].to_numpy(dtype=bool).copy()
+    same = label[u] == label[v]
+    u, v = u[same], v[same]
+    while len(u):
+        new = u[mark[v] & ~mark[u]]
+        if not len(new):
+            break
+        mark[new] = True
+    return state.assign(mark=mark)[["cell", "node", "label", "mark"]]
+
+
+def _in_cells(celled: DataFrame, state: DataFrame, kernel, schema: str) -> DataFrame:
+    inner = celled.where("cu = cv").select(F.col("cu").alias("cell"), "u", "v")
+    return inner.groupBy("cell").cogroup(state.groupBy("cell")).applyInPandas(kernel, schema)
+
+
+def _trimmed(celled: DataFrame, alive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and nodes without those that can't lie on a cycle for want of an edge in or out."""
+    n = alive.count()
+    while n:
+        crossing = celled.where("cu <> cv")
+        state = alive.join(crossing.select(F.col("v").alias("node"), F.lit(True).alias("comes")).distinct(), "node", "left")
+        state = state.join(crossing.select(F.col("u").alias("node"), F.lit(True).alias("goes")).distinct(), "node", "left").fillna(False, ["comes", "goes"])
+        alive = stored(_in_cells(celled, state, _peeled, "cell long, node long"), "scc-alive")
+        m = alive.count()
+        if m == n:
             break
-        degree = left.groupBy(F.col("u").alias("node")).count().join(nodes, "node", "left_semi")
-        pivot = degree.orderBy(F.desc("count"), "node").limit(1).select("node")
-        ahead, back = _reached(left, pivot), _reached(left.select(F.col("v").alias("u"), F.col("u").alias("v")), pivot)
-        found = stored(ahead.intersect(back), "scc")
-        m, least = found.agg(F.count("*"), F.min("node")).first()
-        if m > size or (m == size and least < low):
-            best, size, low = found, m, least
-        left = stored(left.join(found, left.u == found.node, "left_anti").join(found, F.col("v") == found.node, "left_anti"), "scc-left")
-    single = edges.agg(F.least(F.min("u"), F.min("v")).alias("node")).where("node IS NOT NULL")
-    if best is None or size == 1:  # every node is a component
-        return single
-    return best
-
-
-def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost", most_edges: int = MOST_EDGES) -> DataFrame:
-    """dest, node, dist, next_node: shortest distances to each destination and the first
-    step on the way (of equals, the smallest node).  Costs must be positive.
-
-    Destinations are spread over tasks; every task walks the reversed graph, a broadcast
-    of arrays, with a heap.  The graph's size is checked first: beyond most_edges
-    distances are found by joins, as rounds of relaxation.
+        for end in ("u", "v"):
+            celled = celled.join(alive.select(F.col("node").alias(end)), end, "left_semi")
+        celled, n = stored(celled, "scc-edges"), m
+    return celled, alive
+
+
+def _spread(celled: DataFrame, state: DataFrame, kernel, schema: str, send) -> DataFrame:
+    """state at its fixed point: kernel settles cells, then send(crossing edges, state) gives
+    each node's state after what edges between cells bring, and whether it changed (moved)."""
+    crossing = celled.where("cu <> cv")
+    apart = crossing.limit(1).count()
+    while True:
+        state = stored(_in_cells(celled, state, kernel, schema), "scc-state")
+        if not apart:
+            return state
+        sent = stored(send(crossing, state), "scc-sent")
+        if not sent.where("moved").limit(1).count():
+            return state
+        state = sent.drop("moved")
+
+
+def _send_labels(crossing: DataFrame, state: DataFrame) -> DataFrame:
+    come = crossing.join(state.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.max("label").alias("come"))
+    moved = F.coalesce(F.col("come") > F.col("label"), F.lit(False))
+    return state.join(come, "node", "left").select("cell", "node", F.greatest("label", "come").alias("label"), moved.alias("moved"))
+
+
+def _send_marks(crossing: DataFrame, state: DataFrame) -> DataFrame:
+    marked = state.where("mark").select(F.col("node").alias("v"), "label")
+    come = crossing.join(marked, "v").select(F.col("u").alias("node"), "label", F.lit(True).alias("come")).distinct()
+    moved = F.col("come").isNotNull() & ~F.col("mark")
+    return state.join(come, ["node", "label"], "left").select("cell", "node", "label", (F.col("mark") | F.col("come").isNotNull()).alias("mark"), moved.alias("moved"))
+
+
+def strong_components(edges: DataFrame, cells: DataFrame | None = None, most: int = CELL) -> DataFrame:
+    """node, component (its smallest node), where a component's nodes reach each other.
+
+    In a round nodes that can't lie on a cycle are trimmed; each other node takes the
+    largest of random labels that reach it, its colour; the nodes of a colour that lead
+    back to the label's own node are a component, found for all colours at once.  The
+    rest goes on by colours, with new labels.  Tasks settle cells (grown, or given as
+    node, cell), joins carry labels between cells, so a round takes as many jobs as ways
+    have cells, not edges.  Nothing depends on the size of the graph or a component.
     """
-    if edges.count() > most_edges:
-        return relaxed_trees(edges, destinations, cost)
-    rows = edges.select("u", "v", cost).toPandas().sort_values(["v", "u"])
-    names = np.unique(np.concatenate([rows["u"], rows["v"]])).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64)
-    source, target = np.searchsorted(names, rows["u"]), np.searchsorted(names, rows["v"])
-    begin = np.searchsorted(target, np.arange(len(names) + 1))
-    shared = edges.sparkSession.sparkContext.broadcast((names, source, begin, rows[cost].to_numpy(dtype=float)))
-
-    def tree(dest: int, names, source, begin, weight):
-        dist = np.full(len(names), np.inf)
-        hop = np.full(len(names), -1)
-        at = int(np.searchsorted(names, dest))
-        if at == len(names) or names[at] != dest:
-            return dist, hop
-        dist[at] = 0.0
-        heap = [(0.0, at)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > dist[x]:
-                continue
-            for e in range(begin[x], begin[x + 1]):
-                y, far = source[e], d + weight[e]
-                if far < dist[y] or (far == dist[y] and hop[y] > x):
-                    if far < dist[y]:
-                        heapq.heappush(heap, (far, int(y)))
-                    dist[y], hop[y] = far, x
-        return dist, hop
-
-    def run(batches):
-        names = shared.value[0]
-        for batch in batches:
-            for dest in batch["dest"]:
-                dist, hop = tree(dest, *shared.value)
-                hit = np.flatnonzero(np.isfinite(dist))
-                yield pd.DataFrame({"dest": np.int64(dest), "node": names[hit], "dist": dist[hit], "next_node": [int(names[s]) if s >= 0 else int(dest) for s in hop[hit]]})
-
-    parts = max(1, min(2000, destinations.count()))
-    return destinations.select(F.col("node_id").cast("long").alias("dest")).distinct().repartition(parts, "dest").mapInPandas(run, "dest long, node long, dist double, next_node long")
-
-
-def relaxed_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost") -> DataFrame:
-    """path_trees() by joins alone: each round, nodes whose distance fell pass it on to
-    those with an edge to them, until none falls."""
-    edges = stored(edges.select("u", "v", F.col(cost).cast("double").alias("w")), "relax-edges")
-    there = edges.select(F.col("v").alias("node_id")).union(edges.select("u")).distinct()
-    start = destinations.select(F.col("node_id").cast("long").alias("node_id")).distinct().join(there, "node_id", "left_semi")
-    best = front = stored(start.select(F.col("node_id").alias("dest"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist")), "relax")
+    edges = stored(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct(), "scc-given")
+    cells = stored(grown_cells(edges, most) if cells is None else cells.select("node", "cell"), "scc-cells")
+    celled, alive = celled_edges(edges.where("u <> v"), cells), cells.select("cell", "node")
+    found, t = [], 0
     while True:
-        offered = front.withColumnRenamed("node", "v").join(edges, "v").groupBy("dest", F.col("u").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("far"))
-        front = stored(offered.join(best, ["dest", "node"], "left").where("dist IS NULL OR far < dist").select("dest", "node", F.col("far").alias("dist")), "relax-front")
-        if not front.limit(1).count():
+        celled, alive = _trimmed(celled, alive)
+        if not alive.limit(1).count():
             break
-        best = stored(best.union(front).groupBy("dest", "node").agg(F.min("dist").alias("dist")), "relax")
-    ahead = best.select("dest", F.col("node").alias("v"), F.col("dist").alias("rest"))
-    ways = best.withColumnRenamed("node", "u").join(edges, "u").join(ahead, ["dest", "v"]).where("u <> dest AND dist = rest + w")
-    hops = ways.groupBy("dest", F.col("u").alias("node")).agg(F.min("v").alias("next_node"))
-    return best.join(hops, ["dest", "node"], "left").select("dest", "node", "dist", F.coalesce("next_node", "dest").alias("next_node"))
-
 
-def next_hops(trees: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (node, dest) with next_node; null where there is no way."""
-    return asked.join(trees.select("dest", "node", "next_node"), ["dest", "node"], "left")
+        def labelled(batches, t=t):
+            for batch in batches:
+                yield batch.assign(label=_draws(batch["node"].to_numpy(), t))
+
+        state = alive.mapInPandas(labelled, "cell long, node long, label long")
+        colours = _spread(celled, state, _coloured, "cell long, node long, label long", _send_labels)
+
+        def rooted(batches, t=t):
+            for batch in batches:
+                yield batch.assign(mark=_draws(batch["node"].to_numpy(), t) == batch["label"].to_numpy())
+
+        state = colours.mapInPandas(rooted, "cell long, node long, label long, mark boolean")
+        marks = _spread(celled, state, _reaching, "cell long, node long, label long, mark boolean", _send_marks)
+        whole = marks.where("mark")
+        least = whole.groupBy("label").agg(F.min("node").alias("component"))
+        found.append(stored(whole.join(least, "label").select("node", "component"), "scc-found"))
+        rest = marks.where("NOT mark")
+        for end in ("u", "v"):
+            celled = celled.join(rest.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end)
+        celled = stored(celled.where("lu = lv").select("u", "v", "cu", "cv"), "scc-edges")
+        alive, t = stored(rest.select("cell", "node"), "scc-alive"), t + 1
+    single = cells.select("node", F.col("node").alias("component"))
+    for part in found:
+        single = single.join(part, "node", "left_anti")
+    for part in found:
+        single = single.union(part)
+    return single
+
+
+def largest_scc(edges: DataFrame, cells: DataFrame | None = None, most: int = CELL) -> DataFrame:
+    """node of the largest strongly connected component (of equals, that of the smallest node)."""
+    parts = stored(strong_components(edges, cells, most), "scc")
+    best = parts.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    return parts.join(F.broadcast(best), "component", "left_semi").select("node")  # one row

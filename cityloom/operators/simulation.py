@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityloom.operators import flow, graph, roads
+from cityloom.operators import flow, roads, routing
 from cityloom.operators.demand import hash_uniform, weighted_choice
 from cityloom.sources.lineage import stored
 
@@ -268,7 +268,7 @@ def simulate(edges: DataFrame, origins: DataFrame, attracting: DataFrame, events
             past = past.union(part)
         edge_events = events.where("u IS NOT NULL").select("kind", "tick_start", "tick_end", "u", "v", "capacity_factor")
         costs = roads.dynamic_costs(edges, past.where(F.col("tick") == begin - 2).select("u", "v", "load"), roads.active_factors(edge_events, now), c.alpha, c.beta, c.capacity_scale, c.tick_minutes)
-        trees = graph.path_trees(costs, attracting.select("node_id"))
+        trees = routing.path_trees(costs, attracting.select("node_id"))
         ways = trees.where("node <> dest").join(edges.select(F.col("u").alias("node"), F.col("v").alias("next_node"), "length_m"), ["node", "next_node"])
         ways = stored(ways.join(blocks, "dest").select("block", "dest", "node", "next_node", "length_m").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "sim-ways")
         surges = [(e["node_id"], e["multiplier"]) for e in times if e["kind"] == "hotspot_surge" and e["tick_start"] <= begin < e["tick_end"]]

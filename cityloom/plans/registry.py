@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
-from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, scenarios, simulation
+from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, routing, scenarios, simulation
 from cityloom.operators.ordered import percentile
 from cityloom.plans.fixtures import sql, view
 from cityloom.sources.lineage import stored
@@ -464,7 +464,7 @@ _PATHS = """e AS (SELECT u, v, min(length_m) AS w FROM edges_raw GROUP BY u, v),
 
 def _trees(spark, d):
     edges = view(spark, d, "edges_raw").groupBy("u", "v").agg(F.min("length_m").alias("cost"))
-    return graph.path_trees(edges, edges.select(F.col("v").alias("node_id")).union(edges.select("u")).distinct())
+    return routing.path_trees(edges, edges.select(F.col("v").alias("node_id")).union(edges.select("u")).distinct())
 
 
 @query(f"WITH RECURSIVE {_PATHS} SELECT dest, node, dist FROM best")
@@ -478,7 +478,7 @@ def shortest_paths(spark, d):
   SELECT a.dest, a.node, next_node FROM asked a LEFT JOIN step USING (dest, node) WHERE a.dest <> a.node""")
 def next_hop(spark, d):
     asked = view(spark, d, "events").select((F.col("user_id") % 100).cast("long").alias("node"), (F.col("event_id") % 100).cast("long").alias("dest")).distinct().where("node <> dest")
-    return graph.next_hops(_trees(spark, d), asked).select("dest", "node", "next_node")
+    return routing.next_hops(_trees(spark, d), asked).select("dest", "node", "next_node")
 
 
 @query("""WITH n AS (SELECT node_id, x, y FROM nodes), r AS (SELECT l_orderkey % 100 AS node_id, count(*) AS c FROM lineitem GROUP BY 1)
