@@ -25,9 +25,17 @@ VIEWS: dict[str, str] = {
         FROM roi CROSS JOIN (SELECT * FROM (VALUES (0, CAST(0.0 AS DOUBLE), CAST(-7.0 AS DOUBLE)), (1, CAST(7.5 AS DOUBLE), CAST(-2.0 AS DOUBLE)),
         (2, CAST(1.5 AS DOUBLE), CAST(1.0 AS DOUBLE)), (3, CAST(5.5 AS DOUBLE), CAST(7.0 AS DOUBLE)), (4, CAST(-6.0 AS DOUBLE), CAST(6.0 AS DOUBLE))) AS v(seq, dx, dy)) AS p""",
     "mask_b": """SELECT row_i, col_i, CAST(CASE WHEN (row_i * 7 + col_i) % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM grid_b""",
-    "nodes": """SELECT CAST(p_partkey AS BIGINT) AS node_id,
-        CAST((p_partkey % 10) * 1000 + (p_partkey * 37) % 211 AS DOUBLE) AS x,
-        CAST(floor(p_partkey / 10) * 1000 + (p_partkey * 53) % 197 AS DOUBLE) AS y FROM part WHERE p_partkey < 100""",
+    "nodes": """SELECT CAST(k AS BIGINT) AS node_id,
+        CAST((k % w) * 1000 + (k * 37) % 211 AS DOUBLE) AS x, CAST(floor(k / w) * 1000 + (k * 53) % 197 AS DOUBLE) AS y
+        FROM (SELECT p_partkey AS k, (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) FROM part) AS w FROM part) AS p""",
+    "streets": """SELECT CAST(u AS BIGINT) AS u, CAST(v AS BIGINT) AS v, w, CAST(50 + (u * 31 + v * 17) % 350 AS DOUBLE) AS length_m FROM (
+        SELECT w, n, CASE way WHEN 1 THEN k WHEN 2 THEN k + 1 WHEN 3 THEN k ELSE k + w END AS u, CASE way WHEN 1 THEN k + 1 WHEN 2 THEN k WHEN 3 THEN k + w ELSE k END AS v
+        FROM (SELECT p_partkey AS k, (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) FROM part) AS w, (SELECT count(*) FROM part) AS n FROM part) AS p
+        CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3), (4)) AS t(way)) AS t
+        WHERE (way > 2 OR k % w <> w - 1) AND NOT (way = 2 AND (k * k) % 11 = 3) AND NOT (way = 1 AND (k * k) % 13 = 4) AND NOT (way = 4 AND (k * k) % 17 = 2)) AS s
+        WHERE u < n AND v < n""",
+    "one_way_streets": """SELECT u, v, CAST(floor(floor(u / w) / 10) * w + floor((u % w) / 10) AS BIGINT) AS block FROM streets
+        WHERE (u * 13 + v * 29) % 4 <> 0 AND (u < v OR (floor(floor(u / w) / 10) = floor(floor(v / w) / 10) AND floor((u % w) / 10) = floor((v % w) / 10)))""",
     "edges_raw": """SELECT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 100 AS BIGINT) AS v,
         CAST(l_orderkey AS BIGINT) AS edge_key,
         CAST(100 + (l_partkey * 31 + l_suppkey * 17 + l_orderkey * 7) % 900 AS DOUBLE) AS length_m,

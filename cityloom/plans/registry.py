@@ -307,9 +307,9 @@ def node_demand(spark, d):
 
 
 @query(f"""WITH {_SNAPPED} SELECT s.node_id, count(*) AS hotspot_count, CAST(sum(s.pixel_count) AS BIGINT) AS sum_pixel_count, sum(s.weight) AS sum_weight, sum(c.mean_local_score) AS sum_mean_local_score
-  FROM snapped s JOIN centres c ON c.cluster_id = s.cluster_id GROUP BY s.node_id ORDER BY sum_mean_local_score DESC, hotspot_count DESC, s.node_id LIMIT 25""")
+  FROM snapped s JOIN centres c ON c.cluster_id = s.cluster_id GROUP BY s.node_id""")
 def demand_order(spark, d):
-    return demand.demand_order(demand.node_demand(_snapped(spark, d), ("weight", "mean_local_score"))).limit(25)
+    return demand.demand_order(demand.node_demand(_snapped(spark, d), ("weight", "mean_local_score")))
 
 
 @query(f"WITH {_DEMAND} SELECT arg_min(node_id, (-sum_weight, node_id)) AS node_id FROM dem")
@@ -481,6 +481,32 @@ def next_hop(spark, d):
     return routing.next_hops(_trees(spark, d), asked).select("dest", "node", "next_node")
 
 
+# Distances by key: a row is replaced where a shorter way is found.
+_STREETS = """goals AS (SELECT CAST(n_nationkey * floor((SELECT count(*) FROM part) / 25) AS BIGINT) AS dest FROM nation),
+  p(dest, node, dist) USING KEY (dest, node) AS (SELECT dest, dest, CAST(0 AS DOUBLE) FROM goals
+    UNION SELECT n.dest, n.node, n.dist FROM (SELECT p.dest, e.u AS node, min(p.dist + e.length_m) AS dist FROM p JOIN streets e ON e.v = p.node GROUP BY p.dest, e.u) n
+      LEFT JOIN recurring.p r ON r.dest = n.dest AND r.node = n.node WHERE r.dist IS NULL OR n.dist < r.dist)"""
+
+
+@query(f"""WITH RECURSIVE {_STREETS}, step AS (SELECT b.dest, b.node, min(e.v) AS next_node FROM p b JOIN streets e ON e.u = b.node JOIN p c ON c.dest = b.dest AND c.node = e.v
+    WHERE b.node <> b.dest AND c.dist + e.length_m = b.dist GROUP BY b.dest, b.node)
+  SELECT p.dest, p.node, p.dist, coalesce(next_node, p.dest) AS next_node FROM p LEFT JOIN step s ON s.dest = p.dest AND s.node = p.node""")
+def street_paths(spark, d):
+    streets = view(spark, d, "streets")
+    share = F.floor(F.lit(view(spark, d, "part").count()) / 25)
+    goals = view(spark, d, "nation").select((F.col("n_nationkey") * share).cast("long").alias("node_id"))
+    return routing.path_trees(streets, goals, "length_m")
+
+
+# No way leads back into a block once it has left it, so ways within blocks tell components.
+@query("""WITH RECURSIVE e AS (SELECT a.u, a.v FROM one_way_streets a JOIN (SELECT DISTINCT u, block FROM one_way_streets) b ON b.u = a.v WHERE a.block = b.block),
+  r(a, b) AS (SELECT u, v FROM e UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b),
+  s AS (SELECT x.a AS node, least(min(x.b), x.a) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+  SELECT n.node, coalesce(s.component, n.node) AS component FROM (SELECT u AS node FROM one_way_streets UNION SELECT v FROM one_way_streets) n LEFT JOIN s ON s.node = n.node""")
+def street_components(spark, d):
+    return graph.strong_components(view(spark, d, "one_way_streets"))
+
+
 @query("""WITH n AS (SELECT node_id, x, y FROM nodes), r AS (SELECT l_orderkey % 100 AS node_id, count(*) AS c FROM lineitem GROUP BY 1)
   SELECT CAST(r.node_id AS BIGINT) AS node_id, c, x, y FROM r JOIN n ON n.node_id = r.node_id WHERE r.node_id > 0""")
 def node_attributes(spark, d):

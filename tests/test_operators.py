@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
-from cityloom.operators import demand, flow, graph, ordered, raster, regions, roads, scenarios, simulation
+from cityloom.operators import demand, flow, graph, ordered, raster, regions, roads, routing, scenarios, simulation
 
 
 def test_empty_and_constant_rasters(spark):
@@ -83,8 +83,8 @@ def test_components_and_paths(spark):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 5.0), (1, 3, 3.0), (7, 8, 1.0)], "u long, v long, cost double")
     assert {r.node: r.component for r in graph.weak_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
     assert {r.node for r in graph.largest_scc(edges).collect()} == {1, 2, 3}
-    assert {r.node for r in graph.largest_scc(edges, most_in_task=0).collect()} == {1, 2, 3}
-    trees = graph.path_trees(edges, spark.createDataFrame([(3,)], "node_id long"))
+    assert {r.node for r in graph.largest_scc(edges, most=2).collect()} == {1, 2, 3}
+    trees = routing.path_trees(edges, spark.createDataFrame([(3,)], "node_id long"))
     assert {(r.node, r.dist, r.next_node) for r in trees.collect()} == {(1, 2.0, 2), (2, 1.0, 3), (3, 0.0, 3)}
 
 
@@ -144,8 +144,8 @@ def test_paths_equal_a_plain_search(spark):
                     dist[u] = dist[v] + w
         for n, far in dist.items():
             want.add((d, n, far, d if n == d else min(v for u, v, w in rows if u == n and dist.get(v, 1e9) + w == far)))
-    assert {tuple(r) for r in graph.path_trees(df, dests).select("dest", "node", "dist", "next_node").collect()} == want
-    assert {tuple(r) for r in graph.path_trees(df, dests, most_edges=0).select("dest", "node", "dist", "next_node").collect()} == want
+    assert {tuple(r) for r in routing.path_trees(df, dests).select("dest", "node", "dist", "next_node").collect()} == want
+    assert {tuple(r) for r in routing.path_trees(df, dests, most=5).select("dest", "node", "dist", "next_node").collect()} == want
 
 
 def test_components_of_a_long_chain(spark):
