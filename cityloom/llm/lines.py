@@ -1,13 +1,14 @@
 """Line dedup: content-defined chunks of lines that repeat anywhere are removed.
 
 Lines end at line feeds (a missing one at the end counts as there).  A boundary stands
-after a line where a rolling hash of it and the line before it falls in one of
-``spread`` classes, so chunks find back into step after lines put in or taken out.
-Such chunks hold at least ``least_lines`` lines.  A repeated passage of few lines often
-holds no whole chunk, so the shortest passages are units of their own: every two lines
-that follow each other and every line of at least ``long_line`` words (windows=True).
-With them every repeated passage of two lines, or of one long line, is found whatever
-stands around it; without them only those that hold a whole chunk.
+after a line where a rolling hash of it and the line before it falls in any but one of
+``spread`` classes, so boundaries find back into step after lines put in or taken out.
+From each line a chunk runs to the first boundary that leaves it ``least_lines`` lines, or
+to the text's end: a chunk depends on its own lines alone, whatever stands around it.  Of
+the repeated passages of two lines, 1 - 1 / spread hold a chunk; longer ones nearly always
+do, and lose at most their last lines behind the last boundary.  windows=True adds all
+stretches of two lines, which finds every repeated passage.  A line of at least
+``long_line`` words is a unit by itself (0: none is).
 
 Units are looked up in all texts by 128-bit digests.  The first place of a unit
 (smallest doc_id, then row, then place in the text) stays; elsewhere its lines go, but for
@@ -42,22 +43,28 @@ def split_lines(text: bytes) -> list[bytes]:
     return parts
 
 
-def chunks(lines: list[bytes], spread: int = 3) -> list[int]:
-    """First lines of the chunks, and the number of lines last."""
+#: Classes of the rolling hash, of which all but one are boundaries.
+SPREAD = 16
+
+
+def chunks(lines: list[bytes], spread: int = SPREAD) -> list[int]:
+    """The boundaries: first lines after them, 0 and the number of lines."""
     hashes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in lines]
-    cuts = [i + 1 for i in range(len(lines)) if (3 * hashes[i - 1] * (i > 0) + hashes[i]) % (1 << 64) % (spread << 20) >> 20 == 0]
+    cuts = [i + 1 for i in range(len(lines)) if (3 * hashes[i - 1] * (i > 0) + hashes[i]) % (1 << 64) % (spread << 20) >> 20 != 0]
     return sorted({0, *cuts, len(lines)})
 
 
 def units(text: bytes, spread: int, least_lines: int, long_line: int, windows: bool) -> tuple[list[tuple[int, int]], list[bytes]]:
     """(first line, number of lines) of each unit of a text, and its lines."""
     lines = split_lines(text)
-    out = []
-    if len(lines) >= least_lines:
-        edges = chunks(lines, spread)
-        out = [(a, b - a) for a, b in zip(edges, edges[1:]) if b - a >= least_lines and not (windows and b - a == 2)]
-    if windows:
-        out += [(i, 2) for i in range(len(lines) - 1)]
+    edges, out, at = chunks(lines, spread), [], 0
+    for i in range(len(lines) - least_lines + 1):
+        while edges[at] < i + least_lines:
+            at += 1
+        out.append((i, edges[at] - i))
+        if windows and edges[at] - i > 2:
+            out.append((i, 2))
+    if long_line:
         out += [(i, 1) for i, x in enumerate(lines) if len(x) >= 2 * long_line - 1 and len(x.split()) >= long_line]
     return out, lines
 
@@ -140,7 +147,7 @@ def repeated_units(documents: DataFrame, options: tuple, work: Workspace) -> Dat
     return out
 
 
-def deduplicated(documents: DataFrame, spread: int = 3, least_lines: int = 2, long_line: int = 50, windows: bool = True) -> DataFrame:
+def deduplicated(documents: DataFrame, spread: int = SPREAD, least_lines: int = 2, long_line: int = 50, windows: bool = False) -> DataFrame:
     """documents with repeated units removed from text, and _removed_chunks int: the runs of
     lines removed (columns of that name and _row_a, _row_b, _id, _maybe, gone and held are replaced)."""
     documents = documents.drop("_removed_chunks", "_row_a", "_row_b", "_id", "_maybe", "gone", "held")

@@ -552,7 +552,7 @@ def test_gumbel_draws_follow_the_weights(spark):
 # ---------------------------------------------------------------- lines
 
 
-def _brute_lines(docs, spread=3, least=2, windows=False):
+def _brute_lines(docs, spread=lines.SPREAD, least=2, windows=False):
     seen, places = {}, {}
     rows = sorted({(i is None, i or 0, t) for i, t in docs if t})
     for row in rows:
@@ -600,14 +600,36 @@ def test_passages_of_any_length_go(spark):
     docs = [(i, "\n".join([" ".join(_words(8, rng)) for _ in range(3)] + shared[sizes[i % 4]] + [" ".join(_words(8, rng)) for _ in range(3)])) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "a\na\na"), (103, "b\nc\n"), (104, "c\nd\ne"), (105, "b\nc\nd"), (106, "short"), (107, "short"), (None, "b\nc")]
     df = spark.createDataFrame(docs, DOCS).repartition(3)
-    got = {r.doc_id: r for r in lines.deduplicated(df).collect()}
+    got = {r.doc_id: r for r in lines.deduplicated(df, windows=True).collect()}
     for i in range(40):
         own = docs[i][1].split("\n")
         want = docs[i][1] if i < 4 else "\n".join(own[:3] + own[-3:])
         assert (got[i].text, got[i]._removed_chunks) == (want, int(i >= 4))
     assert [got[i].text for i in range(100, 108)] == [None, "", "a\na\n", "b\nc\n", "c\nd\ne", "", "short", "short"] and got[None].text == ""
     kept = {r.doc_id: r.kept_chars for r in lines.line_report(df).collect()}
-    assert kept[4] == len(got[4].text) and kept[7] == len(got[7].text)
+    again = {r.doc_id: r for r in lines.deduplicated(df).collect()}
+    assert kept[4] == len(again[4].text) and kept[7] == len(again[7].text)
+
+
+def test_chunks_find_passages_of_few_lines(spark):
+    """Recall of planted passages by chunks alone: nearly all lines of each length go, no others."""
+    rng = random.Random(12)
+    docs, planted = [], {}
+    for m in (2, 4, 6, 20):
+        for k in range(60):
+            passage = [" ".join(_words(6, rng)) for _ in range(m)]
+            for _ in range(2):
+                own = [[" ".join(_words(7, rng)) for _ in range(rng.randrange(4))] for _ in range(2)]
+                planted[len(docs)] = (m, sum(map(len, own)))
+                docs.append((len(docs), "\n".join(own[0] + passage + own[1])))
+    df = spark.createDataFrame(docs, DOCS).repartition(3)
+    left = {r.doc_id: len(r.text.splitlines()) for r in lines.deduplicated(df, long_line=0).collect()}
+    gone = {m: 0 for m in (2, 4, 6, 20)}
+    for i, (m, own) in planted.items():
+        assert own <= left[i] <= own + m and (i % 2 or left[i] == own + m)  # first places stay whole
+        gone[m] += own + m - left[i]
+    assert all(n >= 0.8 * 60 * m for m, n in gone.items()) and all(gone[m] >= 0.93 * 60 * m for m in (4, 6, 20)), gone
+    assert sum(gone.values()) >= 0.95 * 60 * 32
 
 
 def test_units_with_other_bytes_stay(spark, monkeypatch):
