@@ -19,16 +19,16 @@ from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.sources.rasters import deflated, directory, file_head, store_of
 from cityloom.sources.writers import manifest, table_csv
 
 
 def put(path: str, content: bytes) -> None:
     """Writes a file in whole, replacing an older one."""
-    store, name = (pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")) if path.startswith("file:") else (pafs.LocalFileSystem(), path) if path.startswith("/") else pafs.FileSystem.from_uri(path)
+    store, name = store_of(path)
     store.create_dir(name.rpartition("/")[0], recursive=True)
     draft = f"{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(draft) as out:
@@ -43,7 +43,6 @@ def encode_geotiff(bands: np.ndarray, transform: tuple[float, ...], nodata: floa
     """A tiled GeoTIFF (deflate, bands apart) of an array (bands, rows, columns); BigTIFF from 4 GB on."""
     n, h, w = bands.shape
     big = bands.nbytes > 1 << 32
-    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
     blocks = []
     for band in bands:
         for y in range(0, h, tile):
@@ -51,36 +50,11 @@ def encode_geotiff(bands: np.ndarray, transform: tuple[float, ...], nodata: floa
                 block = np.full((tile, tile), nodata if nodata is not None else 0, dtype=bands.dtype)
                 part = band[y : y + tile, x : x + tile]
                 block[: part.shape[0], : part.shape[1]] = part
-                blocks.append(zlib.compress(block.astype(block.dtype.newbyteorder("<")).tobytes()))
-    a, _, c, _, e, f = transform
-    keys = [1, 1, 0, 1, 1025, 0, 1, 1] if epsg is None else [1, 1, 0, 2, 1025, 0, 1, 1, 3072, 0, 1, epsg]
-    offset, count = ("Q", 16), len(blocks)
-    long = offset if big else ("I", 4)
-    head = 16 if big else 8
-    at = head + np.concatenate([[0], np.cumsum([len(b) + len(b) % 2 for b in blocks])])
-    tags = [
-        (256, "I", 4, [w]), (257, "I", 4, [h]), (258, "H", 3, [bands.dtype.itemsize * 8] * n), (259, "H", 3, [8]), (262, "H", 3, [1]), (277, "H", 3, [n]), (284, "H", 3, [2 if n > 1 else 1]),
-        (322, "H", 3, [tile]), (323, "H", 3, [tile]), (324, *long, at[:count].tolist()), (325, *long, [len(b) for b in blocks]), (339, "H", 3, [kind] * n),
-        (33550, "d", 12, [a, -e, 0.0]), (33922, "d", 12, [0.0, 0.0, 0.0, c, f, 0.0]), (34735, "H", 3, keys),
-    ]
-    if nodata is not None:
-        tags.append((42113, "s", 2, [f"{nodata:g}".encode() + b"\0"]))
-    body = b"".join(b + b"\0" * (len(b) % 2) for b in blocks)
-    place = head + len(body)
-    entry, room = (20, 8) if big else (12, 4)
-    extra_at = place + (8 if big else 2) + entry * len(tags) + (8 if big else 4)
-    directory, extra = struct.pack("<Q" if big else "<H", len(tags)), b""
-    for tag, code, type_, values in tags:
-        data = values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
-        size = len(data) if code == "s" else len(values)
-        directory += struct.pack("<HHQ" if big else "<HHI", tag, type_, size)
-        if len(data) <= room:
-            directory += data.ljust(room, b"\0")
-        else:
-            directory += struct.pack("<Q" if big else "<I", extra_at + len(extra))
-            extra += data + b"\0" * (len(data) % 2)
-    first = struct.pack("<2sHHHQ", b"II", 43, 8, 0, place) if big else struct.pack("<2sHI", b"II", 42, place)
-    return first + body + directory + struct.pack("<Q" if big else "<I", 0) + extra
+                blocks.append(deflated(block))
+    head, count = len(file_head(0, big)), len(blocks)
+    at = head + np.concatenate([[0], np.cumsum([len(x) for x in blocks])])
+    place = int(at[-1])
+    return file_head(place, big) + b"".join(blocks) + directory((n, h, w), bands.dtype, transform, nodata, tile, epsg, at[:count].tolist(), [len(x) for x in blocks], place, big)
 
 
 def geotiffs(cells: DataFrame, path: str, transform: tuple[float, ...], height: int, width: int, by: str, band: str | None = None, nodata: float = -9999.0, dtype: str = "float32", most_values: int = 500_000_000) -> DataFrame:

@@ -1,7 +1,8 @@
 """Readers of files that Spark has no source for, and of the pipeline's own files.
 
 File contents come through Spark's ``binaryFile`` source, so any file system that
-Spark reads will do; files are decoded in tasks, one file at a time.
+Spark reads will do; files are decoded in tasks, one file at a time.  Rasters are read by
+blocks, by the data source of ``rasters``.
 """
 
 from __future__ import annotations
@@ -10,13 +11,14 @@ import io
 import sqlite3
 import struct
 import tempfile
-import zlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.sources import rasters
+
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
@@ -129,116 +131,26 @@ def gpkg_layer(spark: SparkSession, path: str, layer: str, columns: list[str], g
 # ---------------------------------------------------------------- GeoTIFF
 
 
-def _lzw(data: bytes) -> bytes:
-    """TIFF's variable-width LZW, most significant bit first."""
-    out = bytearray()
-    value = bits = at = 0
-    width, table, last = 9, [bytes([i]) for i in range(256)] + [b"", b""], b""
-    while True:
-        while bits < width and at < len(data):
-            value = (value << 8) | data[at]
-            at, bits = at + 1, bits + 8
-        if bits < width:
-            return bytes(out)
-        bits -= width
-        code = (value >> bits) & ((1 << width) - 1)
-        value &= (1 << bits) - 1
-        if code == 257:
-            return bytes(out)
-        if code == 256:
-            width, table, last = 9, table[:258], b""
-            continue
-        if not last:
-            entry = table[code]
-        else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-            width = max(9, (len(table) + 1).bit_length())
-        out += entry
-        last = entry
-
-
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
-
-
 def geotiff(content: bytes, band: int = 1) -> tuple[np.ndarray, dict]:
-    """A band (from 1) and tags (transform, nodata) of a strip or tile GeoTIFF: none, LZW or
-    deflate, bands apart or interleaved."""
-    e = "<" if content[:2] == b"II" else ">"
-    big = struct.unpack_from(e + "H", content, 2)[0] == 43
-    at = struct.unpack_from(e + ("Q" if big else "I"), content, 8 if big else 4)[0]
-    n = struct.unpack_from(e + ("Q" if big else "H"), content, at)[0]
-    tags = {}
-    for i in range(n):
-        place = at + (8 + 20 * i if big else 2 + 12 * i)
-        tag, kind = struct.unpack_from(e + "HH", content, place)
-        count = struct.unpack_from(e + ("Q" if big else "I"), content, place + 4)[0]
-        code = _TYPES.get(kind)
-        if code is None:
-            continue
-        size = struct.calcsize(e + code) * count
-        value = place + (12 if big else 8)
-        if size > (8 if big else 4):
-            value = struct.unpack_from(e + ("Q" if big else "I"), content, value)[0]
-        tags[tag] = content[value : value + size] if code == "s" else struct.unpack_from(f"{e}{count * len(code)}{code[0]}", content, value)
-    w, h, method, predictor = tags[256][0], tags[257][0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
-    kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    dtype = np.dtype(f"{e}{kind}{tags[258][0] // 8}")
-    tiled = 322 in tags
-    tw, th = (tags[322][0], tags[323][0]) if tiled else (w, tags.get(278, (h,))[0])
-    offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    out, across = np.zeros((h, w), dtype=dtype), -(-w // tw)
-    samples = tags.get(277, (1,))[0]
-    if not 1 <= band <= samples:
-        raise ValueError(f"there is no band {band} of {samples}")
-    woven = samples if tags.get(284, (1,))[0] == 1 else 1
-    each = across * -(-h // th)
-    for k in range(each):
-        at = k + (0 if woven > 1 else (band - 1) * each)
-        raw = content[offsets[at] : offsets[at] + sizes[at]]
-        if method == 5:
-            raw = _lzw(raw)
-        elif method in (8, 32946):
-            raw = zlib.decompress(raw)
-        elif method != 1:
-            raise ValueError(f"compression {method} isn't read")
-        y, x = k // across * th, k % across * tw
-        rows = th if tiled else min(th, h - y)
-        block = np.frombuffer(raw, dtype=dtype, count=rows * tw * woven).reshape(rows, tw, woven)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=dtype)
-        elif predictor != 1:
-            raise ValueError(f"predictor {predictor} isn't read")
-        out[y : y + rows, x : x + tw] = block[: h - y, : w - x, band - 1 if woven > 1 else 0]
-    found = {"width": w, "height": h, "bands": samples, "nodata": float(tags[42113].rstrip(b"\0 ")) if 42113 in tags else None, "transform": None}
-    if 33550 in tags and 33922 in tags:
-        (sx, sy, *_), (i, j, _, x, y, *_) = tags[33550], tags[33922]
-        found["transform"] = (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
-    return out, found
+    """A band (from 1) and tags (transform, nodata) of a GeoTIFF that is in memory."""
+    read = lambda at, size: content[at : at + size]
+    found = rasters.layout(read)
+    if not 1 <= band <= found.bands:
+        raise ValueError(f"there is no band {band} of {found.bands}")
+    h, w = found.block
+    out, each = np.zeros((found.height, found.width), dtype=found.dtype), found.across * found.down
+    for k, (offset, size) in enumerate(rasters.addresses(read, found, 0 if found.woven > 1 else (band - 1) * each, each)):
+        y, x = k // found.across, k % found.across * w
+        block = rasters.decoded(read(offset, size), found, rasters.block_rows(found, y))
+        out[y * h : y * h + len(block), x : x + w] = block[: found.height - y * h, : found.width - x, band - 1 if found.woven > 1 else 0]
+    return out, {"width": found.width, "height": found.height, "bands": found.bands, "nodata": found.nodata, "transform": found.transform}
 
 
 def raster_grids(spark: SparkSession, path: str) -> DataFrame:
-    """raster_id, width, height, bands, nodata, transform (six numbers or null) of GeoTIFF files."""
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                _, info = geotiff(content)
-                yield pd.DataFrame({"raster_id": [name.rsplit("/", 1)[-1]], **{k: [info[k]] for k in ("width", "height", "bands", "nodata")}, "transform": [None if info["transform"] is None else list(info["transform"])]})
+    """raster_id, width, height, bands, nodata, transform (six numbers or null) of GeoTIFF files, from their headers."""
+    return rasters.metadata(spark, path).select("raster_id", "width", "height", "bands", "nodata", "transform")
 
-    return _files(spark, path).mapInPandas(run, "raster_id string, width long, height long, bands long, nodata double, transform array<double>")
-
-
-def raster_tables(spark: SparkSession, path: str) -> DataFrame:
-    """raster_id, row_i, col_i, value of GeoTIFF files; nodata and NaN samples are left out."""
-
-    def run(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                band, info = geotiff(content)
-                for r0 in range(0, band.shape[0], 256):
-                    part = band[r0 : r0 + 256].astype(float)
-                    r, c = np.nonzero(~np.isnan(part) & (part != info["nodata"]) if info["nodata"] is not None else np.isfinite(part))
-                    yield pd.DataFrame({"raster_id": name.rsplit("/", 1)[-1], "row_i": (r + r0).astype(np.int64), "col_i": c.astype(np.int64), "value": part[r, c]})
 
-    return _files(spark, path).mapInPandas(run, "raster_id string, row_i long, col_i long, value double")
+def raster_tables(spark: SparkSession, path: str, band: int = 1) -> DataFrame:
+    """raster_id, row_i, col_i, value of a band of GeoTIFF files; nodata and NaN samples are left out."""
+    return rasters.scan(spark, path, band).select("raster_id", "row_i", "col_i", "value")

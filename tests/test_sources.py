@@ -5,7 +5,7 @@ import struct
 import numpy as np
 import pytest
 
-from cityloom.sources import readers, writers
+from cityloom.sources import rasters, readers, writers
 
 
 def _tiff(a, nodata=-9999.0):
@@ -33,7 +33,7 @@ def test_lzw():
     for c in codes:
         bits += format(c, "09b")
     bits += "0" * (-len(bits) % 8)
-    assert readers._lzw(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))) == b"ABABABA"
+    assert rasters._lzw(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))) == b"ABABABA"
 
 
 def test_gpkg(spark, tmp_path):
