@@ -90,6 +90,13 @@ def polygons_of(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("city_id", "city_name").agg(ring.alias("ring"))
 
 
+def multipolygons_of(vertices: DataFrame) -> DataFrame:
+    """city_id, city_name, rings of a table of vertices (ring, seq, x, y): parts and holes alike."""
+    point = F.struct("seq", "x", "y")
+    rings = vertices.groupBy("city_id", "city_name", "ring").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    return rings.groupBy("city_id", "city_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ring", "points"))), lambda r: r["points"]).alias("rings"))
+
+
 def ring_bounds(ring: Column) -> list[Column]:
     """minx, miny, maxx, maxy of a ring."""
     x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
@@ -115,9 +122,14 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), far))
 
 
-def _window(ring: Column, transform: tuple[float, ...], distance: float) -> list[Column]:
-    """row_min, row_max, col_min, col_max of the cells that a widened ring's bounds touch."""
-    minx, miny, maxx, maxy = ring_bounds(ring)
+def _rings(polygons: DataFrame) -> Column:
+    """All rings of a polygon or multi-polygon: its column rings, or else ring alone."""
+    return F.col("rings") if "rings" in polygons.columns else F.array("ring")
+
+
+def _window(rings: Column, transform: tuple[float, ...], distance: float) -> list[Column]:
+    """row_min, row_max, col_min, col_max of the cells that the widened rings' bounds touch."""
+    minx, miny, maxx, maxy = ring_bounds(F.flatten(rings))
     r1, c1 = geo.cell_of(minx - distance, maxy + distance, transform)
     r2, c2 = geo.cell_of(maxx + distance, miny - distance, transform)
     return [F.least(r1, r2), F.greatest(r1, r2), F.least(c1, c2), F.greatest(c1, c2)]
@@ -125,27 +137,71 @@ def _window(ring: Column, transform: tuple[float, ...], distance: float) -> list
 
 def windows(polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0) -> DataFrame:
     """polygons with row_min, row_max, col_min, col_max."""
-    return polygons.withColumns(dict(zip(("row_min", "row_max", "col_min", "col_max"), _window(F.col("ring"), transform, distance))))
+    return polygons.withColumns(dict(zip(("row_min", "row_max", "col_min", "col_max"), _window(_rings(polygons), transform, distance))))
 
 
-def _covers(transform: tuple[float, ...], distance: float) -> Column:
+def _covers(rings: Column, transform: tuple[float, ...], distance: float) -> Column:
+    """Whether a cell's centre is inside by the even-odd rule over all rings, or near a side."""
     x, y = geo.cell_centre(F.col("row_i"), F.col("col_i"), transform)
-    inside = inside_polygon(x, y, F.col("ring"))
-    return inside | (ring_distance(x, y, F.col("ring")) <= distance) if distance > 0 else inside
+    inside = F.aggregate(F.transform(rings, lambda r: inside_polygon(x, y, r).cast("int")), F.lit(0), lambda n, i: n + i) % 2 == 1
+    return inside | (F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r))) <= distance) if distance > 0 else inside
+
+
+def spans(polygons: DataFrame, transform: tuple[float, ...], keys: tuple[str, ...] = ("city_id",)) -> DataFrame:
+    """keys, row_i, col_from, col_to (both included) of the cells whose centre is in a polygon.
+
+    Scan lines: each side of each ring gives the place where it crosses the rows' centre
+    lines; a row's crossings in order, taken in pairs, bound its spans.  Holes and several
+    parts need nothing else (even-odd rule; parts must not overlap).  The work follows the
+    rings' length in rows and their crossings, not the area, and no cell is tested.
+    Rotated or mirrored columns are an error.
+    """
+    a, turn, c, shear, e, f = transform
+    if turn or shear or a <= 0 or e == 0:
+        raise ValueError("scan lines need an unrotated grid whose columns run to the right")
+    ring = polygons.select(*keys, F.explode(_rings(polygons)).alias("ring")).where(F.size("ring") > 2)
+    n = F.size("ring")
+    side = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("ring", i).alias("a"), F.get("ring", (i + 1) % n).alias("b"))))
+    sides = ring.select(*keys, side.alias("s")).select(*keys, *(F.col(f"s.{p}.{v}").alias(p + v) for p in "ab" for v in "xy")).where("ay <> by")
+    row = lambda y: F.floor((F.col(y) - f) / e).cast("long")
+    lines = sides.withColumn("row_i", F.explode(F.sequence(F.least(row("ay"), row("by")) - 1, F.greatest(row("ay"), row("by")) + 1)))
+    _, y = geo.cell_centre(F.col("row_i"), F.lit(0), transform)
+    lines = lines.withColumn("y", y).where((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))
+    crossing = (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    rows = lines.groupBy(*keys, "row_i").agg(F.sort_array(F.collect_list(crossing)).alias("x"))
+    pairs = rows.select(*keys, "row_i", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.get("x", 2 * i).alias("from"), F.get("x", 2 * i + 1).alias("to")))).alias("p"))
+    return pairs.select(*keys, "row_i", _first_column("p.from", transform).alias("col_from"), (_first_column("p.to", transform) - 1).alias("col_to")).where("col_from <= col_to")
+
+
+def _first_column(x: str, transform: tuple[float, ...]) -> Column:
+    """The first column whose centre isn't left of x, by the centres' own numbers."""
+    guess = F.ceil((F.col(x) - transform[2]) / transform[0] - 0.5).cast("long")
+    centre = lambda k: geo.cell_centre(F.lit(0), k, transform)[0]
+    return guess + F.when(centre(guess - 1) >= F.col(x), -1).when(centre(guess) < F.col(x), 1).otherwise(0)
 
 
 def clip_polygons(cells: DataFrame, polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0, tile: int = 64) -> DataFrame:
-    """Cells whose centre is in a polygon (or within distance of it), with its columns: an
-    equi join on tiles, the box, then the exact test."""
-    joined = _tiled_cells(cells, tile).join(_tiled_boxes(windows(polygons, transform, distance), tile), ["_tr", "_tc"])
-    return joined.where(inside_box()).where(_covers(transform, distance)).drop("_tr", "_tc", "ring")
+    """Cells whose centre is in a polygon (column ring, or rings with holes and parts), with
+    its other columns: cells meet scan-line spans of their row by equi joins on tiles of
+    columns.  With a distance, cells that near are in as well, by an exact test of each
+    cell in the polygon's box."""
+    rest = [c for c in polygons.columns if c not in ("ring", "rings")]
+    if distance > 0:
+        joined = _tiled_cells(cells, tile).join(_tiled_boxes(windows(polygons, transform, distance), tile), ["_tr", "_tc"])
+        return joined.where(inside_box()).where(_covers(_rings(polygons), transform, distance)).drop("_tr", "_tc", "ring", "rings")
+    held = spans(polygons, transform, tuple(rest)).withColumnsRenamed({"row_i": "_row"})
+    held = held.withColumn("_tc", F.explode(F.sequence(F.floor(F.col("col_from") / tile), F.floor(F.col("col_to") / tile))))
+    joined = cells.withColumn("_row", F.col("row_i").cast("long")).withColumn("_tc", F.floor(F.col("col_i") / tile)).join(held, ["_row", "_tc"])
+    return joined.where(F.col("col_i").between(F.col("col_from"), F.col("col_to"))).drop("_row", "_tc", "col_from", "col_to")
 
 
 def polygon_masks(polygons: DataFrame, transform: tuple[float, ...], distance: float = 0.0) -> DataFrame:
     """city_id, row_i, col_i of all cells of the grid whose centre is in a polygon, with or without data."""
+    if distance <= 0:
+        return spans(polygons, transform).select("city_id", "row_i", F.explode(F.sequence("col_from", "col_to")).alias("col_i"))
     rows = windows(polygons, transform, distance).withColumn("row_i", F.explode(F.sequence("row_min", "row_max")))
     cells = rows.repartition("city_id", "row_i").withColumn("col_i", F.explode(F.sequence("col_min", "col_max")))
-    return cells.where(_covers(transform, distance)).select("city_id", "row_i", "col_i")
+    return cells.where(_covers(_rings(polygons), transform, distance)).select("city_id", "row_i", "col_i")
 
 
 def masked_scan(baseline: DataFrame, mask: DataFrame, baseline_grid: dict, mask_grid: dict, nodata: float | None = -9999.0) -> DataFrame:
@@ -170,7 +226,10 @@ def roi_statistics(cells: DataFrame, polygons: DataFrame, transform: tuple[float
     """Per polygon: window (width, height, bounds), cells under the mask, valid ones, their sum."""
     a, _, c, _, e, f = transform
     boxes = windows(polygons, transform, distance).select("city_id", "city_name", "row_min", "row_max", "col_min", "col_max")
-    masks = polygon_masks(polygons, transform, distance).groupBy("city_id").agg(F.count("*").alias("pixel_count_inside_mask"))
+    if distance > 0:
+        masks = polygon_masks(polygons, transform, distance).groupBy("city_id").agg(F.count("*").alias("pixel_count_inside_mask"))
+    else:  # spans know their cells' number
+        masks = spans(polygons, transform).groupBy("city_id").agg(F.sum(F.col("col_to") - F.col("col_from") + 1).alias("pixel_count_inside_mask"))
     sums = clip_polygons(cells, polygons, transform, distance).groupBy("city_id").agg(F.count("value").alias("valid_baseline_pixels"), F.sum("value").alias("baseline_sum"))
     bounds = F.array(c + F.col("col_min") * a, f + (F.col("row_max") + 1) * e, c + (F.col("col_max") + 1) * a, f + F.col("row_min") * e)
     zero = lambda n, x: F.coalesce(n, F.lit(x)).alias(n)

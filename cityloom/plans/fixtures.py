@@ -24,6 +24,11 @@ VIEWS: dict[str, str] = {
         CAST(col_min + 8.3 AS DOUBLE) + p.dx * (1 + city_id % 3 * 0.25) AS x, CAST(row_min + 7.6 AS DOUBLE) + p.dy * (1 + city_id % 3 * 0.25) AS y
         FROM roi CROSS JOIN (SELECT * FROM (VALUES (0, CAST(0.0 AS DOUBLE), CAST(-7.0 AS DOUBLE)), (1, CAST(7.5 AS DOUBLE), CAST(-2.0 AS DOUBLE)),
         (2, CAST(1.5 AS DOUBLE), CAST(1.0 AS DOUBLE)), (3, CAST(5.5 AS DOUBLE), CAST(7.0 AS DOUBLE)), (4, CAST(-6.0 AS DOUBLE), CAST(6.0 AS DOUBLE))) AS v(seq, dx, dy)) AS p""",
+    "roi_rings": """SELECT city_id, city_name, CAST(0 AS BIGINT) AS ring, seq, x, y, CAST(5 AS BIGINT) AS sides FROM roi_vertices
+        UNION ALL SELECT city_id, city_name, CAST(1 AS BIGINT), CAST(p.seq AS BIGINT), CAST(col_min + 8.1 AS DOUBLE) + p.dx, CAST(row_min + 8.4 AS DOUBLE) + p.dy, CAST(3 AS BIGINT)
+        FROM roi CROSS JOIN (SELECT * FROM (VALUES (0, CAST(-1.0 AS DOUBLE), CAST(-1.5 AS DOUBLE)), (1, CAST(1.4 AS DOUBLE), CAST(-0.5 AS DOUBLE)), (2, CAST(-0.5 AS DOUBLE), CAST(2.0 AS DOUBLE))) AS v(seq, dx, dy)) AS p
+        UNION ALL SELECT city_id, city_name, CAST(2 AS BIGINT), CAST(p.seq AS BIGINT), CAST(col_min + 25.5 AS DOUBLE) + p.dx, CAST(row_min + 3.5 AS DOUBLE) + p.dy, CAST(4 AS BIGINT)
+        FROM roi CROSS JOIN (SELECT * FROM (VALUES (0, CAST(-2.0 AS DOUBLE), CAST(0.0 AS DOUBLE)), (1, CAST(0.0 AS DOUBLE), CAST(-3.0 AS DOUBLE)), (2, CAST(2.0 AS DOUBLE), CAST(0.0 AS DOUBLE)), (3, CAST(0.0 AS DOUBLE), CAST(3.0 AS DOUBLE))) AS v(seq, dx, dy)) AS p""",
     "mask_b": """SELECT row_i, col_i, CAST(CASE WHEN (row_i * 7 + col_i) % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS value FROM grid_b""",
     "nodes": """SELECT CAST(k AS BIGINT) AS node_id,
         CAST((k % w) * 1000 + (k * 37) % 211 AS DOUBLE) AS x, CAST(floor(k / w) * 1000 + (k * 53) % 197 AS DOUBLE) AS y

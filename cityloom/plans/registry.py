@@ -217,6 +217,25 @@ def _polygons(spark, d):
     return regions.polygons_of(view(spark, d, "roi_vertices"))
 
 
+_IN_RINGS = """ring_sides AS (SELECT a.city_id, a.city_name, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy FROM roi_rings a JOIN roi_rings b ON b.city_id = a.city_id AND b.ring = a.ring AND b.seq = (a.seq + 1) % a.sides),
+  spots AS (SELECT r.range AS row_i, c.range AS col_i, c.range + 0.5 AS x, r.range + 0.5 AS y FROM range(-20, 100) r, range(-20, 100) c),
+  held AS (SELECT city_id, city_name, row_i, col_i FROM spots, ring_sides GROUP BY ALL HAVING count(*) FILTER ((ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / nullif(cy - ay, 0) + ax) % 2 = 1)"""
+
+
+def _multipolygons(spark, d):
+    return regions.multipolygons_of(view(spark, d, "roi_rings"))
+
+
+@query(f"WITH {_IN_RINGS} SELECT h.city_id, h.city_name, h.row_i, h.col_i, value FROM held h JOIN grid_a g ON g.row_i = h.row_i AND g.col_i = h.col_i")
+def multipolygon_clip(spark, d):
+    return regions.clip_polygons(view(spark, d, "grid_a"), _multipolygons(spark, d), _UNIT).select("city_id", "city_name", "row_i", "col_i", "value")
+
+
+@query(f"WITH {_IN_RINGS} SELECT city_id, row_i, col_i FROM held")
+def multipolygon_mask(spark, d):
+    return regions.polygon_masks(_multipolygons(spark, d), _UNIT)
+
+
 @query(f"WITH {_IN_CITY} SELECT c.city_id, c.city_name, c.row_i, c.col_i, value FROM covered c JOIN grid_a g ON g.row_i = c.row_i AND g.col_i = c.col_i WHERE inside")
 def polygon_clip(spark, d):
     return regions.clip_polygons(view(spark, d, "grid_a"), _polygons(spark, d), _UNIT).select("city_id", "city_name", "row_i", "col_i", "value")
