@@ -21,36 +21,56 @@ def running_sum(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
     return dealt.join(F.broadcast(sums), "_range").withColumn(name, F.col("_before") + inside).drop("_range", "_before")
 
 
-def percentile(df: DataFrame, value: Column, share: float, bins: int = 4096, small: int = 100_000) -> float | None:
-    """The exact, linearly interpolated percentile of the non-null values; None without any.
+#: Entries of a sketch: it tells a rank to 1 / ACCURACY of a group's rows.
+ACCURACY = 10_000
 
-    Histograms narrow the range that holds the two order statistics until few values
-    are left, so no task holds all distinct values.
+
+def ranked(df: DataFrame, keys: list[str], value: Column, shares: list[float], ranks, accuracy: int = ACCURACY) -> DataFrame:
+    """keys, n, low, high, found: for each group its number of values, the least and largest,
+    and the values of the ranks (from 0) that ranks(n, share) names for each share, in order.
+
+    One pass makes mergeable sketches, which bracket all shares of all groups; a second one
+    counts equal values within the brackets, and of those between only how many there are.
+    So what is sorted of a group is at most 4 / accuracy of its rows for each share, less
+    what is equal; a group of up to 2 accuracy rows is sorted whole.  Nulls and not-a-numbers don't count.
     """
-    rows = df.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if not n:
-        return None
-    place = share * (n - 1)
-    lower = int(place)
-    found = [_order_statistic(rows, k, low, high, n, bins, small) for k in {lower, min(lower + 1, n - 1)}]
-    found.sort()
-    return found[0] + (place - lower) * (found[-1] - found[0])
-
-
-def _order_statistic(rows: DataFrame, k: int, low: float, high: float, n: int, bins: int, small: int) -> float:
-    """The k-th smallest value (from 0), known to be within low and high, which hold n values."""
-    while n > small and low < high:
-        width = (high - low) / bins
-        at = F.least(F.lit(bins - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(width)).cast("int"))
-        inside = rows.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-        counts = inside.groupBy(at.alias("at")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("at").collect()
-        for r in counts:
-            if k < r.c:
-                break
-            k -= r.c
-        low, high, n = r.lo, r.hi, r.c
-    if low == high:
-        return low
-    inside = rows.where((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high)))
-    return inside.orderBy("v").limit(k + 1).agg(F.max("v")).first()[0]
+    rows = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    shares, slack = sorted(shares), 2 / accuracy
+    points = [p for s in shares for p in (max(0.0, s - slack), min(1.0, s + slack))]
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", points, accuracy).alias("_p"))
+    few = F.col("_n") <= 2 * accuracy  # where a step of a sketch is less than two rows
+    spans = [(F.when(few | F.lit(s - slack <= 0), F.col("_low")).otherwise(F.col("_p")[2 * i]), F.when(few | F.lit(s + slack >= 1), F.col("_high")).otherwise(F.col("_p")[2 * i + 1])) for i, s in enumerate(shares)]
+    sketch = stored(sketch.where("_n > 0").select(*keys, "_n", "_low", "_high", F.array(*[a for a, _ in spans]).alias("_from"), F.array(*[b for _, b in spans]).alias("_to")), "sketches")
+    held = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
+    within, after = F.lit(False), F.lit(0)
+    for i in range(len(shares)):
+        within = within | F.col("_v").between(F.col("_from")[i], F.col("_to")[i])
+        after = after + (F.col("_v") > F.col("_to")[i]).cast("int")
+    kinds = held.groupBy(*keys, "_n", "_low", "_high", F.when(within, F.col("_v")).alias("_x"), F.when(~within, after).alias("_gap")).agg(F.min("_v").alias("_at"), F.count("*").alias("_c"))
+    upto = kinds.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at")))
+    asked = [r for s in shares for r in ranks(F.col("_n"), s)]
+    first = [F.min(F.when(F.col("_upto") > r, F.struct("_at", F.col("_gap").isNotNull().alias("gap")))) for r in asked]
+    sure = [F.when(~c["gap"], c["_at"]).otherwise(F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")) for c in first]
+    return upto.groupBy(*keys, "_n", "_low", "_high").agg(F.array(*sure).alias("found")).withColumnsRenamed({"_n": "n", "_low": "low", "_high": "high"})
+
+
+def quantiles(df: DataFrame, keys: list[str], value: Column, shares: dict[str, float], accuracy: int = ACCURACY) -> DataFrame:
+    """keys and a column for each of shares (name to share): the exact, linearly
+    interpolated quantiles of each group's values."""
+    names = sorted(shares, key=shares.get)
+    place = lambda n, s: F.lit(s) * (n - 1)
+    both = lambda n, s: (F.floor(place(n, s)), F.least(F.floor(place(n, s)) + 1, n - 1))
+    found = ranked(df, keys, value, list(shares.values()), both, accuracy)
+
+    def between(i: int, s: float) -> Column:
+        a, b = F.col("found")[2 * i], F.col("found")[2 * i + 1]
+        return a + (place(F.col("n"), s) - F.floor(place(F.col("n"), s))) * (b - a)
+
+    made = {name: between(i, shares[name]) for i, name in enumerate(names)}
+    return found.select(*keys, *[made[name].alias(name) for name in shares])
+
+
+def percentile(df: DataFrame, value: Column, share: float) -> float | None:
+    """The exact, linearly interpolated percentile of the non-null values; None without any."""
+    row = quantiles(df, [], value, {"q": share}).first()
+    return row["q"] if row else None

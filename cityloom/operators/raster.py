@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cityloom.operators.ordered import percentile, running_sum
+from cityloom.operators.ordered import percentile, ranked, running_sum
 from cityloom.sources.lineage import stored
 
 KEY = ["row_i", "col_i"]
@@ -55,7 +57,8 @@ def histogram_percentiles(histogram: DataFrame, percents: list[float], bins: int
     asked = spark.createDataFrame([(float(p),) for p in percents], "pct double")
     total = histogram.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     want = asked.crossJoin(F.broadcast(total)).withColumn("target", F.ceil(F.col("pct") / 100 * F.col("total")))
-    first = want.join(cumulated.select("bin", "up_to"), F.col("up_to") >= F.col("target"), "left").groupBy("pct", "total", "lo", "hi").agg(F.min("bin").alias("bin"))
+    ends = cumulated.agg(F.array_sort(F.collect_list(F.struct("up_to", "bin"))).alias("ends"))  # at most bins
+    first = want.crossJoin(F.broadcast(ends)).withColumn("bin", F.array_min(F.transform(F.filter("ends", lambda e: e["up_to"] >= F.col("target")), lambda e: e["bin"])))
     edge = F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins
     value = F.when(F.col("total") == 0, 0.0).when(F.col("pct") <= 0, F.col("lo")).when(F.col("pct") >= 100, F.col("hi")).otherwise(edge)
     return first.select("pct", value.alias("value"))
@@ -141,11 +144,24 @@ def candidates(cells: DataFrame, score: str, quantile: float = 0.5) -> DataFrame
     return cells.withColumn("threshold", F.lit(limit).cast("double")).where(F.col(score) >= F.col("threshold"))
 
 
+def log_bounds(rasters: DataFrame, by: str, percents: tuple[float, float] = (1.0, 99.5), bins: int = 65_536) -> dict:
+    """For each value of by, the two log percentiles of normalise(), all in two passes: the
+    first bin that reaches a share is the bin of the value of that rank."""
+    v = F.log1p(F.greatest(F.col("value"), F.lit(0.0)))
+    rank = lambda n, s: [F.greatest(F.lit(0), F.least(n, F.ceil(F.lit(s) * n)) - 1)]
+    out = {}
+    for r in ranked(rasters, [by], v, [p / 100 for p in percents], rank).collect():  # one row a raster
+        edges = [r.low if p <= 0 else r.high if p >= 100 or r.high <= r.low else r.low + math.floor((x - r.low) * (bins - 1) / (r.high - r.low)) * (r.high - r.low) / bins for p, x in zip(percents, r.found)]
+        out[r[by]] = tuple(edges)
+    return out
+
+
 def hotspots(a: DataFrame, b: DataFrame, quantile: float = 0.9, window: int = 3) -> DataFrame:
     """The whole path: normalise both, fuse, score, smooth, keep the hottest cells."""
-    a, b = stored(a, "raster-a"), stored(b, "raster-b")  # read for the range, the histogram and the result
-    fused = fuse(normalise(a), normalise(b))
-    scored = fused.select(*KEY, saturation(F.col("value")).alias("score"))
+    both = stored(a.select(*KEY, "value", F.lit("a").alias("_which")).union(b.select(*KEY, "value", F.lit("b"))), "rasters")  # read for the bounds and the result
+    bounds = log_bounds(both, "_which")
+    parts = [both.where(F.col("_which") == k).select(*KEY, normalised(F.col("value"), *map(F.lit, bounds.get(k, (0.0, 0.0)))).alias("value")) for k in "ab"]
+    scored = fuse(*parts).select(*KEY, saturation(F.col("value")).alias("score"))
     return candidates(stored(local_mean(scored, "score", window, "local_score"), "raster-scores"), "local_score", quantile)
 
 

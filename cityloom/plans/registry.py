@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
 from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, routing, scenarios, simulation
-from cityloom.operators.ordered import percentile
+from cityloom.operators.ordered import percentile, quantiles
 from cityloom.plans.fixtures import sql, view
 from cityloom.sources.lineage import stored
 from cityloom.streaming import ticks as streaming
@@ -426,6 +426,20 @@ def road_capacity(spark, d):
     return _rounded(roads.routing_edges(view(spark, d, "edges_raw")).select("edge_key", "base_capacity", "road_penalty", "base_cost"), "base_cost")
 
 
+@query(f"""WITH {_CLASSED} SELECT road_class, quantile_cont(length_m, 0.05) AS p05, quantile_cont(length_m, 0.5) AS median, quantile_cont(length_m, 0.95) AS p95, quantile_cont(length_m, 1.0) AS longest
+  FROM routed GROUP BY road_class""")
+def class_lengths(spark, d):
+    routed = roads.routing_edges(view(spark, d, "edges_raw"))
+    return quantiles(routed, ["road_class"], F.col("length_m"), {"p05": 0.05, "median": 0.5, "p95": 0.95, "longest": 1.0})
+
+
+@query("""SELECT CAST(l_partkey AS BIGINT) AS part, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.75) AS q3 FROM lineitem GROUP BY 1""")
+def price_quartiles(spark, d):
+    """Many groups, of a few rows each."""
+    rows = view(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("part"), "l_extendedprice")
+    return quantiles(rows, ["part"], F.col("l_extendedprice"), {"q1": 0.25, "q3": 0.75})
+
+
 @query(f"WITH {_CLASSED} SELECT u, v, edge_key, road_class, base_capacity, round(base_cost, 6) AS base_cost FROM edges")
 def cheapest_edge(spark, d):
     return _rounded(_edges(spark, d).select("u", "v", "edge_key", "road_class", "base_capacity", "base_cost"), "base_cost")

@@ -161,8 +161,15 @@ def test_percentiles_and_running_sums(spark):
     values = [rng.choice([1.0, 2.5, rng.random() * 100]) for _ in range(700)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k long, v double")
     for p in (0.0, 0.02, 0.5, 0.97, 1.0):
-        assert ordered.percentile(df, F.col("v"), p, bins=8, small=5) == pytest.approx(float(np.quantile(values, p)))
+        assert ordered.percentile(df, F.col("v"), p) == pytest.approx(float(np.quantile(values, p)))
     assert ordered.percentile(df.limit(0), F.col("v"), 0.5) is None
+    shares = {"a": 0.97, "b": 0.0, "c": 0.5, "d": 0.51, "e": 1.0}
+    grouped = df.withColumn("g", F.when(F.col("k") < 650, 0).when(F.col("k") < 699, 1)).union(df.limit(1).select(F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(9)))
+    for accuracy in (20, 50, 10_000):  # sketches that bracket, and groups that are sorted whole
+        got = {r.g: r for r in ordered.quantiles(grouped.where("g IS NOT NULL"), ["g"], F.col("v"), shares, accuracy).collect()}
+        assert set(got) == {0, 1}
+        for g, part in ((0, values[:650]), (1, values[650:699])):
+            assert [got[g][c] for c in shares] == pytest.approx([float(np.quantile(part, s)) for s in shares.values()])
     got = {r.k: r.s for r in ordered.running_sum(df, "k", "v", "s").collect()}
     assert all(got[i] == pytest.approx(x) for i, x in enumerate(np.cumsum(values)))
 
