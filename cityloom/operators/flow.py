@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cityloom.operators.ordered import percentile
 from cityloom.operators.roads import capacity_per_tick, is_major, snapshot_capacity
+from cityloom.operators.temporal import as_of
 from cityloom.sources.lineage import stored
 
 # Share, speed (km/h), attraction power, dwelling ticks (mean, deviation).
@@ -116,14 +117,8 @@ def run_summary(metrics: DataFrame) -> DataFrame:
 
 
 def nearest_tick(asked: DataFrame, ticks: DataFrame) -> DataFrame:
-    """asked (want) with the nearest tick there is, of equals the earlier: neighbours
-    below and above come from one pass over the ordered union."""
-    rows = ticks.select(F.col("tick").alias("at"), F.col("tick")).union(asked.select(F.col("want").alias("at"), F.lit(None).cast("long")).distinct())
-    below = F.last("tick", ignorenulls=True).over(Window.orderBy("at", F.col("tick").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.last("tick", ignorenulls=True).over(Window.orderBy(F.desc("at"), F.col("tick").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_b", below).withColumn("_a", above).where("tick IS NULL")
-    pick = F.when(F.col("_a").isNull() | (F.col("at") - F.col("_b") <= F.col("_a") - F.col("at")), F.col("_b")).otherwise(F.col("_a"))
-    return asked.join(found.select(F.col("at").alias("want"), pick.alias("tick")), "want")
+    """asked (want) with the nearest tick there is, of equals the earlier."""
+    return as_of(asked, "want", ticks.select("tick"), "tick", direction="nearest").where("found IS NOT NULL").select(*asked.columns, F.col("found.tick").alias("tick"))
 
 
 def flow_delta(base: DataFrame, shock: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cityloom.operators.temporal import interval_join
+
 from cityloom.functions.text import list_tokens
 
 # Class, priority (null: never first), capacity, penalty.
@@ -95,8 +97,7 @@ def event_edges(events: DataFrame) -> DataFrame:
 
 def active_factors(events: DataFrame, ticks: DataFrame) -> DataFrame:
     """tick, u, v, factor (product of active drops), closed, for edges with active events."""
-    active = events.where("tick_end > tick_start").withColumn("tick", F.explode(F.sequence("tick_start", F.col("tick_end") - 1)))
-    on = ticks.join(active, "tick")
+    on = interval_join(ticks, "tick", events, "tick_start", "tick_end")
     drop = F.when(F.col("kind") == "capacity_drop", F.coalesce("capacity_factor", F.lit(1.0)))
     return on.groupBy("tick", "u", "v").agg(F.coalesce(F.product(drop), F.lit(1.0)).alias("factor"), F.bool_or(F.col("kind") == "edge_closure").alias("closed"))
 

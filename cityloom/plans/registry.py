@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
-from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, routing, scenarios, simulation
+from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, routing, scenarios, simulation, temporal
 from cityloom.operators.ordered import percentile, quantiles
 from cityloom.plans.fixtures import sql, view
 from cityloom.sources.lineage import stored
@@ -708,6 +708,30 @@ def nearest_tick(spark, d):
     return flow.nearest_tick(spark.range(250).withColumnRenamed("id", "want"), view(spark, d, "edge_history").where("tick % 7 = 0").select("tick").distinct())
 
 
+_SPELLS = """spells AS (SELECT CAST(l_orderkey % 1000 * 10 + l_linenumber AS BIGINT) AS tick_start, CAST(l_orderkey % 1000 * 10 + l_linenumber + CASE l_partkey % 50 WHEN 0 THEN 1000000000 ELSE l_suppkey % 37 END AS BIGINT) AS tick_end,
+  CAST(l_linenumber AS BIGINT) AS n FROM lineitem)"""
+
+
+@query(f"""WITH {_SPELLS}, asked AS (SELECT DISTINCT CAST(o_orderkey % 12000 AS BIGINT) AS tick FROM orders)
+  SELECT tick, count(*) AS spells, CAST(sum(n) AS BIGINT) AS n FROM asked JOIN spells ON tick >= tick_start AND tick < tick_end GROUP BY tick""")
+def active_spells(spark, d):
+    """Intervals of 0 to 10**9 ticks, and the points in them."""
+    lines = view(spark, d, "lineitem")
+    begin = F.col("l_orderkey") % 1000 * 10 + F.col("l_linenumber")
+    spells = lines.select(begin.cast("long").alias("tick_start"), (begin + F.when(F.col("l_partkey") % 50 == 0, 1_000_000_000).otherwise(F.col("l_suppkey") % 37)).cast("long").alias("tick_end"), F.col("l_linenumber").cast("long").alias("n"))
+    asked = view(spark, d, "orders").select((F.col("o_orderkey") % 12000).cast("long").alias("tick")).distinct()
+    return temporal.interval_join(asked, "tick", spells, "tick_start", "tick_end").groupBy("tick").agg(F.count("*").alias("spells"), F.sum("n").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id % 150 AS customer, event_id % 3000 * 8 AS place FROM events), o AS (SELECT o_custkey % 150 AS customer, o_orderkey FROM orders)
+  SELECT event_id, max(o_orderkey) FILTER (o_orderkey <= place) AS last_order, min(o_orderkey) FILTER (o_orderkey >= place) AS next_order FROM e LEFT JOIN o ON o.customer = e.customer GROUP BY event_id""")
+def order_as_of(spark, d):
+    asked = view(spark, d, "events").select("event_id", (F.col("user_id") % 150).cast("long").alias("customer"), (F.col("event_id") % 3000 * 8).cast("long").alias("at"))
+    held = view(spark, d, "orders").select((F.col("o_custkey") % 150).cast("long").alias("customer"), F.col("o_orderkey").cast("long").alias("o_orderkey"))
+    last = temporal.as_of(asked, "at", held, "o_orderkey", ("customer",)).select("event_id", "customer", "at", F.col("found.o_orderkey").alias("last_order"))
+    return temporal.as_of(last, "at", held, "o_orderkey", ("customer",), "forward").select("event_id", "last_order", F.col("found.o_orderkey").alias("next_order"))
+
+
 @query(f"""WITH {_CLASSED}, {_USED}, p AS (SELECT b.tick, abs(max(b.utilization) - max(s.utilization)) AS gap FROM used b JOIN shocked s ON b.tick = s.tick GROUP BY b.tick),
   worst AS (SELECT arg_min(tick, (-gap, tick)) AS tick FROM p),
   m AS (SELECT coalesce(b.tick, s.tick) AS tick, coalesce(s.utilization, 0) - coalesce(b.utilization, 0) AS delta FROM used b FULL JOIN shocked s ON b.tick = s.tick AND b.u = s.u AND b.v = s.v)
