@@ -129,6 +129,16 @@ def decimate(spark, d):
     return raster.decimate(view(spark, d, "grid_a"), 4)
 
 
+@query("""WITH image AS (SELECT value, row_i * 0.61 + 0.5 AS y0, (row_i + 1) * 0.61 + 0.5 AS y1, col_i * 0.37 - 2.25 AS x0, (col_i + 1) * 0.37 - 2.25 AS x1 FROM grid_a),
+  t AS (SELECT CAST(r.range AS BIGINT) AS row_i, CAST(c.range AS BIGINT) AS col_i FROM range(30) r, range(18) c),
+  o AS (SELECT t.row_i, t.col_i, value * (least(y1, t.row_i + 1) - greatest(y0, t.row_i)) * (least(x1, t.col_i + 1) - greatest(x0, t.col_i)) / (0.61 * 0.37) AS part
+    FROM image JOIN t ON y0 < t.row_i + 1 AND y1 > t.row_i AND x0 < t.col_i + 1 AND x1 > t.col_i)
+  SELECT row_i, col_i, round(sum(part), 6) AS value FROM o GROUP BY row_i, col_i HAVING sum(part) > 1e-9""")
+def warp_exact(spark, d):
+    place = lambda r, c: (r * 0.61 + 0.5, c * 0.37 - 2.25)
+    return _rounded(raster.warp_exact(view(spark, d, "grid_a"), place, 30, 18).where("value > 1e-9"), "value")
+
+
 @query("""SELECT CAST(floor((row_i + 0.5) * 0.3) AS BIGINT) AS row_i, CAST(floor((col_i + 0.5) * 0.3) AS BIGINT) AS col_i, sum(value) AS value FROM grid_a
   WHERE floor((row_i + 0.5) * 0.3) < 18 AND floor((col_i + 0.5) * 0.3) < 18 GROUP BY 1, 2""")
 def warp_sum(spark, d):
