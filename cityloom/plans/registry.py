@@ -13,6 +13,7 @@ from cityloom.operators import basemap, demand, flow, forecast, graph, raster, r
 from cityloom.operators.ordered import percentile, quantiles
 from cityloom.plans.fixtures import sql, view
 from cityloom.sources.lineage import stored
+from cityloom.streaming import sessions
 from cityloom.streaming import ticks as streaming
 
 QUERIES: dict = {}
@@ -960,4 +961,18 @@ def clean_text(spark, d):
 
 @query("""SELECT CAST(floor(epoch(ts) / 360) AS BIGINT) AS tick, CAST(user_id % 5 AS BIGINT) AS u, count(*) AS load FROM events GROUP BY 1, 2""")
 def streaming_ticks(spark, d):
-    return streaming.replayed_ticks(spark, f"{d.rstrip('/')}/events.parquet")
+    return streaming.replayed_ticks(spark, f"{d.rstrip('/')}/events.parquet", (F.col("user_id") % 5).cast("long"))
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+  SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, CAST(floor(epoch(max(ts))) AS BIGINT) AS ended, count(*) AS events, round(sum(value), 3) AS total FROM s GROUP BY user_id, n""")
+def streaming_sessions(spark, d):
+    found = sessions.replayed(spark, f"{d.rstrip('/')}/events.parquet", lambda e: sessions.dwell_sessions(e, ["user_id"], "6 hours", "value"))
+    return found.select("user_id", F.unix_timestamp("started").alias("started"), F.unix_timestamp("ended").alias("ended"), "events", F.round("total", 3).alias("total"))
+
+
+@query("""SELECT CAST(floor(epoch(ts) / 600) - k AS BIGINT) AS tick, event_type, count(*) AS load FROM events, (VALUES (0), (1), (2)) AS v(k) GROUP BY 1, 2""")
+def streaming_sliding_loads(spark, d):
+    found = sessions.replayed(spark, f"{d.rstrip('/')}/events.parquet", lambda e: sessions.sliding_loads(e, ["event_type"]))
+    return found.select(F.floor(F.unix_timestamp("started") / 600).cast("long").alias("tick"), "event_type", "load")
