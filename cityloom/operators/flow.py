@@ -116,6 +116,56 @@ def run_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def agent_metrics(trips: DataFrame, used: DataFrame, n_ticks: int, start: float = 6.0, tick_minutes: float = 6.0) -> DataFrame:
+    """The thirteen metrics of each tick from 0 on, from trips and edge loads alone.
+
+    trips: agent_id, depart_tick, arrive_tick (null: no way was found), distance_m.  An
+    agent travels from its departure until its arrival and dwells from there until it next
+    leaves; both are counted by changes at ticks, summed up over the ticks, so a trip is a
+    few rows whatever it lasts.  Times are in ticks, means over all completed trips and
+    over all agents so far; null before the first.
+    """
+    done = trips.where("arrive_tick IS NOT NULL")
+    along = Window.partitionBy("agent_id").orderBy("depart_tick", "arrive_tick")
+    next_leave = F.lead("depart_tick").over(along)
+    stays = done.select("arrive_tick", F.when(next_leave > F.col("arrive_tick"), next_leave).when(next_leave.isNull(), F.lit(None)).otherwise(F.col("arrive_tick")).alias("until"))
+    nothing = {c: F.lit(0).cast("long") for c in ("travel", "dwell", "arrivals", "spent", "queries", "failures")} | {"metres": F.lit(0.0)}
+
+    def change(rows: DataFrame, tick: str, **values: Column) -> DataFrame:
+        given = nothing | values
+        return rows.where(F.col(tick).isNotNull()).select(F.greatest(F.col(tick).cast("long"), F.lit(0)).alias("tick"), *[given[c].cast("double" if c == "metres" else "long").alias(c) for c in nothing])
+
+    one = F.lit(1)
+    changes = (
+        change(trips, "depart_tick", queries=one, failures=F.col("arrive_tick").isNull().cast("long"), travel=F.col("arrive_tick").isNotNull().cast("long"))
+        .union(change(done, "arrive_tick", travel=-one, arrivals=one, spent=F.col("arrive_tick") - F.col("depart_tick"), metres=F.col("distance_m")))
+        .union(change(stays, "arrive_tick", dwell=one)).union(change(stays, "until", dwell=-one))
+    )
+    by_tick = changes.groupBy("tick").agg(*[F.sum(c).alias(c) for c in nothing])
+    loads = used.groupBy("tick").agg(F.max("utilization").alias("max_utilization"), F.avg("utilization").alias("mean_utilization"), F.count_if(F.col("utilization") > 1).alias("overloaded_edges"))
+    agents = trips.agg(F.count_distinct("agent_id").alias("agents"))
+    every = trips.sparkSession.range(n_ticks).withColumnRenamed("id", "tick").join(by_tick, "tick", "left").join(loads, "tick", "left").crossJoin(F.broadcast(agents))
+    to_date = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)  # a row a tick
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(to_date)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    hour = hour_at(F.col("tick"), start, tick_minutes)
+    return every.select(
+        "tick", hour.alias("hour"), activity(hour).alias("diurnal_lambda"), total("travel").alias("active_travelers"), total("dwell").alias("dwellers"), total("arrivals").alias("completed_trips"),
+        zero("queries").alias("route_queries"), zero("failures").alias("route_failures"), F.try_divide(total("spent"), total("arrivals")).alias("mean_trip_time"), F.try_divide(total("metres"), F.col("agents")).alias("mean_distance_m"),
+        F.coalesce("max_utilization", F.lit(0.0)).alias("max_utilization"), F.coalesce("mean_utilization", F.lit(0.0)).alias("mean_utilization"), zero("overloaded_edges"),
+    )
+
+
+def agent_summary(metrics: DataFrame, scenario: str) -> DataFrame:
+    """The ten fields of a run, from its agent_metrics(): one row."""
+    last = lambda c, name: F.max_by(c, "tick").alias(name)
+    return metrics.agg(
+        F.lit(scenario).alias("scenario"), F.max("tick").alias("ticks"), last("active_travelers", "final_active_travelers"), last("dwellers", "final_dwellers"), last("completed_trips", "completed_trips"),
+        F.round(F.max_by("mean_trip_time", "tick"), 2).alias("mean_trip_time_ticks"), F.round(F.max("max_utilization"), 3).alias("peak_max_utilization"), F.max("overloaded_edges").alias("peak_overloaded_edges"),
+        F.sum("route_queries").alias("route_queries_total"), F.sum("route_failures").alias("route_failures_total"),
+    )
+
+
 def nearest_tick(asked: DataFrame, ticks: DataFrame) -> DataFrame:
     """asked (want) with the nearest tick there is, of equals the earlier."""
     return as_of(asked, "want", ticks.select("tick"), "tick", direction="nearest").where("found IS NOT NULL").select(*asked.columns, F.col("found.tick").alias("tick"))

@@ -697,6 +697,38 @@ def run_summary(spark, d):
     return flow.run_summary(_metrics(spark, d))
 
 
+_AGENTS = f"""{_CLASSED}, {_USED}, walked AS (SELECT trip_id, min(depart_tick) AS depart_tick, min(depart_tick) + CAST(ceil(sum(length_m) / min({_SPEED})) AS BIGINT) AS at_tick, sum(length_m) AS distance_m FROM routes GROUP BY trip_id),
+  went AS (SELECT t.agent_id, w.depart_tick, CASE WHEN w.trip_id % 17 <> 0 THEN at_tick END AS arrive_tick, distance_m FROM walked w JOIN trips t ON t.trip_id = w.trip_id),
+  stays AS (SELECT arrive_tick, lead(depart_tick) OVER (PARTITION BY agent_id ORDER BY depart_tick, arrive_tick) AS leaves FROM went WHERE arrive_tick IS NOT NULL),
+  t AS (SELECT CAST(range AS BIGINT) AS tick, (6.0 + range * 6 / 60.0) % 24 AS hour FROM range(260)),
+  moving AS (SELECT tick, count(*) FILTER (depart_tick <= tick AND arrive_tick > tick) AS active, count(*) FILTER (arrive_tick <= tick) AS done, sum(arrive_tick - depart_tick) FILTER (arrive_tick <= tick) AS spent,
+    sum(distance_m) FILTER (arrive_tick <= tick) AS metres, count(*) FILTER (depart_tick = tick) AS asked, count(*) FILTER (depart_tick = tick AND arrive_tick IS NULL) AS failed, count(DISTINCT agent_id) AS agents FROM t, went GROUP BY tick),
+  staying AS (SELECT tick, count(*) FILTER (arrive_tick <= tick AND (leaves IS NULL OR leaves > tick)) AS dwell FROM t, stays GROUP BY tick),
+  burden AS (SELECT tick, max(utilization) AS mx, avg(utilization) AS mn, count(*) FILTER (utilization > 1) AS over FROM used GROUP BY tick),
+  agent AS (SELECT t.tick, hour, active, dwell, done, asked, failed, spent * 1.0 / nullif(done, 0) AS trip_time, coalesce(metres, 0) / agents AS metres, coalesce(mx, 0) AS mx, coalesce(mn, 0) AS mn, coalesce(over, 0) AS over
+    FROM t JOIN moving m ON m.tick = t.tick JOIN staying s ON s.tick = t.tick LEFT JOIN burden b ON b.tick = t.tick)"""
+
+
+def _agent_metrics(spark, d):
+    m = flow.metres_per_tick(F.col("profile_name"))
+    walked = view(spark, d, "routes").groupBy("trip_id").agg(F.min("depart_tick").alias("depart_tick"), F.sum("length_m").alias("distance_m"), F.min(m).alias("m"))
+    at = F.col("depart_tick") + F.ceil(F.col("distance_m") / F.col("m")).cast("long")
+    went = walked.join(view(spark, d, "trips").select("trip_id", "agent_id"), "trip_id").select("agent_id", "depart_tick", F.when(F.col("trip_id") % 17 != 0, at).alias("arrive_tick"), "distance_m")
+    return flow.agent_metrics(went, flow.utilisation(view(spark, d, "edge_history"), _edges(spark, d)), 260)
+
+
+@query(f"""WITH {_AGENTS} SELECT tick, round(CAST(hour AS DOUBLE), 6) AS hour, round(CAST({_LAMBDA} AS DOUBLE), 6) AS diurnal_lambda, active AS active_travelers, dwell AS dwellers, done AS completed_trips, asked AS route_queries, failed AS route_failures,
+  round(trip_time, 6) AS mean_trip_time, round(metres, 6) AS mean_distance_m, round(mx, 6) AS max_utilization, round(mn, 6) AS mean_utilization, over AS overloaded_edges FROM agent""")
+def agent_metrics(spark, d):
+    return _rounded(_agent_metrics(spark, d), "hour", "diurnal_lambda", "mean_trip_time", "mean_distance_m", "max_utilization", "mean_utilization")
+
+
+@query(f"""WITH {_AGENTS} SELECT 'trips' AS scenario, max(tick) AS ticks, arg_max(active, tick) AS final_active_travelers, arg_max(dwell, tick) AS final_dwellers, arg_max(done, tick) AS completed_trips, round(arg_max(trip_time, tick), 2) AS mean_trip_time_ticks,
+  round(max(mx), 3) AS peak_max_utilization, max(over) AS peak_overloaded_edges, CAST(sum(asked) AS BIGINT) AS route_queries_total, CAST(sum(failed) AS BIGINT) AS route_failures_total FROM agent""")
+def agent_summary(spark, d):
+    return flow.agent_summary(_agent_metrics(spark, d), "trips")
+
+
 @query(f"WITH t AS (SELECT range AS tick, (6.0 + range * 6 / 60.0) % 24 AS hour FROM range(300)) SELECT tick, round(CAST(hour AS DOUBLE), 6) AS hour, round(CAST({_LAMBDA} AS DOUBLE), 6) AS activity FROM t")
 def diurnal_curve(spark, d):
     t = spark.range(300).select(F.col("id").alias("tick"), flow.hour_at(F.col("id")).alias("hour"))
