@@ -42,12 +42,12 @@ VIEWS: dict[str, str] = {
     "one_way_streets": """SELECT u, v, CAST(floor(floor(u / w) / 10) * w + floor((u % w) / 10) AS BIGINT) AS block FROM streets
         WHERE (u * 13 + v * 29) % 4 <> 0 AND (u < v OR (floor(floor(u / w) / 10) = floor(floor(v / w) / 10) AND floor((u % w) / 10) = floor((v % w) / 10)))""",
     "edges_raw": """SELECT CAST(l_suppkey % 100 AS BIGINT) AS u, CAST(l_partkey % 100 AS BIGINT) AS v,
-        CAST(l_orderkey AS BIGINT) AS edge_key,
+        CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS edge_key,
         CAST(100 + (l_partkey * 31 + l_suppkey * 17 + l_orderkey * 7) % 900 AS DOUBLE) AS length_m,
         CASE l_orderkey % 7 WHEN 0 THEN 'Motorway' WHEN 1 THEN '[''primary'', ''Trunk'']'
              WHEN 2 THEN ' secondary_link ' WHEN 3 THEN 'RESIDENTIAL' WHEN 4 THEN 'Busway; trunk' WHEN 5 THEN 'NaN' ELSE NULL END AS highway,
         CASE l_orderkey % 4 WHEN 0 THEN '2' WHEN 1 THEN '[''2'', ''3'']' WHEN 2 THEN '1;4' ELSE NULL END AS lanes
-        FROM lineitem WHERE l_linenumber = 1 AND l_suppkey % 100 <> l_partkey % 100""",
+        FROM lineitem WHERE l_suppkey % 100 <> l_partkey % 100""",
     "trips": """SELECT CAST(event_id AS BIGINT) AS trip_id, CAST(user_id AS BIGINT) AS agent_id,
         CAST(floor((hour(ts) * 60 + minute(ts)) / 6) AS BIGINT) AS depart_tick,
         CAST(user_id % 100 AS BIGINT) AS origin, CAST((event_id * 13 + 7) % 100 AS BIGINT) AS destination,

@@ -890,6 +890,12 @@ def forecast_regression(spark, d):
     return _rounded(forecast.regression(_frames(spark, d)), "predicted")
 
 
+@query()
+def forecast_halo(spark, d):
+    frames = _frames(spark, d).select("frame", F.floor(F.col("cell") / 6).alias("row_i"), (F.col("cell") % 6).alias("col_i"), "value")
+    return _rounded(forecast.halo_regression(frames, 6, 6), "predicted")
+
+
 @query()
 def forecast_recurrent(spark, d):
     made = recurrent.windows(_frames(spark, d), 6, 6, 12, 3)
