@@ -22,7 +22,7 @@ def _parser() -> argparse.ArgumentParser:
     h.add_argument("--clusters", type=int, default=1000), h.add_argument("--quantile", type=float, default=0.5), h.add_argument("--window", type=int, default=3), h.add_argument("--seed", type=int, default=42)
     n = sub.add_parser("network", help="snap clusters to nodes and sum their demand")
     n.add_argument("clusters"), n.add_argument("nodes"), n.add_argument("out")
-    n.add_argument("--cell", type=float, default=250.0), n.add_argument("--top-k", type=int, default=150)
+    n.add_argument("--top-k", type=int, default=150)
     s = sub.add_parser("simulate", help="run agents on raw edges towards attractors; writes loads, metrics, summary and positions")
     s.add_argument("edges"), s.add_argument("demand", help="node_id, sum_weight: origins, whose top nodes attract"), s.add_argument("out")
     s.add_argument("--scenario", default="baseline", choices=["baseline", "capacity_drop", "edge_closure", "hotspot_surge"])
@@ -71,7 +71,7 @@ def main(args: list[str] | None = None) -> None:
         k = min(a.clusters, weighted.count())
         demand.cluster_summary(demand.kmeans(weighted, ["col_i", "row_i", "score", "local_score"], k, "w", a.seed)).write.mode("overwrite").parquet(a.out)
     elif a.command == "network":
-        snapped = demand.snap_nearest(read(a.clusters), read(a.nodes), a.cell)
+        snapped = demand.snap_nearest(read(a.clusters), read(a.nodes))
         demand.attractors(demand.node_demand(snapped), a.top_k).write.mode("overwrite").parquet(a.out)
     elif a.command == "simulate":
         edges = stored(roads.cheapest_edges(roads.routing_edges(read(a.edges))), "edges")

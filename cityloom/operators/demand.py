@@ -7,6 +7,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cityloom.operators.nearest import nearest_nodes
 from cityloom.operators.ordered import percentile, running_sum
 from cityloom.sources.lineage import stored
 
@@ -35,36 +36,14 @@ def cluster_summary(cells: DataFrame) -> DataFrame:
     ).orderBy(F.desc("mean_local_score"), F.desc("pixel_count"), "cluster_id")
 
 
-def snap_nearest(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+def snap_nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points (cluster_id, x, y, ...) with node_id, node_x, node_y, snap_distance_m of the
-    nearest node (of equals, the smallest id).
-
-    Nodes are looked up by grid cell.  A point is done once its best distance is within
-    the ring searched; the others go on with cells twice as wide, from the stored rest.
-    Cells grow no wider than the box around all points and nodes.
-    """
+    nearest node (of equals, the smallest id)."""
     points = stored(points.withColumn("_point", F.monotonically_increasing_id()), "snap-points")
-    nodes = stored(nodes.select("node_id", F.col("x").alias("node_x"), F.col("y").alias("node_y")), "snap-nodes")
+    nodes = stored(nodes.select("node_id", F.col("x").cast("double").alias("node_x"), F.col("y").cast("double").alias("node_y")), "snap-nodes")
     if not nodes.limit(1).count():
         raise ValueError("there are no nodes to snap to")
-    both = points.select("x", "y").union(nodes.select("node_x", "node_y"))
-    box = both.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    widest = max(cell, box[0] or 0.0, box[1] or 0.0)
-    left, done = points.select("_point", "x", "y"), None
-    while True:
-        near = F.sequence(F.lit(-1), F.lit(1))
-        asked = left.withColumn("_dr", F.explode(near)).withColumn("_dc", F.explode(near))
-        asked = asked.select("_point", "x", "y", (F.floor(F.col("y") / cell) + F.col("_dr")).alias("_r"), (F.floor(F.col("x") / cell) + F.col("_dc")).alias("_c"))
-        held = nodes.select("*", F.floor(F.col("node_y") / cell).alias("_r"), F.floor(F.col("node_x") / cell).alias("_c"))
-        far = F.sqrt(F.pow(F.col("x") - F.col("node_x"), F.lit(2)) + F.pow(F.col("y") - F.col("node_y"), F.lit(2)))
-        best = asked.join(held, ["_r", "_c"]).withColumn("d", far).groupBy("_point").agg(F.min_by(F.struct("node_id", "node_x", "node_y", F.col("d").alias("snap_distance_m")), F.struct("d", "node_id")).alias("b"))
-        best = stored(best.select("_point", "b.*"), "snap-best")
-        sure = best.where(F.col("snap_distance_m") <= cell) if cell < widest else best
-        done = sure if done is None else done.union(sure)
-        left = stored(left.join(sure.select("_point"), "_point", "left_anti"), "snap-left")
-        if cell >= widest or not left.limit(1).count():
-            return points.join(done, "_point").drop("_point")
-        cell = min(2 * cell, widest)
+    return points.join(nearest_nodes(points, nodes), "_point").drop("_point")
 
 
 def node_demand(snapped: DataFrame, scores: tuple[str, ...] = ("weight",)) -> DataFrame:

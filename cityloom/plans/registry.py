@@ -319,7 +319,7 @@ _DEMAND = _SNAPPED + ", dem AS (SELECT node_id, count(*) AS hotspot_count, CAST(
 
 
 def _snapped(spark, d):
-    return demand.snap_nearest(view(spark, d, "centres"), view(spark, d, "nodes"), 800.0)
+    return demand.snap_nearest(view(spark, d, "centres"), view(spark, d, "nodes"))
 
 
 def _demand(spark, d):

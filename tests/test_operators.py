@@ -91,7 +91,7 @@ def test_components_and_paths(spark):
 def test_snap_widens_until_sure(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 1, 1.0), (2, 90.0, 0.0, 1, 1.0)], "cluster_id long, x double, y double, pixel_count long, weight double")
     nodes = spark.createDataFrame([(5, 100.0, 0.0), (4, 80.0, 0.0)], "node_id long, x double, y double")
-    assert {(r.cluster_id, r.node_id, r.snap_distance_m) for r in demand.snap_nearest(points, nodes, 3.0).collect()} == {(1, 4, 80.0), (2, 4, 10.0)}
+    assert {(r.cluster_id, r.node_id, r.snap_distance_m) for r in demand.snap_nearest(points, nodes).collect()} == {(1, 4, 80.0), (2, 4, 10.0)}
 
 
 def test_trip_expansion_equals_stepping(spark):
@@ -187,7 +187,7 @@ def test_missing_nodes_are_an_error(spark):
     with pytest.raises(KeyError):
         demand.with_node_attributes(spark.createDataFrame([(1,), (2,)], "node_id long"), nodes)
     with pytest.raises(ValueError):
-        demand.snap_nearest(spark.createDataFrame([(1, 0.0, 0.0)], "cluster_id long, x double, y double"), nodes.limit(0), 5.0)
+        demand.snap_nearest(spark.createDataFrame([(1, 0.0, 0.0)], "cluster_id long, x double, y double"), nodes.limit(0))
 
 
 def test_masked_scan_checks_its_grids(spark):
