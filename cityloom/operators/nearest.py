@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cityloom.sources.lineage import stored
 
-LEAF, FAN = 256, 64
+LEAF, FAN = 32, 64
 
 
 def _curve(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
@@ -69,7 +69,7 @@ def _boxes(index: DataFrame, child: str, parent: str | None) -> DataFrame:
 def _to_box(b: Column) -> Column:
     dx = F.greatest(b["x0"] - F.col("x"), F.lit(0.0), F.col("x") - b["x1"])
     dy = F.greatest(b["y0"] - F.col("y"), F.lit(0.0), F.col("y") - b["y1"])
-    return F.sqrt(F.pow(dx, F.lit(2)) + F.pow(dy, F.lit(2)))
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
@@ -82,7 +82,8 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, leaf: int = LEAF, fan: in
     branches, leaves, held = (stored(t, "nearest-level") for t in (branches, leaves, held))
 
     def far(n: Column) -> Column:
-        return F.sqrt(F.pow(F.col("x") - n["node_x"], F.lit(2)) + F.pow(F.col("y") - n["node_y"], F.lit(2)))
+        dx, dy = F.col("x") - n["node_x"], F.col("y") - n["node_y"]
+        return F.sqrt(dx * dx + dy * dy)
 
     best = F.array_min(F.transform("below", lambda n: F.struct(far(n).alias("d"), n["node_id"].alias("node_id"), n["node_x"].alias("node_x"), n["node_y"].alias("node_y"))))
     closest = F.array_min(F.transform("below", lambda b: F.struct(_to_box(b).alias("d"), b["id"].alias("id"))))["id"]

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.operators.temporal import interval_join
-
 from cityloom.functions.text import list_tokens
+from cityloom.operators.temporal import interval_join
 
 # Class, priority (null: never first), capacity, penalty.
 CLASSES = [
@@ -51,10 +50,16 @@ def lane_count(lanes: Column) -> Column:
 
 
 def routing_edges(raw: DataFrame) -> DataFrame:
-    """Class, lanes, capacity and cost of each raw edge; unknown classes cost as other."""
+    """Class, lanes, capacity and cost of each raw edge; unknown classes cost as other.
+
+    Highway and lane values are few whatever the number of edges, so each pair of them is
+    taken apart once and joined back.
+    """
     dims = F.broadcast(class_table(raw.sparkSession).drop("priority"))
     other = next(c for c in CLASSES if c[0] == "other")
-    classed = raw.withColumn("road_class", road_class(F.col("highway"))).withColumn("lane_count", lane_count(F.col("lanes")))
+    kinds = raw.groupBy(F.col("highway").alias("_h"), F.col("lanes").alias("_l")).agg(F.count("*"))
+    kinds = kinds.select("_h", "_l", road_class(F.col("_h")).alias("road_class"), lane_count(F.col("_l")).alias("lane_count"))
+    classed = raw.join(kinds, F.col("highway").eqNullSafe(F.col("_h")) & F.col("lanes").eqNullSafe(F.col("_l")))
     length = F.greatest(F.coalesce(F.nullif("length_m", F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
     return classed.join(dims, "road_class", "left").select(
         "u", "v", "edge_key", length.alias("length_m"), "road_class", "lane_count",
