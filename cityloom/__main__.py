@@ -45,13 +45,19 @@ def _parser() -> argparse.ArgumentParser:
     v.add_argument("raster"), v.add_argument("out"), v.add_argument("--scale", type=int, default=1)
     i = sub.add_parser("inspect", help="statistics of a raster")
     i.add_argument("raster")
+    ir = sub.add_parser("inspect-roi", help="match requested cities (requested_name) with polygons")
+    ir.add_argument("asked"), ir.add_argument("polygons"), ir.add_argument("--transform", type=float, nargs=6, default=(1.0, 0.0, 0.0, 0.0, -1.0, 0.0))
+    inn = sub.add_parser("inspect-network", help="candidates and clusters that two rasters would give")
+    inn.add_argument("raster_a"), inn.add_argument("raster_b"), inn.add_argument("--clusters", type=int, default=1000), inn.add_argument("--quantile", type=float, default=0.5), inn.add_argument("--window", type=int, default=3)
+    io = sub.add_parser("inspect-overlay", help="what a city's output folder holds")
+    io.add_argument("folder")
     return p
 
 
 def main(args: list[str] | None = None) -> None:
     from pyspark.sql import functions as F
 
-    from cityloom.operators import demand, flow, forecast, graph, raster, recurrent, report, roads, scenarios, simulation
+    from cityloom.operators import demand, flow, forecast, graph, inspect, raster, recurrent, report, roads, scenarios, simulation
     from cityloom.operators.ordered import percentile
     from cityloom.sources import outputs
     from cityloom.sources.lineage import stored
@@ -61,6 +67,12 @@ def main(args: list[str] | None = None) -> None:
     read = spark.read.parquet
     if a.command == "inspect":
         raster.stats(read(a.raster)).show()
+    elif a.command == "inspect-roi":
+        inspect.requested_regions(read(a.asked), read(a.polygons), tuple(a.transform)).show(1000, truncate=False)
+    elif a.command == "inspect-network":
+        inspect.hotspot_input(read(a.raster_a), read(a.raster_b), a.clusters, a.quantile, a.window).show()
+    elif a.command == "inspect-overlay":
+        inspect.overlay_products(spark, a.folder).show(truncate=False)
     elif a.command == "baseline":
         parts = [raster.normalise(read(x), a.low, a.high, a.bins) for x in (a.raster_a, a.raster_b)]
         raster.fuse(*parts, a.weight_a, a.weight_b).write.mode("overwrite").parquet(a.out)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, text
-from cityloom.operators import basemap, demand, flow, forecast, graph, raster, recurrent, regions, report, roads, routing, scenarios, simulation, temporal
+from cityloom.operators import basemap, demand, flow, forecast, graph, inspect, raster, recurrent, regions, report, roads, routing, scenarios, simulation, temporal
 from cityloom.operators.ordered import percentile, quantiles
 from cityloom.plans.fixtures import sql, view
 from cityloom.sources.lineage import stored
@@ -228,6 +228,17 @@ def _polygons(spark, d):
     return regions.polygons_of(view(spark, d, "roi_vertices"))
 
 
+@query(f"""WITH {_IN_CITY}, asked AS (SELECT DISTINCT city_name AS requested_name FROM roi WHERE city_id % 2 = 0 UNION ALL SELECT 'NOWHERE'),
+  n AS (SELECT city_name, min(city_id) AS city_id FROM roi_vertices GROUP BY city_name),
+  b AS (SELECT city_id, min(ax) AS minx, min(ay) AS miny, max(ax) AS maxx, max(ay) AS maxy, abs(sum(ax * cy - cx * ay)) / 2 / 1e6 AS km2 FROM sides GROUP BY city_id), k AS (SELECT city_id, count(*) FILTER (inside) AS cells FROM covered GROUP BY city_id)
+  SELECT requested_name, CASE WHEN n.city_id IS NULL THEN 'unresolved' ELSE 'matched' END AS status, n.city_id, round(minx, 6) AS minx, round(miny, 6) AS miny, round(maxx, 6) AS maxx, round(maxy, 6) AS maxy, round(km2, 9) AS ring_km2, cells
+  FROM asked LEFT JOIN n ON n.city_name = requested_name LEFT JOIN b ON b.city_id = n.city_id LEFT JOIN k ON k.city_id = n.city_id""")
+def inspect_regions(spark, d):
+    asked = view(spark, d, "roi").where("city_id % 2 = 0").select(F.col("city_name").alias("requested_name")).distinct().union(spark.range(1).select(F.lit("NOWHERE")))
+    found = inspect.requested_regions(asked, _polygons(spark, d), _UNIT)
+    return _rounded(_rounded(found, "minx", "miny", "maxx", "maxy"), "ring_km2", digits=9)
+
+
 _IN_RINGS = """ring_sides AS (SELECT a.city_id, a.city_name, a.x AS ax, a.y AS ay, b.x AS cx, b.y AS cy FROM roi_rings a JOIN roi_rings b ON b.city_id = a.city_id AND b.ring = a.ring AND b.seq = (a.seq + 1) % a.sides),
   spots AS (SELECT r.range AS row_i, c.range AS col_i, c.range + 0.5 AS x, r.range + 0.5 AS y FROM range(-20, 100) r, range(-20, 100) c),
   held AS (SELECT city_id, city_name, row_i, col_i FROM spots, ring_sides GROUP BY ALL HAVING count(*) FILTER ((ay > y) <> (cy > y) AND x < (cx - ax) * (y - ay) / nullif(cy - ay, 0) + ax) % 2 = 1)"""
