@@ -211,8 +211,9 @@ def rated(
     total: tokens in all of the mix; None keeps as many as there are, a negative one
     the fewest with which no domain loses tokens.  Where rates can't meet these targets
     (posteriors overlap and rates have a lower bound), a negative total is raised by
-    tenths, up to twice the fewest.  Targets missed by more than tolerance of the total
-    give a warning; the report has them in any case.  Texts are read again for the
+    tenths, up to twice the fewest, until they miss by at most tolerance of the total.  A
+    domain that still misses its own target by more than tolerance of it is named in a
+    warning and in the report (missed), which has all totals in any case.  Texts are read again for the
     result only where it keeps them.
     """
     work = Workspace(documents.sparkSession)
@@ -237,9 +238,10 @@ def rated(
             if not missed():
                 break
             rate, target, now = fit_rates(facts, (fewest * tenths / 10).tolist(), share, least)
-    if missed():
-        warnings.warn(f"rates don't meet the mix: wanted {target.tolist()}, fitted {now.tolist()} tokens of {model.domains}", stacklevel=2)
-    report = {"target": dict(zip(model.domains, target.tolist())), "fitted": dict(zip(model.domains, now.tolist()))}
+    off = [d for d, wanted, n in zip(model.domains, target, now) if abs(n - wanted) > tolerance * max(1.0, wanted)]
+    if off:
+        warnings.warn(f"rates don't meet the mix in {off}: wanted {target.tolist()}, fitted {now.tolist()} tokens of {model.domains}", stacklevel=2)
+    report = {"target": dict(zip(model.domains, target.tolist())), "fitted": dict(zip(model.domains, now.tolist())), "missed": off}
     out = with_posteriors(documents, shared) if keep_text else facts
     if keep_text:
         work.drop(facts)
