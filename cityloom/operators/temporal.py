@@ -51,27 +51,33 @@ def as_of(left: DataFrame, at: str, right: DataFrame, time: str, by: tuple[str,
     given = right.where(F.col(time).isNotNull())
     everything = (lambda df: df) if by else (lambda df: df.withColumn("_all", F.lit(0)))
     asked = everything(left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), lefts.alias("_l"), F.lit(None).cast(kinds[1]).alias("_r")))
-    there = [everything(given.select(*keys, F.col(time).alias("_t"), F.lit(side).alias("_side"), F.lit(None).cast(kinds[0]).alias("_l"), rights.alias("_r"))) for side in (0, 2)]
-    rows = asked.unionByName(there[0]).unionByName(there[1]).withColumn("_h", F.xxhash64("_l", "_r"))
+    sides = {"backward": (0,), "forward": (2,), "nearest": (0, 2)}[direction]
+    rows = asked
+    for side in sides:
+        rows = rows.unionByName(everything(given.select(*keys, F.col(time).alias("_t"), F.lit(side).alias("_side"), F.lit(None).cast(kinds[0]).alias("_l"), rights.alias("_r"))))
+    rows = rows.withColumn("_h", F.xxhash64("_l", "_r"))
     order = ["_t", "_side", "_h"]
     dealt = stored(rows.repartitionByRange(*names, *order).withColumn("_range", F.spark_partition_id()), "as-of")
-    early, late = (F.when(F.col("_side") == side, F.col("_r")) for side in (0, 2))
-    own = Window.partitionBy("_range", *names)
-    below = F.last(early, ignorenulls=True).over(own.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first(late, ignorenulls=True).over(own.orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-    place = F.struct(*order)
-    ends = dealt.groupBy(*names, "_range").agg(F.max_by(early, F.when(F.col("_side") == 0, place)).alias("_last"), F.min_by(late, F.when(F.col("_side") == 2, place)).alias("_first"))
-    along = Window.partitionBy(*names).orderBy("_range")
-    carried = ends.select(
+    own, along = Window.partitionBy("_range", *names), Window.partitionBy(*names)
+    # Both ways look back, the later one along the reversed order: a frame that runs to the
+    # end of its rows would be gone through anew for each row.
+    ways = {0: (own.orderBy(*order), along.orderBy("_range"), F.max_by), 2: (own.orderBy(*map(F.desc, order)), along.orderBy(F.desc("_range")), F.min_by)}
+    found, ends, place = dealt, [], F.struct(*order)
+    for side in sides:
+        row = F.when(F.col("_side") == side, F.col("_r"))
+        found = found.withColumn(f"_in{side}", F.last(row, ignorenulls=True).over(ways[side][0].rowsBetween(Window.unboundedPreceding, 0)))
+        ends.append(ways[side][2](row, F.when(F.col("_side") == side, place)).alias(f"_end{side}"))
+    carried = dealt.groupBy(*names, "_range").agg(*ends).select(
         *[F.col(n).alias("c" + n) for n in names], F.col("_range").alias("c_range"),
-        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+        *[F.last(f"_end{side}", ignorenulls=True).over(ways[side][1].rowsBetween(Window.unboundedPreceding, -1)).alias(f"_out{side}") for side in sides],
     )
     same = F.col("_range") == F.col("c_range")
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col("c" + n))
-    found = dealt.withColumn("_b", below).withColumn("_a", above).where("_side = 1").join(carried, same)
-    b, a = F.coalesce("_b", "_before"), F.coalesce("_a", "_after")
-    nearer = F.when(b.isNull(), a).when(a.isNull() | (F.col("_t") - b[time] <= a[time] - F.col("_t")), b).otherwise(a)
-    pick = {"backward": b, "forward": a, "nearest": nearer}[direction]
+    found = found.where("_side = 1").join(carried, same)
+    b, a = (F.coalesce(f"_in{side}", f"_out{side}") if side in sides else None for side in (0, 2))
+    if direction == "nearest":
+        pick = F.when(b.isNull(), a).when(a.isNull() | (F.col("_t") - b[time] <= a[time] - F.col("_t")), b).otherwise(a)
+    else:
+        pick = b if a is None else a
     return found.select("_l.*", F.when(F.col("_t").isNotNull(), pick).alias("found"))

@@ -1,8 +1,10 @@
 """Interval and as-of joins against plain loops."""
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from cityloom.operators import temporal
 
@@ -44,3 +46,19 @@ def test_as_of_equals_a_loop(spark, direction, keyed):
         above = min((x for x in there if at is not None and x[0] >= at), default=None)
         near = below if above is None or (below is not None and at - below[0] <= above[0] - at) else above
         assert got[i] == {"backward": below, "forward": above, "nearest": near}[direction], (i, key, at)
+
+
+def test_as_of_looks_at_each_row_once(spark):
+    """One key in one task: frames that run to the end of their rows would take minutes."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        a = spark.range(60_000).select("id", F.lit(1).alias("key"), (F.col("id") * 2).alias("at"))
+        b = spark.range(60_000).select(F.lit(1).alias("key"), (F.col("id") * 2 + 1).alias("t"))
+        for direction, step in (("forward", 1), ("nearest", -1), ("backward", -1)):
+            began = time.perf_counter()
+            found = temporal.as_of(a, "at", b, "t", ("key",), direction).where("id > 0")
+            assert found.where(F.col("found.t") == F.col("at") + step).count() == 59_999
+            assert time.perf_counter() - began < 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
