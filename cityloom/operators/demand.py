@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.operators.nearest import nearest_nodes
-from cityloom.operators.ordered import percentile, running_sum
+from cityloom.operators.ordered import quantiles, running_sum
 from cityloom.sources.lineage import stored
 
 
@@ -38,12 +38,12 @@ def cluster_summary(cells: DataFrame) -> DataFrame:
 
 def snap_nearest(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """points (cluster_id, x, y, ...) with node_id, node_x, node_y, snap_distance_m of the
-    nearest node (of equals, the smallest id)."""
+    nearest node (of equals, the smallest id); a stored table, as callers read it often."""
     points = stored(points.withColumn("_point", F.monotonically_increasing_id()), "snap-points")
     nodes = stored(nodes.select("node_id", F.col("x").cast("double").alias("node_x"), F.col("y").cast("double").alias("node_y")), "snap-nodes")
     if not nodes.limit(1).count():
         raise ValueError("there are no nodes to snap to")
-    return points.join(nearest_nodes(points, nodes), "_point").drop("_point")
+    return stored(points.join(nearest_nodes(points, nodes), "_point").drop("_point"), "snapped")
 
 
 def node_demand(snapped: DataFrame, scores: tuple[str, ...] = ("weight",)) -> DataFrame:
@@ -82,7 +82,8 @@ def strongest_node(attracting: DataFrame) -> DataFrame:
 
 def snap_statistics(snapped: DataFrame) -> DataFrame:
     d = F.col("snap_distance_m")
-    halves = [F.lit(percentile(snapped, d, share)).cast("double").alias(name) for name, share in (("median_m", 0.5), ("p95_m", 0.95))]
+    found = quantiles(snapped, [], d, {"median_m": 0.5, "p95_m": 0.95}).first()
+    halves = [F.lit(found and found[name]).cast("double").alias(name) for name in ("median_m", "p95_m")]
     return snapped.agg(F.min(d).alias("min_m"), F.max(d).alias("max_m"), F.avg(d).alias("mean_m")).select("*", *halves)
 
 

@@ -6,7 +6,8 @@ small boxes and an outlier one of its own, and no leaf or branch is larger than
 
 A point first goes down to the nearest box of each level, which gives a distance that it
 can't do worse than; then it goes down again to all boxes that aren't farther.  Both ways
-are equi joins of points with the boxes or nodes below a parent, kept as arrays.
+are equi joins of points with the boxes or nodes below a parent, kept as arrays; where many
+points ask for one parent, it is copied.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from cityloom.sources.lineage import stored
 
 LEAF, FAN = 32, 64
+#: Points of a task, and of a copy of a box that many points ask for.
+HOT = 20_000
 
 
 def _curve(x: np.ndarray, y: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
@@ -72,6 +75,16 @@ def _to_box(b: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _below(points: DataFrame, table: DataFrame, parent: str) -> DataFrame:
+    """points with what table has below their parent.  A parent that many points ask for
+    has a copy for every HOT of them, so no task gets all of a crowd's points."""
+    counts = points.groupBy(parent).agg(F.count("*").alias("_n"))
+    copies = table.join(counts, parent).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / HOT).cast("int")))).drop("_n")
+    asked = points.join(counts.withColumnRenamed("_n", "_of"), parent)
+    asked = asked.withColumn("_copy", F.pmod(F.xxhash64("_point"), F.floor(F.col("_of") / HOT) + 1).cast("int")).drop("_of")
+    return asked.join(copies, [parent, "_copy"]).drop("_copy")
+
+
 def nearest_nodes(points: DataFrame, nodes: DataFrame, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
     """_point, node_id, node_x, node_y, snap_distance_m: the nearest node (of equals, that of
     the smallest id) of each of points (_point, x, y)."""
@@ -87,14 +100,16 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, leaf: int = LEAF, fan: in
 
     best = F.array_min(F.transform("below", lambda n: F.struct(far(n).alias("d"), n["node_id"].alias("node_id"), n["node_x"].alias("node_x"), n["node_y"].alias("node_y"))))
     closest = F.array_min(F.transform("below", lambda b: F.struct(_to_box(b).alias("d"), b["id"].alias("id"))))["id"]
-    asked = points.select("_point", "x", "y")
-    down = asked.crossJoin(F.broadcast(top)).withColumn("_range", closest).drop("below")  # one row
-    for table, parent, child in ((branches, "_range", "_branch"), (leaves, "_branch", "_leaf")):
-        down = down.join(table, parent).withColumn(child, closest).drop("below", parent)
-    bound = stored(down.join(held, "_leaf").select("_point", "x", "y", best["d"].alias("most")), "nearest-bound")
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.count() // HOT + 1)
+    asked = points.select("_point", "x", "y").repartition(tasks)
+    levels = ((branches, "_range", "_branch"), (leaves, "_branch", "_leaf"))
+    down = stored(asked.crossJoin(F.broadcast(top)).withColumn("_range", closest).drop("below"), "nearest-down")  # one row
+    for table, parent, child in levels:
+        down = stored(_below(down, table, parent).withColumn(child, closest).drop("below", parent), "nearest-down")
+    bound = _below(down, held, "_leaf").select("_point", "x", "y", best["d"].alias("most"))
     within = F.explode(F.transform(F.filter("below", lambda b: _to_box(b) <= F.col("most")), lambda b: b["id"]))
-    again = bound.crossJoin(F.broadcast(top)).withColumn("_range", within).drop("below")
-    for table, parent, child in ((branches, "_range", "_branch"), (leaves, "_branch", "_leaf")):
-        again = again.join(table, parent).withColumn(child, within).drop("below", parent)
-    found = again.join(held, "_leaf").select("_point", best.alias("b")).groupBy("_point").agg(F.min("b").alias("b"))
+    again = stored(bound.crossJoin(F.broadcast(top)).withColumn("_range", within).drop("below"), "nearest-again")
+    for table, parent, child in levels:
+        again = stored(_below(again, table, parent).withColumn(child, within).drop("below", parent), "nearest-again")
+    found = _below(again, held, "_leaf").select("_point", best.alias("b")).groupBy("_point").agg(F.min("b").alias("b"))
     return found.select("_point", "b.node_id", "b.node_x", "b.node_y", F.col("b.d").alias("snap_distance_m"))

@@ -4,6 +4,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from cityloom.operators import demand, nearest
 
 
@@ -43,3 +45,23 @@ def test_snapping_keeps_columns(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, "a"), (1, 10.0, 0.0, "b")], "cluster_id long, x double, y double, name string")
     nodes = spark.createDataFrame([(7, 1, 0), (8, 9, 0)], "node_id int, x int, y int")
     assert {(r.name, r.node_id, r.snap_distance_m) for r in demand.snap_nearest(points, nodes).collect()} == {("a", 7, 1.0), ("b", 8, 1.0)}
+
+
+def test_a_crowd_at_one_leaf_is_dealt_to_many_tasks(spark, monkeypatch):
+    """All points ask for one leaf: no copy of it meets many more than HOT of them."""
+    monkeypatch.setattr(nearest, "HOT", 50)
+    points = spark.range(2000).select(F.col("id").alias("_point"), (F.col("id") % 40 / 1000).alias("x"), (F.col("id") / 100000).alias("y"), F.lit(7).alias("_leaf"))
+    held = spark.createDataFrame([(7, [1, 2]), (8, [3])], "_leaf int, below array<int>")
+    dealt = nearest._below(points, held, "_leaf")
+    assert dealt.count() == 2000 and dealt.where("below <> array(1, 2)").count() == 0
+    shares = points.withColumn("_copy", F.pmod(F.xxhash64("_point"), F.lit(41))).groupBy("_copy").count().agg(F.max("count"), F.count("*")).first()
+    assert shares[1] == 41 and shares[0] < 100
+    _check(spark, [(k % 20 / 1000, k / 100000) for k in range(300)], [(k, float(k % 30), float(k // 30)) for k in range(600)])
+
+
+def test_snapped_points_are_found_once(spark):
+    """What is made of snapped points reads them from a stored table."""
+    points = spark.createDataFrame([(k, float(k), 0.0, 1, 1.0) for k in range(9)], "cluster_id long, x double, y double, pixel_count long, weight double")
+    nodes = spark.createDataFrame([(7, 1.0, 0.0), (8, 6.0, 0.0)], "node_id long, x double, y double")
+    whole = demand.node_demand(demand.snap_nearest(points, nodes))
+    assert "nearest" not in "".join(whole.inputFiles()) and all("/snapped-" in f for f in whole.inputFiles())
