@@ -25,6 +25,10 @@ def running_sum(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
 ACCURACY = 10_000
 
 
+#: Rows of small groups that a task sorts.
+ROWS = 1_000_000
+
+
 def ranked(df: DataFrame, keys: list[str], value: Column, shares: list[float], ranks, accuracy: int = ACCURACY) -> DataFrame:
     """keys, n, low, high, found: for each group its number of values, the least and largest,
     and the values of the ranks (from 0) that ranks(n, share) names for each share, in order.
@@ -32,10 +36,36 @@ def ranked(df: DataFrame, keys: list[str], value: Column, shares: list[float], r
     One pass makes mergeable sketches, which bracket all shares of all groups; a second one
     counts equal values within the brackets, and of those between only how many there are.
     So what is sorted of a group is at most 4 / accuracy of its rows for each share, less
-    what is equal; a group of up to 2 accuracy rows is sorted whole.  Nulls and not-a-numbers don't count.
+    what is equal.  A group of up to 2 accuracy rows is sorted whole, without a sketch, in
+    as many tasks as such rows need.  Nulls and not-a-numbers don't count.
     """
     rows = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-    shares, slack = sorted(shares), 2 / accuracy
+    shares = sorted(shares)
+    if not keys:
+        return _sketched(rows, keys, shares, ranks, accuracy)
+    sizes = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "group-sizes")
+    many = F.col("_n") > 2 * accuracy
+    for k in keys:  # a group without a key joins nothing, so it is sorted
+        many = many & F.col(k).isNotNull()
+    few = sizes.where(~many).agg(F.sum("_n")).first()[0]
+    large = stored(sizes.where(many).select(*keys), "large-groups")
+    if not large.limit(1).count():
+        return _sorted(rows, keys, shares, ranks, few)
+    sketched = _sketched(rows.join(large, keys, "left_semi"), keys, shares, ranks, accuracy)
+    return sketched if not few else sketched.unionByName(_sorted(rows.join(large, keys, "left_anti"), keys, shares, ranks, few))
+
+
+def _sorted(rows: DataFrame, keys: list[str], shares: list[float], ranks, count: int | None) -> DataFrame:
+    """ranked for groups that are small: one exchange, in tasks of about ROWS rows."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (count or 0) // ROWS + 1)
+    group = Window.partitionBy(*keys)
+    placed = rows.repartition(tasks, *keys).withColumn("_at", F.row_number().over(group.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(group))
+    asked = [F.max(F.when(F.col("_at") == r, F.col("_v"))) for s in shares for r in ranks(F.col("_n"), s)]
+    return placed.groupBy(*keys).agg(F.max("_n").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.array(*asked).alias("found"))
+
+
+def _sketched(rows: DataFrame, keys: list[str], shares: list[float], ranks, accuracy: int) -> DataFrame:
+    slack = 2 / accuracy
     points = [p for s in shares for p in (max(0.0, s - slack), min(1.0, s + slack))]
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.percentile_approx("_v", points, accuracy).alias("_p"))
     few = F.col("_n") <= 2 * accuracy  # where a step of a sketch is less than two rows
