@@ -1,15 +1,13 @@
 """Shortest-path trees over a partition of the graph into cells.
 
-1. In each cell a task finds, for every node that an edge from outside leads to (an
-   entry), the distances inside the cell to all heads of edges that leave it, and to the
-   destinations in it.
-2. The overlay has the entries as nodes and these distances as edges; it is relaxed by
-   joins, in buckets of distance, for all destinations at once.
+1. Each cell is packed into one row: its nodes, the edges that start in it, its entries
+   (nodes that an edge from outside leads to).
+2. Distances at entries go to the cells with edges to them.  There a task settles what it
+   was sent, for every few destinations, and passes on the entries that got nearer; this
+   ends when none does.  So a round crosses a cell, and only what got nearer is sent.
 3. In each cell, a task for every few destinations starts from the distances of the heads
    and finds those of all nodes, and the next nodes.
 
-A cell with so many entries that its shortcuts would outnumber its edges puts its own
-edges into the overlay instead (dense and random graphs, which few rounds cross anyway).
 Neither edges nor distances pass through the driver, and no task sees more than a cell.
 """
 
@@ -20,86 +18,80 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.operators.cells import CELL, celled_edges, grown_cells
+from cityloom.operators.cells import celled_edges, grown_cells
 from cityloom.sources.lineage import stored
 
 #: Destinations that a task takes at a time.
 DESTS = 64
-#: Shortcuts for each edge of a cell beyond which it keeps its edges.
-SPREAD = 16
-#: Width of a bucket in mean edges of the overlay.
-WIDTH = 8.0
+#: Most nodes of a cell.
+CELL = 10_000
+_PACKED = "cell long, names array<long>, entries array<int>, tail array<int>, head array<int>, weight array<double>"
 
 
-def _settled(tail: np.ndarray, head: np.ndarray, weight: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Distances (nodes x targets) once no edge shortens any; edges are sorted by tail."""
-    if not len(tail):
-        return dist
-    at = np.flatnonzero(np.concatenate([[True], tail[1:] != tail[:-1]]))
-    of = tail[at]
-    while True:
-        offered = np.minimum.reduceat(weight[:, None] + dist[head], at, axis=0)
-        if not (offered < dist[of]).any():
-            return dist
-        dist[of] = np.minimum(dist[of], offered)
-
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of a cell from kind 0 edges u, v, w (v may lie outside) and kind 1 entries u."""
+    edge = rows["kind"].to_numpy() == 0
+    u, v, w = rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64), rows["w"].to_numpy(float)
+    names = np.unique(np.concatenate([u, v[edge]]))
+    tail, head, entries = (np.searchsorted(names, x).astype(np.int32) for x in (u[edge], v[edge], np.unique(u[~edge])))
+    by = np.lexsort((tail, head))
+    return pd.DataFrame({"cell": [int(rows["cell"].iloc[0])], "names": [names], "entries": [entries], "tail": [tail[by]], "head": [head[by]], "weight": [w[edge][by]]})
 
-def _local(names: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    tail, head = np.searchsorted(names, u), np.searchsorted(names, v)
-    by = np.lexsort((head, tail))
-    return tail[by], head[by], w[by]
 
+def _settled(tail: np.ndarray, head: np.ndarray, weight: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Distances (nodes x targets) once no edge shortens any; edges are sorted by head.
+    Only what got nearer in the step before is passed on, the nearest part of it first."""
+    n, k = dist.shape
+    first = np.searchsorted(head, np.arange(n + 1))
+    flat = dist.reshape(-1)
+    step = 2 * weight.mean() if len(weight) else 0.0
+    waits = np.flatnonzero(np.isfinite(flat))
+    while len(waits):
+        now = flat[waits] <= flat[waits].min() + step
+        at, waits = waits[now], waits[~now]
+        node, target = np.divmod(at, k)
+        count = first[node + 1] - first[node]
+        of = np.repeat(np.arange(len(at)), count)
+        edge = np.arange(len(of)) + np.repeat(first[node] - (np.cumsum(count) - count), count)
+        to, far = tail[edge].astype(np.int64) * k + target[of], weight[edge] + flat[at][of]
+        less = far < flat[to]
+        to = to[less]
+        np.minimum.at(flat, to, far[less])
+        waits = np.unique(np.concatenate([waits, to]))
+    return flat.reshape(n, k)
+
+
+def _started(cell: pd.DataFrame, known: pd.DataFrame) -> tuple:
+    """A cell's arrays, the destinations of known (dest, node, dist) and the settled distances."""
+    names, entries, tail, head, weight = (np.asarray(cell[c].iloc[0]) for c in ("names", "entries", "tail", "head", "weight"))
+    dests = np.unique(known["dest"].to_numpy())
+    dist = np.full((len(names), len(dests)), np.inf)
+    np.minimum.at(dist, (np.searchsorted(names, known["node"].to_numpy()), np.searchsorted(dests, known["dest"].to_numpy())), known["dist"].to_numpy())
+    return names, entries, tail, head, weight, dests, _settled(tail, head, weight, dist)
 
-def _to_targets(names: np.ndarray, edges: tuple, targets: np.ndarray) -> np.ndarray:
-    dist = np.full((len(names), len(targets)), np.inf)
-    dist[np.searchsorted(names, targets), np.arange(len(targets))] = 0.0
-    return _settled(*edges, dist)
 
+def _passed(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """Distances from a cell's entries by what was sent to it."""
+    if not len(cell) or not len(known):
+        return pd.DataFrame({"dest": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "dist": np.zeros(0)})
+    names, entries, _, _, _, dests, dist = _started(cell, known)
+    i, j = np.nonzero(np.isfinite(dist[entries]))
+    return pd.DataFrame({"dest": dests[j], "node": names[entries[i]], "dist": dist[entries[i], j]})
 
-def _overlay_of_cell(rows: pd.DataFrame) -> pd.DataFrame:
-    """kind 0: an edge a, b of the overlay; kind 1: distance from a to destination b.
 
-    rows: kind 0 inner edges u, v, w; kind 1 edges that leave; kind 2 entries u; kind 3 destinations u.
-    """
-    kind, u, v, w = rows["kind"].to_numpy(), rows["u"].to_numpy(np.int64), rows["v"].to_numpy(np.int64), rows["w"].to_numpy()
-    inner, out = kind == 0, kind == 1
-    entries, dests, heads = np.unique(u[kind == 2]), np.unique(u[kind == 3]), np.unique(v[out])
-    found = []
-    plain = len(entries) * len(heads) > SPREAD * (inner.sum() + out.sum())
-    if plain:
-        found.append((0, u[inner | out], v[inner | out], w[inner | out]))
-        found.append((1, dests, dests, np.zeros(len(dests))))
-    else:
-        names = np.unique(np.concatenate([u, v[inner | out]]))
-        every, inside = (_local(names, u[m], v[m], w[m]) for m in (inner | out, inner))
-        starts = np.searchsorted(names, entries)
-        for edges, targets, k in ((every, heads, 0), (inside, dests, 1)):
-            for i in range(0, len(targets), DESTS):
-                part = targets[i : i + DESTS]
-                dist = _to_targets(names, edges, part)[starts]
-                a, b = np.nonzero(np.isfinite(dist))
-                found.append((k, entries[a], part[b], dist[a, b]))
-        found.append((1, dests, dests, np.zeros(len(dests))))
-    return pd.concat([pd.DataFrame({"kind": np.int32(k), "a": a, "b": b, "w": x}) for k, a, b, x in found])
-
-
-def _descent(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _descent(cell: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     """Distances and next nodes of a cell's nodes, from those known at its heads and destinations."""
-    empty = pd.DataFrame({"dest": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "dist": np.zeros(0), "next_node": np.zeros(0, np.int64)})
-    if not len(known):
-        return empty
-    u, v, w = (edges[c].to_numpy(t) if len(edges) else np.zeros(0, t) for c, t in (("u", np.int64), ("v", np.int64), ("w", float)))
-    dests = np.unique(known["dest"].to_numpy())
-    names = np.unique(np.concatenate([u, v, known["node"].to_numpy()]))
-    tail, head, weight = _local(names, u, v, w)
-    dist = np.full((len(names), len(dests)), np.inf)
-    dist[np.searchsorted(names, known["node"]), np.searchsorted(dests, known["dest"])] = known["dist"]
-    dist = _settled(tail, head, weight, dist)
+    if not len(cell) or not len(known):
+        return pd.DataFrame({"dest": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "dist": np.zeros(0), "next_node": np.zeros(0, np.int64)})
+    names, entries, tail, head, weight, dests, dist = _started(cell, known)
     own = np.zeros(len(names), dtype=bool)
     own[tail] = True
-    own[np.searchsorted(names, known["node"][known["own"]])] = True
+    own[entries] = True
+    own[np.searchsorted(names, known["node"].to_numpy()[known["own"].to_numpy(dtype=bool)])] = True
     following = np.full(dist.shape, np.iinfo(np.int64).max)
     if len(tail):
+        by = np.argsort(tail, kind="stable")
+        tail, head, weight = tail[by], head[by], weight[by]
         at = np.flatnonzero(np.concatenate([[True], tail[1:] != tail[:-1]]))
         used = weight[:, None] + dist[head] == dist[tail]
         following[tail[at]] = np.minimum.reduceat(np.where(used, names[head][:, None], np.iinfo(np.int64).max), at, axis=0)
@@ -107,24 +99,14 @@ def _descent(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     there = (here < len(names)) & (names[np.minimum(here, len(names) - 1)] == dests)
     following[here[there], np.flatnonzero(there)] = dests[there]
     i, j = np.nonzero(np.isfinite(dist) & own[:, None])
-    return pd.DataFrame({"dest": dests[j], "node": names[i], "dist": dist[i, j], "next_node": following[i, j]}) if len(i) else empty
-
-
-def _relaxed(over: DataFrame, start: DataFrame) -> DataFrame:
-    """dest, node, dist over the overlay's edges a, b, w: nodes nearer than the bucket's
-    end pass their distance on, the others wait."""
-    mean = over.agg(F.avg("w")).first()[0]
-    state = stored(start.groupBy("dest", "node").agg(F.min("dist").alias("dist")).withColumn("waits", F.lit(1)), "overlay")
-    while mean is not None:
-        low = state.where("waits = 1").agg(F.min("dist")).first()[0]
-        if low is None:
-            break
-        now = F.col("dist") < F.lit(low + WIDTH * mean)
-        offered = state.where((F.col("waits") == 1) & now).join(over, F.col("node") == F.col("b")).select("dest", F.col("a").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(1).alias("waits"))
-        kept = state.withColumn("waits", F.when(now, 0).otherwise(F.col("waits")))
-        least = F.min(F.struct("dist", "waits")).alias("s")  # an equal distance that was passed on stays so
-        state = stored(kept.unionByName(offered).groupBy("dest", "node").agg(least).select("dest", "node", "s.*"), "overlay")
-    return state.select("dest", "node", "dist")
+    return pd.DataFrame({"dest": dests[j], "node": names[i], "dist": dist[i, j], "next_node": following[i, j]})
+
+
+def _by_blocks(packed: DataFrame, known: DataFrame, blocks: int, kernel, schema: str) -> DataFrame:
+    """kernel on each cell with what is known there, a task for each block of destinations."""
+    known = known.withColumn("block", F.pmod(F.xxhash64("dest"), F.lit(blocks)))
+    asked = known.select("cell", F.col("block").alias("part")).distinct()
+    return packed.join(asked, "cell").groupBy("cell", "part").cogroup(known.groupBy("cell", "block")).applyInPandas(kernel, schema)
 
 
 def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost", cells: DataFrame | None = None, most: int = CELL) -> DataFrame:
@@ -142,24 +124,32 @@ def path_trees(edges: DataFrame, destinations: DataFrame, cost: str = "cost", ce
     celled = celled_edges(lightest, cells)
     crossing = celled.where("cu <> cv")
     goals = stored(destinations.select(F.col("node_id").cast("long").alias("dest")).distinct().join(cells.withColumnRenamed("node", "dest"), "dest"), "path-goals")
-    own = goals.select("cell", "dest", F.col("dest").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("own"))
-    known = own
-    if crossing.limit(1).count():
-        nothing = (F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("w"))
-        out = celled.select(F.col("cu").alias("cell"), F.when(F.col("cu") == F.col("cv"), 0).otherwise(1).alias("kind"), "u", "v", "w")
-        entries = crossing.select(F.col("cv").alias("cell"), F.lit(2).alias("kind"), F.col("v").alias("u")).distinct().select("*", *nothing)
-        ends = goals.select("cell", F.lit(3).alias("kind"), F.col("dest").alias("u"), *nothing)
-        fill = out.unionByName(entries).unionByName(ends).fillna({"v": -1, "w": 0.0})
-        over = stored(fill.groupBy("cell").applyInPandas(_overlay_of_cell, "kind int, a long, b long, w double"), "overlay-edges")
-        start = over.where("kind = 1").select(F.col("b").alias("dest"), F.col("a").alias("node"), F.col("w").alias("dist"))
-        best = _relaxed(over.where("kind = 0").select("a", "b", "w"), start)
-        heads = crossing.select(F.col("cu").alias("cell"), F.col("v").alias("node")).distinct()
-        known = own.unionByName(heads.join(best, "node").select("cell", "dest", "node", "dist", F.lit(False).alias("own")))
     blocks = -(-goals.count() // DESTS) or 1
-    known = stored(known.withColumn("block", F.pmod(F.xxhash64("dest"), F.lit(blocks))), "path-known")
-    asked = known.groupBy(F.col("cell").alias("cu"), F.col("block").alias("part")).agg(F.count("*"))
-    inside = celled.select("cu", "u", "v", "w").join(asked, "cu")
-    return inside.groupBy("cu", "part").cogroup(known.groupBy("cell", "block")).applyInPandas(_descent, "dest long, node long, dist double, next_node long")
+    entries = crossing.select(F.col("cv").alias("cell"), F.lit(1).alias("kind"), F.col("v").alias("u"), F.lit(-1).cast("long").alias("v"), F.lit(0.0).alias("w")).distinct()
+    # A destination is an entry too, so that it is among its cell's nodes.
+    ends = goals.select("cell", F.lit(1).alias("kind"), F.col("dest").alias("u"), F.lit(-1).cast("long").alias("v"), F.lit(0.0).alias("w"))
+    given = celled.select(F.col("cu").alias("cell"), F.lit(0).alias("kind"), "u", "v", "w").unionByName(entries).unionByName(ends)
+    packed = stored(given.groupBy("cell").applyInPandas(_packed, _PACKED), "path-cells")
+    own = goals.select("cell", "dest", F.col("dest").alias("node"), F.lit(0.0).alias("dist"))
+    known = own.withColumn("own", F.lit(True))
+    if crossing.limit(1).count():
+        heads = stored(crossing.select(F.col("cu").alias("cell"), F.col("v").alias("node")).distinct(), "path-heads")
+        best, sent = None, own
+        while True:
+            come = _by_blocks(packed, sent, blocks, _passed, "dest long, node long, dist double")
+            if best is not None:
+                come = come.unionByName(best.select("dest", "node", "dist"), allowMissingColumns=True)
+                old = best.select("dest", "node", F.col("dist").alias("old"))
+                come = come.groupBy("dest", "node").agg(F.min("dist").alias("dist")).join(old, ["dest", "node"], "left")
+            else:
+                come = come.groupBy("dest", "node").agg(F.min("dist").alias("dist")).withColumn("old", F.lit(None).cast("double"))
+            best = stored(come.select("dest", "node", "dist", (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("nearer")), "path-best")
+            nearer = best.where("nearer")
+            if not nearer.limit(1).count():
+                break
+            sent = heads.join(nearer.drop("nearer"), "node").select("cell", "dest", "node", "dist")
+        known = known.unionByName(heads.join(best, "node").select("cell", "dest", "node", "dist", F.lit(False).alias("own")))
+    return _by_blocks(packed, stored(known, "path-known"), blocks, _descent, "dest long, node long, dist double, next_node long")
 
 
 def next_hops(trees: DataFrame, asked: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import heapq
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 
 from cityloom.operators import cells, graph, routing
@@ -168,3 +169,13 @@ def test_strong_components_equal_a_depth_first_search(spark, kind, most):
     first = min(sizes, key=lambda c: (-sizes[c], c))
     if most == 1000:
         assert {r.node for r in graph.largest_scc(spark.createDataFrame(rows, "u long, v long"), most=most).collect()} == {n for n, c in want.items() if c == first}
+
+
+def test_a_cell_passes_on_distances_at_its_entries_only():
+    """A ring of six with an edge out: no shortcuts between entries and heads are kept."""
+    ring = [(i, (i + 1) % 6, 1.0 + i) for i in range(6)] + [(2, 50, 4.0)]
+    rows = pd.DataFrame([(9, 0, *e) for e in ring] + [(9, 1, 0, -1, 0.0), (9, 1, 4, -1, 0.0)], columns=["cell", "kind", "u", "v", "w"])
+    cell = routing._packed(rows)
+    assert len(cell) == 1 and len(cell["tail"][0]) == len(ring)
+    got = routing._passed(cell, pd.DataFrame({"dest": [77, 50], "node": [50, 50], "dist": [10.0, 0.0]}))
+    assert sorted(got.itertuples(index=False, name=None)) == [(50, 0, 7.0), (50, 4, 18.0), (77, 0, 17.0), (77, 4, 28.0)]
