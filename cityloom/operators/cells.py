@@ -3,7 +3,8 @@
 Edges are (u, v).  Cells are connected parts, grown by contraction: in a round half of
 the clusters, by a coin, join the neighbour among the others that they share most edges
 with, as long as it has room.  A round takes away a share of the clusters, so their
-number of rounds is logarithmic in a cell's size, not in the graph's diameter.
+number of rounds is logarithmic in a cell's size, not in the graph's diameter.  Where
+ids follow the map, ranges of them cut few edges and take no rounds.
 """
 
 from __future__ import annotations
@@ -52,6 +53,16 @@ def grown_cells(edges: DataFrame, most: int = CELL) -> DataFrame:
     return labels
 
 
+def ranged_cells(edges: DataFrame, most: int = CELL) -> DataFrame:
+    """node, cell: runs of at most ``most`` nodes by id, not always connected (a stored table); a graph of no more is one cell."""
+    nodes = stored(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "cell-nodes")
+    n = nodes.count()
+    if n <= most:
+        return nodes.withColumn("cell", F.lit(0).cast("long"))
+    dealt = nodes.repartitionByRange(n // (8 * most) + 1, "node").sortWithinPartitions("node")
+    return stored(dealt.withColumn("cell", F.expr(f"monotonically_increasing_id() div {most}")), "cell-ranges")
+
+
 def celled_edges(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """edges with cu and cv, the cells of both ends (a stored table)."""
     ends = [cells.select(F.col("node").alias(n), F.col("cell").alias("c" + n)) for n in ("u", "v")]

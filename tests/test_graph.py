@@ -179,3 +179,61 @@ def test_a_cell_passes_on_distances_at_its_entries_only():
     assert len(cell) == 1 and len(cell["tail"][0]) == len(ring)
     got = routing._passed(cell, pd.DataFrame({"dest": [77, 50], "node": [50, 50], "dist": [10.0, 0.0]}))
     assert sorted(got.itertuples(index=False, name=None)) == [(50, 0, 7.0), (50, 4, 18.0), (77, 0, 17.0), (77, 4, 28.0)]
+
+
+@pytest.mark.parametrize("kind", ["one ring", "rings in a row", "streets"])
+def test_strong_components_take_levels_not_rounds_along_ways(spark, monkeypatch, kind):
+    """Ways through 20 cells: few working tables, labels of nodes between entries and exits."""
+    tables = []
+    monkeypatch.setattr(graph, "stored", lambda df, tag, made=graph.stored: tables.append(tag) or made(df, tag))
+    n = 240
+    if kind == "one ring":
+        rows = [(i, (i + 1) % n) for i in range(n)]
+    elif kind == "rings in a row":
+        rows = [e for i in range(0, n, 4) for e in [(i, i + 1), (i + 1, i + 2), (i + 2, i + 3), (i + 3, i), (i + 3, i + 4)]]
+    else:
+        rows = [r[:2] for r in lattice(15, random.Random(8), 1.6)]
+    got = {r.node: r.component for r in graph.strong_components(spark.createDataFrame(rows, "u long, v long"), most=24 if kind == "streets" else 12).collect()}
+    assert got == plain_components(rows)
+    assert len(tables) <= 25 and "scc-alive" not in tables
+
+
+def test_a_contracted_cell_keeps_what_reaches_what():
+    """Random cells: closed groups are whole, kept ones reach each other as before, by no more edges."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        n = rng.randrange(1, 30)
+        edges = [(0, rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(2 * n))]
+        given = edges + [(rng.choice([1, 2]), rng.randrange(n), 0) for _ in range(rng.randrange(1, 8))]
+        got = graph._contracted(pd.DataFrame(given, columns=["way", "u", "v"]).assign(cell=5))
+        label = plain_components([e[1:] for e in edges] + [(e[1], e[1]) for e in given])
+        nodes = got[got["kind"] <= graph._BETWEEN]
+        assert dict(zip(nodes["a"], nodes["b"])) == label
+
+        def reached(pairs):
+            far = {(x, x) for x in set(label.values())} | set(pairs)
+            while True:
+                more = {(a, d) for a, b in far for c, d in far if b == c} - far
+                if not more:
+                    return far
+                far |= more
+
+        full = reached({(label[u], label[v]) for _, u, v in edges})
+        enters, leaves = ({label[u] for way, u, _ in given if way == w} for w in (2, 1))
+        is_open = {x for x in label.values() if any((e, x) in full for e in enters) and any((x, e) in full for e in leaves)}
+        kind = dict(zip(nodes["b"], nodes["kind"]))
+        assert {x for x in kind if kind[x] != graph._ALONE} == is_open
+        kept = {x for x in kind if kind[x] == graph._KEPT}
+        assert kept >= is_open & (enters | leaves)
+        by = got[got["kind"] == graph._EDGE]
+        given_pairs = {(label[u], label[v]) for _, u, v in edges if label[u] != label[v] and {label[u], label[v]} <= is_open}
+        assert {p for p in reached(zip(by["a"], by["b"])) if set(p) <= kept} == {p for p in full if set(p) <= kept} and len(by) <= len(given_pairs)
+
+
+def test_cells_of_dense_graphs_have_fewer_nodes(spark):
+    ring = spark.range(3000).selectExpr("id AS u", "(id + 1) % 3000 AS v")
+    dense = spark.range(60).selectExpr("id AS k").crossJoin(ring.select("u")).selectExpr("u", "(u + k * k + 1) % 3000 AS v").distinct()
+    assert graph._room(ring, 10_000) == (3000, 10_000)
+    n, room = graph._room(dense, 10_000)
+    assert n == dense.count() and 1000 <= room < 5000
+    assert graph._room(dense, 50) == (n, 50) and graph._room(ring.limit(0), 10_000)[0] == 0
