@@ -181,6 +181,50 @@ def test_a_cell_passes_on_distances_at_its_entries_only():
     assert sorted(got.itertuples(index=False, name=None)) == [(50, 0, 7.0), (50, 4, 18.0), (77, 0, 17.0), (77, 4, 28.0)]
 
 
+def meanders(wide, high):
+    """Streets of a map whose ids go row by row; the nearest way along any two rows goes to and fro between them."""
+    rows = []
+    for r in range(high):
+        for c in range(wide):
+            a = r * wide + c
+            if c + 1 < wide:
+                rows += [(a, a + 1, 1.0 if (r + c) % 2 else 90.0), (a + 1, a, 95.0 + c % 7)]
+            if r + 1 < high:
+                rows += [(a, a + wide, 2.0), (a + wide, a, 2.0 + (r + c) % 2)]
+    return rows
+
+
+def test_paths_along_borders_take_turns(spark, monkeypatch):
+    """Ways that go to and fro between rows: pairs of ranges, in turn, hold those along a border whole."""
+    tables = []
+    monkeypatch.setattr(routing, "stored", lambda df, tag, made=routing.stored: tables.append(tag) or made(df, tag))
+    rows = meanders(24, 30) + [(5000, 5001, 5.0), (3, 3, 1.0), (5, 6, None)]
+    dests = [0, 263, 500, 719, 5001, 77777]
+    got = routing.path_trees(spark.createDataFrame(rows, EDGES), spark.createDataFrame([(d,) for d in dests], "node_id long"), most=240)
+    assert {tuple(r) for r in got.select("dest", "node", "dist", "next_node").collect()} == heap_trees([r for r in rows if r[2] is not None], dests)
+    assert "path-ranges" in tables and "path-grown" not in tables and tables.count("path-best") <= 10
+
+
+def test_a_town_is_one_cell(spark, monkeypatch):
+    """12,100 nodes take no rounds between cells."""
+    tables = []
+    monkeypatch.setattr(routing, "stored", lambda df, tag, made=routing.stored: tables.append(tag) or made(df, tag))
+    rows = lattice(110, random.Random(4))
+    got = routing.path_trees(spark.createDataFrame(pd.DataFrame(rows, columns=["u", "v", "cost"])), spark.createDataFrame([(7,), (12000,)], "node_id long"))
+    assert {tuple(r) for r in got.select("dest", "node", "dist", "next_node").collect()} == heap_trees(rows, [7, 12000])
+    assert "path-best" not in tables
+
+
+def test_packed_cells_are_put_together():
+    """Two neighbouring cells, packed apart, pass on what they pass on as one."""
+    rows = [(u, v, w) for u, v, w in meanders(6, 8) if u < 36]  # edges that leave the last row's cell aren't there
+    frame = lambda rows, cell: pd.DataFrame([(cell, 0, *e) for e in rows] + [(cell, 1, n, -1, 0.0) for n in (0, 17, 18, 35) if any(e[0] == n for e in rows)], columns=["cell", "kind", "u", "v", "w"])
+    apart = pd.concat([routing._as_bytes(frame([e for e in rows if e[0] < 18], 0)), routing._as_bytes(frame([e for e in rows if e[0] >= 18], 1))])
+    known = pd.DataFrame({"dest": [2, 9, 9], "node": [2, 38, 41], "dist": [0.0, 7.0, 1.0]})
+    got, want = (sorted(routing._passed(cell, known).itertuples(index=False, name=None)) for cell in (apart, routing._packed(frame(rows, 0))))
+    assert got == want and len(got) == 8
+
+
 @pytest.mark.parametrize("kind", ["one ring", "rings in a row", "streets"])
 def test_strong_components_take_levels_not_rounds_along_ways(spark, monkeypatch, kind):
     """Ways through 20 cells: few working tables, labels of nodes between entries and exits."""
